@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .mixing import op9_pivotal_mixing
+from .search import OP3_SQL, op3_topk_search
+from .secrets import op6_secret_scan
 
-QUERIES = {f.__name__: f for f in (op9_pivotal_mixing,)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_topk_search, op6_secret_scan, op9_pivotal_mixing)}
+SQL: dict[str, str] = {"op3_topk_search": OP3_SQL}
