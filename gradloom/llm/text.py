@@ -55,6 +55,15 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return data[at[0] : at[-1]], at - at[0]
 
 
+def slices(offsets: np.ndarray, limit: int = 2 << 20):
+    """(first, end) of runs of documents of ``limit`` bytes or so; a longer document is a run of its own."""
+    lo = 0
+    while lo < len(offsets) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, document) of all words, in order; no word crosses documents."""
     n = len(data)
