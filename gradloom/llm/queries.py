@@ -8,7 +8,8 @@ from .near_duplicates import op7_jaccard_join
 from .quality import op1_quality_rules
 from .search import OP3_SQL, op3_topk_search
 from .secrets import op6_secret_scan
+from .sentencepiece import op10_sentencepiece
 from .suffix_dedup import op5_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_topk_search, op5_suffix_dedup, op6_secret_scan, op7_jaccard_join, op8_katz_scores, op9_pivotal_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_topk_search, op5_suffix_dedup, op6_secret_scan, op7_jaccard_join, op8_katz_scores, op9_pivotal_mixing, op10_sentencepiece)}
 SQL: dict[str, str] = {"op3_topk_search": OP3_SQL}
