@@ -5,11 +5,12 @@ of few documents, then frequent ones (exact document counts decide, through a fi
 sets with a similarity of t or more share a shingle in the first n - ceil(t n) + 1 of each, so only prefix shingles that
 two documents have are joined, and most documents have none.
 
-Equal sets become one entity first.  Within the entities of a prefix shingle a pivot (the one with the fewest shingles
-of its own) is paired with all others, never all with all: pairs pass the length and positional filters, are made
+Equal sets become one entity first.  Within the entities of a prefix shingle a pivot (the one with the largest share of
+frequent shingles) is paired with all others, never all with all: pairs pass the length and positional filters, are made
 distinct, bounded by the suffix filter, and verified once.  Entities that have become connected need no more pairs.
-Rounds with further pivots go on while there are many unconnected ones; then all pairs left are verified, so that no link
-between different components is missed.
+An entity is weak at a shingle if those it shares with anyone, from there on, are under 2t / (1 + t) of its own; two weak
+ones can't be similar enough, so documents that merely have a popular passage in common aren't paired.  A few rounds with further pivots go on
+while there are many unconnected pairs; then all left are verified, so that no link between components is missed.
 """
 
 from __future__ import annotations
@@ -39,7 +40,9 @@ def batch_shingles(texts: pa.Array, k: int):
 
 
 def shingle_sets(docs: DataFrame, k: int, link: int) -> DataFrame:
-    """doc_id, n, set_id (null for empty sets), share, prefix (shingles of the prefix that others have), places, shingles.
+    """doc_id, n, set_id (null for empty sets), c, often, prefix, places, shingles.
+
+    c: how many shingles others have; often: the share of frequent ones; prefix: those of them in the prefix, places: where they stand among the c in order.
 
     ``shingles`` (packed, ascending) is null where the prefix has nothing in common with others.
     """
@@ -73,19 +76,23 @@ def shingle_sets(docs: DataFrame, k: int, link: int) -> DataFrame:
                     by = np.argsort(rank, kind="stable")[: length[i]]
                     by = by[rank[by] > 0]
                     prefix[i], packed[i] = own[by].view(np.int64), own.tobytes()
-                    places[i] = np.arange(length[i] - len(by), length[i], dtype=np.int32)
+                    places[i] = np.arange(len(by), dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], pa.array(n), pa.array(mix(ids).view(np.int64), mask=n == 0), pa.array(1 - alone / np.maximum(n, 1)), pa.array(prefix, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(packed, pa.binary())],
-                    ["doc_id", "n", "set_id", "share", "prefix", "places", "shingles"],
+                    [batch.column(0)[lo:hi], pa.array(n), pa.array(mix(ids).view(np.int64), mask=n == 0), pa.array(n - alone), pa.array(np.bincount(doc[level > 1], minlength=hi - lo) / np.maximum(n, 1)), pa.array(prefix, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(packed, pa.binary())],
+                    ["doc_id", "n", "set_id", "c", "often", "prefix", "places", "shingles"],
                 )
 
-    schema = "doc_id long, n long, set_id long, share double, prefix array<long>, places array<int>, shingles binary"
+    schema = "doc_id long, n long, set_id long, c long, often double, prefix array<long>, places array<int>, shingles binary"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, schema)
 
 
 def _passes(link: int) -> Column:
-    """Length and positional filters of a pair x, y that share a shingle at places x_at and y_at."""
-    at_most = F.least("x_at", "y_at") + 1 + F.least(F.col("x_n") - F.col("x_at") - 1, F.col("y_n") - F.col("y_at") - 1)
+    """Length and positional filters of a pair x, y whose first common shingle is the one joined on.
+
+    Only shingles that others have, from that one on, can be common: x_left and y_left of them.  Where a pair has an earlier
+    common shingle, it passes there, which is in both prefixes.
+    """
+    at_most = F.least("x_left", "y_left")
     return (100 * F.least("x_n", "y_n") >= link * F.greatest("x_n", "y_n")) & (at_most * (100 + link) >= link * (F.col("x_n") + F.col("y_n")))
 
 
@@ -117,7 +124,17 @@ def verified(pairs: DataFrame, entities: DataFrame, link: int) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, link: int = LINK) -> DataFrame:
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select(F.col("h").alias(f"{side}_h"), F.col("set_id").alias(side), F.col("component").alias(f"{side}_in"), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "left", "strong")])
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """The rows whose shingle is in several components, a strong entity among them."""
+    several = rows.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("strong").alias("any")).where("lo < hi AND any").select("h")
+    return rows.join(several, "h")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, link: int = LINK, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text).
 
     Texts without words, and null texts, have empty sets, linked with nothing.  Shorter texts than ``k`` words are one
@@ -125,22 +142,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, link: int = LINK) -> DataFra
     """
     sets = written(shingle_sets(docs.select("doc_id", "text"), k, link), "shingle-sets")
     entities = written(sets.where("shingles IS NOT NULL").dropDuplicates(["set_id"]), "shingle-entities")
-    rows = entities.select("set_id", "n", "share", F.explode(F.arrays_zip("prefix", "places")).alias("e")).select(F.col("e.prefix").alias("h"), "set_id", "n", "share", F.col("e.places").alias("at"))
-    several = rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    rows = written(rows.join(several, "h"), "shingle-prefixes").withColumn("component", F.col("set_id"))
-    links, tried = None, None
-    while n_rows := rows.count():
-        sizes = rows.groupBy("h", "component").agg(F.count("*").alias("m")).groupBy("h").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("s"))
-        n_pairs = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()[0]
-        x = rows.select("h", F.col("set_id").alias("x"), F.col("n").alias("x_n"), F.col("at").alias("x_at"), F.col("component").alias("x_in"))
-        last = n_pairs <= 4 * n_rows
-        if last:
-            y = rows.select("h", F.col("set_id").alias("y"), F.col("n").alias("y_n"), F.col("at").alias("y_at"), F.col("component").alias("y_in"))
-        else:
-            best = F.max_by(F.struct("set_id", "n", "at", "component"), F.struct("share", "n", "set_id"))
-            pivots = written(rows.groupBy("h").agg(best.alias("p")), "shingle-pivots")
-            y = pivots.select("h", F.col("p.set_id").alias("y"), F.col("p.n").alias("y_n"), F.col("p.at").alias("y_at"), F.col("p.component").alias("y_in"))
-        pairs = x.join(y, "h").where((F.col("x_in") != F.col("y_in")) & _passes(link)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rows = entities.select("set_id", "n", "c", "often", F.explode(F.arrays_zip("prefix", "places")).alias("e"))
+    rows = rows.select(F.col("e.prefix").alias("h"), "set_id", "n", "often", (F.col("c") - F.col("e.places")).alias("left"), F.col("set_id").alias("component"))
+    rows = rows.withColumn("strong", (100 + link) * F.col("left") >= 2 * link * F.col("n"))
+    rows, links, tried = written(_apart(rows), "shingle-prefixes"), None, None
+    for turn in range(rounds + 1):
+        sizes = rows.groupBy("h", "component").agg(F.count("*").alias("m"), F.sum((~F.col("strong")).cast("long")).alias("w")).groupBy("h")
+        squares = lambda c: F.sum(c) * F.sum(c) - F.sum(F.col(c) * F.col(c))
+        n_rows, n_pairs = sizes.agg(F.sum("m").alias("m"), (squares("m") - squares("w")).alias("p")).agg(F.sum("m"), F.sum("p") / 2).first()
+        if not n_rows:
+            break
+        last = turn == rounds or n_pairs <= 8 * n_rows
+        x, y = _side(rows, "x"), _side(rows, "y")
+        if not last:
+            best = F.max_by(F.struct("set_id", "n", "left", "strong", "component"), F.struct("often", "left", "set_id"))
+            pivots = written(rows.groupBy("h").agg(best.alias("p")).select("h", "p.*"), "shingle-pivots")
+            y = _side(pivots, "y")
+        fits = (F.col("x_h") == F.col("y_h")) & (F.col("x_in") != F.col("y_in")) & (F.col("x_strong") | F.col("y_strong")) & _passes(link)
+        pairs = x.join(y, fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "shingle-pairs")
@@ -149,11 +168,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, link: int = LINK) -> DataFra
         if last:
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
-        labels = components(links)
-        rows = rows.join(pivots.select("h", F.col("p.set_id").alias("set_id")), ["h", "set_id"], "left_anti").drop("component")
-        rows = rows.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        apart = rows.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
-        rows = written(rows.join(apart, "h"), "shingle-prefixes")
+        rows = rows.join(pivots.select("h", "set_id"), ["h", "set_id"], "left_anti").drop("component")
+        rows = rows.join(components(links).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        rows = written(_apart(rows), "shingle-prefixes")
     small = sets.select("doc_id", "n", "set_id")
     if links is None:
         joined = small.withColumn("component", F.col("set_id"))
