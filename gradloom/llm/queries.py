@@ -6,11 +6,12 @@ from .katz import op8_katz_scores
 from .language import op4_language_id
 from .mixing import op9_pivotal_mixing
 from .near_duplicates import op7_jaccard_join
+from .privacy import op2_personal_data
 from .quality import op1_quality_rules
 from .search import OP3_SQL, op3_topk_search
 from .secrets import op6_secret_scan
 from .sentencepiece import op10_sentencepiece
 from .suffix_dedup import op5_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_topk_search, op4_language_id, op5_suffix_dedup, op6_secret_scan, op7_jaccard_join, op8_katz_scores, op9_pivotal_mixing, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_personal_data, op3_topk_search, op4_language_id, op5_suffix_dedup, op6_secret_scan, op7_jaccard_join, op8_katz_scores, op9_pivotal_mixing, op10_sentencepiece)}
 SQL: dict[str, str] = {"op3_topk_search": OP3_SQL}
