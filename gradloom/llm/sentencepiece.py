@@ -61,8 +61,11 @@ class Pieces:
         self.keys, self.owners = np.array(keys, np.uint64)[order], np.array(owners, np.int32)[order]
         assert len(np.unique(self.keys)) == len(self.keys), "two pieces share a hash"
         self.key_scores = np.array(self.scores)[self.owners]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        # by the top bits of a hash: 1 for a piece, 2 for the start of a longer one
+        self.maybe = np.zeros(1 << 20, np.uint8)
+        self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] |= 1
+        starts = np.array(list({self.hash_of(p[:i]) for p in self.ids for i in range(1, len(p))}), np.uint64)
+        self.maybe[(starts >> np.uint64(44)).astype(np.int64)] |= 2
         assert not any(_BLANK in p.lstrip(_BLANK) for p in self.ids), "a piece has a blank after another character"
 
     @staticmethod
@@ -124,78 +127,119 @@ def _table(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
-def best_paths(strings: list[str], pieces: Pieces) -> list[tuple[int, ...]]:
-    """Piece ids of the best segmentation of each string, all strings in step.
+def best_paths(strings: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how many each has) of the best segmentations of strings of like length, all strings in step.
 
-    ``strings`` should be of like length.  An unknown character has the negative id -1 - code point.
+    An unknown character has the negative id -1 - code point.
     """
     points, lengths = _table(strings)
     n, longest = points.shape[0], min(pieces.longest, points.shape[0])
     best = np.full((n + 1, len(strings)), -np.inf)
-    back, owner = np.zeros((n + 1, len(strings)), np.int16), np.zeros((n + 1, len(strings)), np.int32)
+    back, owner = np.zeros((n + 1, len(strings)), np.int32), np.zeros((n + 1, len(strings)), np.int32)
     best[0] = 0
     for start in range(n):
         live = np.flatnonzero(lengths > start)
-        base, h = best[start][live], np.zeros(len(live), np.uint64)
+        h = np.zeros(len(live), np.uint64)
         for size in range(1, min(longest, n - start) + 1):
             if size > 1:
                 more = lengths[live] >= start + size
-                live, base, h = live[more], base[more], h[more]
+                live, h = live[more], h[more]
             if not len(live):
                 break
-            c = points[start + size - 1][live].astype(np.uint64)
-            h = ((h ^ c) * np.uint64(0x9E3779B97F4A7C15)) ^ (h >> np.uint64(29))
-            try_ = np.flatnonzero(pieces.maybe[(h >> np.uint64(44)).astype(np.int64)])
+            end = start + size
+            h = ((h ^ points[end - 1][live]) * np.uint64(0x9E3779B97F4A7C15)) ^ (h >> np.uint64(29))
+            kind = pieces.maybe[(h >> np.uint64(44)).astype(np.int64)]
+            try_ = np.flatnonzero(kind & 1)
             at = np.minimum(np.searchsorted(pieces.keys, h[try_]), len(pieces.keys) - 1)
             hit = pieces.keys[at] == h[try_]
-            to, score, own = live[try_[hit]], base[try_[hit]] + pieces.key_scores[at[hit]], pieces.owners[at[hit]]
-            better = score > best[start + size][to]  # longer last pieces come first
-            best[start + size][to[better]], back[start + size][to[better]], owner[start + size][to[better]] = score[better], size, own[better]
+            to, at = live[try_[hit]], at[hit]
+            score = best[start][to] + pieces.key_scores[at]
+            better = score > best[end][to]  # longer last pieces come first
+            to = to[better]
+            best[end][to], back[end][to], owner[end][to] = score[better], size, pieces.owners[at[better]]
             if size == 1:
                 none = np.ones(len(live), bool)
                 none[try_[hit]] = False
-                to, score = live[none], base[none] + pieces.unknown_score
-                better = score > best[start + 1][to]
-                best[start + 1][to[better]], back[start + 1][to[better]], owner[start + 1][to[better]] = score[better], 1, -1 - points[start][to[better]].astype(np.int64)
-    out = []
-    for i, end in enumerate(lengths.tolist()):
-        path = []
-        while end:
-            path.append(int(owner[end, i]))
-            end -= int(back[end, i])
-        out.append(tuple(path[::-1]))
-    return out
+                to = live[none]
+                score = best[start][to] + pieces.unknown_score
+                better = score > best[end][to]
+                to = to[better]
+                best[end][to], back[end][to], owner[end][to] = score[better], 1, -1 - points[start][to].astype(np.int64)
+            longer = kind > 1
+            live, h = live[longer], h[longer]
+    which, at, ids, words = np.arange(len(strings)), lengths.copy(), [], []
+    while len(which := which[at[which] > 0]):
+        end = at[which]
+        ids.append(owner[end, which])
+        words.append(which)
+        at[which] = end - back[end, which]
+    if not ids:
+        return np.zeros(0, np.int32), np.zeros(len(strings), np.int64)
+    turn = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+    words = np.concatenate(words)
+    return np.concatenate(ids)[np.lexsort((-turn, words))], np.bincount(words, minlength=len(strings))
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The slices flat[start : start + size] of all ``which``, one after another."""
+    sizes = size[which]
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[which] - (ends - sizes), sizes)]
 
 
 class Encoder:
     """Segments words, remembering them; ``keep`` bounds how many."""
 
-    def __init__(self, pieces: Pieces, keep: int = 300_000):
-        self.pieces, self.keep, self.known = pieces, keep, {}
+    def __init__(self, pieces: Pieces, keep: int = 200_000):
+        self.pieces, self.keep = pieces, keep
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def expanded(self, path: tuple[int, ...]) -> tuple[int, ...]:
+    def expanded(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unknown characters as their UTF-8 bytes' pieces, or the unknown piece where the model has none."""
-        if min(path, default=0) >= 0:
-            return path
-        of = lambda i: [self.pieces.byte_ids[b] for b in chr(-1 - i).encode()] if len(self.pieces.byte_ids) == 256 else [self.pieces.unknown]
-        return tuple(chain.from_iterable([i] if i >= 0 else of(i) for i in path))
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) > self.keep:
-            self.known.clear()
-        new = sorted((w for w in words if w not in self.known), key=len)
-        lo = 0
-        while lo < len(new):  # so many at a time that the tables stay small
-            hi = min(len(new), lo + max(1, 2_000_000 // (len(new[lo]) + 8)))
-            while hi > lo + 1 and len(new[hi - 1]) * (hi - lo) > 4_000_000:
+        unknown = np.flatnonzero(ids < 0)
+        if not len(unknown):
+            return ids, counts
+        points, which = np.unique(-1 - ids[unknown], return_inverse=True)
+        of = [[self.pieces.byte_ids[b] for b in chr(p).encode()] if len(self.pieces.byte_ids) == 256 else [self.pieces.unknown] for p in points.tolist()]
+        times = np.ones(len(ids), np.int64)
+        times[unknown] = np.array([len(x) for x in of])[which]
+        first = np.cumsum(times) - times
+        out = np.repeat(ids, times)
+        table = np.array([x + [0] * (4 - len(x)) for x in of], np.int32)
+        for k in range(4):
+            there = times[unknown] > k
+            out[first[unknown[there]] + k] = table[which[there], k]
+        ends = np.cumsum(counts)
+        return out, np.diff(np.concatenate([[0], np.cumsum(times)])[np.concatenate([[0], ends])])
+
+    def learn(self, words) -> None:
+        if len(self.index) > self.keep:
+            self.forget()
+        new = sorted({w for w in words if w not in self.index}, key=len)
+        found, sizes, lo = [self.flat], [self.size], 0
+        while lo < len(new):  # so many at a time that the tables stay in a core's cache, if words are short
+            hi = min(len(new), lo + max(1, 200_000 // (len(new[lo]) + 8)))
+            while hi > lo + 1 and len(new[hi - 1]) * (hi - lo) > 500_000:
                 hi = lo + (hi - lo) // 2
-            for w, path in zip(new[lo:hi], best_paths(new[lo:hi], self.pieces), strict=True):
-                self.known[w] = self.expanded(path)
+            ids, counts = self.expanded(*best_paths(new[lo:hi], self.pieces))
+            found.append(ids)
+            sizes.append(counts)
             lo = hi
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+        self.flat, self.size = np.concatenate(found), np.concatenate(sizes)
+        self.start = np.cumsum(self.size) - self.size
 
-    def ids(self, texts: list[list[str]]) -> list[np.ndarray]:
-        self.learn(set(chain.from_iterable(texts)))
-        return [np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int32) for words in texts]
+    def ids(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text, which is marked."""
+        words = [_WORDS.findall(t) for t in texts]
+        self.learn(chain.from_iterable(words))
+        which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64)
+        ends = np.concatenate([[0], np.cumsum(self.size[which])])[np.cumsum([0, *map(len, words)])]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(gathered(self.flat, self.start, self.size, which)))
 
 
 _WORDS = re.compile(f"{_BLANK}+[^{_BLANK}]*")
@@ -313,8 +357,7 @@ def _giant_ids(giants: DataFrame, content, chunk: int) -> DataFrame:
     def words(batches):
         encoder = Encoder(load(content.value))
         for batch in batches:
-            found = encoder.ids([_WORDS.findall(t) for t in batch.column(5).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["key", "place", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), encoder.ids(batch.column(5).to_pylist())], ["key", "place", "ids"])
 
     def matrices(batches):
         pieces = load(content.value)
@@ -347,7 +390,8 @@ def _giant_ids(giants: DataFrame, content, chunk: int) -> DataFrame:
         encoder = Encoder(load(content.value))
         for batch in batches:
             rows = zip(*[batch.column(i).to_pylist() for i in (2, 3, 4, 5)], strict=True)
-            found = [np.array(encoder.expanded(tuple(backtraced(t, a, i, j, encoder.pieces))), np.int32) for t, a, i, j in rows]
+            paths = [np.array(backtraced(t, a, i, j, encoder.pieces), np.int32) for t, a, i, j in rows]
+            found = [encoder.expanded(p, np.array([len(p)]))[0] for p in paths]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["key", "place", "ids"])
 
     cut_anywhere = chunks.where("parts > 1")
@@ -371,22 +415,28 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     Null and empty texts have no pieces.  Other columns pass unchanged, but one named ``pieces`` is replaced.  Texts of over
     ``chunk`` code points are cut and encoded by all tasks; equal long texts are encoded once.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    with open(model, "rb") as f:  # on the driver; a few hundred KB
-        content = spark.sparkContext.broadcast(f.read())
     kept = [c for c in docs.columns if c != "pieces"]
     docs = docs.select(*[f"`{c}`" for c in kept])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", pieces array<int>"
-    text = kept.index("text")
+    return _encoded(docs, model, chunk, lambda content: lambda batch: batch, schema)
+
+
+def _encoded(docs: DataFrame, model: str, chunk: int, finish, schema: str) -> DataFrame:
+    """The encoded batches of ``docs`` after ``finish(content of the model file)``, before they leave the Python worker."""
+    spark = docs.sparkSession
+    bounded_batches(spark, 1000, 4)
+    content = spark.sparkContext.broadcast(_read(model))
+    kept, text = docs.columns, docs.columns.index("text")
 
     def short(batches):
-        encoder = Encoder(load(content.value))
+        encoder, last = Encoder(load(content.value)), finish(content.value)
         for batch in batches:
-            found = encoder.ids([_WORDS.findall(marked(t or "")) for t in batch.column(text).to_pylist()])
-            at = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            pieces = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pieces], [*kept, "pieces"])
+            pieces = encoder.ids([marked(t or "") for t in batch.column(text).to_pylist()])
+            yield last(pa.RecordBatch.from_arrays([*batch.columns, pieces], [*kept, "pieces"]))
+
+    def done(batches):
+        last = finish(content.value)
+        yield from map(last, batches)
 
     long = F.coalesce(F.length("text") > chunk, F.lit(False))
     encoded = docs.where(~long).mapInArrow(short, schema)
@@ -396,18 +446,35 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     keyed = giants.withColumn("__key", F.xxhash64("text"))
     ids = _giant_ids(keyed.select(F.col("__key").alias("key"), "text").dropDuplicates(["key"]), content, chunk)
     joined = keyed.join(ids.withColumnsRenamed({"key": "__key", "ids": "pieces"}), "__key")
-    return encoded.unionByName(joined.select(*[f"`{c}`" for c in kept], "pieces"))
+    return encoded.unionByName(joined.select(*[f"`{c}`" for c in kept], "pieces").mapInArrow(done, schema))
 
 
-def surfaces(pieces: Pieces) -> list[bytes]:
-    """The bytes that each id decodes to; control pieces have none."""
-    out = [b""] * len(pieces.names)
-    for p, i in pieces.ids.items():
-        out[i] = p.replace(_BLANK, " ").encode()
-    for b, i in enumerate(pieces.byte_ids):
-        out[i] = bytes([b])
-    out[pieces.unknown] = " \u2047 ".encode()
-    return out
+def _read(model: str) -> bytes:
+    with open(model, "rb") as f:  # on the driver; a few hundred KB
+        return f.read()
+
+
+class Decoder:
+    """The bytes that each id stands for; control pieces have none."""
+
+    def __init__(self, pieces: Pieces):
+        of = [b""] * len(pieces.names)
+        for p, i in pieces.ids.items():
+            of[i] = p.replace(_BLANK, " ").encode()
+        for b, i in enumerate(pieces.byte_ids):
+            of[i] = bytes([b])
+        of[pieces.unknown] = " \u2047 ".encode()
+        self.size = np.array([len(b) for b in of], np.int64)
+        self.start, self.flat = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(of), np.uint8)
+
+    def texts(self, ids: pa.ListArray) -> list[bytes | None]:
+        """The bytes of each list, without the blank that encoding put in front; null for null."""
+        own = pa.compute.list_flatten(ids).to_numpy(zero_copy_only=False)
+        counts = pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        data = gathered(self.flat, self.start, self.size, own).tobytes()
+        ends = np.concatenate([[0], np.cumsum(self.size[own])])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        texts = (data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+        return [t[t[:1] == b" " :] if there else None for t, there in zip(texts, ids.is_valid().to_pylist(), strict=True)]
 
 
 def decode(rows: DataFrame, model: str = MODEL, column: str = "pieces") -> DataFrame:
@@ -417,38 +484,43 @@ def decode(rows: DataFrame, model: str = MODEL, column: str = "pieces") -> DataF
     ``decoded`` is replaced.
     """
     spark = rows.sparkSession
-    bounded_batches(spark)
-    with open(model, "rb") as f:
-        content = spark.sparkContext.broadcast(f.read())
+    bounded_batches(spark, 1000, 4)
+    content = spark.sparkContext.broadcast(_read(model))
     kept = [c for c in rows.columns if c != "decoded"]
     rows = rows.select(*[f"`{c}`" for c in kept])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", decoded string"
     at = kept.index(column)
 
     def join(batches):
-        table = surfaces(load(content.value))
+        decoder = Decoder(load(content.value))
         for batch in batches:
-            found = []
-            for ids in batch.column(at):
-                text = b"".join(map(table.__getitem__, ids.values.to_numpy(zero_copy_only=False).tolist())) if ids.is_valid else None
-                found.append(None if text is None else text[text[:1] == b" " :].decode("utf-8", "replace"))
+            found = [None if t is None else t.decode("utf-8", "replace") for t in decoder.texts(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*kept, "decoded"])
 
     return rows.mapInArrow(join, schema)
 
 
-def piece_digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
+_DIGEST = ["doc_id", "n_chars", "n_pieces", "pieces_sha256", "round_trip"]
+
+
+def piece_digest(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_chars, n_pieces, pieces_sha256 (ids as little-endian 32-bit integers), round_trip of each row."""
-    decoded = decode(encode(docs.select("doc_id", "text"), model), model)
 
-    def digests(batches):
-        for batch in batches:
-            sha = [hashlib.sha256(x.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()).hexdigest() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (0, 1, 3)], pa.compute.list_value_length(batch.column(2)), pa.array(sha)], ["doc_id", "text", "decoded", "n", "sha"])
+    def finish(content: bytes):
+        decoder = Decoder(load(content))
+
+        def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids, text = batch.column(2), pa.compute.fill_null(batch.column(1), "")
+            counts = pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False)
+            flat, ends = pa.compute.list_flatten(ids).to_numpy(zero_copy_only=False).astype("<i4"), np.concatenate([[0], np.cumsum(counts)]).tolist()
+            sha = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            same = [t == d.encode() for t, d in zip(decoder.texts(ids), text.to_pylist(), strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.compute.utf8_length(text).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(sha), pa.array(same)], _DIGEST)
+
+        return digest
 
-    found = decoded.mapInArrow(digests, "doc_id long, text string, decoded string, n int, sha string")
-    text = F.coalesce("text", F.lit(""))
-    return found.select("doc_id", F.length(text).cast("long").alias("n_chars"), F.col("n").cast("long").alias("n_pieces"), F.col("sha").alias("pieces_sha256"), (F.col("decoded") == text).alias("round_trip"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _encoded(rows, model, chunk, finish, "doc_id long, n_chars long, n_pieces long, pieces_sha256 string, round_trip boolean")
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
