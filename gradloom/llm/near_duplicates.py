@@ -9,8 +9,9 @@ Equal sets become one entity first.  Within the entities of a prefix shingle a p
 frequent shingles) is paired with all others, never all with all: pairs pass the length and positional filters, are made
 distinct, bounded by the suffix filter, and verified once.  Entities that have become connected need no more pairs.
 An entity is weak at a shingle if those it shares with anyone, from there on, are under 2t / (1 + t) of its own; two weak
-ones can't be similar enough, so documents that merely have a popular passage in common aren't paired.  A few rounds with further pivots go on
-while there are many unconnected pairs; then all left are verified, so that no link between components is missed.
+ones can't be similar enough, so documents that merely have a popular passage in common aren't paired.  Rounds with
+further pivots go on, three at most, while there are many unconnected pairs; then all left that pass the filters are
+verified, so that no link between components is missed.
 """
 
 from __future__ import annotations
@@ -134,7 +135,7 @@ def _apart(rows: DataFrame) -> DataFrame:
     return rows.join(several, "h")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, link: int = LINK, rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, link: int = LINK, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text).
 
     Texts without words, and null texts, have empty sets, linked with nothing.  Shorter texts than ``k`` words are one
@@ -152,7 +153,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, link: int = LINK, rounds: in
         n_rows, n_pairs = sizes.agg(F.sum("m").alias("m"), (squares("m") - squares("w")).alias("p")).agg(F.sum("m"), F.sum("p") / 2).first()
         if not n_rows:
             break
-        last = turn == rounds or n_pairs <= 8 * n_rows
+        last = turn == rounds or turn > 0 and n_pairs <= 256 * n_rows  # comparisons of numbers, not of sets
         x, y = _side(rows, "x"), _side(rows, "y")
         if not last:
             best = F.max_by(F.struct("set_id", "n", "left", "strong", "component"), F.struct("often", "left", "set_id"))
