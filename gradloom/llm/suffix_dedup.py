@@ -26,9 +26,9 @@ from .repeats import repeated_hashes
 from .shared import bounded_batches, buckets_for, documents, text_bytes
 from .text import mix, slices, text_buffer
 
-LENGTH, GRAM, SHALLOW = 50, 20, 16
+LENGTH, GRAM, SHALLOW = 50, 16, 16
 #: Documents from which on a name counts as hot.
-HOT = 64
+HOT = 1024
 _PART = 4 << 20  # bytes of run texts that are sorted at once
 
 
@@ -147,118 +147,140 @@ def _several(rank: np.ndarray) -> np.ndarray:
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of half-open intervals as maximal ones; touching intervals become one."""
     order = np.argsort(start, kind="stable")
-    start, end = start[order], np.maximum.accumulate(end[order])
+    start, end = start[order], np.maximum.accumulate(end[order]) if len(end) else end
     new = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]])) if len(start) else np.zeros(0, np.int64)
     return start[new], end[np.append(new[1:] - 1, len(end) - 1)] if len(start) else end
 
 
-_RUN = "bucket int, doc_id long, row long, at array<int>, n int, key long, body binary"
-_NAMES = ["bucket", "doc_id", "row", "at", "n", "key", "body"]
+#: Runs of a batch for a bucket, as packed arrays; text lies one run after another.
+_RUNS = ("key:<u8", "doc:<i8", "row:<i8", "n:<i4", "size:<i4", "many:<i4", "at:<i4", "text:u1")
+#: Spans of a batch for a bucket of documents.
+_SPANS = ("row:<i8", "start:<i4", "end:<i4")
 
 
-def _send(out: list, n_buckets: int):
-    """A batch of runs; those that are settled have a null body and an (at, n) that is a span."""
-    if not out:
-        return None
-    columns = list(zip(*out, strict=True))
-    keys = np.array(columns[4], np.uint64)
-    bucket = (mix(keys) % np.uint64(n_buckets)).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32())), pa.array(columns[3], pa.int32()), pa.array(keys.view(np.int64)), pa.array(columns[5], pa.binary())], _NAMES)
+def _schema(kinds: tuple[str, ...], key: str) -> str:
+    return f"{key} int, " + ", ".join(f"{k.split(':')[0]} binary" for k in kinds)
+
+
+def _packed(kinds: tuple[str, ...], key: str, number: int, arrays: list[np.ndarray]) -> dict:
+    return {key: number} | {k.split(":")[0]: np.ascontiguousarray(x).astype(k.split(":")[1]).tobytes() for k, x in zip(kinds, arrays, strict=True)}
+
+
+def _unpacked(kinds: tuple[str, ...], table: pa.Table) -> list[np.ndarray]:
+    return [np.concatenate([np.zeros(0, kind), *[np.frombuffer(b.as_buffer(), kind) for b in table[name]]]) for name, kind in (k.split(":") for k in kinds)]
+
+
+def _spans_packed(row: np.ndarray, start: np.ndarray, end: np.ndarray, n_buckets: int):
+    """Spans by the bucket of their row, those that touch joined."""
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    where = np.mod(row, n_buckets)
+    order = np.argsort(where, kind="stable")
+    edges = np.searchsorted(where[order], np.arange(n_buckets + 1))
+    for i in np.flatnonzero(np.diff(edges)):
+        own = order[edges[i] : edges[i + 1]]
+        yield _packed(_SPANS, "docs", int(i), [row[own], start[own], end[own]])
 
 
 def _candidates(docs: DataFrame, filter_, n_buckets: int, length: int, gram: int) -> DataFrame:
+    """Runs by bucket, and spans that are settled already (bucket null, by bucket of documents)."""
+
     def collect(batches):
         for batch in batches:
             ids, rows = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             data, offsets = text_buffer(batch.column(2))
-            best: dict[bytes, list] = {}  # text of a run -> [doc, row, places, count, key], of the smallest document so far
-            out = []
-            settle = lambda run, text: out.append((run[0], run[1], run[2], -(run[3] + length - 1), run[4], None))  # noqa: B023, E731
+            best: dict[bytes, list] = {}  # text of a run -> [doc, row, count, key, *places], of the smallest document so far
+            rest, gone = [], []  # runs of other rows with the same id; spans that lose to a smaller document
             for lo, hi in slices(offsets):
                 own, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 first, count, name, doc = runs(own, at, length, gram)
                 level = filter_.value.level(name)
-                raw = own.tobytes()
-                for f, c, k, d, v in zip(*(x[level > 0].tolist() for x in (first, count, name, doc, level)), strict=True):
-                    place, doc_id, row = f - int(at[d]), int(ids[lo + d]), int(rows[lo + d])
+                keep = np.flatnonzero(level > 0)
+                raw, names = own.tobytes(), name[keep]
+                place = (first - at[doc])[keep]
+                for f, c, k, p, d, v in zip(first[keep].tolist(), count[keep].tolist(), names.tolist(), place.tolist(), (doc[keep] + lo).tolist(), level[keep].tolist(), strict=True):
+                    doc_id, row = ids[d], rows[d]
                     # a hot name's strings go one by one, under a key of their own
                     for j, m in ((0, c),) if v == 1 else ((j, 1) for j in range(c)):
                         text = raw[f + j : f + j + m + length - 1]
                         run = best.get(text)
                         if run is None:
-                            key = k if v == 1 else int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
-                            best[text] = [doc_id, row, [place + j], m, key]
-                        elif run[0] == doc_id and run[1] == row:
-                            run[2].append(place + j)
+                            best[text] = [doc_id, row, m, k if v == 1 else int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little"), p + j]
+                        elif run[1] == row:
+                            run.append(p + j)
                         elif run[0] < doc_id:
-                            settle([doc_id, row, [place + j], m, run[4]], text)
+                            gone.append((row, p + j, p + j + m + length - 1))
                         elif run[0] > doc_id:
-                            settle(run, text)
-                            best[text] = [doc_id, row, [place + j], m, run[4]]
-                        else:  # another row with the same id
-                            out.append((doc_id, row, [place + j], m, run[4], text))
-            out += [(r[0], r[1], r[2], r[3], r[4], text) for text, r in best.items()]
-            for i in range(0, len(out), 50_000):
-                yield _send(out[i : i + 50_000], n_buckets)
-
-    return docs.mapInArrow(collect, _RUN)
-
-
-def _sorted_spans(table: pa.Table, length: int) -> pa.Table:
-    """(doc_id, row, start, end) of the strings in a bucket that a smaller document has, and of what was settled before."""
-    table = table.combine_chunks()
-    settled = table.filter(pa.compute.is_null(table["body"]))
-    doc, row, start, end = [], [], [], []
-    if settled.num_rows:
-        places, parent = pa.compute.list_flatten(settled["at"]).to_numpy(), pa.compute.list_parent_indices(settled["at"]).to_numpy()
-        doc, row = [settled["doc_id"].to_numpy()[parent]], [settled["row"].to_numpy()[parent]]
-        start, end = [places], [places - settled["n"].to_numpy()[parent]]
-    live = table.filter(pa.compute.is_valid(table["body"])).sort_by("key")
-    keys, sizes = live["key"].to_numpy(), pa.compute.binary_length(live["body"]).to_numpy().astype(np.int64)
-    total, lo = np.cumsum(sizes), 0
-    while lo < len(keys):  # a part ends where a key ends
-        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + _PART, "right"))
-        hi = int(np.searchsorted(keys, keys[max(lo, hi - 1)], "right"))
-        part = live.slice(lo, hi - lo)
-        lo = hi
-        body = part["body"].combine_chunks().cast(pa.large_binary())
-        if isinstance(body, pa.ChunkedArray):
-            body = body.combine_chunks() if body.num_chunks != 1 else body.chunk(0)
-        offsets = np.frombuffer(body.buffers()[1], np.int64)[body.offset : body.offset + len(body) + 1]
-        data = np.frombuffer(body.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        n, ids, own = part["n"].to_numpy().astype(np.int64), part["doc_id"].to_numpy(), part["row"].to_numpy()
-        before = np.cumsum(n) - n
-        which = np.repeat(np.arange(len(n)), n)
-        inside = np.arange(n.sum()) - before[which]
-        order, group = deep_shallow(eights(np.concatenate([data, np.zeros(length + 8, np.uint8)])), (offsets[:-1] - offsets[0])[which] + inside, length)
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        least = np.repeat(np.minimum.reduceat(ids[which[order]], first), np.diff(np.append(first, len(group))))
-        lost = np.zeros(len(order), bool)
-        lost[order] = ids[which[order]] > least
-        # consecutive lost strings of a run are one span
-        edge = np.flatnonzero(lost & np.concatenate([[True], ~lost[:-1] | (which[1:] != which[:-1])]))
-        stop = np.flatnonzero(lost & np.concatenate([~lost[1:] | (which[1:] != which[:-1]), [True]]))
-        places, parent = pa.compute.list_flatten(part["at"]).to_numpy(), pa.compute.list_parent_indices(part["at"]).to_numpy()
-        many = np.bincount(parent, minlength=len(n))
-        begin = np.cumsum(many) - many
-        rep = many[which[edge]]
-        span = np.repeat(np.arange(len(edge)), rep)
-        at = places[begin[which[edge]][span] + np.arange(len(span)) - (np.cumsum(rep) - rep)[span]]
-        doc.append(ids[which[edge]][span])
-        row.append(own[which[edge]][span])
-        start.append(at + inside[edge][span])
-        end.append(at + inside[stop][span] + length)
-    cat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
-    return pa.table([cat(doc, pa.int64()), cat(row, pa.int64()), cat(start, pa.int32()), cat(end, pa.int32())], ["doc_id", "row", "start", "end"])
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, row, start, end): bytes of ``docs`` (doc_id, row, text) in strings of ``length`` bytes of smaller ids.
-
-    Spans may overlap.  ``row`` tells rows of one doc_id apart.
+                            gone += [(run[1], x, x + m + length - 1) for x in run[4:]]
+                            best[text] = [doc_id, row, m, run[3], p + j]
+                        else:
+                            rest.append((text, [doc_id, row, m, run[3], p + j]))
+            found = [*best.items(), *rest]
+            if found:
+                texts, own = [t for t, _ in found], [r for _, r in found]
+                key, doc, row, n = (np.fromiter((r[i] for r in own), kind, len(own)) for i, kind in ((3, np.uint64), (0, np.int64), (1, np.int64), (2, np.int32)))
+                many, size = np.fromiter((len(r) - 4 for r in own), np.int64, len(own)), np.fromiter(map(len, texts), np.int64, len(own))
+                bucket = (mix(key) % np.uint64(n_buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+                for i in np.flatnonzero(np.diff(edges)):
+                    pick = order[edges[i] : edges[i + 1]]
+                    places = np.fromiter((x for j in pick for x in own[j][4:]), np.int32)
+                    text = np.frombuffer(b"".join([texts[j] for j in pick]), np.uint8)
+                    packed = _packed(_RUNS, "bucket", int(i), [key[pick], doc[pick], row[pick], n[pick], size[pick], many[pick], places, text])
+                    yield pa.RecordBatch.from_pylist([packed], _RUN_SCHEMA)
+            if gone:
+                row, start, end = np.array(gone, np.int64).T
+                packed = list(_spans_packed(row, start, end, n_buckets))
+                yield pa.RecordBatch.from_pylist([_packed(_RUNS, "bucket", x["docs"], [np.zeros(0)] * 8) | {"many": None, "row": x["row"], "at": x["start"], "size": x["end"]} for x in packed], _RUN_SCHEMA)
+
+    return docs.mapInArrow(collect, _schema(_RUNS, "bucket"))
+
+
+_RUN_SCHEMA = pa.schema([("bucket", pa.int32()), *[(k.split(":")[0], pa.binary()) for k in _RUNS]])
+_SPAN_SCHEMA = pa.schema([("docs", pa.int32()), *[(k.split(":")[0], pa.binary()) for k in _SPANS]])
+
+
+def _sorted_spans(table: pa.Table, length: int, n_buckets: int) -> pa.Table:
+    """Packed spans of the strings in a bucket that a smaller document has, and those that were settled before."""
+    out = [{"docs": d, "row": r, "start": a, "end": e} for d, r, a, e, m in zip(*(table[c].to_pylist() for c in ("bucket", "row", "at", "size", "many")), strict=True) if m is None]
+    key, doc, row, n, size, many, at, text = _unpacked(_RUNS, table.filter(pa.compute.is_valid(table["many"])))
+    order = np.argsort(key, kind="stable")
+    offset, begin = np.cumsum(size, dtype=np.int64) - size, np.cumsum(many, dtype=np.int64) - many
+    total, lo, rows, starts, ends = np.cumsum(size[order], dtype=np.int64), 0, [], [], []
+    while lo < len(order):  # a part ends where a key ends
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + _PART, "right")))
+        hi = int(np.searchsorted(key[order], key[order[hi - 1]], "right"))
+        own, lo = order[lo:hi], hi
+        sizes, counts = size[own].astype(np.int64), n[own].astype(np.int64)
+        base = np.cumsum(sizes) - sizes
+        data = text[np.repeat(offset[own] - base, sizes) + np.arange(sizes.sum())]
+        which = np.repeat(np.arange(len(own)), counts)
+        inside = np.arange(len(which)) - (np.cumsum(counts) - counts)[which]
+        by, group = deep_shallow(eights(np.concatenate([data, np.zeros(length + 8, np.uint8)])), base[which] + inside, length)
+        ids, first = doc[own][which[by]], np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        lost = np.zeros(len(by), bool)
+        lost[by] = ids > np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(by))))
+        # consecutive lost strings of a run are one span, at each of the run's places
+        other = which[1:] != which[:-1]
+        edge = np.flatnonzero(lost & np.concatenate([[True], ~lost[:-1] | other]))
+        stop = np.flatnonzero(lost & np.concatenate([~lost[1:] | other, [True]]))
+        times = many[own][which[edge]].astype(np.int64)
+        span = np.repeat(np.arange(len(edge)), times)
+        place = at[begin[own][which[edge]][span] + np.arange(len(span)) - (np.cumsum(times) - times)[span]]
+        rows.append(row[own][which[edge]][span])
+        starts.append(place + inside[edge][span])
+        ends.append(place + inside[stop][span] + length)
+    if rows:
+        out += _spans_packed(np.concatenate(rows), np.concatenate(starts), np.concatenate(ends), n_buckets)
+    return pa.Table.from_pylist(out, _SPAN_SCHEMA)
+
+
+def repeated_spans(docs: DataFrame, n_buckets: int, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(docs, row, start, end), packed by bucket of documents: bytes of ``docs`` (doc_id, row, text) in strings of
+    ``length`` bytes that documents with smaller ids have.  Spans may overlap.  ``row`` names a row.
     """
     spark = docs.sparkSession
-    n_bytes = text_bytes(docs)
 
     def names(batch):
         data, offsets = text_buffer(batch.column(0))
@@ -266,11 +288,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             _, _, name, doc = runs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length, gram)
             yield name, doc
 
-    found = spark.sparkContext.broadcast(repeated_hashes(docs.select("text"), names, n_bytes / 14, (2, HOT)))
+    found = spark.sparkContext.broadcast(repeated_hashes(docs.select("text"), names, text_bytes(docs) / 16, (2, HOT)))
     bounded_batches(spark)
-    n_buckets = buckets_for(n_bytes, 16e6)
     sent = _candidates(docs.where("doc_id IS NOT NULL").select("doc_id", "row", "text"), found, n_buckets, length, gram)
-    return sent.groupBy("bucket").applyInArrow(lambda table: _sorted_spans(table, length), "doc_id long, row long, start int, end int")
+    return sent.groupBy("bucket").applyInArrow(lambda table: _sorted_spans(table, length, n_buckets), _schema(_SPANS, "docs"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -278,33 +299,34 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A byte goes if it lies in a string of ``length`` bytes that also starts in a document with a smaller id; strings are
     judged on the input.  Null texts count as empty; shorter texts stay whole; rows with a null id lose nothing; rows
-    of one id don't affect each other; an empty table gives an empty result.
+    of one id don't affect each other; an empty table gives an empty result; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row"))
-    spans = repeated_spans(docs, length).groupBy("doc_id", "row").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
-    both = docs.join(spans, ["doc_id", "row"], "left").select("doc_id", "text", "start", "end")
-    bounded_batches(docs.sparkSession)
-
-    def cut(batches):
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            kept, gone, spans = [], [], []
-            for i, (s, e) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                text = data[offsets[i] : offsets[i + 1]]
-                if s.is_valid and len(s.values):
-                    start, end = merged(s.values.to_numpy(), e.values.to_numpy())
-                    edges = np.zeros(len(text) + 1, np.int8)
-                    edges[start], edges[end] = 1, -1
-                    text = text[np.cumsum(edges[:-1]) == 0]
-                    gone.append(int((end - start).sum()))
-                    spans.append(len(start))
-                else:
-                    gone.append(0)
-                    spans.append(0)
-                kept.append(text.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return both.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    n_buckets = buckets_for(text_bytes(docs), 16e6)
+    spans = repeated_spans(docs, n_buckets, length)
+    dealt = docs.select(F.pmod("row", F.lit(n_buckets)).cast("int").alias("docs"), "doc_id", "row", "text")
+
+    def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
+        data, offsets = text_buffer(texts["text"])
+        row, start, end = _unpacked(_SPANS, found)
+        order = np.argsort(row, kind="stable")
+        row, start, end = row[order], start[order], end[order]
+        own = texts["row"].to_numpy()
+        lo, hi = np.searchsorted(row, own), np.searchsorted(row, own, "right")
+        kept, gone, spans = [], [], []
+        for i in range(len(own)):
+            text = data[offsets[i] : offsets[i + 1]]
+            a, e = merged(start[lo[i] : hi[i]], end[lo[i] : hi[i]])
+            if len(a):
+                edges = np.zeros(len(text) + 1, np.int8)
+                edges[a], edges[e] = 1, -1
+                text = text[np.cumsum(edges[:-1]) == 0]
+            gone.append(int((e - a).sum()))
+            spans.append(len(a))
+            kept.append(text.tobytes())
+        return pa.table([texts["doc_id"], pa.array(np.diff(offsets)), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return dealt.groupBy("docs").cogroup(spans.groupBy("docs")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
