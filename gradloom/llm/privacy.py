@@ -322,7 +322,8 @@ def digest(docs: DataFrame, model: SemiMarkov | None = None) -> DataFrame:
     found = find_personal_data(docs.select("doc_id", "text"), model)
     as_text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("personal", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    of_kind = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [of_kind(k) for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(as_text(base), 256).alias("base_sha256"), as_text("personal").alias("spans"))
 
 

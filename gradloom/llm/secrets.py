@@ -148,8 +148,9 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "<secret:{}>") -> DataFrame:
     """``docs`` with every secret in the text replaced by its masked kind; overlapping spans become one.
 
-    Null texts stay null; texts without a secret stay as they are.
+    Null texts stay null; texts without a secret stay as they are; all columns pass, one named ``secrets`` too.
     """
+    given, docs = docs.columns, docs.withColumnRenamed("secrets", "__secrets")
     columns = docs.columns
     found = scan_secrets(docs, rules)
 
@@ -168,9 +169,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "<secre
             i = columns.index("text")
             yield pa.RecordBatch.from_arrays([*batch.columns[:i], pa.array(texts, batch.column(i).type), *batch.columns[i + 1 : len(columns)]], columns)
 
-    if not [c for c in columns if c == "text"]:
-        raise ValueError("a column named text is needed")
-    return found.mapInArrow(replace, docs.schema)
+    return found.mapInArrow(replace, docs.schema).toDF(*given)
 
 
 def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
