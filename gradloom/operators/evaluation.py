@@ -56,7 +56,7 @@ def run_metric_summary(runs: DataFrame, metrics: tuple[str, ...], keys: tuple[st
 
 
 def best_worst_run(runs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Best, worst and latest run by accuracy, the first on ties; a null accuracy is never best and always worst: A10."""
+    """Best, worst and latest run by accuracy, the first on ties; a null accuracy is neither best nor worst while there are others: A10."""
     acc = F.col("accuracy")
     best = F.struct(F.coalesce(acc, F.lit(float("-inf"))), -F.col("run_index"))
     worst = F.struct(F.coalesce(acc, F.lit(float("inf"))), F.col("run_index"))
