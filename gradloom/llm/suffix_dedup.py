@@ -15,6 +15,7 @@ document are marked.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from .repeats import repeated_hashes
 from .shared import bounded_batches, buckets_for, documents, text_bytes
 from .text import mix, slices, text_buffer
 
-LENGTH, GRAM, SHALLOW = 50, 16, 16
+LENGTH, GRAM, SHALLOW = 50, 20, 13
 #: Documents from which on a name counts as hot.
 HOT = 1024
 _PART = 4 << 20  # bytes of run texts that are sorted at once
@@ -55,9 +56,11 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
         return empty, empty, np.zeros(0, np.uint64), empty
     words = eights(data)
     n = len(data) - gram + 1
-    h = mix(words[:n] * np.uint64(0x9E3779B97F4A7C15) + mix(words[8 : n + 8] ^ np.uint64(0x632BE59BD9B4E019)))
-    if gram > 16:
-        h = mix(h ^ (words[16 : n + 16] >> np.uint64(8 * (24 - gram))))
+    h = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+    for at in [*range(8, gram - 8, 8), gram - 8]:
+        h ^= h >> np.uint64(29)
+        h = (h + words[at : n + at]) * np.uint64(0x94D049BB133111EB)
+    h = mix(h)
     names = mix(_least(h, length - gram + 1))
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(names)]
     fits = np.arange(len(names)) + length <= offsets[1:][doc]
@@ -69,57 +72,61 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     return first, last_fit - first, names[first], doc[first]
 
 
-def deep_shallow(words: np.ndarray, at: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+def deep_shallow(words: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Sorts the suffixes at ``at`` by their first ``length`` bytes; ``words`` are the text's ``eights``.
 
     Returns (order, group): positions into ``at`` in order, and for each place in it a number that equal strings share.
+    Characters of 8 and then 5 bytes take the multikey quicksort to depth 13.
     """
-    order = np.argsort(words[at])
-    rank = _ranks(words[at][order])
-    for depth in range(8, shallow, 8):  # multikey quicksort: the next character only where the ones before are equal
-        open_ = _several(rank)
-        sub, key = order[open_], words[at[order[open_]] + depth]
-        by = np.lexsort((key, rank[open_]))
-        order[open_], old, key = sub[by], rank[open_][by], key[by]
-        rank[open_] = old + _within(old, key)
+    key = words[at]
+    order = np.argsort(key)
+    rank = _ranks(key[order])
     open_ = np.flatnonzero(_several(rank))
-    tail = length % 8
-    while len(open_):  # one more blind trie node for every group that isn't settled
+    key = words[at[order[open_]] + 8] >> np.uint64(24)
+    by = _by_two(rank[open_], key, 40)
+    order[open_], groups = order[open_][by], rank[open_][by]
+    rank[open_] = groups + _within(groups, key[by])
+    open_ = np.flatnonzero(_several(rank))
+    while len(open_):  # one more node of its blind trie for every group that isn't settled
         own, groups = at[order[open_]], rank[open_]
         head = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-        size = np.diff(np.append(head, len(groups)))
-        pivot = np.repeat(own[head], size)
-        same, byte, above = np.full(len(own), length, np.int64), np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-        undecided = np.arange(len(own))
-        for depth in range(shallow, length, 8):
+        pivot = np.repeat(own[head], np.diff(np.append(head, len(groups))))
+        branch, undecided = np.zeros(len(own), np.int64), np.arange(len(own))
+        for depth in range(SHALLOW, length, 8):
             x, p = words[own[undecided] + depth], words[pivot[undecided] + depth]
-            if depth + 8 > length:
-                x, p = x >> np.uint64(8 * (8 - tail)) << np.uint64(8 * (8 - tail)), p >> np.uint64(8 * (8 - tail)) << np.uint64(8 * (8 - tail))
+            if depth + 8 > length:  # bytes behind the end don't count
+                cut = np.uint64(8 * (depth + 8 - length))
+                x, p = x >> cut << cut, p >> cut << cut
             differ = x ^ p
             pick = differ != 0
             if pick.any():
-                d, hit = differ[pick], undecided[pick]
+                d, x, hit = differ[pick], x[pick], undecided[pick]
                 zeros = np.zeros(len(d), np.int64)
                 for bits in (32, 16, 8):  # leading zero bytes
                     low = d < (np.uint64(1) << np.uint64(64 - bits))
                     zeros[low] += bits // 8
                     d = np.where(low, d << np.uint64(bits), d)
-                same[hit], byte[hit] = depth + zeros, (d >> np.uint64(56)).astype(np.int64)
-                byte[hit] = (x[pick] >> (np.uint64(56) - np.uint64(8) * zeros.astype(np.uint64)) & np.uint64(255)).astype(np.int64)
-                above[hit] = np.where(x[pick] > p[pick], 1, -1)
+                byte = (x >> (np.uint64(56) - np.uint64(8) * zeros.astype(np.uint64)) & np.uint64(255)).astype(np.int64)
+                # in order: what branches off below the pivot (shallowest first), the pivot's equals, what does above
+                branch[hit] = np.where(x > p[pick], 1, -1) * (length + 1 - depth - zeros) * 256 + byte
                 undecided = undecided[~pick]
-        # in order: what branches off below the pivot (shallowest first), the pivot's equals, what branches off above
-        branch = above * (length + 1 - same) * 256 + byte * (above != 0)
-        by = np.lexsort((branch, groups))
-        order[open_] = order[open_][by]
-        branch, groups = branch[by], groups[by]
+                if not len(undecided):
+                    break
+        by = _by_two(groups, (branch + (1 << 19)).astype(np.uint64), 20)
+        order[open_], branch, groups = order[open_][by], branch[by], groups[by]
         rank[open_] = groups + _within(groups, branch)
-        settled = np.zeros(len(rank), bool)
-        settled[open_[branch == 0]] = True
-        open_ = np.flatnonzero(_several(rank) & ~settled & np.isin(np.arange(len(rank)), open_, assume_unique=True))
+        several = _several(rank[open_]) & (branch != 0)
+        open_ = open_[several]
     return order, rank
 
 
+def _by_two(group: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
+    """The order by (group, key), keys having ``bits`` bits: as one number where that fits into 64."""
+    if len(group) and int(group.max()) >> (64 - bits):
+        return np.lexsort((key, group))
+    return np.argsort(group.astype(np.uint64) << np.uint64(bits) | key)
+
+
 def _ranks(key: np.ndarray) -> np.ndarray:
     """For sorted keys the place of the first equal one."""
     new = np.ones(len(key), bool)
@@ -152,132 +159,156 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], end[np.append(new[1:] - 1, len(end) - 1)] if len(start) else end
 
 
-#: Runs of a batch for a bucket, as packed arrays; text lies one run after another.
-_RUNS = ("key:<u8", "doc:<i8", "row:<i8", "n:<i4", "size:<i4", "many:<i4", "at:<i4", "text:u1")
-#: Spans of a batch for a bucket of documents.
+#: Runs of a batch for a bucket: documents are numbered within it; text lies one run after another.
+_RUNS = ("ids:<i8", "rows:<i8", "key:<u4", "doc:<u4", "n:<i4", "many:<i4", "at:<i4", "text:u1")
+#: Spans for a bucket of documents.
 _SPANS = ("row:<i8", "start:<i4", "end:<i4")
+_PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("packed", pa.binary())])
+
+
+def _packed(kinds: tuple[str, ...], arrays: list[np.ndarray]) -> bytes:
+    parts = [np.ascontiguousarray(x).astype(k.split(":")[1]) for k, x in zip(kinds, arrays, strict=True)]
+    return zlib.compress(np.array([len(x) for x in parts], "<i8").tobytes() + b"".join(x.tobytes() for x in parts), 1)
+
+
+def _unpacked(kinds: tuple[str, ...], packed: bytes) -> list[np.ndarray]:
+    data, out = zlib.decompress(packed), []
+    at = 8 * len(kinds)
+    for n, k in zip(np.frombuffer(data, "<i8", len(kinds)).tolist(), kinds, strict=True):
+        out.append(np.frombuffer(data, k.split(":")[1], n, at))
+        at += out[-1].nbytes
+    return out
 
 
-def _schema(kinds: tuple[str, ...], key: str) -> str:
-    return f"{key} int, " + ", ".join(f"{k.split(':')[0]} binary" for k in kinds)
+def _together(kinds: tuple[str, ...], blobs: list[bytes]) -> list[list[np.ndarray]]:
+    return [list(x) for x in zip(*(_unpacked(kinds, b) for b in blobs), strict=True)] or [[] for _ in kinds]
 
 
-def _packed(kinds: tuple[str, ...], key: str, number: int, arrays: list[np.ndarray]) -> dict:
-    return {key: number} | {k.split(":")[0]: np.ascontiguousarray(x).astype(k.split(":")[1]).tobytes() for k, x in zip(kinds, arrays, strict=True)}
+def _cat(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *parts])
 
 
-def _unpacked(kinds: tuple[str, ...], table: pa.Table) -> list[np.ndarray]:
-    return [np.concatenate([np.zeros(0, kind), *[np.frombuffer(b.as_buffer(), kind) for b in table[name]]]) for name, kind in (k.split(":") for k in kinds)]
+def _rows(rows: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
 
 
-def _spans_packed(row: np.ndarray, start: np.ndarray, end: np.ndarray, n_buckets: int):
-    """Spans by the bucket of their row, those that touch joined."""
-    order = np.lexsort((start, row))
-    row, start, end = row[order], start[order], end[order]
+def _spans_packed(row: np.ndarray, start: np.ndarray, end: np.ndarray, n_buckets: int) -> list[tuple[int, str, bytes]]:
+    """Spans by the bucket of their row."""
     where = np.mod(row, n_buckets)
     order = np.argsort(where, kind="stable")
     edges = np.searchsorted(where[order], np.arange(n_buckets + 1))
-    for i in np.flatnonzero(np.diff(edges)):
-        own = order[edges[i] : edges[i + 1]]
-        yield _packed(_SPANS, "docs", int(i), [row[own], start[own], end[own]])
+    return [(int(i), "spans", _packed(_SPANS, [x[order[edges[i] : edges[i + 1]]] for x in (row, start, end)])) for i in np.flatnonzero(np.diff(edges))]
 
 
 def _candidates(docs: DataFrame, filter_, n_buckets: int, length: int, gram: int) -> DataFrame:
-    """Runs by bucket, and spans that are settled already (bucket null, by bucket of documents)."""
+    """(bucket, kind, packed): runs by bucket, and spans that are settled already by bucket of documents."""
 
     def collect(batches):
         for batch in batches:
-            ids, rows = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            ids, rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            by_id = np.argsort(ids, kind="stable")
+            place_of = np.empty(len(ids), np.int64)
+            place_of[by_id] = np.arange(len(ids))
             data, offsets = text_buffer(batch.column(2))
-            best: dict[bytes, list] = {}  # text of a run -> [doc, row, count, key, *places], of the smallest document so far
-            rest, gone = [], []  # runs of other rows with the same id; spans that lose to a smaller document
+            seen: dict[bytes, int] = {}  # text of a run -> its number
+            number, where, owner, key, count = [], [], [], [], []
             for lo, hi in slices(offsets):
                 own, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                first, count, name, doc = runs(own, at, length, gram)
+                first, size, name, doc = runs(own, at, length, gram)
                 level = filter_.value.level(name)
-                keep = np.flatnonzero(level > 0)
-                raw, names = own.tobytes(), name[keep]
-                place = (first - at[doc])[keep]
-                for f, c, k, p, d, v in zip(first[keep].tolist(), count[keep].tolist(), names.tolist(), place.tolist(), (doc[keep] + lo).tolist(), level[keep].tolist(), strict=True):
-                    doc_id, row = ids[d], rows[d]
-                    # a hot name's strings go one by one, under a key of their own
-                    for j, m in ((0, c),) if v == 1 else ((j, 1) for j in range(c)):
-                        text = raw[f + j : f + j + m + length - 1]
-                        run = best.get(text)
-                        if run is None:
-                            best[text] = [doc_id, row, m, k if v == 1 else int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little"), p + j]
-                        elif run[1] == row:
-                            run.append(p + j)
-                        elif run[0] < doc_id:
-                            gone.append((row, p + j, p + j + m + length - 1))
-                        elif run[0] > doc_id:
-                            gone += [(run[1], x, x + m + length - 1) for x in run[4:]]
-                            best[text] = [doc_id, row, m, run[3], p + j]
-                        else:
-                            rest.append((text, [doc_id, row, m, run[3], p + j]))
-            found = [*best.items(), *rest]
-            if found:
-                texts, own = [t for t, _ in found], [r for _, r in found]
-                key, doc, row, n = (np.fromiter((r[i] for r in own), kind, len(own)) for i, kind in ((3, np.uint64), (0, np.int64), (1, np.int64), (2, np.int32)))
-                many, size = np.fromiter((len(r) - 4 for r in own), np.int64, len(own)), np.fromiter(map(len, texts), np.int64, len(own))
-                bucket = (mix(key) % np.uint64(n_buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-                for i in np.flatnonzero(np.diff(edges)):
-                    pick = order[edges[i] : edges[i + 1]]
-                    places = np.fromiter((x for j in pick for x in own[j][4:]), np.int32)
-                    text = np.frombuffer(b"".join([texts[j] for j in pick]), np.uint8)
-                    packed = _packed(_RUNS, "bucket", int(i), [key[pick], doc[pick], row[pick], n[pick], size[pick], many[pick], places, text])
-                    yield pa.RecordBatch.from_pylist([packed], _RUN_SCHEMA)
-            if gone:
-                row, start, end = np.array(gone, np.int64).T
-                packed = list(_spans_packed(row, start, end, n_buckets))
-                yield pa.RecordBatch.from_pylist([_packed(_RUNS, "bucket", x["docs"], [np.zeros(0)] * 8) | {"many": None, "row": x["row"], "at": x["start"], "size": x["end"]} for x in packed], _RUN_SCHEMA)
-
-    return docs.mapInArrow(collect, _schema(_RUNS, "bucket"))
-
-
-_RUN_SCHEMA = pa.schema([("bucket", pa.int32()), *[(k.split(":")[0], pa.binary()) for k in _RUNS]])
-_SPAN_SCHEMA = pa.schema([("docs", pa.int32()), *[(k.split(":")[0], pa.binary()) for k in _SPANS]])
+                raw, plain, hot = own.tobytes(), np.flatnonzero(level == 1), np.flatnonzero(level > 1)
+                # a hot name's strings go one by one, under a key of their own
+                single = np.repeat(hot, size[hot])
+                inside = np.arange(len(single)) - np.repeat(np.cumsum(size[hot]) - size[hot], size[hot])
+                begin, strings = np.concatenate([first[plain], first[single] + inside]), np.concatenate([size[plain], np.ones(len(single), np.int64)])
+                which = np.concatenate([doc[plain], doc[single]])
+                here = [seen.setdefault(raw[a:b], len(seen)) for a, b in zip(begin.tolist(), (begin + strings + length - 1).tolist(), strict=True)]
+                number.append(np.array(here, np.int64))
+                where.append(begin - at[which])
+                owner.append(which + lo)
+                count.append(strings)
+                key.append(np.concatenate([name[plain] & np.uint64(0xFFFFFFFF), np.full(len(single), 1 << 32, np.uint64)]))
+            number, where, owner, count = (_cat(x, np.int64) for x in (number, where, owner, count))
+            key, texts, out = _cat(key, np.uint64), list(seen), []
+            if not len(number):
+                continue
+            order = np.lexsort((place_of[owner], number))  # per text, the smallest document first
+            number, where, owner, count, key = number[order], where[order], owner[order], count[order], key[order]
+            least = np.repeat(ids[owner[head := np.flatnonzero(np.diff(number, prepend=-1))]], times := np.diff(np.append(head, len(number))))
+            lost = ids[owner] > least
+            out += _spans_packed(rows[owner[lost]], where[lost], (where + count + length - 1)[lost], n_buckets)
+            # the others stay: places of one row are a run's places
+            number, where, owner, count, key = (x[~lost] for x in (number, where, owner, count, key))
+            head = np.flatnonzero((np.diff(number, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+            many = np.diff(np.append(head, len(number)))
+            which, owner, count, key = number[head], owner[head], count[head], key[head]
+            for i in np.flatnonzero(key >> np.uint64(32)).tolist():
+                key[i] = zlib.crc32(texts[which[i]])
+            bucket = (mix(key) % np.uint64(n_buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            for i in np.flatnonzero(np.diff(edges)):
+                pick = order[edges[i] : edges[i + 1]]
+                docs_, doc = np.unique(owner[pick], return_inverse=True)
+                places = where[np.repeat(head[pick] - (np.cumsum(many[pick]) - many[pick]), many[pick]) + np.arange(many[pick].sum())]
+                text = np.frombuffer(b"".join([texts[j] for j in which[pick].tolist()]), np.uint8)
+                out.append((int(i), "runs", _packed(_RUNS, [ids[docs_], rows[docs_], key[pick], doc, count[pick], many[pick], places, text])))
+            yield _rows(out)
+
+    return docs.mapInArrow(collect, "bucket int, kind string, packed binary")
 
 
 def _sorted_spans(table: pa.Table, length: int, n_buckets: int) -> pa.Table:
     """Packed spans of the strings in a bucket that a smaller document has, and those that were settled before."""
-    out = [{"docs": d, "row": r, "start": a, "end": e} for d, r, a, e, m in zip(*(table[c].to_pylist() for c in ("bucket", "row", "at", "size", "many")), strict=True) if m is None]
-    key, doc, row, n, size, many, at, text = _unpacked(_RUNS, table.filter(pa.compute.is_valid(table["many"])))
-    order = np.argsort(key, kind="stable")
-    offset, begin = np.cumsum(size, dtype=np.int64) - size, np.cumsum(many, dtype=np.int64) - many
-    total, lo, rows, starts, ends = np.cumsum(size[order], dtype=np.int64), 0, [], [], []
+    kinds, blobs = table["kind"].to_pylist(), table["packed"].to_pylist()
+    number = table["bucket"].to_pylist()
+    out = [(b, k, x) for b, k, x in zip(number, kinds, blobs, strict=True) if k == "spans"]
+    ids, rows, key, doc, n, many, at, text = _together(_RUNS, [x for k, x in zip(kinds, blobs, strict=True) if k == "runs"])
+    base = np.cumsum([0, *map(len, ids)])
+    doc = _cat([d + b for d, b in zip(doc, base[:-1], strict=True)], np.int64).astype(np.int64)
+    ids, rows, key, n, many, at, text = (_cat(x, kind) for x, kind in zip((ids, rows, key, n, many, at, text), ("<i8", "<i8", "<u4", "<i8", "<i8", "<i4", "u1"), strict=True))
+    size, order = n + length - 1, np.lexsort((ids[doc], key))
+    offset, begin = np.cumsum(size) - size, np.cumsum(many) - many
+    total, sorted_key, raw, lo = np.cumsum(size[order]), key[order], text.tobytes(), 0
+    del text
     while lo < len(order):  # a part ends where a key ends
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + _PART, "right")))
-        hi = int(np.searchsorted(key[order], key[order[hi - 1]], "right"))
+        hi = int(np.searchsorted(sorted_key, sorted_key[hi - 1], "right"))
         own, lo = order[lo:hi], hi
-        sizes, counts = size[own].astype(np.int64), n[own].astype(np.int64)
-        base = np.cumsum(sizes) - sizes
-        data = text[np.repeat(offset[own] - base, sizes) + np.arange(sizes.sum())]
-        which = np.repeat(np.arange(len(own)), counts)
-        inside = np.arange(len(which)) - (np.cumsum(counts) - counts)[which]
-        by, group = deep_shallow(eights(np.concatenate([data, np.zeros(length + 8, np.uint8)])), base[which] + inside, length)
-        ids, first = doc[own][which[by]], np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        seen: dict[bytes, int] = {}  # equal runs are sorted once, for the smallest document
+        which = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(offset[own].tolist(), (offset[own] + size[own]).tolist(), strict=True)], np.int64)
+        first = np.full(len(seen), len(own))
+        np.minimum.at(first, which, np.arange(len(own)))
+        counts, least = n[own[first]], ids[doc[own[first]]]
+        data, start = np.frombuffer(b"".join(seen), np.uint8), np.cumsum(counts + length - 1) - (counts + length - 1)
+        run = np.repeat(np.arange(len(seen)), counts)
+        inside = np.arange(len(run)) - (np.cumsum(counts) - counts)[run]
+        by, group = deep_shallow(eights(np.concatenate([data, np.zeros(length + 8, np.uint8)])), start[run] + inside, length)
+        of, head = least[run[by]], np.flatnonzero(np.diff(group, prepend=-1))
         lost = np.zeros(len(by), bool)
-        lost[by] = ids > np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(by))))
-        # consecutive lost strings of a run are one span, at each of the run's places
-        other = which[1:] != which[:-1]
+        lost[by] = of > np.repeat(np.minimum.reduceat(of, head), np.diff(np.append(head, len(by))))
+        # consecutive lost strings of a run are one span, wherever the run is; all of it where a smaller document has it
+        other = run[1:] != run[:-1]
         edge = np.flatnonzero(lost & np.concatenate([[True], ~lost[:-1] | other]))
         stop = np.flatnonzero(lost & np.concatenate([~lost[1:] | other, [True]]))
-        times = many[own][which[edge]].astype(np.int64)
-        span = np.repeat(np.arange(len(edge)), times)
-        place = at[begin[own][which[edge]][span] + np.arange(len(span)) - (np.cumsum(times) - times)[span]]
-        rows.append(row[own][which[edge]][span])
-        starts.append(place + inside[edge][span])
-        ends.append(place + inside[stop][span] + length)
-    if rows:
-        out += _spans_packed(np.concatenate(rows), np.concatenate(starts), np.concatenate(ends), n_buckets)
-    return pa.Table.from_pylist(out, _SPAN_SCHEMA)
+        spans = np.bincount(run[edge], minlength=len(seen))
+        before = np.cumsum(spans) - spans
+        whole = ids[doc[own]] > least[which]
+        times = np.where(whole, 1, spans[which]) * many[own]
+        i = np.repeat(np.arange(len(own)), times)  # the run of each span that comes out
+        k = np.arange(len(i)) - (np.cumsum(times) - times)[i]
+        per = np.where(whole, 1, spans[which])[i]
+        j = before[which[i]] + k % np.maximum(per, 1)
+        place, full = at[begin[own[i]] + k // np.maximum(per, 1)], whole[i]
+        a = np.where(full, 0, inside[edge[np.where(full, 0, j)]] if len(edge) else 0)
+        b = np.where(full, size[own[i]], inside[stop[np.where(full, 0, j)]] + length if len(edge) else 0)
+        if len(i):
+            out += _spans_packed(rows[doc[own[i]]], place + a, place + b, n_buckets)
+    return pa.table(_rows(out).columns if out else [pa.array([], f.type) for f in _PACKED], schema=_PACKED)
 
 
 def repeated_spans(docs: DataFrame, n_buckets: int, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(docs, row, start, end), packed by bucket of documents: bytes of ``docs`` (doc_id, row, text) in strings of
+    """(bucket, kind, packed): spans by bucket of documents, bytes of ``docs`` (doc_id, row, text) in strings of
     ``length`` bytes that documents with smaller ids have.  Spans may overlap.  ``row`` names a row.
     """
     spark = docs.sparkSession
@@ -291,7 +322,7 @@ def repeated_spans(docs: DataFrame, n_buckets: int, length: int = LENGTH, gram:
     found = spark.sparkContext.broadcast(repeated_hashes(docs.select("text"), names, text_bytes(docs) / 16, (2, HOT)))
     bounded_batches(spark)
     sent = _candidates(docs.where("doc_id IS NOT NULL").select("doc_id", "row", "text"), found, n_buckets, length, gram)
-    return sent.groupBy("bucket").applyInArrow(lambda table: _sorted_spans(table, length, n_buckets), _schema(_SPANS, "docs"))
+    return sent.groupBy("bucket").applyInArrow(lambda table: _sorted_spans(table, length, n_buckets), "bucket int, kind string, packed binary")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -304,11 +335,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row"))
     n_buckets = buckets_for(text_bytes(docs), 16e6)
     spans = repeated_spans(docs, n_buckets, length)
-    dealt = docs.select(F.pmod("row", F.lit(n_buckets)).cast("int").alias("docs"), "doc_id", "row", "text")
+    dealt = docs.select(F.pmod("row", F.lit(n_buckets)).cast("int").alias("bucket"), "doc_id", "row", "text")
 
     def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
         data, offsets = text_buffer(texts["text"])
-        row, start, end = _unpacked(_SPANS, found)
+        row, start, end = (_cat(x, np.int64) for x in _together(_SPANS, found["packed"].to_pylist()))
         order = np.argsort(row, kind="stable")
         row, start, end = row[order], start[order], end[order]
         own = texts["row"].to_numpy()
@@ -326,7 +357,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kept.append(text.tobytes())
         return pa.table([texts["doc_id"], pa.array(np.diff(offsets)), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return dealt.groupBy("docs").cogroup(spans.groupBy("docs")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return dealt.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
