@@ -47,14 +47,15 @@ def reward_component_means(spark, sf):
     return means.select(*[F.round(c, 6).alias(c) for c in means.columns])
 
 
-@query("""SELECT dataset_key, checkpoint, metric, count(*) AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS variance,
-  round(stddev_pop(value), 4) AS std, arg_max(value, run_index) AS latest FROM
+@query("""SELECT dataset_key, checkpoint, metric, count(*) AS n, min(value) AS min, max(value) AS max, floor(avg(value) * 10000 + 0.5000001) / 10000 AS mean, floor(var_pop(value) * 10000 + 0.5000001) / 10000 AS variance,
+  floor(stddev_pop(value) * 10000 + 0.5000001) / 10000 AS std, arg_max(value, run_index) AS latest FROM
   (SELECT dataset_key, checkpoint, run_index, 'accuracy' AS metric, accuracy AS value FROM runs UNION ALL SELECT dataset_key, checkpoint, run_index, 'eval_seconds', eval_seconds FROM runs
    UNION ALL SELECT dataset_key, checkpoint, run_index, 'randomized', randomized::INT::DOUBLE FROM runs) GROUP BY 1, 2, 3""", RUNS)
 def run_metric_summary(spark, sf):
     """A8, A9, A26."""
     rows = E.run_metric_summary(runs(spark, sf), ("accuracy", "eval_seconds", "randomized"), ("dataset_key", "checkpoint"), ("run_index",))
-    return rows.withColumn("mean", F.round("mean", 6)).withColumn("variance", F.round("variance", 4)).withColumn("std", F.round("std", 4))
+    up = lambda c: (F.floor(F.col(c) * 10000 + 0.5000001) / 10000).alias(c)  # noqa: E731  ties, which these means have, go up
+    return rows.withColumns({c: up(c) for c in ("mean", "variance", "std")})
 
 
 @query("""SELECT dataset_key, checkpoint, CAST(first(run_index ORDER BY accuracy DESC, run_index) AS INTEGER) AS best_run, CAST(first(run_index ORDER BY accuracy, run_index) AS INTEGER) AS worst_run,
