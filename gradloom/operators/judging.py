@@ -48,7 +48,8 @@ def rejudge_metrics(rows: DataFrame, cache: DataFrame, verdicts: DataFrame) -> D
     miss = F.col("cached").isNull()
     counts = judged.agg(F.countDistinct(F.when(miss, F.col("cache_key"))).alias("called"), F.sum((~miss).cast("long")).alias("cache_hits"), F.sum(F.coalesce("cached", "verdict", F.lit(False)).cast("long")).alias("flipped"), F.countDistinct(F.when(miss & F.col("verdict").isNull(), F.col("cache_key"))).alias("api_failures"))
     seen = rows.agg(F.sum((F.col("state") == "empty").cast("long")).alias("short_circuit_empty"), F.sum((F.col("state") != "not_judged").cast("long")).alias("total_zero_reward"))
-    return counts.crossJoin(seen)  # one row each
+    both = counts.unionByName(seen, allowMissingColumns=True)  # a row each
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def upgraded(records: DataFrame) -> DataFrame:

@@ -27,18 +27,22 @@ def apportioned(weights: DataFrame, by: str, total: Column) -> DataFrame:
     return rows.withColumn("quota", F.when(any_ & (F.col("total") > 0), F.col("whole") + F.when(F.col("positive") & (nth <= left), 1).otherwise(0)).otherwise(0).cast("bigint")).drop("total", "raw", "whole", "positive")
 
 
-def ranked(rows: DataFrame, score: str, row_id: str, descending: bool = True, parts: int | None = None) -> DataFrame:
-    """``rows`` with ``position`` from 0 by score, ties by id; a null score is the lowest.
+def placed(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` with ``position`` from 0 in an order that has no ties.
 
     Rows are range-partitioned by the order and counted per partition, so no task sorts everything.
     """
-    score_ = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
-    order = [score_.desc() if descending else score_.asc(), F.col(row_id).asc()]
-    placed = (rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)).withColumn("__part", F.spark_partition_id())
-    counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    dealt = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")  # a row per partition
     nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return placed.withColumn("__nth", nth).join(F.broadcast(before), "__part").withColumn("position", F.col("__before") + F.col("__nth") - 1).drop("__part", "__nth", "__before")
+    return dealt.withColumn("__nth", nth).join(F.broadcast(before), "__part").withColumn("position", F.col("__before") + F.col("__nth") - 1).drop("__part", "__nth", "__before")
+
+
+def ranked(rows: DataFrame, score: str, row_id: str, descending: bool = True) -> DataFrame:
+    """``rows`` with ``position`` from 0 by score, ties by id; a null score is the lowest."""
+    score_ = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
+    return placed(rows, score_.desc() if descending else score_.asc(), F.col(row_id).asc())
 
 
 def ranked_buckets(rows: DataFrame, score: str, row_id: str, weights: list[tuple[str, float]], descending: bool = True) -> DataFrame:
@@ -104,23 +108,27 @@ def sampled(pool: DataFrame, n: int, seed: int, iteration: int, row_id: str = "r
         key = order_key(seed, iteration, repeat, row_id)
         part = pool.withColumn("repeat", F.lit(repeat)).withColumn("__o", key).orderBy("__o", row_id).limit(min(size, n - repeat * size))
         out = part if out is None else out.unionByName(part)
-    return ranked(out.withColumn("__s", F.conv(F.substring("__o", 1, 12), 16, 10).cast("double") * -1 - F.col("repeat") * 1e15), "__s", row_id).withColumnRenamed("position", "place").drop("__o", "__s")
+    return placed(out, F.col("repeat"), F.col("__o"), F.col(row_id)).withColumnRenamed("position", "place").drop("__o")
 
 
 def epoch_batches(pool: DataFrame, n: int, seed: int, iterations: int, row_id: str = "row_id") -> DataFrame:
     """(iteration, epoch, row_id): batches of ``n`` from a cursor over orders that change every epoch: C5."""
-    spark, size = pool.sparkSession, pool.count()
+    size = pool.count()
     if not size:
         return pool.select(F.lit(0).alias("iteration"), F.lit(0).alias("epoch"), row_id).limit(0)
-    epochs = spark.range(-(-n * iterations // size)).select(F.col("id").alias("epoch"))
-    ordered = pool.select(row_id).crossJoin(F.broadcast(epochs)).withColumn("o", order_key(seed, "epoch", row_id))  # the pool once an epoch
-    offset = F.row_number().over(Window.partitionBy("epoch").orderBy("o", row_id)) - 1
-    at = ordered.withColumn("at", F.col("epoch") * size + offset)
-    return at.where(F.col("at") < n * iterations).select(F.floor(F.col("at") / n).cast("int").alias("iteration"), F.col("epoch").cast("int").alias("epoch"), row_id)
+    epochs = F.sequence(F.lit(0), F.lit(-(-n * iterations // size) - 1))
+    ordered = pool.select(row_id, F.explode(epochs).alias("epoch")).withColumn("o", order_key(seed, "epoch", row_id))
+    at = placed(ordered, F.col("epoch"), F.col("o"), F.col(row_id))  # every epoch has the whole pool, so this is the cursor
+    return at.where(F.col("position") < n * iterations).select(F.floor(F.col("position") / n).cast("int").alias("iteration"), "epoch", row_id)
 
 
 def mixture(pools: DataFrame, quotas: DataFrame, seed: int, iteration: int) -> DataFrame:
-    """``pools`` (key, row_id, ...) joined to ``quotas`` (key, quota): that many rows of each key in a seeded order: C6, C7."""
+    """``pools`` (key, row_id, ...) joined to ``quotas`` (key, quota): that many rows of each key in a seeded order: C6, C7.
+
+    A key's first rows are found in 64 parts and then among what these leave, so a hot pool is no hot task.
+    """
     o = order_key(seed, iteration, 0, "row_id")
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("o", "row_id"))
-    return pools.withColumn("o", o).join(F.broadcast(quotas.where("quota > 0").select("key", "quota")), "key").withColumn("nth", nth).where(F.col("nth") <= F.col("quota")).select(*[c for c in pools.columns], F.concat_ws(":", "key", F.col("row_id").cast("string")).alias("question_id"))
+    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("o", "row_id"))
+    rows = pools.withColumn("o", o).join(F.broadcast(quotas.where("quota > 0").select("key", "quota")), "key")
+    rows = rows.withColumn("nth", nth("key", F.pmod(F.hash("row_id"), F.lit(64)))).where(F.col("nth") <= F.col("quota"))
+    return rows.withColumn("nth", nth("key")).where(F.col("nth") <= F.col("quota")).select(*[c for c in pools.columns], F.concat_ws(":", "key", F.col("row_id").cast("string")).alias("question_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import losses as L
@@ -241,8 +242,9 @@ def lr_schedule(spark, sf):
 def bad_action_stats(spark, sf):
     """The mean probability of the first edges; the limit is the operator's own."""
     rows = _tokens(spark, sf).where("NOT valid")
-    first = rows.orderBy("sequence_id", "i").limit(50).agg(F.round(F.avg(F.abs("new_logprob")), 6).alias("p_bad"), F.count("*").alias("edges"))
-    return first.crossJoin(rows.agg((F.count("*") > 50).alias("capped")))  # one row each
+    first = rows.orderBy("sequence_id", "i").limit(51).withColumn("nth", F.row_number().over(Window.orderBy("sequence_id", "i")))  # 51 rows
+    used = F.col("nth") <= 50
+    return first.agg(F.round(F.avg(F.when(used, F.abs("new_logprob"))), 6).alias("p_bad"), F.count(F.when(used, 1)).alias("edges"), (F.max("nth") > 50).alias("capped"))
 
 
 @query("SELECT vec_id, n, CASE WHEN abs(n - 64) > 2 THEN NULL WHEN n > 64 THEN list_concat(e, list_resize([]::DOUBLE[], n - 64, 0.0)) ELSE list_slice(e, 1, n) END AS logprobs FROM (SELECT vec_id, CAST(61 + vec_id % 7 AS BIGINT) AS n, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS e FROM embeddings)")
@@ -256,8 +258,8 @@ def align_logprobs(spark, sf):
 def pad_batch(spark, sf):
     """To the longest of the batch."""
     rows = trajectories(spark, sf)
-    longest = rows.agg(F.max(F.size("tokens")).alias("longest"))
-    return rows.crossJoin(F.broadcast(longest)).select("question_id", "rollout_index", T.padded(F.col("tokens"), F.col("longest"), F.lit("<pad>")).alias("padded"))
+    longest = rows.agg(F.max(F.size("tokens"))).first()[0]
+    return rows.select("question_id", "rollout_index", T.padded(F.col("tokens"), F.lit(longest), F.lit("<pad>")).alias("padded"))
 
 
 @query("SELECT question_id, rollout_index, list_slice(tokens, greatest(1, len(tokens) - 4), len(tokens)) AS ids, CASE WHEN success THEN 'pos' ELSE 'neg' END AS example_kind, CASE WHEN success THEN NULL ELSE reward END AS negative_weight, list_resize([]::INTEGER[], least(5, len(tokens)), 0) AS mask FROM trajectories", TRAJECTORIES)
