@@ -344,3 +344,10 @@ def scored(rows: DataFrame, completion: str = "completion", gold: str = "gold",
     df = df.withColumn("is_correct", correct).withColumn("format_reward", F.round(points(standard, 0.10) + points(F.col("last_is_final"), 0.05) + points(single, 0.05), 6))
     df = df.withColumn("answer_reward", points(F.col("is_correct"), 1.0)).withColumn("length_reward", length_penalty(F.col(reason), submitted))
     return df.withColumn("total_reward", F.round(F.col("format_reward") + F.col("answer_reward") + F.col("length_reward"), 6)).drop("__gold")
+
+
+def parse_label(parsed: Column, violations: Column, enabled: bool = True, available: bool = True, enforce: bool = False) -> Column:
+    """What a log says about a parsed answer: U30."""
+    prefix = F.when(F.lit(enforce) & (F.size(violations) > 0), F.concat(F.lit("<invalid_format: "), F.array_join(violations, ", "), F.lit("> "))).otherwise("")
+    body = F.lit("<verification disabled>") if not enabled else F.lit("<verification unavailable>") if not available else F.coalesce(F.nullif(parsed, F.lit("")), F.lit("<unparsed>"))
+    return F.concat(prefix, body)

@@ -100,3 +100,25 @@ def finish_reason(c: Column) -> Column:
 def token_count(c: Column) -> Column:
     """Words between blanks: the tokenizer that needs no files (P14); others can be plugged in as an Arrow function."""
     return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"\S+")).cast("bigint")
+
+
+def parse_bool(c: Column) -> Column:
+    """Words for yes and no as a boolean; anything else is an error, null stays null: P24."""
+    word = F.lower(strip(c.cast("string")))
+    return F.when(word.isin("1", "true", "yes", "on", "y"), True).when(word.isin("0", "false", "no", "off", "n"), False).when(word.isNotNull(), F.raise_error(F.concat(F.lit("no boolean: "), word)))
+
+
+def int_list(c: Column) -> Column:
+    """Whole numbers between commas; blanks and empty parts don't count: P24."""
+    return F.transform(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), strip), lambda x: x != ""), lambda x: x.cast("bigint"))
+
+
+def combined(values: Column, separator: str = ", ") -> Column:
+    """The values that aren't blank, joined; null if there are none: A22."""
+    return F.nullif(F.array_join(F.filter(F.transform(values, strip), lambda x: x != ""), separator), F.lit(""))
+
+
+def metric_values(c: Column) -> Column:
+    """The booleans, numbers, strings and nulls of a JSON object, as variants by name; lists and objects are dropped: P31."""
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    return F.map_filter(F.from_json(c, "map<string,variant>"), lambda _, v: ~F.startswith(kind(v), F.lit("ARRAY")) & ~F.startswith(kind(v), F.lit("OBJECT")))

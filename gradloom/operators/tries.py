@@ -15,6 +15,11 @@ def reward_weight(reward: Column, beta: float = 0.1, low: float = -5.0, high: fl
     return F.exp(clip(clip(reward.cast("double"), low, high) / beta, -50.0, 125.0))
 
 
+def with_end(tokens: Column, end: Column) -> Column:
+    """Tokens that end in ``end``, which is appended where it is missing: P16."""
+    return F.when(F.coalesce(F.try_element_at(tokens, F.lit(-1)) == end, F.lit(False)), tokens).otherwise(F.concat(tokens, F.array(end)))
+
+
 def deduplicated(trajectories: DataFrame) -> DataFrame:
     """The first trajectory of each token sequence of a question; the order of rollouts decides which: T1."""
     nth = F.row_number().over(Window.partitionBy("question_id", F.hash("tokens"), "tokens").orderBy("rollout_index"))

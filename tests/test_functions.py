@@ -106,6 +106,21 @@ def test_text(spark):
     assert apply(spark, P.sanitized, ["$ 5$", "5$", "a  b", r"\$5", ""]) == ["5", "5", "a b", "$5", ""]
 
 
+def test_parsing(spark):
+    assert apply(spark, X.parse_bool, [" Yes", "off", None]) == [True, False, None]
+    with pytest.raises(Exception, match="no boolean"):
+        apply(spark, X.parse_bool, ["maybe"])
+    assert apply(spark, X.int_list, ["1, 2,,3", "", None]) == [[1, 2, 3], [], []]
+    assert apply(spark, lambda c: X.combined(F.split(c, ";")), ["a; ;b", " "]) == ["a, b", None]
+    kept = apply(spark, lambda c: F.array_sort(F.map_keys(X.metric_values(c))), ['{"a": true, "b": 1.5, "c": "x", "d": null, "e": [1], "f": {}}'])
+    assert kept == [["a", "b", "c", "d"]]
+    labels = apply(spark, lambda c: A.parse_label(c, F.array(F.lit("empty")), enforce=True), ["7", ""])
+    assert labels == ["<invalid_format: empty> 7", "<invalid_format: empty> <unparsed>"]
+    assert apply(spark, lambda c: T.with_end(F.split(c, " "), F.lit("<e>")), ["a b", "a <e>"]) == [["a", "b", "<e>"], ["a", "<e>"]]
+    schema = spark.createDataFrame([], "a int, b string").schema
+    assert [tuple(r) for r in P.conform(spark.createDataFrame([("7", 1), ("x", 2)], "a string, z int"), schema).collect()] == [(7, None), (None, None)]
+
+
 def test_storage(spark, tmp_path):
     rows = spark.createDataFrame([(1, "é"), (2, None)], "a int, b string")
     storage.write_table(rows, f"{tmp_path}/d/data/train-0.parquet")
