@@ -6,10 +6,10 @@ written as Parquet in the shared folder and read again as the next stage's ``doc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradloom.llm.mixing import document_sizes, pivotal_mix
+from gradloom.llm.mixing import document_sizes, pivotal_mix, word_count
 from gradloom.llm.near_duplicates import jaccard_components
 from gradloom.llm.quality import quality_rules
 from gradloom.llm.secrets import redact
@@ -21,14 +21,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    verdicts = quality_rules(docs).where("kept").select("doc_id").distinct()
-    return docs.join(verdicts, "doc_id", "left_semi").select(*COLUMNS)
+    kept = quality_rules(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near duplicates; repeated rows become one."""
-    first = jaccard_components(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    first = jaccard_components(docs).where("component_id <=> doc_id").select(F.col("doc_id").alias("first_id")).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of each document as the mix takes copies of it."""
-    copies = pivotal_mix(document_sizes(docs)).where("copies > 0").select("doc_id", "copies")
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    sizes = document_sizes(docs)
+    # rows that share id, source and size take their copies in turn
+    key, turn = F.xxhash64("doc_id", "source", "size"), lambda *by: F.row_number().over(Window.partitionBy("key").orderBy(*by))
+    copies = pivotal_mix(sizes).withColumn("key", key).withColumn("turn", turn("copies")).where("copies > 0").select("key", "turn", "copies")
+    rows = docs.withColumn("size", word_count("text")).withColumn("key", key).withColumn("turn", turn("text"))
+    return rows.join(copies, ["key", "turn"]).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

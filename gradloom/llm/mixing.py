@@ -115,9 +115,14 @@ def pivotal_mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).cast("int").alias("copies"))
 
 
+def word_count(text: str) -> Column:
+    """Words of a whole text; null texts have none."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def document_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of every whole text; null texts have none."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """(doc_id, source, size) of every document."""
+    return docs.select("doc_id", "source", word_count("text").alias("size"))
 
 
 def op9_pivotal_mixing(spark, sf_dir: str) -> DataFrame:

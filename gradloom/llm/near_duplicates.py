@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .repeats import repeated_hashes
-from .shared import bounded_batches, documents, text_bytes, written
+from .shared import bounded_batches, documents, text_bytes, trimmed, written
 from .text import mix, shingle_hashes, slices, text_buffer, word_bounds, word_hashes
 
 #: Similarity that links, in hundredths.
@@ -84,7 +84,7 @@ def shingle_sets(docs: DataFrame, k: int, link: int) -> DataFrame:
                 )
 
     schema = "doc_id long, n long, set_id long, c long, often double, prefix array<long>, places array<int>, shingles binary"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(sets), schema)
 
 
 def _passes(link: int) -> Column:
@@ -122,7 +122,7 @@ def verified(pairs: DataFrame, entities: DataFrame, link: int) -> DataFrame:
                 keep.append(_overlap(a, b, needed) >= needed)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(compare, "a long, b long")
+    return both.mapInArrow(trimmed(compare), "a long, b long")
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import bounded_batches, buckets_for
+from .shared import bounded_batches, buckets_for, trimmed
 
 #: Bytes that the filter of one threshold may take, however large the corpus.
 MOST_BYTES = 32 << 20
@@ -100,7 +100,7 @@ def repeated_hashes(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator
             out.append(np.packbits(bits, bitorder="little").tobytes())
         return pd.DataFrame({"bucket": [key[0]], "segments": [out]})
 
-    packed = docs.mapInArrow(pack, "bucket int, once binary, more binary")
-    rows = {r.bucket: r.segments for r in packed.groupBy("bucket").applyInPandas(reduce, "bucket int, segments array<binary>").toLocalIterator()}
+    packed = docs.mapInArrow(trimmed(pack), "bucket int, once binary, more binary")
+    rows = {r.bucket: r.segments for r in packed.groupBy("bucket").applyInPandas(reduce, "bucket int, segments array<binary>").collect()}
     empty = [b"\0" * 8 for _ in thresholds]
     return RepeatFilter([[bytes(rows.get(b, empty)[i]) for b in range(n_buckets)] for i in range(len(thresholds))])

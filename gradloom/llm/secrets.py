@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import bounded_batches, documents
+from .shared import bounded_batches, documents, trimmed
 from .text import text_buffer
 
 
@@ -142,7 +142,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*kept, "secrets"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scan, f"{fields}, secrets array<struct<kind string, start int, end int>>")
+    return docs.mapInArrow(trimmed(scan), f"{fields}, secrets array<struct<kind string, start int, end int>>")
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "<secret:{}>") -> DataFrame:
@@ -169,7 +169,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "<secre
             i = columns.index("text")
             yield pa.RecordBatch.from_arrays([*batch.columns[:i], pa.array(texts, batch.column(i).type), *batch.columns[i + 1 : len(columns)]], columns)
 
-    return found.mapInArrow(replace, docs.schema).toDF(*given)
+    return found.mapInArrow(trimmed(replace), docs.schema).toDF(*given)
 
 
 def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

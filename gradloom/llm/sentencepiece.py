@@ -29,7 +29,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, documents, written
+from .shared import bounded_batches, documents, trimmed, written
 
 #: Path of the model file; a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -190,7 +190,7 @@ def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.nd
 class Encoder:
     """Segments words, remembering them; ``keep`` bounds how many."""
 
-    def __init__(self, pieces: Pieces, keep: int = 200_000):
+    def __init__(self, pieces: Pieces, keep: int = 100_000):
         self.pieces, self.keep = pieces, keep
         self.forget()
 
@@ -352,7 +352,7 @@ def _giant_ids(giants: DataFrame, content, chunk: int) -> DataFrame:
                 for lo in range(0, len(rows), 256):
                     yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r, strict=True)) for r in rows[lo : lo + 256]], _SCHEMA)
 
-    chunks = written(giants.mapInArrow(spread, _FIELDS).repartition("key", "place"), "piece-chunks")
+    chunks = written(giants.mapInArrow(trimmed(spread), _FIELDS).repartition("key", "place"), "piece-chunks")
 
     def words(batches):
         encoder = Encoder(load(content.value))
@@ -395,12 +395,12 @@ def _giant_ids(giants: DataFrame, content, chunk: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["key", "place", "ids"])
 
     cut_anywhere = chunks.where("parts > 1")
-    own = written(cut_anywhere.mapInArrow(matrices, "key long, stretch int, part int, parts int, matrix binary").withColumn("block", F.floor(F.col("part") / _BLOCK).cast("int")), "piece-matrices")
+    own = written(cut_anywhere.mapInArrow(trimmed(matrices), "key long, stretch int, part int, parts int, matrix binary").withColumn("block", F.floor(F.col("part") / _BLOCK).cast("int")), "piece-matrices")
     blocks = own.groupBy("key", "stretch", "block").applyInArrow(block_product, "key long, stretch int, block int, matrix binary")
     edges = blocks.groupBy("key", "stretch").applyInArrow(block_states, "key long, stretch int, block int, enter int, leave int")
     states = own.join(edges, ["key", "stretch", "block"]).groupBy("key", "stretch", "block").applyInArrow(part_states, "key long, stretch int, part int, enter int, leave int")
-    traced = cut_anywhere.join(states, ["key", "stretch", "part"]).select("key", "place", "text", "after", "enter", "leave").mapInArrow(trace, "key long, place int, ids array<int>")
-    ids = chunks.where("parts = 1").mapInArrow(words, "key long, place int, ids array<int>").unionByName(traced)
+    traced = cut_anywhere.join(states, ["key", "stretch", "part"]).select("key", "place", "text", "after", "enter", "leave").mapInArrow(trimmed(trace), "key long, place int, ids array<int>")
+    ids = chunks.where("parts = 1").mapInArrow(trimmed(words), "key long, place int, ids array<int>").unionByName(traced)
     in_order = F.array_sort(F.collect_list(F.struct("place", "ids")))  # a document is a row, before and after
     return ids.groupBy("key").agg(F.flatten(F.transform(in_order, lambda x: x["ids"])).alias("ids"))
 
@@ -424,7 +424,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
 def _encoded(docs: DataFrame, model: str, chunk: int, finish, schema: str) -> DataFrame:
     """The encoded batches of ``docs`` after ``finish(content of the model file)``, before they leave the Python worker."""
     spark = docs.sparkSession
-    bounded_batches(spark, 1000, 4)
+    bounded_batches(spark, 500, 2)
     content = spark.sparkContext.broadcast(_read(model))
     kept, text = docs.columns, docs.columns.index("text")
 
@@ -439,14 +439,14 @@ def _encoded(docs: DataFrame, model: str, chunk: int, finish, schema: str) -> Da
         yield from map(last, batches)
 
     long = F.coalesce(F.length("text") > chunk, F.lit(False))
-    encoded = docs.where(~long).mapInArrow(short, schema)
+    encoded = docs.where(~long).mapInArrow(trimmed(short), schema)
     giants = docs.where(long)
     if giants.isEmpty():
         return encoded
     keyed = giants.withColumn("__key", F.xxhash64("text"))
     ids = _giant_ids(keyed.select(F.col("__key").alias("key"), "text").dropDuplicates(["key"]), content, chunk)
     joined = keyed.join(ids.withColumnsRenamed({"key": "__key", "ids": "pieces"}), "__key")
-    return encoded.unionByName(joined.select(*[f"`{c}`" for c in kept], "pieces").mapInArrow(done, schema))
+    return encoded.unionByName(joined.select(*[f"`{c}`" for c in kept], "pieces").mapInArrow(trimmed(done), schema))
 
 
 def _read(model: str) -> bytes:
@@ -484,7 +484,7 @@ def decode(rows: DataFrame, model: str = MODEL, column: str = "pieces") -> DataF
     ``decoded`` is replaced.
     """
     spark = rows.sparkSession
-    bounded_batches(spark, 1000, 4)
+    bounded_batches(spark, 500, 2)
     content = spark.sparkContext.broadcast(_read(model))
     kept = [c for c in rows.columns if c != "decoded"]
     rows = rows.select(*[f"`{c}`" for c in kept])

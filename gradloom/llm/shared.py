@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,18 @@ def text_bytes(docs: DataFrame) -> int:
 def buckets_for(n_bytes: float, each: float = 24e6, least: int = 12) -> int:
     """How many hash buckets hold ``n_bytes`` of packed data when one may take ``each`` bytes."""
     return max(least, int(n_bytes // each) + 1)
+
+
+def trimmed(task):
+    """A function over Arrow batches that gives memory back when its task ends; Python workers live on between tasks."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return run

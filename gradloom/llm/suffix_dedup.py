@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import repeated_hashes
-from .shared import bounded_batches, buckets_for, documents, text_bytes
+from .shared import bounded_batches, buckets_for, documents, text_bytes, trimmed
 from .text import mix, slices, text_buffer
 
 LENGTH, GRAM, SHALLOW = 50, 20, 13
@@ -255,7 +255,7 @@ def _candidates(docs: DataFrame, filter_, n_buckets: int, length: int, gram: int
                 out.append((int(i), "runs", _packed(_RUNS, [ids[docs_], rows[docs_], key[pick], doc, count[pick], many[pick], places, text])))
             yield _rows(out)
 
-    return docs.mapInArrow(collect, "bucket int, kind string, packed binary")
+    return docs.mapInArrow(trimmed(collect), "bucket int, kind string, packed binary")
 
 
 def _sorted_spans(table: pa.Table, length: int, n_buckets: int) -> pa.Table:

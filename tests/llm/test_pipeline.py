@@ -106,6 +106,22 @@ def test_pieces(stages):
         assert r["n_pieces"] == len(encoder.ids([sentencepiece.marked(texts[r["doc_id"]])])[0])
 
 
+def test_null_and_repeated_ids(spark, tmp_path):
+    """Documents without an id, and different texts of one id, go all the way; repeated rows become one."""
+    rng = random.Random(1)
+    text = lambda: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rng.randint(0, 99)) for _ in range(60))
+    rows = [(i if i > 3 else None, text(), "en", "s", 1) for i in range(40)] + [(50, text(), "en", "s", 1), (50, text(), "en", "s", 1)]
+    rows.append(rows[20])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in pipeline.STAGES[:4]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "secrets":
+            assert sorted(r.text for r in docs.collect()) == sorted({r[1] for r in rows})
+    counts = Counter(r.text for r in docs.collect())
+    assert set(counts) == {r[1] for r in rows} and set(counts.values()) <= {1, 2}  # 1.5 copies each on average
+
+
 def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in pipeline.STAGES:
