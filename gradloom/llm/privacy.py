@@ -108,7 +108,7 @@ def features(tokens: list[str], i: int, j: int) -> list[str] | None:
         out.append(f"ats:{min(2, sum(p == '@' or p.lower() in _AT for p in part))}")
         if any(p in ",;:!?\"'<>=|/\n" for p in part):
             out.append("foreign")
-    elif len(digits) < 4 or letters or any(p not in " .-()+/" for p in part if not p[0].isdigit() and p[0] != " "):
+    elif len(digits) < 4 or letters or "+" in part[1:] or any(p not in " .-()+/" for p in part if not p[0].isdigit() and p[0] != " "):
         return None
     else:
         dots = part.count(".")
