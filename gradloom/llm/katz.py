@@ -1,20 +1,20 @@
 """Katz backoff language model: Good-Turing discounted counts, exactly normalised backoff weights.
 
-Tokens are words (A-Z lower-cased) and one end per document.  All word counts are gathered into a table partitioned by
-word; n-gram counts of order 2 and 3 into one partitioned by order.  An n-gram is stored if its words are among the
-1024 (order 2) or 96 (order 3) most frequent, so those tables have proven bounds (1024**2, 96**3) and can be
-broadcast; so can the words that hold at least one in 2**20 of all tokens, which are at most 2**20.  All other words are
-scored by a join with the word table; none of them can be a hot key.
-
-An n-gram that isn't stored counts as unseen: its probability is the backoff weight of its context times that of the
-shorter n-gram, recursively.  A context's weight is (1 - what its stored n-grams hold) / (1 - what these hold one order
-lower), so every context's probabilities, over all known words and one class of unknown ones, add up to 1.
+Tokens are words (A-Z lower-cased) and one end per document.  All n-grams of orders 1, 2 and 3 are counted, none is left
+out; each order is a table of 64-bit hashes that Spark partitions.  Rows of documents that are only scored stand in the
+same tables with count 0, so that every distinct n-gram gets its probability once, by joins from order 1 to 3; documents
+then join the order-3 table.  What is broadcast are rows of keys that hold at least one in ``HOT`` of all training
+tokens, ``HOT`` rows at most: a shortcut that keeps such keys out of the shuffles; it changes no result.
+
+An n-gram that was not seen has the backoff weight of its context times the probability of the shorter n-gram,
+recursively.  A context's weight is (1 - what its n-grams hold) / (1 - what these hold one order lower), so every
+context's probabilities, over all known words and one class of unknown ones, add up to 1.  A context's count is the sum
+of its n-grams' counts, as each of its places is followed by one token.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches, documents, trimmed, written
-from .text import slices, text_buffer, word_bounds, word_hashes
+from .text import mix, slices, text_buffer, word_bounds, word_hashes
 
-#: Words that order-2 and order-3 n-grams are made of, specials included.
-STORED = {2: 1024, 3: 96}
-#: A word with this share of the training tokens is broadcast.
-FREQUENT = 1 << 20
+#: A key with this share of the training tokens is joined by broadcast.
+HOT = 1 << 14
 #: Counts up to this are discounted.
 LOW = 5
 _END_HASH = np.uint64(0x5EED_0E4D_0000_0001)
-_END, _START = 0, 1  # ids of the end and of what stands before a document
+_START_HASH = np.uint64(0x5EED_57A2_0000_0003)
+_NO_CONTEXT = 0  # what a first token has at order 3
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,110 +47,72 @@ def is_training(n: int = 10, out: int = 0) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(n)) != out
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """(word long, n long): how often each token occurs in ``training`` (text)."""
-    bounded_batches(training.sparkSession)
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a) * np.uint64(0x9E3779B97F4A7C15) + b)
 
-    def count(batches):
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(0))
-            parts = [np.unique(tokens_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0], return_counts=True) for lo, hi in slices(offsets)]
-            if parts:
-                words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    return training.select("text").mapInArrow(trimmed(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def ngrams_of(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token (word before it, context of order 3, its bigram); documents have at least an end."""
+    first = np.concatenate([[True], doc[1:] != doc[:-1]])
+    before = np.concatenate([hashes[:1], hashes[:-1]])
+    before[first] = _START_HASH
+    gram = _pair(before, hashes)
+    context = np.concatenate([gram[:1], gram[:-1]])
+    context[first] = _NO_CONTEXT
+    return before, context, gram
 
 
-@dataclass
-class Vocabulary:
-    """Frequent words: ascending hashes, their counts and ids (by count; from 2, after the specials)."""
+def _summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of parallel ``keys`` and the sums of their ``n``."""
+    order = np.lexsort(keys)
+    keys, n = [k[order] for k in keys], n[order]
+    new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+    at = np.flatnonzero(new)
+    return [k[at] for k in keys], np.add.reduceat(n, at)
 
-    words: np.ndarray
-    counts: np.ndarray
-    ids: np.ndarray
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, whether it is there) of each hash."""
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return at, self.words[at] == hashes
+def _rows(docs: DataFrame, columns: tuple[str, ...], grams) -> DataFrame:
+    """(columns, n) of what ``grams`` makes of a slice's (tokens, document, key, whether it is training), summed by slice."""
+    bounded_batches(docs.sparkSession)
 
-    def token_ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at, there = self.find(hashes)
-        ids = np.where(there, self.ids[at] if len(self.ids) else -1, -1)
-        ids[hashes == _END_HASH] = _END
-        return ids, at, there
+    def make(batches):
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(0))
+            own, learn = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, hi in slices(offsets):
+                hashes, doc = tokens_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                keys, n = _summed(*grams(hashes, doc, own[lo:hi], learn[lo:hi]))
+                for at in range(0, len(n), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(k[part].view(np.int64)) for k in keys] + [pa.array(n[part])], [*columns, "n"])
 
+    return docs.select("text", "key", F.expr("NOT held_out").alias("learn")).mapInArrow(trimmed(make), ", ".join(f"{c} long" for c in (*columns, "n")))
 
-def collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Two long columns of a table of bounded size, packed before they leave the executors."""
 
-    def pack(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([c.cast(pa.int64()).to_numpy(zero_copy_only=False).tobytes()]) for c in batch.columns], ["a", "b"])
-
-    parts = rows.mapInArrow(pack, "a binary, b binary").collect()
-    both = [(np.frombuffer(r.a, np.int64), np.frombuffer(r.b, np.int64)) for r in parts]
-    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*both, strict=True) if both else ((), ())))
-
-
-def vocabulary(counts: DataFrame, n_tokens: int) -> Vocabulary:
-    words, n = collected(counts.where(F.col("n") * FREQUENT >= n_tokens))  # FREQUENT rows at most
-    words = words.view(np.uint64)
-    order = np.argsort(words)
-    words, n = words[order], n[order]
-    ids = np.empty(len(words), np.int64)
-    ids[np.lexsort((words, -np.where(words == _END_HASH, -1, n)))] = np.arange(2, len(words) + 2)  # the end comes last; its id is its own
-    return Vocabulary(words, n, ids)
-
-
-def _back(ids: np.ndarray, doc: np.ndarray, by: int) -> np.ndarray:
-    """The ids ``by`` tokens earlier in the same document; one start before it, and -1 before that."""
-    out = np.full(len(ids), -1, np.int64)
-    out[by:] = ids[: max(0, len(ids) - by)]
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    for j in range(by):
-        at = first + j
-        at = at[at < len(ids)]
-        at = at[doc[at] == doc[at - j]] if j else at
-        out[at] = _START if j == by - 1 else -1
-    return out
+def bigram_counts(docs: DataFrame) -> DataFrame:
+    """(a, w, n): all bigrams of ``docs``; n counts those of training rows."""
+    rows = _rows(docs, ("a", "w", "gram"), lambda hashes, doc, _, learn: ((lambda a, _c, g: [a, hashes, g])(*ngrams_of(hashes, doc)), learn[doc]))
+    return rows.groupBy("a", "w", "gram").agg(F.sum("n").alias("n"))
 
 
-def _code(order: int, *ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code, whether the n-gram may be stored) of parallel ids, the predicted one last."""
-    size, code, fits = STORED[order], np.zeros(len(ids[0]), np.int64), np.ones(len(ids[0]), bool)
-    for x in ids:
-        fits &= (x >= 0) & (x < size)
-        code = code * size + x
-    return code, fits
+def trigram_counts(docs: DataFrame) -> DataFrame:
+    """(c, gram, n): all trigrams by the hashes of their two bigrams; a first token has no context and no count."""
 
+    def grams(hashes, doc, _, learn):
+        _, context, gram = ngrams_of(hashes, doc)
+        return [context, gram], learn[doc] * (context != _NO_CONTEXT)
 
-def ngram_counts(training: DataFrame, words: Vocabulary) -> DataFrame:
-    """(m int, code int, n long) of the n-grams that may be stored."""
-    bounded_batches(training.sparkSession)
-    shared = training.sparkSession.sparkContext.broadcast(words)
+    return _rows(docs, ("c", "gram"), grams).groupBy("c", "gram").agg(F.sum("n").alias("n"))
 
-    def count(batches):
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(0))
-            parts = {2: [], 3: []}
-            for lo, hi in slices(offsets):
-                hashes, doc = tokens_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                ids, one, two = (x := shared.value.token_ids(hashes)[0]), _back(x, doc, 1), _back(x, doc, 2)
-                for m, known in ((2, (one, ids)), (3, (two, one, ids))):
-                    code, fits = _code(m, *known)
-                    parts[m].append(np.unique(code[fits], return_counts=True))
-            for m, found in parts.items():
-                if found:
-                    codes, at = np.unique(np.concatenate([p[0] for p in found]), return_inverse=True)
-                    n = np.bincount(at, np.concatenate([p[1] for p in found]), len(codes)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), m, np.int32)), pa.array(codes.astype(np.int32)), pa.array(n)], ["m", "code", "n"])
 
-    return training.select("text").mapInArrow(trimmed(count), "m int, code int, n long").groupBy("m", "code").agg(F.sum("n").alias("n"))
+def places(docs: DataFrame) -> DataFrame:
+    """(key, c, gram, n): the trigrams of each document and how often it has them."""
+
+    def grams(hashes, doc, own, _):
+        _, context, gram = ngrams_of(hashes, doc)
+        return [gram, context, own[doc].view(np.uint64)], np.ones(len(doc), np.int64)
+
+    return _rows(docs, ("gram", "c", "key"), grams)
 
 
 def good_turing(of: dict[int, int]) -> np.ndarray:
@@ -165,125 +126,43 @@ def good_turing(of: dict[int, int]) -> np.ndarray:
     return out
 
 
-def _discounted(n: np.ndarray, d: np.ndarray) -> np.ndarray:
-    return n * np.where(n <= LOW, d[np.minimum(n, LOW)], 1.0)
-
-
-def _lookup(keys: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
-    at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-    return at, keys[at] == codes
-
-
-class KatzModel:
-    """What is broadcast: frequent words, stored n-grams with log10 probabilities, contexts with log10 weights."""
-
-    def __init__(self, words: Vocabulary, grams: dict[int, tuple[np.ndarray, np.ndarray]], n_tokens: int, n_docs: int, word_factors: np.ndarray, held_by_words: float):
-        self.words, self.n_tokens, self.n_docs = words, n_tokens, n_docs
-        # leaves half a token to unknown words at least
-        self.scale = min(1.0, (n_tokens - 0.5) / held_by_words) if held_by_words else 1.0
-        self.factors = word_factors
-        self.unknown = 1 - self.scale * held_by_words / n_tokens if n_tokens else 1.0
-        self.word_logs = np.log10(self.word_probability(words.counts))
-        by_id = np.full(STORED[2], np.nan)  # probabilities of the words of bigrams
-        few = words.ids < STORED[2]
-        ends = words.words == _END_HASH
-        by_id[words.ids[few & ~ends]] = self.word_probability(words.counts)[few & ~ends]
-        by_id[_END] = self.word_probability(np.array([n_docs]))[0]
-        counts_by_id = np.zeros(STORED[2])
-        counts_by_id[words.ids[few & ~ends]] = words.counts[few & ~ends]
-        counts_by_id[_START] = n_docs
-        self.keys, self.logs, self.contexts, self.weights = {}, {}, {}, {}
-        for m in (2, 3):
-            code, n = grams[m]
-            order = np.argsort(code)
-            code, n = code[order].astype(np.int64), n[order]
-            size = STORED[m]
-            context, word = code // size, code % size
-            of = dict(zip(*np.unique(n, return_counts=True), strict=True))
-            held = _discounted(n, good_turing(of))
-            contexts, which = np.unique(context, return_inverse=True)
-            if m == 2:
-                total, lower = counts_by_id[contexts], by_id[word]
-            else:
-                a, b = contexts // size, contexts % size
-                at, _ = _lookup(self.keys[2], a * STORED[2] + b)
-                total, lower = self.bigram_counts[at], 10.0 ** self.from_order(2, word, [context % size], by_id)
-            scale = np.minimum(1.0, (total - 0.5) / np.bincount(which, held, len(contexts))) if len(code) else np.zeros(0)
-            p = held * scale[which] / total[which] if len(code) else np.zeros(0)
-            left = 1 - np.bincount(which, p, len(contexts))
-            below = 1 - np.bincount(which, lower, len(contexts))
-            self.keys[m], self.logs[m], self.contexts[m] = code, np.log10(p), contexts
-            self.weights[m] = np.log10(left / np.maximum(below, 1e-12))
-            if m == 2:
-                self.bigram_counts = n
-
-    def word_probability(self, n: np.ndarray) -> np.ndarray:
-        return self.scale * _discounted(n, self.factors) / max(1, self.n_tokens)
-
-    def from_order(self, m: int, word: np.ndarray, history: list[np.ndarray], by_id: np.ndarray) -> np.ndarray:
-        """log10 probabilities of stored words, evaluated from order ``m`` down; ``history``: last token first."""
-        if m == 1:
-            return np.log10(by_id[word])
-        code, fits = _code(m, *history[m - 2 :: -1], word)
-        at, hit = _lookup(self.keys[m], code)
-        hit &= fits
-        out = np.where(hit, self.logs[m][at] if len(self.logs[m]) else 0.0, 0.0)
-        rest = ~hit
-        out[rest] = self.weight(m, [h[rest] for h in history]) + self.from_order(m - 1, word[rest], [h[rest] for h in history], by_id)
-        return out
-
-    def weight(self, m: int, history: list[np.ndarray]) -> np.ndarray:
-        context, fits = _code(m, *history[m - 2 :: -1])
-        at, there = _lookup(self.contexts[m], context)
-        return np.where(there & fits, self.weights[m][at] if len(self.weights[m]) else 0.0, 0.0)
-
-    def token_logs(self, hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log10 probability but for the word's own where it isn't broadcast, count, whether it is broadcast)."""
-        ids, at, there = self.words.token_ids(hashes)
-        ends = hashes == _END_HASH
-        out, todo, history = np.zeros(len(ids)), np.arange(len(ids)), [_back(ids, doc, 1), _back(ids, doc, 2)]
-        for m in (3, 2):
-            h = [x[todo] for x in history]
-            code, fits = _code(m, *h[m - 2 :: -1], ids[todo])
-            pos, hit = _lookup(self.keys[m], code)
-            hit &= fits
-            out[todo[hit]] += self.logs[m][pos[hit]]
-            todo, h = todo[~hit], [x[~hit] for x in h]
-            out[todo] += self.weight(m, h)
-        known = todo[there[todo]]
-        out[known] += self.word_logs[at[known]]
-        counts = np.where(there, self.words.counts[at] if len(self.words.counts) else 0, 0)
-        missing = todo[ends[todo] & ~there[todo]]  # an end rarer than frequent words
-        out[missing] += np.log10(self.word_probability(np.array([self.n_docs]))[0]) if self.n_docs else math.log10(self.unknown)
-        counts[ends] = self.n_docs
-        return out, counts, there | ends
-
-
-def _scored(docs: DataFrame, model: KatzModel) -> DataFrame:
-    bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def factors_of(counts: DataFrame) -> np.ndarray:
+    row = counts.agg(*[F.sum((F.col("n") == r).cast("long")).alias(f"n{r}") for r in range(1, LOW + 2)]).first()
+    return good_turing({r: row[f"n{r}"] or 0 for r in range(1, LOW + 2)})
+
+
+def discounted(factors: np.ndarray) -> Column:
+    """The discounted ``n``."""
+    n = F.col("n")
+    return F.when(n <= LOW, n * F.element_at(F.array(*[F.lit(float(x)) for x in factors]), (F.least(n, F.lit(LOW)) + 1).cast("int"))).otherwise(n.cast("double"))
 
-    def score(batches):
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(2))
-            for lo, hi in slices(offsets):
-                n = hi - lo
-                hashes, doc = tokens_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                logs, counts, there = shared.value.token_logs(hashes, doc)
-                sums = lambda x, pick=slice(None): np.bincount(doc[pick], x[pick], n)  # noqa: B023, E731
-                own = np.flatnonzero(~there)
-                order = own[np.lexsort((hashes[own], doc[own]))]
-                h, d = hashes[order], doc[order]
-                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])) if len(h) else np.zeros(0, np.int64)
-                times, edges = np.diff(np.append(first, len(h))), np.searchsorted(d[first], np.arange(n + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x)) for x in (h[first].view(np.int64), times.astype(np.int32))]
-                known = (counts > 0) & there
-                columns = [np.bincount(doc, minlength=n), sums(known.astype(float)).astype(np.int64), sums(np.log10(counts + 0.1), there), sums(logs)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], *map(pa.array, columns), *lists], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "words", "times"])
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(trimmed(score), "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, words array<long>, times array<int>")
+def looked_up(rows: DataFrame, table: DataFrame, on: str, values: tuple[str, ...], hot: Column, salt: tuple[str, ...]) -> DataFrame:
+    """``rows`` with the ``values`` that ``table`` has for ``on``, null where it has none.
+
+    ``hot`` says which rows of the table are broadcast.  What these serve is dealt by a hash of ``salt`` and is not
+    looked up again, so that no key takes more than its share of a task.
+    """
+    few = table.where(hot).select(F.col(on), F.struct(*values).alias("hot"))
+    rest = table.where(~hot).select(F.col(on).alias("cold_on"), F.struct(*values).alias("cold"))
+    rows = rows.join(F.broadcast(few), on, "left")
+    rows = rows.withColumn("by", F.when(F.col("hot").isNull(), F.col(on)).otherwise(F.xxhash64(*salt)))
+    rows = rows.join(rest, F.col("by") == F.col("cold_on"), "left")
+    return rows.select("*", *[F.coalesce(f"hot.{v}", f"cold.{v}").alias(v) for v in values]).drop("hot", "by", "cold_on", "cold")
+
+
+def contexts_of(rows: DataFrame, on: str, factors: np.ndarray) -> DataFrame:
+    """(on, total, scale, weight) of contexts seen in training; ``rows`` has n and log10 of the order below as ``lower``."""
+    sums = rows.where("n > 0").groupBy(on).agg(F.sum("n").alias("total"), F.sum(discounted(factors)).alias("held"), F.sum(F.pow(F.lit(10.0), F.col("lower"))).alias("below"))
+    scale = F.least(F.lit(1.0), (F.col("total") - 0.5) / F.col("held"))
+    left = 1 - F.col("scale") * F.col("held") / F.col("total")
+    return sums.withColumn("scale", scale).select(on, "total", "scale", F.log10(left / F.greatest(1 - F.col("below"), F.lit(1e-12))).alias("weight"))
+
+
+def probability(factors: np.ndarray) -> Column:
+    """log10 of an n-gram's probability from its context's total, scale and weight and from ``lower``."""
+    seen = F.log10(discounted(factors) * F.col("scale") / F.col("total"))
+    return F.when(F.col("n") > 0, seen).otherwise(F.coalesce("weight", F.lit(0.0)) + F.col("lower"))
 
 
 def katz_scores(docs: DataFrame, training: Column | None = None) -> DataFrame:
@@ -294,39 +173,42 @@ def katz_scores(docs: DataFrame, training: Column | None = None) -> DataFrame:
     (base_score: log10 of 0.1 / 0.1 = 0).  Repeated rows each get a row; an empty table gives an empty result.
     """
     training = is_training() if training is None else training
-    docs = docs.select(F.col("doc_id").cast("long"), "text", (~training).alias("held_out"))
-    learn = docs.where("NOT held_out")
-    counts = written(word_counts(learn), "katz-words")  # the model's order-1 table
-    small = [F.sum((F.col("n") == r).cast("long")).alias(f"n{r}") for r in range(1, LOW + 2)]
-    end = F.sum(F.when(F.col("word") == int(_END_HASH.view(np.int64)), F.col("n")))
-    low = [F.sum(F.when(F.col("n") <= LOW, F.col("n"))).alias("low")]
-    about = counts.agg(F.sum("n").alias("all"), F.count("*").alias("distinct"), end.alias("docs"), *small, *low).first()
-    n_tokens, n_distinct, n_docs = about["all"] or 0, about["distinct"], about["docs"] or 0
-    of = {r: about[f"n{r}"] or 0 for r in range(1, LOW + 2)}
-    factors = good_turing(of)
-    held = n_tokens - (about["low"] or 0) + sum(r * of[r] * factors[r] for r in range(1, LOW + 1))
-    words = vocabulary(counts, n_tokens)
-    grams = ngram_counts(learn, words)
-    grams = written(grams.repartition("m", F.pmod(F.hash("code"), F.lit(8))), "katz-grams")
-    tables = {m: collected(grams.where(F.col("m") == m).select("code", "n")) for m in STORED}  # STORED[m]**m rows at most
-    model = KatzModel(words, tables, n_tokens, n_docs, factors, held)
-    scored = written(_scored(docs, model).withColumn("key", F.xxhash64("doc_id", "words", "times")), "katz-scored")
-
-    rare = scored.where(F.size("words") > 0).dropDuplicates(["key"]).select("key", F.explode(F.arrays_zip("words", "times")).alias("e")).select("key", F.col("e.words").alias("word"), F.col("e.times").alias("times"))
-    rare = rare.join(counts, "word", "left")
-    n = F.col("n")
-    factor = F.element_at(F.array(*[F.lit(float(x)) for x in factors[1:]]), F.least(n, F.lit(LOW)).cast("int"))
-    own = F.when(n.isNull(), F.lit(math.log10(model.unknown))).otherwise(F.log10(F.when(n <= LOW, n * factor).otherwise(n.cast("double")) * (model.scale / max(1, n_tokens))))
-    rare = rare.groupBy("key").agg(
-        F.sum(F.when(n.isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * F.log10(F.coalesce(n, F.lit(0)) + 0.1)).alias("rare_base"),
-        F.sum(F.col("times") * own).alias("rare_score"),
-    )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    docs = docs.select(F.col("doc_id").cast("long"), "text", (~training).alias("held_out")).withColumn("key", F.xxhash64("doc_id", "text"))
+
+    grams = written(bigram_counts(docs), "katz-bigrams")
+    words = written(grams.groupBy("w").agg(F.sum("n").alias("n")), "katz-words")
+    d1, d2 = factors_of(words), factors_of(grams)
+    about = words.where("n > 0").agg(F.sum("n").alias("all"), F.count("*").alias("distinct"), F.sum(discounted(d1)).alias("held")).first()
+    n_tokens, n_distinct, held = about["all"] or 0, about["distinct"], about["held"] or 0.0
+    hot = lambda n: F.col(n) * HOT >= max(1, n_tokens)
+    scale = min(1.0, (n_tokens - 0.5) / held) if held else 1.0  # leaves half a token to unknown words at least
+    unknown = 1 - scale * held / n_tokens if n_tokens else 1.0
+    words = words.select("w", F.col("n").alias("n1"), F.when(F.col("n") > 0, F.log10(discounted(d1) * (scale / max(1, n_tokens)))).otherwise(F.lit(math.log10(unknown))).alias("lower"))
+
+    grams = written(looked_up(grams, words, "w", ("n1", "lower"), hot("n1"), ("a", "w")), "katz-bigrams-lower")
+    contexts = written(contexts_of(grams, "a", d2), "katz-words-weights")
+    grams = looked_up(grams, contexts, "a", ("total", "scale", "weight"), hot("total"), ("a", "w"))
+    grams = written(grams.select("gram", F.col("n").alias("n2"), "n1", probability(d2).alias("lower")), "katz-order2")
+
+    triples = written(trigram_counts(docs), "katz-trigrams")
+    d3 = factors_of(triples)
+    triples = written(looked_up(triples, grams, "gram", ("n1", "lower"), hot("n2"), ("c", "gram")), "katz-trigrams-lower")
+    contexts = written(contexts_of(triples, "c", d3), "katz-bigrams-weights")
+    triples = looked_up(triples, contexts, "c", ("total", "scale", "weight"), hot("total"), ("c", "gram"))
+    triples = written(triples.select(F.xxhash64("c", "gram").alias("triple"), F.col("n").alias("n3"), "n1", probability(d3).alias("log")), "katz-order3")
+
+    found = places(docs).select("key", F.xxhash64("c", "gram").alias("triple"), "n")
+    found = looked_up(found, triples, "triple", ("n1", "log"), hot("n3"), ("key", "triple"))
+    sums = [F.sum("n").alias("all"), F.sum(F.when(F.col("n1") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10(F.col("n1") + 0.1)).alias("base"), F.sum(F.col("n") * F.col("log")).alias("log")]
+    found = found.groupBy("key").agg(*sums)
+    rows = docs.select("doc_id", "held_out", "key")
+    copies = rows.groupBy("key").agg(F.count("*").alias("copies"))  # rows alike in id and text add up under one key
+    found = found.join(copies, "key")
+    of_one = lambda c: F.col(c) / F.col("copies")
     per_token = math.log10(n_tokens + 0.1 * (n_distinct + 1))
-    return scored.drop("words", "times").join(rare, "key", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + zero("rare_known")).cast("long").alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("rare_base") - F.col("n_tokens") * per_token).alias("base_score"), (F.col("score") + zero("rare_score")).alias("score"),
+    return rows.join(found, "key").select(
+        "doc_id", "held_out", of_one("all").cast("long").alias("n_tokens"), of_one("known").cast("long").alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"),
+        (of_one("base") - of_one("all") * per_token).alias("base_score"), of_one("log").alias("score"),
     )
 
 

@@ -105,3 +105,17 @@ def test_scores_match_plain(spark):
 
 def test_empty(spark):
     assert katz.katz_scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_rare_words_are_in_the_model(spark):
+    """N-grams of more words than any fixed number of frequent ones, and copies of rows."""
+    rng = np.random.default_rng(9)
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 3000, 40).repeat(2)[:60])) for i in range(120)]
+    docs += [(i + 200, docs[i][1]) for i in range(60)] + [docs[5]]
+    p, _ = plain_model(docs)
+    got = katz.katz_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == len(docs)
+    texts = dict(docs)
+    for r in got[::7]:
+        line = [b"<start>", *tokens(texts[r.doc_id])]
+        assert r.score == pytest.approx(sum(math.log10(p(line[k], tuple(line[max(0, k - 2) : k]))) for k in range(1, len(line))), abs=1e-6), r.doc_id
