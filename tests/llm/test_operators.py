@@ -78,6 +78,18 @@ def test_quality_rejects_outliers(spark):
     assert all(got.values())
 
 
+def test_quality_rejects_shouting_and_tables_by_labels(spark):
+    """Junk a few deviations off goes, by widths from labels; clean documents that took no part in the choice stay."""
+    rng = random.Random(5)
+    plain = lambda: " ".join(rng.choice(WORDS) for _ in range(150))
+    rows = [(i, plain(), "en", "s", 1) for i in range(400)]
+    junk = [(1000 + i, " ".join(w.upper() + "!!" if rng.random() < 0.4 else w for w in plain().split()) if i % 2 else plain().replace(" ", " | "), "en", "s", 1) for i in range(24)]
+    labels = spark.createDataFrame([(i, 1) for i in range(300)] + [(1000 + i, 0) for i in range(16)], "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in quality.quality_rules(frame(spark, rows + junk), labels=labels).collect()}
+    assert sum(not got[1000 + i] for i in range(24)) >= 16
+    assert sum(not got[i] for i in range(300, 400)) <= 3
+
+
 # mixing
 
 
