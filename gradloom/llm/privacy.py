@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_batches, documents
 
-LONGEST = 20  # tokens in a segment
+LONGEST = 20  # tokens in a segment, blanks and brackets left out
 KINDS = ("email", "ip", "card", "phone", "ssn")
 BASE_KINDS = KINDS[:4]
 
@@ -104,6 +104,11 @@ def features(tokens: list[str], i: int, j: int) -> list[str] | None:
         if word:
             framed = all(k > 0 and part[k - 1] in "([{ " for k, p in enumerate(part) if p.lower() in _AT)
             out += [f"framed:{any(p in '([{' for p in part)}:{framed}", f"dotword:{any(p.lower() in _DOT for p in right)}"]
+            follows = [t.lower() for t in tokens[j : j + 4] if t[0] not in " \t()[]{}"]
+            spoken = [p.lower() for p in left if p[0] not in " \t()[]{}"]
+            loose = any(a.isalnum() and b.isalnum() and not {a, b} & _DOT for a, b in zip(spoken, spoken[1:]) if a + b not in "".join(left).lower())
+            whole = all(part.count(a) == part.count(b) for a, b in ("()", "[]", "{}"))
+            out += [f"ends:{part[-1].lower() in _DOT}", f"whole:{whole}", f"loose:{loose}", f"more:{follows[:1] == ['dot']}"]
         out.append(f"blanks:{min(2, sum(p[0] in ' ' for p in part))}:{word}")
         out.append(f"ats:{min(2, sum(p == '@' or p.lower() in _AT for p in part))}")
         if any(p in ",;:!?\"'<>=|/\n" for p in part):
@@ -147,11 +152,14 @@ def stretches(text: str) -> list[Stretch]:
         tokens = [(m.start() + lo, m.group()) for m in _TOKEN.finditer(text[lo:hi])]
         words, starts = [t for _, t in tokens], [s for s, _ in tokens]
         hot = np.cumsum([0, *[t[0].isdigit() and len(t) or 7 * (t == "@" or t.lower() in _AT) for t in words]])
+        counted = np.cumsum([0, *[t[0] not in " \t()[]{}" for t in words]])
         found = []
         for i, w in enumerate(words):
             if not (w.isalnum() or w in "+("):
                 continue
-            for j in range(i + 1, min(len(words), i + LONGEST) + 1):
+            for j in range(i + 1, len(words) + 1):
+                if counted[j] - counted[i] > LONGEST:
+                    break
                 if hot[j] - hot[i] >= 4 and words[j - 1].isalnum() and (names := features(words, i, j)) is not None:
                     found.append((i, j, names))
         if found:

@@ -241,6 +241,15 @@ def test_addresses_in_words():
         assert len(kinds) == 1 and found[-12:] in kinds[0], kinds
 
 
+def test_whole_long_addresses_in_words():
+    """Blanks and brackets don't count towards the longest segment, and an address doesn't end before its last word."""
+    model = privacy.trained()
+    for address in ("john [dot] smith [at] example [dot] co [dot] uk", "jane.doe [at] example [dot] co [dot] uk", "john [at] example [dot] com", "john at example dot com"):
+        text = f"call (212) 555-0187 or mail {address} today"
+        assert ("email", 28, 28 + len(address)) in {("email", s.starts[i], s.ends[j - 1]) for s in privacy.stretches(text) for i, j, _ in s.segments}
+        assert [text[a:b] for k, a, b in model.spans(text) if k == "email"] == [address]
+
+
 def test_semi_markov_against_enumeration():
     """Best score and probabilities are those of all segmentations written out."""
     rng = np.random.default_rng(0)
