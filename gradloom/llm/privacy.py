@@ -12,9 +12,10 @@ Spans of the field that meet no base span are added to the base spans.
 
 from __future__ import annotations
 
+import math
 import random
 import re
-from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +24,45 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_batches, documents
 
-LONGEST = 20  # tokens in a segment, blanks and brackets left out
+LONGEST, MOST = 20, 80  # tokens in a segment: blanks and brackets left out, and in all
 KINDS = ("email", "ip", "card", "phone", "ssn")
 BASE_KINDS = KINDS[:4]
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
+def email_spans(text: str):
+    """Leftmost matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, in linear time.
+
+    The part before a sign is the whole run of its characters, as far as the last match leaves it.
+    """
+    free = 0
+    for sign in re.finditer("@", text):
+        at = first = sign.start()
+        domain = _DOMAIN.match(text, at + 1)
+        while domain and first > free and text[first - 1] in _LOCAL:
+            first -= 1
+        if first < at:
+            free = domain.end()
+            yield first, free
+
+
+def ip_spans(text: str):
+    """Leftmost matches of four dotted numbers of at most 255, in linear time: a row of dotted numbers is dealt in fours."""
+    for row in _DOTTED.finditer(text):
+        parts, at = row.group().split("."), row.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p := x.lstrip("0")) <= 3 and int(p or "0") <= 255 for x in four):
+                yield at, end
+            at = end + 1
+
+
 def digits_of(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -47,11 +77,9 @@ def luhn(digits: str) -> bool:
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base patterns, by kind and start; matches that fail their test are dropped."""
-    out = []
-    if "@" in text:
-        out += [("email", *m.span()) for m in _EMAIL.finditer(text)]
+    out = [("email", *s) for s in email_spans(text)]
     if "." in text:
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        out += [("ip", *s) for s in ip_spans(text)]
     for m in _CARD.finditer(text):
         if 13 <= len(m.group()) and 13 <= len(d := digits_of(m.group())) <= 19 and luhn(d):
             out.append(("card", *m.span()))
@@ -71,13 +99,26 @@ _CUES = {
 _AT, _DOT = {"at"}, {"dot"}
 
 
-@dataclass
 class Stretch:
-    """Tokens of a piece of text and its candidate segments: (first, end, feature names)."""
-
-    starts: list[int]
-    ends: list[int]
-    segments: list[tuple[int, int, list[str]]]
+    """Tokens of a piece of text; ``segments`` of a range of first tokens: (first, end, feature names)."""
+
+    def __init__(self, words: list[str], starts: list[int]):
+        self.words, self.starts, self.ends = words, starts, [s + len(w) for s, w in zip(starts, words, strict=True)]
+        # digits and signs of addresses up to each token, and tokens that count towards the longest segment
+        self._signs = np.cumsum([0, *[t[0].isdigit() and len(t) or 7 * (t == "@" or t.lower() in _AT) for t in words]]).tolist()
+        self._counted = np.cumsum([0, *[t[0] not in " \t()[]{}" for t in words]]).tolist()
+
+    def segments(self, lo: int = 0, hi: int | None = None) -> list[tuple[int, int, list[str]]]:
+        words, signs, counted, found = self.words, self._signs, self._counted, []
+        for i in range(lo, len(words) if hi is None else min(hi, len(words))):
+            if not (words[i].isalnum() or words[i] in "+("):
+                continue
+            for j in range(i + 1, min(len(words), i + MOST) + 1):
+                if counted[j] - counted[i] > LONGEST:
+                    break
+                if signs[j] - signs[i] >= 4 and words[j - 1].isalnum() and (names := features(words, i, j)) is not None:
+                    found.append((i, j, names))
+        return found
 
 
 def features(tokens: list[str], i: int, j: int) -> list[str] | None:
@@ -140,31 +181,19 @@ def features(tokens: list[str], i: int, j: int) -> list[str] | None:
     return out
 
 
-def stretches(text: str) -> list[Stretch]:
-    """The parts of a text that have candidate segments; everything else is outside entities."""
-    at = [m.start() for m in re.finditer(r"[0-9@]|(?i:\bat\b)", text)]
-    out, k = [], 0
-    while k < len(at):
-        first = last = at[k]
-        while k < len(at) and at[k] - last <= 40:
-            last, k = at[k], k + 1
-        lo, hi = max(0, first - 48), min(len(text), last + 48)
-        tokens = [(m.start() + lo, m.group()) for m in _TOKEN.finditer(text[lo:hi])]
-        words, starts = [t for _, t in tokens], [s for s, _ in tokens]
-        hot = np.cumsum([0, *[t[0].isdigit() and len(t) or 7 * (t == "@" or t.lower() in _AT) for t in words]])
-        counted = np.cumsum([0, *[t[0] not in " \t()[]{}" for t in words]])
-        found = []
-        for i, w in enumerate(words):
-            if not (w.isalnum() or w in "+("):
-                continue
-            for j in range(i + 1, len(words) + 1):
-                if counted[j] - counted[i] > LONGEST:
-                    break
-                if hot[j] - hot[i] >= 4 and words[j - 1].isalnum() and (names := features(words, i, j)) is not None:
-                    found.append((i, j, names))
-        if found:
-            out.append(Stretch(starts, [s + len(t) for s, t in tokens], found))
-    return out
+def stretches(text: str):
+    """The parts of a text that can have candidate segments, one after another; everything else is outside entities."""
+    first = last = None
+    for m in chain(re.finditer(r"[0-9@]|(?i:\bat\b)", text), [None]):
+        if m is not None and first is not None and m.start() - last <= 40:
+            last = m.start()
+            continue
+        if first is not None:
+            lo, hi = max(0, first - 48), min(len(text), last + 48)
+            tokens = [(t.start() + lo, t.group()) for t in _TOKEN.finditer(text[lo:hi])]
+            yield Stretch([t for _, t in tokens], [s for s, _ in tokens])
+        if m is not None:
+            first = last = m.start()
 
 
 class SemiMarkov:
@@ -173,31 +202,42 @@ class SemiMarkov:
     def __init__(self, names: dict[str, int], weights: np.ndarray):
         self.names, self.weights = names, weights
 
-    def scores(self, stretch: Stretch) -> np.ndarray:
+    def scores(self, segments: list) -> np.ndarray:
         """(segments, kinds)"""
-        return np.stack([self.weights[[self.names[n] for n in names if n in self.names]].sum(axis=0) for _, _, names in stretch.segments])
-
-    def best(self, stretch: Stretch) -> list[tuple[str, int, int]]:
-        """The best segmentation's entities, by dynamic programming over token positions."""
-        scores = self.scores(stretch)
-        kinds, scores = scores.argmax(axis=1), scores.max(axis=1)
-        n, by_end = len(stretch.starts), {}
-        for s, (_, j, _) in enumerate(stretch.segments):
-            by_end.setdefault(j, []).append(s)
-        best, back = np.zeros(n + 1), [None] * (n + 1)
-        for t in range(1, n + 1):
-            best[t] = best[t - 1]
-            for s in by_end.get(t, ()):
-                value = best[stretch.segments[s][0]] + scores[s]
-                if value > best[t]:
-                    best[t], back[t] = value, s
+        return np.stack([self.weights[[self.names[n] for n in names if n in self.names]].sum(axis=0) for _, _, names in segments])
+
+    def best(self, stretch: Stretch, block: int = 256) -> list[tuple[str, int, int]]:
+        """The best segmentation's entities, by dynamic programming over token positions.
+
+        A position's score is settled once all segments that start before it are known, so candidates are written out
+        for ``block`` first tokens at a time, however long the stretch.
+        """
+        n = len(stretch.starts)
+        best, back = [0.0] + [-math.inf] * n, [None] * (n + 1)
+        for lo in range(0, n, block):
+            found = stretch.segments(lo, lo + block)
+            own = iter(())
+            if found:
+                scores = self.scores(found)
+                own = zip(found, scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist(), strict=True)
+            now = next(own, None)
+            for t in range(lo, min(lo + block, n)):
+                if t and best[t - 1] >= best[t]:
+                    best[t], back[t] = best[t - 1], None
+                while now is not None and now[0][0] == t:
+                    (_, j, _), kind, score = now
+                    if best[t] + score > best[j]:
+                        best[j], back[j] = best[t] + score, (t, kind)
+                    now = next(own, None)
+        if n and best[n - 1] >= best[n]:
+            back[n] = None
         out, t = [], n
         while t:
             if back[t] is None:
                 t -= 1
             else:
-                i, j, _ = stretch.segments[back[t]]
-                out.append((KINDS[kinds[back[t]]], stretch.starts[i], stretch.ends[j - 1]))
+                i, kind = back[t]
+                out.append((KINDS[kind], stretch.starts[i], stretch.ends[t - 1]))
                 t = i
         return out[::-1]
 
@@ -273,15 +313,16 @@ def trained(sentences: int = 500, epochs: int = 12, seed: int = 3) -> SemiMarkov
         text, spans = written_sentence(rng)
         gold = {(s, e): KINDS.index(k) for k, s, e in spans}
         for stretch in stretches(text):
-            target = np.array([gold.get((stretch.starts[i], stretch.ends[j - 1]), -1) for i, j, _ in stretch.segments])
-            index = [np.array([names.setdefault(n, len(names)) for n in own]) for _, _, own in stretch.segments]
-            data.append((stretch, index, target))
+            if segments := stretch.segments():
+                target = np.array([gold.get((stretch.starts[i], stretch.ends[j - 1]), -1) for i, j, _ in segments])
+                index = [np.array([names.setdefault(n, len(names)) for n in own]) for _, _, own in segments]
+                data.append((len(stretch.starts), segments, index, target))
     weights, square = np.zeros((len(names), len(KINDS))), np.full((len(names), len(KINDS)), 1e-3)
     for _ in range(epochs):
         rng.shuffle(data)
-        for stretch, index, target in data:
+        for n, segments, index, target in data:
             scores = np.stack([weights[f].sum(axis=0) for f in index])
-            _, p = expectations(scores, stretch.segments, len(stretch.starts))
+            _, p = expectations(scores, segments, n)
             pull = -p
             pull[np.flatnonzero(target >= 0), target[target >= 0]] += 1
             step = np.zeros_like(weights)
