@@ -1,9 +1,10 @@
 """Secret scans with a trigram inverted index.
 
-Each rule's regular expression yields a Boolean query over trigrams that every match must contain: an AND over the
-rule's mandatory literals, with an OR where a literal has alternatives.  A block of documents is indexed by trigram
-(lower-cased bytes; postings are sorted document numbers), the queries intersect and unite postings, and only the
-documents left are searched with the expression.  Rules without mandatory trigrams (runs of hex digits) scan every text.
+Each rule's parsed regular expression yields a Boolean query over trigrams that every match must contain: what stands
+side by side is strings whose trigrams are all needed, alternatives are an OR, and what may be left out or may be many
+things ends a string.  A block of documents is indexed by trigram (lower-cased bytes; postings are sorted document
+numbers), the queries intersect and unite postings, and only the documents left are searched with the expression.  Rules
+without mandatory trigrams (runs of hex digits) scan every text.
 
 The index holds the trigrams that some rule asks for, so its size per block is bounded by rules times documents.
 """
@@ -13,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
+from re import _constants as _re
+from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +27,12 @@ from .text import text_buffer
 
 @dataclass(frozen=True)
 class Rule:
-    """``literals``: an AND of ORs of strings, in any case, of which a match has one each; empty: no such strings.
-
-    ``least``: code points that ``group`` of a match must have; shorter matches are dropped, without a retry.
-    """
+    """``least``: code points that ``group`` of a match must have; shorter matches are dropped, without a retry."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
-    literals: tuple[tuple[str, ...], ...] = ()
     base: bool = False
 
     def spans(self, text: str):
@@ -47,33 +46,138 @@ def any_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isascii() and c.isalpha() else re.escape(c) for c in word)
 
 
-_KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+_KEYS = ("password", "passwd", "secret", "token")
 
 #: The contract's three kinds, then published formats of well-known credentials.
 RULES = (
-    Rule("assign", "(" + "|".join([*map(any_case, _KEYS[:4]), any_case("api") + "_?" + any_case("key")]) + r")[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12, (_KEYS,), True),
-    Rule("access", "AKIA[A-Z0-9]+", 0, 18, (("AKIA",),), True),
+    Rule("assign", "(" + "|".join([*map(any_case, _KEYS), any_case("api") + "_?" + any_case("key")]) + r")[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12, True),
+    Rule("access", "AKIA[A-Z0-9]+", 0, 18, True),
     # a run of under 16 digits would be dropped anyway, so only long runs are looked for
-    Rule("hex", "(?<![0-9a-f])[0-9a-f]{16,}", 0, 16, (), True),
-    Rule("session", r"(?<![A-Z0-9])ASIA[A-Z0-9]{16}(?![A-Z0-9])", 0, 0, (("ASIA",),)),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0, (("-----BEGIN ",), ("PRIVATE KEY-----",))),
-    Rule("github", r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,255}", 0, 0, (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),)),
-    Rule("slack", r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,250}", 0, 0, (("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"),)),
-    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0, (("eyJ",), (".eyJ",))),
-    Rule("google", r"(?<![A-Za-z0-9_-])AIza[A-Za-z0-9_-]{35}", 0, 0, (("AIza",),)),
+    Rule("hex", "(?<![0-9a-f])[0-9a-f]{16,}", 0, 16, True),
+    Rule("session", r"(?<![A-Z0-9])ASIA[A-Z0-9]{16}(?![A-Z0-9])"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("github", r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,255}"),
+    Rule("slack", r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,250}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("google", r"(?<![A-Za-z0-9_-])AIza[A-Za-z0-9_-]{35}"),
 )
 
 
+#: How many characters a class, and how many strings a stretch of an expression, may stand for before its string ends.
+CHARACTERS, STRINGS = 8, 64
+#: What letters also match where case is ignored beyond ASCII.
+_ALSO = {"i": "\u0130\u0131", "s": "\u017f", "k": "\u212a"}
+
+
 def trigrams(literal: str) -> list[int]:
     """Codes of the literal's trigrams of bytes, A-Z lower-cased."""
-    b = "".join(c.lower() if c.isascii() else c for c in literal).encode()
+    b = "".join(c.lower() if c.isascii() else c for c in literal).encode("utf-8", "surrogatepass")
     return sorted({b[i] << 16 | b[i + 1] << 8 | b[i + 2] for i in range(len(b) - 2)})
 
 
-def trigram_query(rule: Rule) -> list[list[list[int]]]:
-    """AND of OR of AND of trigram codes; [] if the rule has no mandatory trigram, and a scan is needed."""
-    clauses = [[trigrams(word) for word in words] for words in rule.literals]
-    return [c for c in clauses if all(c)]
+def all_of(parts: list) -> tuple | None:
+    """AND of queries; one that asks for nothing is None."""
+    parts = [p for p in parts if p is not None]
+    return parts[0] if len(parts) == 1 else ("all", parts) if parts else None
+
+
+def any_of(parts: list) -> tuple | None:
+    """OR of queries; nothing is asked for where one asks for nothing."""
+    return None if not parts or None in parts else parts[0] if len(parts) == 1 else ("any", parts)
+
+
+def one_of(strings: set[str]) -> tuple | None:
+    """The query for one of ``strings``: what has the trigrams of another one needn't be asked for."""
+    own = sorted({frozenset(trigrams(s)) for s in strings}, key=lambda t: (len(t), sorted(t)))
+    least = [t for i, t in enumerate(own) if not any(u <= t for u in own[:i])]
+    return any_of([("all", sorted(t)) if t else None for t in least])
+
+
+def _characters(items, flags: int) -> set[str] | None:
+    """The characters, A-Z lower-cased, that a class has, or None if these are too many or not listed."""
+    found: set[str] = set()
+    for op, value in items:
+        if op is _re.LITERAL:
+            points = [value]
+        elif op is _re.RANGE and value[1] - value[0] < 64:
+            points = range(value[0], value[1] + 1)
+        else:
+            return None
+        for c in map(chr, points):
+            if flags & re.IGNORECASE and not c.isascii():
+                return None
+            c = c.lower() if c.isascii() else c
+            found |= {c, *(_ALSO.get(c, "") if flags & re.IGNORECASE and not flags & re.ASCII else "")}
+    return found if len(found) <= CHARACTERS else None
+
+
+def _derived(nodes, flags: int) -> tuple[set[str] | None, tuple | None]:
+    """(the strings that a sequence of parsed nodes stands for, or None, the query for what they don't say)."""
+    strings, queries, exact = {""}, [], True
+
+    def end() -> None:
+        nonlocal strings, exact
+        queries.append(one_of(strings))
+        strings, exact = {""}, False
+
+    for op, value in nodes:
+        own, query = None, None
+        if op is _re.AT or op in (_re.ASSERT, _re.ASSERT_NOT):
+            continue  # take no characters
+        if op is _re.LITERAL:
+            own = _characters([(op, value)], flags)
+        elif op is _re.IN:
+            own = _characters(value, flags)
+        elif op is _re.SUBPATTERN:
+            own, query = _derived(value[3], (flags | value[1]) & ~value[2])
+        elif op is _re.ATOMIC_GROUP:
+            own, query = _derived(value, flags)
+        elif op is _re.BRANCH:
+            ways = [_derived(way, flags) for way in value[1]]
+            if all(w is not None for w, _ in ways):
+                own = set().union(*[w for w, _ in ways])
+            else:
+                query = any_of([q if w is None else one_of(w) for w, q in ways])
+        elif op in (_re.MAX_REPEAT, _re.MIN_REPEAT, _re.POSSESSIVE_REPEAT):
+            least, most, body = value
+            way, inner = _derived(body, flags)
+            if (least, most) == (0, 1):
+                own = None if way is None else way | {""}
+            elif least:
+                if way is not None and len(way) ** min(least, 8) <= STRINGS:
+                    for _ in range(min(least, 8)):
+                        if len(strings) * len(way) > STRINGS:
+                            end()
+                        strings = {a + b for a in strings for b in way}
+                    if most == least <= 8:
+                        continue
+                query = inner if way is None else one_of(way)
+        if own is None or len(own) > STRINGS:
+            end()
+            queries.append(query if own is None else one_of(own))
+            continue
+        if len(strings) * len(own) > STRINGS:
+            end()
+        strings = {a + b for a in strings for b in own}
+    if exact:
+        return strings, None
+    end()
+    return None, all_of(queries)
+
+
+def trigram_query(rule: Rule) -> tuple | None:
+    """The Boolean query that follows from the rule's expression: ("all" or "any", trigrams and queries).
+
+    None if no trigram is mandatory, so that a scan is needed.
+    """
+    parsed = _parser.parse(rule.pattern)
+    strings, query = _derived(parsed, parsed.state.flags)
+    return query if strings is None else one_of(strings)
+
+
+def codes_of(query: tuple | int | None) -> set[int]:
+    """All trigrams that a query asks for."""
+    return set() if query is None else {query} if isinstance(query, int) else set().union(*map(codes_of, query[1]))
 
 
 class BlockIndex:
@@ -98,18 +202,17 @@ class BlockIndex:
         i = np.searchsorted(self.codes, code)
         return self.postings[i] if i < len(self.codes) and self.codes[i] == code else np.zeros(0, np.int64)
 
-    def candidates(self, query: list[list[list[int]]]) -> np.ndarray:
-        found = np.arange(self.n)
-        for clause in query:
-            either = []
-            for codes in clause:
-                lists = sorted((self.posting(c) for c in codes), key=len)  # the shortest first
-                hit = lists[0]
-                for more in lists[1:]:
-                    hit = hit[np.isin(hit, more, assume_unique=True)] if len(hit) else hit
-                either.append(hit)
-            found = found[np.isin(found, np.unique(np.concatenate(either)), assume_unique=True)]
-        return found
+    def candidates(self, query: tuple | int) -> np.ndarray:
+        """The documents that have what ``query`` asks for."""
+        if isinstance(query, int):
+            return self.posting(query)
+        found = sorted(map(self.candidates, query[1]), key=len)  # the shortest first
+        if query[0] == "any":
+            return np.unique(np.concatenate(found))
+        out = found[0]
+        for more in found[1:]:
+            out = out[np.isin(out, more, assume_unique=True)] if len(out) else out
+        return out
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -127,13 +230,13 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     def scan(batches):
         queries = {r.kind: trigram_query(r) for r in rules}
         vocabulary = np.zeros(1 << 24, bool)
-        vocabulary[[c for q in queries.values() for clause in q for codes in clause for c in codes]] = True
+        vocabulary[sorted(set().union(*map(codes_of, queries.values())))] = True
         for batch in batches:
             texts = batch.column(kept.index("text"))
             data, offsets = text_buffer(texts)
             index, spans, decoded = BlockIndex(data, offsets, vocabulary), [[] for _ in range(batch.num_rows)], {}
             for r in rules:
-                for i in index.candidates(queries[r.kind]) if queries[r.kind] else range(index.n):
+                for i in index.candidates(queries[r.kind]) if queries[r.kind] is not None else range(index.n):
                     text = decoded.get(i)
                     if text is None:
                         text = decoded[i] = data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")

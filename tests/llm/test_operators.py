@@ -8,6 +8,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gradloom.llm import language, mixing, privacy, quality, search, secrets, sentencepiece
@@ -217,7 +218,7 @@ def test_secrets(spark):
 
 def test_trigram_queries():
     for rule in secrets.RULES:
-        assert bool(secrets.trigram_query(rule)) == (rule.kind != "hex")
+        assert (secrets.trigram_query(rule) is None) == (rule.kind == "hex"), rule
     data = np.frombuffer("xxAKIA...".encode() + b"akiA" + b"AK" + b"IA", np.uint8)
     vocabulary = np.zeros(1 << 24, bool)
     vocabulary[secrets.trigrams("AKIA")] = True
@@ -225,6 +226,52 @@ def test_trigram_queries():
     assert index.candidates(secrets.trigram_query(secrets.RULES[1])).tolist() == [0, 1]  # none across documents
 
 
+def test_derived_queries():
+    of = lambda pattern: secrets.trigram_query(secrets.Rule("x", pattern))
+    all_ = lambda s: ("all", secrets.trigrams(s))
+    assert of("foo[0-9]+") == of("(?i)FOO.*") == all_("foo")  # neither i, s nor k, which match more where case is ignored
+    assert of("(abc|defg)x?") == ("any", [all_("abc"), all_("defg")])
+    assert of("abc.*defg") == ("all", [all_("abc"), all_("defg")]) and of("(ab){2}c") == of("ababc")
+    assert of("a.b") is of("(abc)?") is of("(abc)*d") is of("abc|.") is of("[a-z]bc") is of("ab") is of("") is None
+    assert of("(?i)kiss") is not None and len(secrets.codes_of(of("(?i)kiss"))) > 2
+
+
+def test_every_match_is_a_candidate():
+    """Random expressions and texts: an index by the derived query loses no text that the expression matches."""
+    rng = random.Random(4)
+
+    def expression(depth=0):
+        kind = rng.randrange(9 if depth < 3 else 4)
+        if kind < 3:
+            return "".join(rng.choice("abAkS1é") for _ in range(rng.randint(1, 4)))
+        if kind == 3:
+            return rng.choice(["[ab]", "[a-c]", ".", r"\d", "[^a]", r"\b", "[A-Ba-b1]"])
+        body = expression(depth + 1)
+        if kind == 4:
+            return f"(?:{body}|{expression(depth + 1)})"
+        if kind == 5:
+            return f"(?:{body})" + rng.choice(["?", "*", "+", "{2}", "{1,3}", "{2,}", "+?", "{0,2}"])
+        if kind == 6:
+            return f"(?i:{body})"
+        return body + expression(depth + 1)
+
+    derived = 0
+    for _ in range(1500):
+        pattern = rng.choice(["", "", "(?i)"]) + expression()
+        query = secrets.trigram_query(secrets.Rule("x", pattern))
+        if query is None:
+            continue
+        derived += 1
+        own = ["".join(rng.choice("abAkKS1é\u017f\u212a") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+        own += [x for x in re.findall(r"[\w]+", pattern)] + [pattern.replace("(?:", "").replace(")", "")]
+        data, offsets = secrets.text_buffer(pa.array(own))
+        vocabulary = np.zeros(1 << 24, bool)
+        vocabulary[sorted(secrets.codes_of(query))] = True
+        found = set(secrets.BlockIndex(data, offsets, vocabulary).candidates(query).tolist())
+        assert {i for i, t in enumerate(own) if re.search(pattern, t)} <= found, pattern
+    assert derived > 200
+
+
 def test_personal_data(spark):
     rows = [(1, "a.b@c.de, 1.2.3.4 999.1.1.1; 4111 1111 1111 1111 and +49 (30) 1234-5678"), (2, None), (3, ""), (4, "call (212) 555-0187 or john at example dot com"), (5, "4111111111111112 +1 2 2024-01-01 3.14159"), (6, "x " * 30_000)]
     got = {r.doc_id: r for r in privacy.digest(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS personal")).collect()}
