@@ -3,15 +3,17 @@
 The vocabulary and scores are those of a public model file; a text is split so that the scores of its pieces add up to
 the most (the unigram algorithm), which is a shortest path over code points.  Ties go to the longest last piece.
 
-Giant documents are cut into chunks that are spread over all tasks.  A piece may cross a cut, so a chunk's effect is a
-max-plus transfer matrix: entry (i, j) is the best score of a path that enters i code points behind the chunk's start and
-leaves j behind its end.  Matrices combine associatively, in blocks and then over blocks; that gives the state in which
-every chunk is entered and left, and each chunk is then backtraced by itself between its two states.
+Every document of more than a chunk's code points is cut into chunks of that many, wherever the cuts fall, and these are
+spread over all tasks.  A piece may cross a cut, so a chunk's effect is a max-plus transfer matrix: entry (i, j) is the
+best score of a path that enters i code points behind the chunk's start and leaves j behind its end.  Matrices combine
+associatively, in blocks and then over blocks; that gives the state in which every chunk is entered and left, and each
+chunk is then backtraced by itself between its two states.
 
 No piece of the vocabulary has a blank after another character, so every path has a joint before a blank that follows
-something else.  Cuts are made at such joints where there are any: the state there is always 0 and the matrix the number
-that the words between add up to, so words are segmented by themselves, all distinct words of a batch in step.  Stretches
-without a joint that are longer than a chunk are cut anywhere and need the full matrices.
+something else.  Within a chunk, what lies between its first and its last joint is the same on all paths, so its words are
+segmented by themselves, all distinct words of a batch in step; their sum and the paths of the two ends make the matrix.
+A chunk without a joint has its matrix from all of its code points; where segmentations have the same score, a cut before
+such a chunk may choose another one than an uncut text would.
 """
 
 from __future__ import annotations
@@ -78,7 +80,12 @@ class Pieces:
 
 @lru_cache(maxsize=4)
 def load(content: bytes) -> Pieces:
-    """Parses a model file (a protocol buffer): field 1 are pieces, each with 1 text, 2 score, 3 type."""
+    """Parses a model file (a protocol buffer): field 1 are pieces, each with 1 text, 2 score, 3 type; field 3 is its normaliser.
+
+    A model is an error if it asks for what isn't done here: user-defined pieces, a normaliser's table, the removal of
+    blanks, no blank in front.
+    """
+
     def fields(b: bytes):
         i = 0
         while i < len(b):
@@ -105,11 +112,15 @@ def load(content: bytes) -> Pieces:
 
     names, scores, kinds = [], [], []
     for number, value in fields(content):
+        own = dict(fields(value)) if number in (1, 3) else {}
+        if number == 3 and (own.get(2) or not own.get(3, 1) or own.get(4, 1)):
+            raise ValueError("the model's normaliser changes texts; only identity with a blank in front is supported")
         if number == 1:
-            own = dict(fields(value))
             names.append(own.get(1, b"").decode())
             scores.append(float(own.get(2, 0.0)))
             kinds.append(own.get(3, 1))
+    if 4 in kinds:
+        raise ValueError("user-defined pieces are not supported")
     ids = {p: i for i, (p, k) in enumerate(zip(names, kinds, strict=True)) if k == 1}
     byte_ids = [i for i, k in enumerate(kinds) if k == 6]
     normal = [scores[i] for i in ids.values()]
@@ -127,8 +138,8 @@ def _table(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
-def best_paths(strings: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, how many each has) of the best segmentations of strings of like length, all strings in step.
+def best_paths(strings: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, how many each has, scores) of the best segmentations of strings of like length, all strings in step.
 
     An unknown character has the negative id -1 - code point.
     """
@@ -173,11 +184,12 @@ def best_paths(strings: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarr
         ids.append(owner[end, which])
         words.append(which)
         at[which] = end - back[end, which]
+    scores = best[lengths, np.arange(len(strings))]
     if not ids:
-        return np.zeros(0, np.int32), np.zeros(len(strings), np.int64)
+        return np.zeros(0, np.int32), np.zeros(len(strings), np.int64), scores
     turn = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
     words = np.concatenate(words)
-    return np.concatenate(ids)[np.lexsort((-turn, words))], np.bincount(words, minlength=len(strings))
+    return np.concatenate(ids)[np.lexsort((-turn, words))], np.bincount(words, minlength=len(strings)), scores
 
 
 def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -196,7 +208,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.start, self.size, self.score = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
     def expanded(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unknown characters as their UTF-8 bytes' pieces, or the unknown piece where the model has none."""
@@ -220,26 +232,33 @@ class Encoder:
         if len(self.index) > self.keep:
             self.forget()
         new = sorted({w for w in words if w not in self.index}, key=len)
-        found, sizes, lo = [self.flat], [self.size], 0
+        found, sizes, scores, lo = [self.flat], [self.size], [self.score], 0
         while lo < len(new):  # so many at a time that the tables stay in a core's cache, if words are short
             hi = min(len(new), lo + max(1, 200_000 // (len(new[lo]) + 8)))
             while hi > lo + 1 and len(new[hi - 1]) * (hi - lo) > 500_000:
                 hi = lo + (hi - lo) // 2
-            ids, counts = self.expanded(*best_paths(new[lo:hi], self.pieces))
+            ids, counts, best = best_paths(new[lo:hi], self.pieces)
+            ids, counts = self.expanded(ids, counts)
+            scores.append(best)
             found.append(ids)
             sizes.append(counts)
             lo = hi
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.flat, self.size = np.concatenate(found), np.concatenate(sizes)
+        self.flat, self.size, self.score = np.concatenate(found), np.concatenate(sizes), np.concatenate(scores)
         self.start = np.cumsum(self.size) - self.size
 
-    def ids(self, texts: list[str]) -> pa.ListArray:
-        """The ids of each text, which is marked."""
+    def scored(self, texts: list[str]) -> tuple[pa.ListArray, np.ndarray]:
+        """The ids and the score of each text, which is marked and starts with a blank."""
         words = [_WORDS.findall(t) for t in texts]
         self.learn(chain.from_iterable(words))
         which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64)
-        ends = np.concatenate([[0], np.cumsum(self.size[which])])[np.cumsum([0, *map(len, words)])]
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(gathered(self.flat, self.start, self.size, which)))
+        edges = np.cumsum([0, *map(len, words)])
+        ends = np.concatenate([[0], np.cumsum(self.size[which])])[edges]
+        scores = np.diff(np.concatenate([[0.0], np.cumsum(self.score[which])])[edges])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(gathered(self.flat, self.start, self.size, which))), scores
+
+    def ids(self, texts: list[str]) -> pa.ListArray:
+        return self.scored(texts)[0]
 
 
 _WORDS = re.compile(f"{_BLANK}+[^{_BLANK}]*")
@@ -250,32 +269,26 @@ def marked(text: str) -> str:
     return _BLANK + text.replace(" ", _BLANK) if text else ""
 
 
-def cut(text: str, chunk: int, reach: int) -> list[tuple[int, int, int, str, str]]:
-    """(place, part, parts, text, what follows) in order; a chunk that is all of 1 part starts and ends at joints.
+def cut(text: str, chunk: int, reach: int) -> list[tuple[int, str, str, str]]:
+    """(part, the code point before, the chunk, ``reach`` code points behind it) of a text, in order."""
+    return [(i // chunk, text[max(0, i - 1) : i], text[i : i + chunk], text[i + chunk : i + chunk + reach]) for i in range(0, len(text), chunk)]
 
-    Words longer than ``chunk`` are stretches of several chunks, with the ``reach`` code points behind each.
-    """
-    out, part, size = [], [], 0
-
-    def close():
-        nonlocal part, size
-        if part:
-            out.append((0, 1, "".join(part), ""))
-        part, size = [], 0
-
-    for word in _WORDS.findall(text):
-        if len(word) > chunk:
-            close()
-            n = len(word) // chunk
-            edges = [*range(0, n * chunk, chunk), len(word)]
-            out += [(i, n, word[a:b], word[b : b + reach]) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
-            continue
-        if size + len(word) > chunk:
-            close()
-        part.append(word)
-        size += len(word)
-    close()
-    return [(place, *rest) for place, rest in enumerate(out)]
+
+_JOINT, _LAST_JOINT = re.compile(f"(?<=[^{_BLANK}]){_BLANK}"), re.compile(f"{_BLANK}(?=[^{_BLANK}])")
+
+
+def parted(before: str, body: str) -> tuple[str, str, str] | None:
+    """A chunk up to its first joint, between its first and its last one, and from there on; None without a joint."""
+    whole = before + body
+    if before:
+        first, last = _JOINT.search(whole), _LAST_JOINT.search(whole[::-1])  # reversed, as the last one is needed
+        if first is None:
+            return None
+        first, last = first.start() - 1, len(whole) - last.start() - 2
+    else:  # a text's start is a joint
+        last = _LAST_JOINT.search(body[:0:-1])
+        first, last = 0, len(body) - last.start() - 1 if last else 0
+    return body[:first], body[first:last], body[last:]
 
 
 def matches(text: str, start: int, pieces: Pieces) -> list[tuple[int, float, int]]:
@@ -289,10 +302,11 @@ def matches(text: str, start: int, pieces: Pieces) -> list[tuple[int, float, int
 
 
 def transfer(text: str, after: str, pieces: Pieces) -> np.ndarray:
-    """The max-plus matrix of a chunk; states are the code points 0 .. longest - 1 behind its edges."""
+    """The max-plus matrix of a chunk without a joint; states are the code points 0 .. longest - 1 behind its edges."""
     states, n, whole = pieces.longest, len(text), text + after
     best = np.full((n + states, states), -np.inf)
-    best[np.arange(states), np.arange(states)] = 0.0  # entered at i: row i, column i
+    own = np.arange(min(states, n + 1))
+    best[own, own] = 0.0  # entered at i: row i, column i
     for start in range(n):
         row = best[start]
         if np.isneginf(row).all():
@@ -302,21 +316,62 @@ def transfer(text: str, after: str, pieces: Pieces) -> np.ndarray:
     return best[n:].T.copy()
 
 
+def entered(head: str, pieces: Pieces) -> np.ndarray:
+    """By state, the best score of a path from there to the joint at the end of ``head``."""
+    best = np.full(max(len(head) + 1, pieces.longest), -np.inf)
+    best[len(head)] = 0.0
+    for start in range(len(head) - 1, -1, -1):
+        best[start] = max((score + best[end] for end, score, _ in matches(head, start, pieces)), default=-np.inf)
+    return best[: pieces.longest]
+
+
+def left(tail: str, after: str, pieces: Pieces) -> np.ndarray:
+    """By state, the best score of a path from the joint where ``tail`` starts to there, behind the chunk's end."""
+    n, whole = len(tail), tail + after
+    best = [-np.inf] * (n + pieces.longest)
+    best[0] = 0.0
+    for start in range(n):
+        if best[start] > -np.inf:
+            for end, score, _ in matches(whole, start, pieces):
+                best[end] = max(best[end], best[start] + score)
+    return np.array(best[n : n + pieces.longest])
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product."""
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def states_between(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]:
-    """The states at all edges of a row of chunks that is entered and left in the given ones."""
+def entry(head: str, scores: np.ndarray, pieces: Pieces) -> int:
+    """The state in which a best path to the joint at the end of ``head`` enters it, given each state's best score.
+
+    Of equal paths it is the one with the longest last pieces, as in a text that isn't cut.
+    """
+    n = len(head)
+    best, back = [*scores[: n + 1].tolist(), *[-np.inf] * (n + 1 - len(scores))], [None] * (n + 1)
+    for start in range(n):
+        if best[start] > -np.inf:
+            for end, score, _ in matches(head, start, pieces):
+                if best[start] + score > best[end]:
+                    best[end], back[end] = best[start] + score, start
+    while back[n] is not None:
+        n = back[n]
+    return n
+
+
+def states_between(matrices: list[np.ndarray], heads: list[str | None], enter: int, leave: int, pieces: Pieces) -> list[int]:
+    """The states at all edges of a row of chunks that is entered and left in the given ones.
+
+    ``heads``: what each chunk (or the first of a block) has before its first joint; None without a joint.
+    """
     forward = [np.full(len(matrices[0]), -np.inf)]
     forward[0][enter] = 0.0
     for m in matrices[:-1]:
         forward.append((forward[-1][:, None] + m).max(axis=0))
     states = [leave]
-    for f, m in zip(forward[::-1], matrices[::-1], strict=True):
-        states.append(int(np.argmax(f + m[:, states[-1]])))
-    return states[::-1]
+    for f, m, head in list(zip(forward, matrices, heads, strict=True))[:0:-1]:
+        states.append(int(np.argmax(f + m[:, states[-1]])) if head is None else entry(head, f, pieces))
+    return [enter, *states[::-1]]
 
 
 def backtraced(text: str, after: str, enter: int, leave: int, pieces: Pieces) -> list[int]:
@@ -337,33 +392,37 @@ def backtraced(text: str, after: str, enter: int, leave: int, pieces: Pieces) ->
     return path[::-1]
 
 
-_FIELDS = "key long, place int, stretch int, part int, parts int, text string, after string"
 _BLOCK = 64
+_CHUNKS = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("before", pa.string()), ("body", pa.string()), ("after", pa.string())])
+_OWN = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("matrix", pa.binary()), ("joined", pa.bool_()), ("head", pa.string()), ("ids", pa.list_(pa.int32())), ("tail", pa.string()), ("after", pa.string())])
 
 
 def _giant_ids(giants: DataFrame, content, chunk: int) -> DataFrame:
-    """(key, ids) of long texts: (key, text).  Chunks are spread over all tasks; a stretch's matrices meet in blocks."""
+    """(key, ids) of long texts: (key, text).  Chunks are spread over all tasks; a text's matrices meet in blocks."""
+
     def spread(batches):
         reach = load(content.value).longest - 1
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = cut(marked(text), chunk, reach)
-                rows = [(key, place, place - part, part, parts, body, after) for place, part, parts, body, after in rows]
                 for lo in range(0, len(rows), 256):
-                    yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r, strict=True)) for r in rows[lo : lo + 256]], _SCHEMA)
-
-    chunks = written(giants.mapInArrow(trimmed(spread), _FIELDS).repartition("key", "place"), "piece-chunks")
-
-    def words(batches):
-        encoder = Encoder(load(content.value))
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), encoder.ids(batch.column(5).to_pylist())], ["key", "place", "ids"])
+                    yield pa.RecordBatch.from_pylist([dict(zip(_CHUNKS.names, (key, *r), strict=True)) for r in rows[lo : lo + 256]], _CHUNKS)
 
     def matrices(batches):
-        pieces = load(content.value)
+        encoder = Encoder(load(content.value))
         for batch in batches:
-            found = [transfer(t, a, pieces).tobytes() for t, a in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (0, 2, 3, 4)], pa.array(found, pa.binary())], ["key", "stretch", "part", "parts", "matrix"])
+            bodies, after = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            parts = [parted(*x) for x in zip(batch.column(2).to_pylist(), bodies, strict=True)]
+            ids, scores = encoder.scored([p[1] if p else "" for p in parts])
+            found = []
+            for body, behind, part, score in zip(bodies, after, parts, scores, strict=True):
+                if part is None:
+                    found.append(transfer(body, behind, encoder.pieces))
+                else:
+                    found.append(entered(part[0], encoder.pieces)[:, None] + score + left(part[2], behind, encoder.pieces)[None, :])
+            columns = [pa.array([m.tobytes() for m in found], pa.binary()), pa.array([p is not None for p in parts])]
+            ends = [pa.array([p[0] if p else b for p, b in zip(parts, bodies, strict=True)]), ids, pa.array([p[2] if p else "" for p in parts])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *ends, batch.column(4)], schema=_OWN)
 
     def square(b: bytes) -> np.ndarray:
         m = np.frombuffer(b)
@@ -374,41 +433,47 @@ def _giant_ids(giants: DataFrame, content, chunk: int) -> DataFrame:
         out = square(table["matrix"][0].as_py())
         for m in table["matrix"][1:]:
             out = product(out, square(m.as_py()))
-        return pa.table([table["key"][:1], table["stretch"][:1], table["block"][:1], pa.array([out.tobytes()], pa.binary())], ["key", "stretch", "block", "matrix"])
+        return pa.table([*[table[c][:1] for c in ("key", "block", "joined", "head")], pa.array([out.tobytes()], pa.binary())], ["key", "block", "joined", "head", "matrix"])
+
+    def states_of(table: pa.Table, enter: int, leave: int) -> list[pa.Array]:
+        heads = [h if j else None for j, h in zip(table["joined"].to_pylist(), table["head"].to_pylist(), strict=True)]
+        states = states_between([square(m.as_py()) for m in table["matrix"]], heads, enter, leave, load(content.value))
+        return [pa.array(states[:-1], pa.int32()), pa.array(states[1:], pa.int32())]
 
     def block_states(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        states = states_between([square(m.as_py()) for m in table["matrix"]], 0, 0)
-        return pa.table([table["key"], table["stretch"], table["block"], pa.array(states[:-1], pa.int32()), pa.array(states[1:], pa.int32())], ["key", "stretch", "block", "enter", "leave"])
+        return pa.table([table["key"], table["block"], *states_of(table, 0, 0)], ["key", "block", "enter", "leave"])
 
     def part_states(table: pa.Table) -> pa.Table:
         table = table.sort_by("part")
-        states = states_between([square(m.as_py()) for m in table["matrix"]], table["enter"][0].as_py(), table["leave"][0].as_py())
-        return pa.table([table["key"], table["stretch"], table["part"], pa.array(states[:-1], pa.int32()), pa.array(states[1:], pa.int32())], ["key", "stretch", "part", "enter", "leave"])
+        return pa.table([table["key"], table["part"], *states_of(table, table["enter"][0].as_py(), table["leave"][0].as_py())], ["key", "part", "enter", "leave"])
 
     def trace(batches):
         encoder = Encoder(load(content.value))
+        ids_of = lambda *way: encoder.expanded(p := np.array(backtraced(*way, encoder.pieces), np.int32), np.array([len(p)]))[0]
         for batch in batches:
-            rows = zip(*[batch.column(i).to_pylist() for i in (2, 3, 4, 5)], strict=True)
-            paths = [np.array(backtraced(t, a, i, j, encoder.pieces), np.int32) for t, a, i, j in rows]
-            found = [encoder.expanded(p, np.array([len(p)]))[0] for p in paths]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["key", "place", "ids"])
-
-    cut_anywhere = chunks.where("parts > 1")
-    own = written(cut_anywhere.mapInArrow(trimmed(matrices), "key long, stretch int, part int, parts int, matrix binary").withColumn("block", F.floor(F.col("part") / _BLOCK).cast("int")), "piece-matrices")
-    blocks = own.groupBy("key", "stretch", "block").applyInArrow(block_product, "key long, stretch int, block int, matrix binary")
-    edges = blocks.groupBy("key", "stretch").applyInArrow(block_states, "key long, stretch int, block int, enter int, leave int")
-    states = own.join(edges, ["key", "stretch", "block"]).groupBy("key", "stretch", "block").applyInArrow(part_states, "key long, stretch int, part int, enter int, leave int")
-    traced = cut_anywhere.join(states, ["key", "stretch", "part"]).select("key", "place", "text", "after", "enter", "leave").mapInArrow(trimmed(trace), "key long, place int, ids array<int>")
-    ids = chunks.where("parts = 1").mapInArrow(trimmed(words), "key long, place int, ids array<int>").unionByName(traced)
-    in_order = F.array_sort(F.collect_list(F.struct("place", "ids")))  # a document is a row, before and after
+            rows = zip(*[batch.column(i).to_pylist() for i in (2, 3, 5, 6, 7, 8)], batch.column(4), strict=True)
+            found = []
+            for joined, head, tail, after, enter, leave, ids in rows:
+                if joined:
+                    found.append(np.concatenate([ids_of(head, "", enter, 0), ids.values.to_numpy(), ids_of(tail, after, 0, leave)]))
+                else:
+                    found.append(ids_of(head, after, enter, leave))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["key", "part", "ids"])
+
+    chunks = giants.mapInArrow(trimmed(spread), "key long, part int, before string, body string, after string").repartition("key", "part")
+    fields = "key long, part int, matrix binary, joined boolean, head string, ids array<int>, tail string, after string"
+    own = written(chunks.mapInArrow(trimmed(matrices), fields), "piece-matrices").withColumn("block", F.floor(F.col("part") / _BLOCK).cast("int"))
+    small = own.select("key", "block", "part", "joined", F.when(F.col("joined"), F.col("head")).alias("head"), "matrix")
+    blocks = small.groupBy("key", "block").applyInArrow(block_product, "key long, block int, joined boolean, head string, matrix binary")
+    edges = blocks.groupBy("key").applyInArrow(block_states, "key long, block int, enter int, leave int")
+    states = small.join(edges, ["key", "block"]).groupBy("key", "block").applyInArrow(part_states, "key long, part int, enter int, leave int")
+    rows = own.join(states, ["key", "part"]).select("key", "part", "joined", "head", "ids", "tail", "after", "enter", "leave")
+    ids = rows.mapInArrow(trimmed(trace), "key long, part int, ids array<int>")
+    in_order = F.array_sort(F.collect_list(F.struct("part", "ids")))  # a document is a row, before and after
     return ids.groupBy("key").agg(F.flatten(F.transform(in_order, lambda x: x["ids"])).alias("ids"))
 
 
-_NAMES = ["key", "place", "stretch", "part", "parts", "text", "after"]
-_SCHEMA = pa.schema([("key", pa.int64()), *[(n, pa.int32()) for n in _NAMES[1:5]], ("text", pa.string()), ("after", pa.string())])
-
-
 def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """``docs`` with ``pieces``: array<int>, the ids of each text's best segmentation.
 
@@ -443,10 +508,10 @@ def _encoded(docs: DataFrame, model: str, chunk: int, finish, schema: str) -> Da
     giants = docs.where(long)
     if giants.isEmpty():
         return encoded
-    keyed = giants.withColumn("__key", F.xxhash64("text"))
-    ids = _giant_ids(keyed.select(F.col("__key").alias("key"), "text").dropDuplicates(["key"]), content, chunk)
-    joined = keyed.join(ids.withColumnsRenamed({"key": "__key", "ids": "pieces"}), "__key")
-    return encoded.unionByName(joined.select(*[f"`{c}`" for c in kept], "pieces").mapInArrow(trimmed(done), schema))
+    keyed = giants.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.xxhash64("text").alias("key"))
+    ids = _giant_ids(keyed.select("key", F.col("row.text").alias("text")).dropDuplicates(["key"]), content, chunk)
+    joined = keyed.join(ids, "key").select("row.*", F.col("ids").alias("pieces"))
+    return encoded.unionByName(joined.mapInArrow(trimmed(done), schema))
 
 
 def _read(model: str) -> bytes:

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gradloom.llm import language, mixing, privacy, quality, search, secrets, sentencepiece
 
@@ -387,23 +388,60 @@ def test_pieces_score_as_the_librarys_best(library):
         assert own or not text
 
 
+def test_parts_of_chunks():
+    of = lambda before, body: sentencepiece.parted(before, body.replace(" ", "▁"))
+    assert of("", " ab  cd e") == ("", "▁ab▁▁cd", "▁e") and of("", "  ab") == ("", "", "▁▁ab")
+    assert of("x", "y ab c") == ("y", "▁ab", "▁c") and of("x", " ab") == ("", "", "▁ab") and of("x", "yz") is None
+    assert of("▁", " ab c ") == ("▁ab", "▁c", "▁") and of("▁", "  ") is None and of("", "abc") == ("", "", "abc")
+
+
 def test_chunks_agree_with_whole_texts(spark):
     rng = random.Random(2)
     giant = "".join(rng.choice("abcdefghij") for _ in range(900))
-    rows = [(1, giant), (2, "short text"), (3, giant + " and words " * 60 + giant), (4, None), (5, ""), (6, giant), (7, "word " * 400)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS key", "1 AS pieces")
+    rows = [(1, giant), (2, "short text"), (3, giant + " and words " * 60 + giant), (4, None), (5, ""), (6, giant), (7, "word " * 400), (8, " " * 500), (9, "é\n日本 " * 90), (10, ("    a" + " " * 23) * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS key", "1 AS pieces", "2 AS row")
     whole = {r.doc_id: r.pieces for r in sentencepiece.encode(df, chunk=100_000).collect()}
     cut = {r.doc_id: r.pieces for r in sentencepiece.encode(df, chunk=64).collect()}
     with open(sentencepiece.MODEL, "rb") as f:
         scores = sentencepiece.load(f.read()).scores
     for d in whole:
         assert sum(scores[i] for i in cut[d]) == sum(scores[i] for i in whole[d])
+    assert [cut[d] for d in (2, 4, 5, 7, 9, 10)] == [whole[d] for d in (2, 4, 5, 7, 9, 10)]
     decoded = {r.doc_id: r.decoded for r in sentencepiece.decode(sentencepiece.encode(df, chunk=64)).collect()}
     assert decoded == {d: t or "" for d, t in rows}
     digests = {r.doc_id: r for r in sentencepiece.piece_digest(df, chunk=64).collect()}
     assert all(r.round_trip for r in digests.values()) and digests[7].n_pieces == len(whole[7])
 
 
+@pytest.mark.parametrize("chunk", [37, 1000])
+def test_giant_documents_against_a_plain_search(spark, chunk):
+    """Ids of the longest documents, cut anywhere, are those of one plain search over each text."""
+    with open(sentencepiece.MODEL, "rb") as f:
+        pieces = sentencepiece.load(f.read())
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy(F.length("text").desc(), "doc_id").limit(5)
+    got = {r.doc_id: (r.text, r.pieces) for r in sentencepiece.encode(docs, chunk=chunk).collect()}
+    assert max(len(t) for t, _ in got.values()) > 10 * chunk
+    encoder = sentencepiece.Encoder(pieces)
+    for text, ids in got.values():
+        own = sentencepiece.marked(text)
+        plain = np.array(sentencepiece.backtraced(own, "", 0, 0, pieces), np.int32)
+        assert ids == encoder.expanded(plain, np.array([len(plain)]))[0].tolist()
+
+
+def test_models_that_are_not_supported():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(sentencepiece.MODEL, "rb") as f:
+        model.ParseFromString(f.read())
+    for change in (lambda m: setattr(m.pieces[500], "type", 4), lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True), lambda m: setattr(m.normalizer_spec, "add_dummy_prefix", False)):
+        other = pb.ModelProto()
+        other.CopyFrom(model)
+        change(other)
+        with pytest.raises(ValueError):
+            sentencepiece.load(other.SerializeToString())
+
+
 def test_transfer_is_associative():
     rng = np.random.default_rng(0)
     a, b, c = (rng.normal(size=(4, 4)) for _ in range(3))
