@@ -30,6 +30,15 @@ from .text import mix, shingle_hashes, slices, text_buffer, word_bounds, word_ha
 LINK = 75
 
 
+#: A shingle is hot if it has one in so many of all prefix rows; hot ones are dealt over ``SALTS`` tasks.
+HOT, SALTS = 4096, 64
+
+
+def row_key() -> Column:
+    """A row's id and text as one number, the same for repeated rows."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row")
+
+
 def batch_shingles(texts: pa.Array, k: int):
     """(first document, end, hashes, document from first) for runs of documents of a batch; repeats within one stay."""
     data, offsets = text_buffer(texts)
@@ -41,8 +50,9 @@ def batch_shingles(texts: pa.Array, k: int):
 
 
 def shingle_sets(docs: DataFrame, k: int, link: int) -> DataFrame:
-    """doc_id, n, set_id (null for empty sets), c, often, prefix, places, shingles.
+    """row, doc_id, n, set_id (null for empty sets), c, often, prefix, places, shingles.
 
+    row: a hash of id and text, one for repeated rows.
     c: how many shingles others have; often: the share of frequent ones; prefix: those of them in the prefix, places: where they stand among the c in order.
 
     ``shingles`` (packed, ascending) is null where the prefix has nothing in common with others.
@@ -59,7 +69,7 @@ def shingle_sets(docs: DataFrame, k: int, link: int) -> DataFrame:
 
     def sets(batches):
         for batch in batches:
-            for lo, hi, h, doc in batch_shingles(batch.column(1), k):
+            for lo, hi, h, doc in batch_shingles(batch.column(2), k):
                 order = np.lexsort((h, doc))
                 h, doc = h[order], doc[order]
                 new = np.ones(len(h), bool)
@@ -79,12 +89,12 @@ def shingle_sets(docs: DataFrame, k: int, link: int) -> DataFrame:
                     prefix[i], packed[i] = own[by].view(np.int64), own.tobytes()
                     places[i] = np.arange(len(by), dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], pa.array(n), pa.array(mix(ids).view(np.int64), mask=n == 0), pa.array(n - alone), pa.array(np.bincount(doc[level > 1], minlength=hi - lo) / np.maximum(n, 1)), pa.array(prefix, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(packed, pa.binary())],
-                    ["doc_id", "n", "set_id", "c", "often", "prefix", "places", "shingles"],
+                    [batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(n), pa.array(mix(ids).view(np.int64), mask=n == 0), pa.array(n - alone), pa.array(np.bincount(doc[level > 1], minlength=hi - lo) / np.maximum(n, 1)), pa.array(prefix, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(packed, pa.binary())],
+                    ["row", "doc_id", "n", "set_id", "c", "often", "prefix", "places", "shingles"],
                 )
 
-    schema = "doc_id long, n long, set_id long, c long, often double, prefix array<long>, places array<int>, shingles binary"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(sets), schema)
+    schema = "row long, doc_id long, n long, set_id long, c long, often double, prefix array<long>, places array<int>, shingles binary"
+    return docs.select(row_key(), F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(sets), schema)
 
 
 def _passes(link: int) -> Column:
@@ -126,27 +136,43 @@ def verified(pairs: DataFrame, entities: DataFrame, link: int) -> DataFrame:
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select(F.col("h").alias(f"{side}_h"), F.col("set_id").alias(side), F.col("component").alias(f"{side}_in"), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "left", "strong")])
+    return rows.select("h", "salt", F.col("set_id").alias(side), F.col("component").alias(f"{side}_in"), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "left", "strong")])
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``spread``, how many tasks their shingle is dealt over, and ``salt``, which of these has the row."""
+    counts = written(rows.groupBy("h").agg(F.count("*").alias("m")), "shingle-counts")
+    total = counts.agg(F.sum("m")).first()[0] or 0
+    hot = counts.where(F.col("m") * HOT > total).select("h", F.lit(SALTS).alias("spread"))  # fewer than HOT rows
+    rows = rows.join(F.broadcast(hot), "h", "left").withColumn("spread", F.coalesce("spread", F.lit(1)))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("set_id"), F.col("spread")).cast("int"))
+
+
+def _everywhere(rows: DataFrame) -> DataFrame:
+    """``rows`` once in each of the tasks that their shingle is dealt over."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)))
 
 
 def _apart(rows: DataFrame) -> DataFrame:
     """The rows whose shingle is in several components, a strong entity among them."""
-    several = rows.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("strong").alias("any")).where("lo < hi AND any").select("h")
-    return rows.join(several, "h")
+    several = rows.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("strong").alias("any"), F.max("spread").alias("spread"))
+    return rows.join(_everywhere(several.where("lo < hi AND any").select("h", "spread")).drop("spread"), ["h", "salt"])
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, link: int = LINK, rounds: int = 3) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, link: int = LINK, rounds: int = 3, rows_too: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text).
 
     Texts without words, and null texts, have empty sets, linked with nothing.  Shorter texts than ``k`` words are one
     shingle.  Repeated rows and copies share a component; an empty table gives an empty result; other columns are ignored.
+    ``rows_too`` adds ``row``, as ``row_key`` has it, and ``component``, a component's own name (null for empty sets),
+    which tells components apart where ids repeat.
     """
     sets = written(shingle_sets(docs.select("doc_id", "text"), k, link), "shingle-sets")
     entities = written(sets.where("shingles IS NOT NULL").dropDuplicates(["set_id"]), "shingle-entities")
     rows = entities.select("set_id", "n", "c", "often", F.explode(F.arrays_zip("prefix", "places")).alias("e"))
     rows = rows.select(F.col("e.prefix").alias("h"), "set_id", "n", "often", (F.col("c") - F.col("e.places")).alias("left"), F.col("set_id").alias("component"))
     rows = rows.withColumn("strong", (100 + link) * F.col("left") >= 2 * link * F.col("n"))
-    rows, links, tried = written(_apart(rows), "shingle-prefixes"), None, None
+    rows, links, tried = written(_apart(_salted(rows)), "shingle-prefixes"), None, None
     for turn in range(rounds + 1):
         sizes = rows.groupBy("h", "component").agg(F.count("*").alias("m"), F.sum((~F.col("strong")).cast("long")).alias("w")).groupBy("h")
         squares = lambda c: F.sum(c) * F.sum(c) - F.sum(F.col(c) * F.col(c))
@@ -154,13 +180,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, link: int = LINK, rounds: in
         if not n_rows:
             break
         last = turn == rounds or turn > 0 and n_pairs <= 256 * n_rows  # comparisons of numbers, not of sets
-        x, y = _side(rows, "x"), _side(rows, "y")
-        if not last:
-            best = F.max_by(F.struct("set_id", "n", "left", "strong", "component"), F.struct("often", "left", "set_id"))
-            pivots = written(rows.groupBy("h").agg(best.alias("p")).select("h", "p.*"), "shingle-pivots")
-            y = _side(pivots, "y")
-        fits = (F.col("x_h") == F.col("y_h")) & (F.col("x_in") != F.col("y_in")) & (F.col("x_strong") | F.col("y_strong")) & _passes(link)
-        pairs = x.join(y, fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        if last:
+            partners = rows.where("strong")  # one of a pair is
+        else:
+            best = F.max_by(F.struct("set_id", "n", "left", "strong", "component", "spread"), F.struct("often", "left", "set_id"))
+            partners = pivots = written(rows.groupBy("h").agg(best.alias("p")).select("h", "p.*"), "shingle-pivots")
+        fits = (F.col("x_in") != F.col("y_in")) & (F.col("x_strong") | F.col("y_strong")) & _passes(link)
+        pairs = _side(rows, "x").join(_side(_everywhere(partners), "y"), ["h", "salt"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "shingle-pairs")
@@ -172,7 +198,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, link: int = LINK, rounds: in
         rows = rows.join(pivots.select("h", "set_id"), ["h", "set_id"], "left_anti").drop("component")
         rows = rows.join(components(links).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         rows = written(_apart(rows), "shingle-prefixes")
-    small = sets.select("doc_id", "n", "set_id")
+    small = sets.select("row", "doc_id", "n", "set_id")
     if links is None:
         joined = small.withColumn("component", F.col("set_id"))
     else:
@@ -180,7 +206,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, link: int = LINK, rounds: in
     joined = written(joined, "shingle-labels")
     first = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = joined.join(first, "component", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *(["row", "component"] if rows_too else []))
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -75,12 +75,12 @@ def repeated_hashes(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator
                 values, counts = np.unique(h[new], return_counts=True)
                 low, edges = (values & np.uint64(0xFFFFFFFF)).astype("<u4"), np.searchsorted(bucket_of(values, n_buckets), np.arange(n_buckets + 1))
                 multi, n_multi = [], []
-                once = counts == 1
-                for i in range(n_buckets):
+                once, own = counts == 1, np.flatnonzero(np.diff(edges))  # ranges without a hash have no row
+                for i in own:
                     part = slice(edges[i], edges[i + 1])
                     multi.append(np.concatenate([low[part][~once[part]], counts[part][~once[part]].astype("<u4")]).tobytes())
                     n_multi.append(low[part][once[part]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(range(n_buckets), pa.int32()), pa.array(n_multi, pa.binary()), pa.array(multi, pa.binary())], ["bucket", "once", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(n_multi, pa.binary()), pa.array(multi, pa.binary())], ["bucket", "once", "more"])
 
     def reduce(key, pdf: pd.DataFrame) -> pd.DataFrame:
         once = np.concatenate([np.frombuffer(b, "<u4") for b in pdf["once"]])

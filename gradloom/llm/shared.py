@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,15 +16,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
+    """The folder all executors share, from ``spark.checkpoint.dir``; it must be set, but for local sessions and tests.
 
-    Only where that setting is absent (local sessions, tests) a temporary folder of the driver is taken.
+    A local session without it takes a temporary folder of the driver, the same for the whole session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-gradloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_folder(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=1)
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-gradloom-")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -65,7 +65,7 @@ def test_quality(spark):
 def test_kneser_ney_adds_up(spark):
     """Probabilities of all symbols after a context add up to 1, whether it was seen or not."""
     rows = frame(spark, documents(30))
-    model = quality.hash_arrays(quality.kneser_ney_tables(quality.count_ngrams(rows)))["en"]
+    model = quality.hash_arrays(quality.kneser_ney_tables(quality.count_ngrams(rows, ["en"])))["en"]
     codes = quality.ngram_codes(np.frombuffer(b"the of and", np.uint8), np.array([0, 10]))
     for context in [*(codes & ((1 << 18) - 1)), 63 << 12 | 63 << 6 | 5]:
         p = np.exp(quality.log_probabilities(model, (int(context) << 6) + np.arange(1, 64)))

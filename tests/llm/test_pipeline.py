@@ -22,18 +22,33 @@ def corpus():
     return [(d, t, lang, s, len(t or "")) for d, t, lang, s in rows]
 
 
+def test_repeated_ids_across_groups(spark, tmp_path):
+    """A row goes because of its own group, not because another row has its id."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(3, a), (7, a), (7, b), (9, c), (9, None), (9, None), (9, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text or "", r.text is None) for r in got) == sorted([(3, a, False), (7, b, False), (9, c, False), (9, "", True), (9, "", False)])
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     top = tmp_path_factory.mktemp("pipeline")
     docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string, source string, n_chars long").withColumnRenamed("doc_id", "doc_id")
-    out = {}
+    out, sf_dir = {}, with_labels(spark, top)
     for name, stage in pipeline.STAGES:
-        stage(spark, docs, str(top)).write.parquet(f"{top}/{name}")
+        stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")
         out[name] = [r.asDict() for r in docs.collect()]
     return out
 
 
+def with_labels(spark, path):
+    """A folder whose labels table is empty, as what the quality stage reads."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
 def shingles(text):
     w = text.lower().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)])
@@ -107,14 +122,17 @@ def test_pieces(stages):
 
 
 def test_null_and_repeated_ids(spark, tmp_path):
-    """Documents without an id, and different texts of one id, go all the way; repeated rows become one."""
+    """Documents without an id, and different texts of one id, go all the way; repeated rows become one.
+
+    What the rules reject goes, though kept rows have the same id or none, too.
+    """
     rng = random.Random(1)
     text = lambda: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rng.randint(0, 99)) for _ in range(60))
     rows = [(i if i > 3 else None, text(), "en", "s", 1) for i in range(40)] + [(50, text(), "en", "s", 1), (50, text(), "en", "s", 1)]
     rows.append(rows[20])
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs, sf_dir = spark.createDataFrame(rows + [(None, "too short", "en", "s", 1), (50, "junk " * 50, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long"), with_labels(spark, tmp_path)
     for name, stage in pipeline.STAGES[:4]:
-        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         if name == "secrets":
             assert sorted(r.text for r in docs.collect()) == sorted({r[1] for r in rows})
@@ -123,8 +141,8 @@ def test_null_and_repeated_ids(spark, tmp_path):
 
 
 def test_empty(spark, tmp_path):
-    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs, sf_dir = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"), with_labels(spark, tmp_path)
     for name, stage in pipeline.STAGES:
-        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         assert docs.count() == 0
