@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradloom.llm.mixing import document_sizes, pivotal_mix, word_count
-from gradloom.llm.near_duplicates import jaccard_components
+from gradloom.llm.near_duplicates import jaccard_components, row_key
 from gradloom.llm.quality import quality_rules
 from gradloom.llm.secrets import redact
 from gradloom.llm.sentencepiece import piece_digest
@@ -20,15 +20,21 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    kept = quality_rules(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """The documents that the quality rules keep: each row by its own verdict, also where ids are null or repeat."""
+    rules = quality_rules(docs.select(*COLUMNS), labels=spark.read.parquet(f"{sf_dir}/labels.parquet"), whole=True)
+    return rules.where("kept").select("given.*").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates; repeated rows become one."""
-    first = jaccard_components(docs).where("component_id <=> doc_id").select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    """One document, that with the smallest id, of each group of near duplicates; repeated rows become one.
+
+    Null and empty texts are each a group of their own; a null id comes after all others.
+    """
+    groups = jaccard_components(docs, rows_too=True)
+    own = F.struct("component", F.when(F.col("component").isNull(), F.col("row")).alias("alone"))
+    first = groups.groupBy(own.alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    docs = docs.select(*COLUMNS, row_key()).dropDuplicates(["row"])
+    return docs.join(first.select("first.row"), "row", "left_semi").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
