@@ -30,9 +30,10 @@ def apportioned(weights: DataFrame, by: str, total: Column) -> DataFrame:
 def placed(rows: DataFrame, *order: Column) -> DataFrame:
     """``rows`` with ``position`` from 0 in an order that has no ties.
 
-    Rows are range-partitioned by the order and counted per partition, so no task sorts everything.
+    Rows are range-partitioned by the order and counted per partition, so no task sorts everything.  The number of
+    partitions is named, so that adaptive execution leaves them as they are for both uses.
     """
-    dealt = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    dealt = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__part", F.spark_partition_id())
     counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")  # a row per partition
     nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
@@ -103,12 +104,13 @@ def sampled(pool: DataFrame, n: int, seed: int, iteration: int, row_id: str = "r
     size = pool.count()
     if not size or n <= 0:
         return pool.limit(0).withColumn("repeat", F.lit(0)).withColumn("place", F.lit(0).cast("bigint"))
-    out = None
-    for repeat in range(-(-n // size)):
-        key = order_key(seed, iteration, repeat, row_id)
-        part = pool.withColumn("repeat", F.lit(repeat)).withColumn("__o", key).orderBy("__o", row_id).limit(min(size, n - repeat * size))
-        out = part if out is None else out.unionByName(part)
-    return placed(out, F.col("repeat"), F.col("__o"), F.col(row_id)).withColumnRenamed("position", "place").drop("__o")
+    key = order_key(seed, iteration, F.col("repeat"), row_id)
+    whole = n // size  # passes through the whole pool, then the first rows of one more
+    last = pool.withColumn("repeat", F.lit(whole)).withColumn("__o", key).orderBy("__o", row_id).limit(n - whole * size)
+    if whole:
+        passes = pool.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(whole - 1)))).withColumn("__o", key)
+        last = passes.unionByName(last)
+    return placed(last, F.col("repeat"), F.col("__o"), F.col(row_id)).withColumnRenamed("position", "place").drop("__o")
 
 
 def epoch_batches(pool: DataFrame, n: int, seed: int, iterations: int, row_id: str = "row_id") -> DataFrame:

@@ -1,6 +1,7 @@
 """Prefix tries of sampled token sequences: statistics, reliable prefixes, failure frontiers, advantages, masks.
 
-A prefix is keyed by (question, depth, chained md5), so keys stay 32 characters however deep the trie is.
+A prefix is keyed by question, depth and two running sums of its tokens' hashes (40 bits of md5 each), which a window
+adds up: keys stay short however deep the trie is, and a sequence of any length is rows by position, never nested arrays.
 """
 
 from __future__ import annotations
@@ -26,33 +27,49 @@ def deduplicated(trajectories: DataFrame) -> DataFrame:
     return trajectories.where(F.size("tokens") > 0).withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
-def prefix_keys(tokens: Column) -> Column:
-    """Keys of all prefixes, from the empty one: each is md5(key before || token)."""
-    return F.aggregate(tokens, F.array(F.md5(F.lit(""))), lambda keys, t: F.concat(keys, F.array(F.md5(F.concat(F.element_at(keys, -1), t)))))
+def _key(a: Column, b: Column) -> Column:
+    return F.concat_ws("-", a.cast("string"), b.cast("string"))
+
+
+def steps(trajectories: DataFrame) -> DataFrame:
+    """One row per token: question_id, rollout_index, depth, prefix (before the token), token, child (after it), and the rest.
+
+    A rollout's index is unique within its question.
+    """
+    rest = [c for c in trajectories.columns if c not in ("question_id", "rollout_index", "tokens")]
+    rows = trajectories.select("question_id", "rollout_index", *rest, F.posexplode("tokens").alias("depth", "token"))
+    rows = rows.withColumn("m", F.md5(F.concat_ws(":", F.col("depth").cast("string"), "token")))
+    number = lambda at: F.conv(F.substring("m", at, 10), 16, 10).cast("bigint")
+    rows = rows.select("*", number(1).alias("h1"), number(11).alias("h2"))
+    up = Window.partitionBy("question_id", "rollout_index").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("s1", F.sum("h1").over(up)).withColumn("s2", F.sum("h2").over(up))
+    keys = [_key(F.col("s1") - F.col("h1"), F.col("s2") - F.col("h2")).alias("prefix"), "token", _key(F.col("s1"), F.col("s2")).alias("child")]
+    return rows.select("question_id", "rollout_index", *rest, "depth", *keys)
 
 
 def node_stats(trajectories: DataFrame) -> DataFrame:
     """(question_id, depth, prefix, weight, visits, successes) of every prefix, the empty and the whole one included: T4."""
-    nodes = trajectories.select("question_id", "weight", "success", F.posexplode(prefix_keys(F.col("tokens"))).alias("depth", "prefix"))
+    roots = trajectories.select("question_id", "weight", "success", F.lit(0).alias("depth"), _key(F.lit(0), F.lit(0)).alias("prefix"))
+    nodes = roots.unionByName(steps(trajectories).select("question_id", "weight", "success", (F.col("depth") + 1).alias("depth"), F.col("child").alias("prefix")))
     return nodes.groupBy("question_id", "depth", "prefix").agg(F.sum("weight").alias("weight"), F.count("*").alias("visits"), F.sum(F.col("success").cast("long")).alias("successes"))
 
 
-def steps(trajectories: DataFrame) -> DataFrame:
-    """One row per token: question_id, rollout_index, depth, prefix (before the token), token, child (after it), and the rest."""
-    keyed = trajectories.withColumn("keys", prefix_keys(F.col("tokens")))
-    rest = [c for c in trajectories.columns if c not in ("question_id", "rollout_index", "tokens")]
-    exploded = keyed.select("question_id", "rollout_index", *rest, "keys", F.posexplode("tokens").alias("depth", "token"))
-    return exploded.select("question_id", "rollout_index", *rest, "depth", "token", F.col("keys")[F.col("depth")].alias("prefix"), F.col("keys")[F.col("depth") + 1].alias("child"))
-
-
 def edge_stats(trajectories: DataFrame) -> DataFrame:
     """(question_id, depth, prefix, token, child, weight, visits): T5."""
     return steps(trajectories).groupBy("question_id", "depth", "prefix", "token", "child").agg(F.sum("weight").alias("weight"), F.count("*").alias("visits"))
 
 
-def reliable_prefixes(nodes: DataFrame, edges: DataFrame, m: int) -> DataFrame:
-    """Prefixes with at least ``m`` successes that go on: T6."""
-    return nodes.where(F.col("successes") >= m).join(edges.select("question_id", "depth", "prefix").distinct(), ["question_id", "depth", "prefix"], "left_semi")
+def within(prefixes: DataFrame, most: int | None) -> DataFrame:
+    """The prefixes that one more token keeps within ``most`` tokens, the question's ``query_tokens`` (if there) counted: T7, T8."""
+    if most is None:
+        return prefixes
+    query = F.col("query_tokens") if "query_tokens" in prefixes.columns else F.lit(0)
+    return prefixes.where(query + F.col("depth") + 1 <= most)
+
+
+def reliable_prefixes(nodes: DataFrame, edges: DataFrame, m: int, most: int | None = None) -> DataFrame:
+    """Prefixes with at least ``m`` successes that go on, ``within`` a length: T6, T7."""
+    return within(nodes, most).where(F.col("successes") >= m).join(edges.select("question_id", "depth", "prefix").distinct(), ["question_id", "depth", "prefix"], "left_semi")
 
 
 def teacher_distribution(edges: DataFrame, reliable: DataFrame) -> DataFrame:
@@ -62,9 +79,9 @@ def teacher_distribution(edges: DataFrame, reliable: DataFrame) -> DataFrame:
     return rows.select("question_id", "depth", "prefix", "token", (F.col("weight") / total).alias("prob"))
 
 
-def failure_frontier(nodes: DataFrame, edges: DataFrame, k_min: int, n_min: int, negatives: bool = True, weight: str = "uniform") -> DataFrame:
-    """Edges from a prefix with ``k_min`` successes to one with none in ``n_min`` visits; none without ``negatives``: T8, T10."""
-    parent = nodes.where(F.col("successes") >= k_min).select("question_id", "depth", "prefix", F.col("visits").alias("parent_visits"), F.col("successes").alias("parent_successes"))
+def failure_frontier(nodes: DataFrame, edges: DataFrame, k_min: int, n_min: int, negatives: bool = True, weight: str = "uniform", most: int | None = None) -> DataFrame:
+    """Edges from a prefix with ``k_min`` successes to one with none in ``n_min`` visits; none without ``negatives``; ``within`` a length: T8, T10."""
+    parent = within(nodes, most).where(F.col("successes") >= k_min).select("question_id", "depth", "prefix", F.col("visits").alias("parent_visits"), F.col("successes").alias("parent_successes"))
     child = nodes.where((F.col("successes") == 0) & (F.col("visits") >= n_min)).select("question_id", (F.col("depth") - 1).alias("depth"), F.col("prefix").alias("child"), F.col("visits").alias("child_visits"))
     found = edges.select("question_id", "depth", "prefix", "token", "child", F.col("visits").alias("edge_visits")).join(parent, ["question_id", "depth", "prefix"]).join(child, ["question_id", "depth", "child"])
     own = F.lit(1.0) if weight == "uniform" else F.col("child_visits").cast("double")
@@ -96,6 +113,17 @@ def token_valid_mask(tokens: DataFrame, reliable: DataFrame, frontier: DataFrame
     return flagged.withColumn("valid", ~F.col("reliable") & ~F.col("frontier") & (~before if after_frontier else F.lit(True)))
 
 
+def response_examples(tokens: DataFrame, most: int | None = None) -> DataFrame:
+    """One row per response of ``tokens`` (with ``valid`` and ``n_logprobs``, how many log probabilities it came with): T13.
+
+    Responses are cut to ``most`` tokens; has_old is whether there is a log probability for each token that is left.
+    """
+    rows = tokens if most is None else tokens.where(F.col("depth") < most)
+    in_order = F.array_sort(F.collect_list(F.struct("depth", F.col("valid").cast("int").alias("v"))))  # a response is a row
+    rows = rows.groupBy("question_id", "rollout_index").agg(F.transform(in_order, lambda x: x["v"]).alias("valid_mask"), F.coalesce(F.max("n_logprobs"), F.lit(0)).alias("n"))
+    return rows.select("question_id", "rollout_index", "valid_mask", (F.col("n") >= F.size("valid_mask")).alias("has_old"))
+
+
 def align_logprobs(logprobs: Column, n: Column, slack: int = 2) -> Column:
     """Log probabilities of ``n`` tokens: cut or padded with 0.0 by up to ``slack``, else null: P15."""
     gap = n - F.size(logprobs)

@@ -171,12 +171,12 @@ def scalar_core(spark, sf):
     return answers(spark, sf).select("row_id", A.scalar_core(t).alias("core"))
 
 
-@query("SELECT row_id, lnorm = rnorm AND rnorm <> '' AS same FROM rz", ANSWERS, "pairs AS (SELECT row_id, CASE WHEN row_id % 3 = 0 THEN concat('$', gold, '$') WHEN row_id % 3 = 1 THEN upper(gold) ELSE concat(gold, '1') END AS p, gold AS g FROM answers WHERE row_id % 12 NOT IN (7, 8))", *_stages("pairs", "p", "l"), *_stages("lz", "g", "r"))
+@query("SELECT row_id, lnorm = rnorm AND rnorm <> '' AS same FROM rz", ANSWERS, "pairs AS (SELECT row_id, CASE WHEN row_id % 3 = 0 THEN concat('$', gold, '$') WHEN row_id % 3 = 1 THEN upper(gold) ELSE concat(gold, '1') END AS p, gold AS g FROM answers)", *_stages("pairs", "p", "l"), *_stages("lz", "g", "r"))
 def legacy_match(spark, sf):
     """U20."""
     r = F.col("row_id")
     p = F.when(r % 3 == 0, F.concat(F.lit("$"), "gold", F.lit("$"))).when(r % 3 == 1, F.upper("gold")).otherwise(F.concat("gold", F.lit("1")))
-    return answers(spark, sf).where("row_id % 12 NOT IN (7, 8)").select("row_id", A.legacy_match(p, F.col("gold")).alias("same"))
+    return answers(spark, sf).select("row_id", A.legacy_match(p, F.col("gold")).alias("same"))
 
 
 @query("SELECT row_id, CASE WHEN finish_reason IS NULL OR lower(finish_reason) = 'stop' THEN 0.0::DOUBLE WHEN row_id % 2 = 0 THEN -0.05::DOUBLE ELSE -0.2::DOUBLE END AS penalty FROM answers", ANSWERS)

@@ -58,10 +58,10 @@ def prep_pipeline(spark, sf):
     return kept.where("n_tokens <= 2").select("row_id", "problem", "n_tokens")
 
 
-@query(r"""SELECT row_id, length(t) > 80 AND NOT contains(t, '\begin{pmatrix}') AND len(regexp_extract_all(regexp_replace(t, '\\[A-Za-z]+', ' ', 'g'), '[A-Za-z]{2,}')) >= 8 AS verbose FROM (SELECT doc_id AS row_id, concat(CASE WHEN doc_id % 3 = 0 THEN '\begin{pmatrix} ' ELSE '\frac ' END, substr(text, 1, CAST(20 + doc_id % 150 AS INTEGER))) AS t FROM documents)""")
+@query(r"""SELECT row_id, length(t) > 80 AND NOT contains(t, '\begin{pmatrix}') AND len(regexp_extract_all(regexp_replace(t, '\\[A-Za-z]+', ' ', 'g'), '[A-Za-z]{2,}')) >= 8 AS verbose FROM (SELECT doc_id AS row_id, concat(CASE WHEN doc_id % 3 = 0 THEN '\begin{pmatrix} ' ELSE '\frac ' END, text) AS t FROM documents)""")
 def verbose_filter(spark, sf):
     """F3."""
-    t = F.concat(F.when(F.col("doc_id") % 3 == 0, "\\begin{pmatrix} ").otherwise("\\frac "), F.substring("text", F.lit(1), (20 + F.col("doc_id") % 150).cast("int")))
+    t = F.concat(F.when(F.col("doc_id") % 3 == 0, "\\begin{pmatrix} ").otherwise("\\frac "), F.col("text"))
     return table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), t.alias("t")).select("row_id", P.is_verbose(F.col("t")).alias("verbose"))
 
 

@@ -10,41 +10,54 @@ from ..streaming import evaluator as V
 from .registry import query
 
 
+_STEPS = """steps AS (SELECT CAST(regexp_extract(checkpoint, '([0-9]+)$', 1) AS INTEGER) * 1000 + ascii(dataset_key) AS step, accuracy,
+  run_index + 1000000 * CAST(substr(checkpoint, 4, 1) AS INTEGER) AS run_index FROM runs)"""
+
+
 def _steps(spark, sf):
-    rows = runs(spark, sf).groupBy("dataset_key", "checkpoint", "run_index").agg(F.first("accuracy").alias("accuracy"), F.first("eval_seconds").alias("eval_seconds"), F.first("ts").alias("ts"))
-    step = (F.regexp_extract("checkpoint", "([0-9]+)$", 1).cast("int") * 10 + F.length("dataset_key")).alias("step")
-    unique = F.when(F.startswith("checkpoint", F.lit("exp0")), 0).when(F.startswith("checkpoint", F.lit("exp1")), 1000).when(F.startswith("checkpoint", F.lit("exp2")), 2000).otherwise(3000)
-    return rows.where("dataset_key IN ('click', 'purchase')").select(step, (F.col("run_index") + unique).cast("int").alias("run_index"), "dataset_key", "checkpoint", "accuracy", "eval_seconds", F.col("ts").cast("timestamp").alias("ts"))
+    """Runs of all data sets: a step is a checkpoint's number and its data set."""
+    rows = runs(spark, sf)
+    step = (F.regexp_extract("checkpoint", "([0-9]+)$", 1).cast("int") * 1000 + F.ascii("dataset_key")).alias("step")
+    unique = F.col("run_index") + 1_000_000 * F.substring("checkpoint", 4, 1).cast("int")
+    return rows.select(step, unique.cast("int").alias("run_index"), "dataset_key", "checkpoint", "accuracy", "eval_seconds", F.col("ts").cast("timestamp").alias("ts"))
 
 
-@query("""SELECT step, count(*) AS n, round(avg(accuracy), 6) AS mean, max(accuracy) AS best_accuracy, arg_max(accuracy, run_index) AS latest FROM (
-  SELECT CAST(regexp_extract(checkpoint, '([0-9]+)$', 1) AS INTEGER) * 10 + CAST(length(dataset_key) AS INTEGER) AS step, accuracy,
-    run_index + CASE split_part(checkpoint, '/', 1) WHEN 'exp0' THEN 0 WHEN 'exp1' THEN 1000 WHEN 'exp2' THEN 2000 ELSE 3000 END AS run_index FROM runs WHERE dataset_key IN ('click', 'purchase')) GROUP BY 1""", RUNS)
+@query("SELECT step, count(*) AS n, round(avg(accuracy), 6) AS mean, max(accuracy) AS best_accuracy, arg_max(accuracy, run_index) AS latest FROM steps GROUP BY 1", RUNS, _STEPS)
 def stream_run_summaries(spark, sf):
-    """Three files arrive, each a micro-batch, one of them twice; the summary is as if read at once."""
+    """Parts arrive, one of them twice, each taken in by a start of the stream; the summary is as if read at once."""
     top = scratch(spark, "stream")
     rows = _steps(spark, sf)
     for i in (0, 1, 2, 0):
-        rows.where(F.col("run_index") % 3 == i).coalesce(1).write.mode("append").parquet(f"{top}/in")
-    V.evaluate(V.run_stream(spark, f"{top}/in"), f"{top}/out", f"{top}/log").awaitTermination()
-    return spark.read.parquet(f"{top}/out/summary").select("step", "n", F.round("mean", 6).alias("mean"), "best_accuracy", "latest")
+        rows.where(F.col("run_index") % 3 == i).write.mode("append").parquet(f"{top}/in")
+        V.evaluate(V.run_stream(spark, f"{top}/in", files=1000), f"{top}/out", f"{top}/log").awaitTermination()
+    return V.current(spark, f"{top}/out").select("step", "n", F.round("mean", 6).alias("mean"), "best_accuracy", "latest")
 
 
-@query("""SELECT step, count(*) AS n, max(accuracy) AS best_accuracy, arg_max(accuracy, run_index) AS latest_accuracy FROM (
-  SELECT CAST(regexp_extract(checkpoint, '([0-9]+)$', 1) AS INTEGER) * 10 + CAST(length(dataset_key) AS INTEGER) AS step, accuracy,
-    run_index + CASE split_part(checkpoint, '/', 1) WHEN 'exp0' THEN 0 WHEN 'exp1' THEN 1000 WHEN 'exp2' THEN 2000 ELSE 3000 END AS run_index FROM runs WHERE dataset_key IN ('click', 'purchase')) GROUP BY 1""", RUNS)
+@query("SELECT step, count(*) AS n, max(accuracy) AS best_accuracy, arg_max(accuracy, run_index) AS latest_accuracy FROM steps GROUP BY 1", RUNS, _STEPS)
 def stream_latest_per_step(spark, sf):
     """Stateful aggregation in update mode; each batch's changed steps replace their rows."""
     top = scratch(spark, "stream")
     rows = _steps(spark, sf)
-    for i in range(2):
-        rows.where(F.col("run_index") % 2 == i).coalesce(1).write.mode("append").parquet(f"{top}/in")
 
     def publish(batch, number):
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{top}/out/part={number}")
 
-    state = V.latest_per_step(V.run_stream(spark, f"{top}/in"))
-    state.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", f"{top}/log").trigger(availableNow=True).start().awaitTermination()
+    for i in range(2):
+        rows.where(F.col("run_index") % 2 == i).write.mode("append").parquet(f"{top}/in")
+        state = V.latest_per_step(V.run_stream(spark, f"{top}/in", files=1000))
+        state.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", f"{top}/log").trigger(availableNow=True).start().awaitTermination()
     changes = spark.read.parquet(f"{top}/out").drop("part")
     last = changes.groupBy("step").agg(F.max_by(F.struct("n", "best_accuracy", "latest_accuracy"), "batch").alias("s"))
     return last.select("step", "s.n", "s.best_accuracy", "s.latest_accuracy")
+
+
+@query("SELECT step, n, best_accuracy FROM (SELECT step, count(*) AS n, max(accuracy) AS best_accuracy FROM steps GROUP BY 1) WHERE step >= 10000", RUNS, _STEPS)
+def stream_controlled(spark, sf):
+    """A control file names the generation's first step and ends the work; older steps are recorded as skipped."""
+    top = scratch(spark, "stream")
+    rows = _steps(spark, sf)
+    for generation, i, stop in ((1, 0, False), (2, 1, False), (2, 2, False), (3, 0, True)):
+        V.write_control(spark, f"{top}/control", stop=stop, generation=generation, step=10_000)
+        rows.where(F.col("run_index") % 3 == i).write.mode("append").parquet(f"{top}/in")
+        V.evaluate(V.run_stream(spark, f"{top}/in", files=1000), f"{top}/out", f"{top}/log", control=f"{top}/control").awaitTermination()
+    return V.current(spark, f"{top}/out").select("step", "n", "best_accuracy")

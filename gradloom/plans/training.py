@@ -13,17 +13,19 @@ from .registry import query
 
 _DEDUP = """deduped AS (SELECT question_id, rollout_index, tokens, success, reward, exp(least(greatest(least(greatest(reward, -5), 5) / 0.1, -50), 125)) AS weight FROM
   (SELECT *, row_number() OVER (PARTITION BY question_id, tokens ORDER BY rollout_index) AS rn FROM trajectories WHERE len(tokens) > 0) WHERE rn = 1)"""
-_KEY = "list_reduce(list_prepend(md5(''), list_slice(tokens, 1, {n})), lambda a, b: md5(concat(a, b)))"
-_NODES = f"""nodes AS (SELECT question_id, depth, prefix, sum(weight) AS weight, count(*) AS visits, CAST(sum(success::INT) AS BIGINT) AS successes FROM
-  (SELECT question_id, weight, success, CAST(d AS INTEGER) AS depth, {_KEY.format(n='d')} AS prefix FROM (SELECT *, unnest(range(len(tokens) + 1)) AS d FROM deduped)) GROUP BY 1, 2, 3)"""
-_STEPS = f"""steps AS (SELECT question_id, rollout_index, success, reward, weight, CAST(d AS INTEGER) AS depth, tokens[d + 1] AS token, {_KEY.format(n='d')} AS prefix, {_KEY.format(n='d + 1')} AS child
-  FROM (SELECT *, unnest(range(len(tokens))) AS d FROM deduped))"""
+_STEPS = """steps AS (SELECT question_id, rollout_index, success, reward, weight, depth, token, concat(s1 - h1, '-', s2 - h2) AS prefix, concat(s1, '-', s2) AS child FROM
+  (SELECT *, CAST(sum(h1) OVER w AS BIGINT) AS s1, CAST(sum(h2) OVER w AS BIGINT) AS s2 FROM
+    (SELECT *, CAST(concat('0x', substr(m, 1, 10)) AS BIGINT) AS h1, CAST(concat('0x', substr(m, 11, 10)) AS BIGINT) AS h2 FROM
+      (SELECT *, md5(concat(depth, ':', token)) AS m FROM (SELECT question_id, rollout_index, success, reward, weight, CAST(unnest(range(len(tokens))) AS INTEGER) AS depth, unnest(tokens) AS token FROM deduped)))
+   WINDOW w AS (PARTITION BY question_id, rollout_index ORDER BY depth)))"""
+_NODES = """nodes AS (SELECT question_id, depth, prefix, sum(weight) AS weight, count(*) AS visits, CAST(sum(success::INT) AS BIGINT) AS successes FROM
+  (SELECT question_id, weight, success, 0 AS depth, '0-0' AS prefix FROM deduped UNION ALL SELECT question_id, weight, success, depth + 1, child FROM steps) GROUP BY 1, 2, 3)"""
 _EDGES = "edges AS (SELECT question_id, depth, prefix, token, child, sum(weight) AS weight, count(*) AS visits FROM steps GROUP BY 1, 2, 3, 4, 5)"
 _RELIABLE = "reliable AS (SELECT n.* FROM nodes n WHERE successes >= 2 AND EXISTS (SELECT 1 FROM edges e WHERE e.question_id = n.question_id AND e.depth = n.depth AND e.prefix = n.prefix))"
 _FRONTIER = """frontier AS (SELECT e.question_id, e.depth, e.prefix, e.token, e.child, e.visits AS edge_visits, p.visits AS parent_visits, p.successes AS parent_successes, c.visits AS child_visits, 1.0::DOUBLE AS negative_weight
   FROM edges e JOIN nodes p ON p.question_id = e.question_id AND p.depth = e.depth AND p.prefix = e.prefix AND p.successes >= 1
   JOIN nodes c ON c.question_id = e.question_id AND c.depth = e.depth + 1 AND c.prefix = e.child AND c.successes = 0 AND c.visits >= 1)"""
-_TRIE = (TRAJECTORIES, _DEDUP, _NODES, _STEPS, _EDGES)
+_TRIE = (TRAJECTORIES, _DEDUP, _STEPS, _NODES, _EDGES)
 
 
 def _deduped(spark, sf):
@@ -47,7 +49,7 @@ def reward_weight(spark, sf):
     return trajectories(spark, sf).select("question_id", "rollout_index", F.round(F.ln(T.reward_weight(F.col("reward"))), 6).alias("log_weight"))
 
 
-@query("SELECT question_id, depth, prefix, round(ln(weight), 6) AS log_weight, visits, successes FROM nodes", *_TRIE[:3])
+@query("SELECT question_id, depth, prefix, round(ln(weight), 6) AS log_weight, visits, successes FROM nodes", *_TRIE[:4])
 def trie_node_stats(spark, sf):
     """T4."""
     return T.node_stats(_deduped(spark, sf)).select("question_id", "depth", "prefix", F.round(F.ln("weight"), 6).alias("log_weight"), "visits", "successes")
@@ -156,6 +158,27 @@ def grpo_example_stats(spark, sf):
     return _valid(spark, sf).groupBy("question_id", "rollout_index").agg(F.transform(own, lambda x: x["v"]).alias("valid_mask"), F.round(F.avg(F.col("valid").cast("int")), 6).alias("valid_fraction"))
 
 
+@query("""SELECT question_id, rollout_index, list(valid::INT ORDER BY depth) AS valid_mask, rollout_index % 5 <> 0 AND rollout_index % 40 >= count(*) AS has_old FROM valid WHERE depth < 32 GROUP BY 1, 2""", *_TRIE, _RELIABLE, _FRONTIER, _VALID)
+def grpo_examples(spark, sf):
+    """Responses cut to 32 tokens; a fifth of them has no log probabilities, others may have too few."""
+    n = F.when(F.col("rollout_index") % 5 != 0, (F.col("rollout_index") % 40).cast("int"))
+    return T.response_examples(_valid(spark, sf).withColumn("n_logprobs", n), 32)
+
+
+@query("SELECT 'pos' AS example_kind, count(*) AS n, CAST(max(depth) AS INTEGER) AS deepest FROM reliable WHERE depth + 1 <= 8 UNION ALL SELECT 'neg', count(*), CAST(max(depth) AS INTEGER) FROM frontier WHERE depth + 1 <= 8", *_TRIE, _RELIABLE, _FRONTIER)
+def guarded_examples(spark, sf):
+    """Only prefixes that one more token keeps within the longest sequence."""
+    _, nodes, edges = _trie(spark, sf)
+    count = lambda df, kind: df.agg(F.lit(kind).alias("example_kind"), F.count("*").alias("n"), F.max("depth").alias("deepest"))
+    return count(T.reliable_prefixes(nodes, edges, 2, most=8), "pos").unionByName(count(T.failure_frontier(nodes, edges, 1, 1, most=8), "neg"))
+
+
+@query("""SELECT question_id, rollout_index, round((reward - avg(reward) OVER w) / sqrt(greatest(var_pop(reward) OVER w, 1e-6)), 5) AS advantage FROM deduped WINDOW w AS (PARTITION BY question_id) QUALIFY count(*) OVER w > 1""", TRAJECTORIES, _DEDUP)
+def advantage_deduplicated(spark, sf):
+    """T11, after T1: the advantages of the trajectories that are left."""
+    return T.group_advantage(_deduped(spark, sf)).select("question_id", "rollout_index", F.round("advantage", 5).alias("advantage"))
+
+
 @query("SELECT t.question_id, count(*) AS n, CAST(sum(len(tokens)) AS BIGINT) AS tokens FROM trajectories t JOIN (SELECT DISTINCT source AS question_id FROM documents WHERE lang = 'en') q ON q.question_id = t.question_id GROUP BY 1", TRAJECTORIES)
 def join_questions_trajectories(spark, sf):
     """Questions without trajectories are skipped."""
@@ -254,12 +277,13 @@ def align_logprobs(spark, sf):
     return rows.select("vec_id", "n", T.align_logprobs(F.col("e"), F.col("n")).alias("logprobs"))
 
 
-@query("SELECT question_id, rollout_index, list_concat(tokens, list_resize([]::VARCHAR[], 12 - len(tokens), '<pad>')) AS padded FROM trajectories", TRAJECTORIES)
+@query("""SELECT question_id, rollout_index, CAST(longest AS INTEGER) AS n_padded, md5(array_to_string(list_concat(tokens, list_resize([]::VARCHAR[], longest - len(tokens), '<pad>')), ' ')) AS padded FROM
+  (SELECT *, max(len(tokens)) OVER (PARTITION BY rollout_index // 8) AS longest FROM trajectories)""", TRAJECTORIES)
 def pad_batch(spark, sf):
-    """To the longest of the batch."""
-    rows = trajectories(spark, sf)
-    longest = rows.agg(F.max(F.size("tokens"))).first()[0]
-    return rows.select("question_id", "rollout_index", T.padded(F.col("tokens"), F.lit(longest), F.lit("<pad>")).alias("padded"))
+    """To the longest of a batch, of eight rollouts each."""
+    rows = trajectories(spark, sf).withColumn("batch", F.floor(F.col("rollout_index") / 8))
+    longest = rows.groupBy("batch").agg(F.max(F.size("tokens")).alias("n_padded"))
+    return rows.join(longest, "batch").select("question_id", "rollout_index", "n_padded", F.md5(F.array_join(T.padded(F.col("tokens"), F.col("n_padded"), F.lit("<pad>")), " ")).alias("padded"))
 
 
 @query("SELECT question_id, rollout_index, list_slice(tokens, greatest(1, len(tokens) - 4), len(tokens)) AS ids, CASE WHEN success THEN 'pos' ELSE 'neg' END AS example_kind, CASE WHEN success THEN NULL ELSE reward END AS negative_weight, list_resize([]::INTEGER[], least(5, len(tokens)), 0) AS mask FROM trajectories", TRAJECTORIES)
@@ -336,12 +360,11 @@ def head_limit(spark, sf):
     return answers(spark, sf).orderBy("row_id").limit(25).select("row_id", "score")
 
 
-@query("""SELECT CAST(floor(pos / 16) AS INTEGER) AS iteration, CAST(e AS INTEGER) AS epoch, row_id FROM (SELECT *, e * (SELECT count(*) FROM small) + row_number() OVER (PARTITION BY e ORDER BY md5(concat_ws('|', 5, e, row_id)), row_id) - 1 AS pos
-  FROM small, (SELECT unnest(range(10)) AS e)) WHERE pos < 16 * 20""", "small AS (SELECT p_partkey AS row_id FROM part WHERE p_partkey % 2 = 0 AND p_size < 26)")
+@query("""SELECT CAST(floor(pos / 16) AS INTEGER) AS iteration, CAST(e AS INTEGER) AS epoch, row_id FROM (SELECT *, e * (SELECT count(*) FROM pool) + row_number() OVER (PARTITION BY e ORDER BY md5(concat_ws('|', 5, e, row_id)), row_id) - 1 AS pos
+  FROM pool, (SELECT unnest(range(20)) AS e)) WHERE pos < 16 * 200""", "pool AS (SELECT p_partkey AS row_id FROM part)")
 def sample_epochs(spark, sf):
-    """C5."""
-    pool = table(spark, sf, "part").where("p_partkey % 2 = 0 AND p_size < 26").select(F.col("p_partkey").alias("row_id"))
-    return S.epoch_batches(pool, 16, 5, 20)
+    """200 batches of 16."""
+    return S.epoch_batches(table(spark, sf, "part").select(F.col("p_partkey").alias("row_id")), 16, 5, 200)
 
 
 @query(f"SELECT bucket AS key, row_id, concat(bucket, ':', row_id) AS question_id FROM (SELECT b.*, row_number() OVER (PARTITION BY bucket ORDER BY {_MD5.format(seed=9, it=4, rep=0)}, row_id) AS rn, q.quota FROM buckets b JOIN (SELECT key, quota FROM quotas16) q ON q.key = b.bucket) WHERE rn <= quota", ANSWERS, _ALL, _QUOTAS, _BUCKETS, _QUOTAS.replace("quotas AS", "quotas16 AS").replace("FROM totals,", "FROM (SELECT 16 AS total),"))

@@ -55,18 +55,18 @@ RUNS = """runs AS (
            round(value - floor(value), 6) AS accuracy, round(value, 6) AS eval_seconds, event_id % 3 = 0 AS randomized FROM events))"""
 
 
-def trajectories(spark: SparkSession, sf_dir: str, n_tokens: int = 12) -> DataFrame:
-    """Token sequences sampled per question: the first words of documents, with labels as success."""
+def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token sequences sampled per question: all words of documents, with labels as success."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rows = docs.join(labels.select("doc_id", "quality"), "doc_id", "left")
-    tokens = F.slice(F.split(F.lower("text"), " ", -1), 1, n_tokens)
+    tokens = F.split(F.lower("text"), " ", -1)
     success = F.coalesce("quality", F.lit(0)) == 1
     reward = F.when(success, 1.0).otherwise(F.round((F.col("doc_id") % 7) / 10.0 - 0.3, 6))
     return rows.select(F.col("source").alias("question_id"), F.col("doc_id").alias("rollout_index"), tokens.alias("tokens"), success.alias("success"), reward.alias("reward"))
 
 
 TRAJECTORIES = """trajectories AS (
-  SELECT source AS question_id, d.doc_id AS rollout_index, list_slice(string_split(lower(text), ' '), 1, 12) AS tokens, coalesce(quality, 0) = 1 AS success,
+  SELECT source AS question_id, d.doc_id AS rollout_index, string_split(lower(text), ' ') AS tokens, coalesce(quality, 0) = 1 AS success,
          CASE WHEN coalesce(quality, 0) = 1 THEN 1.0::DOUBLE ELSE round((d.doc_id % 7) / 10.0::DOUBLE - 0.3, 6) END AS reward
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 

@@ -1,8 +1,9 @@
 """A continuous evaluator: run records arrive as files, summaries follow.
 
 Every micro-batch upserts its runs by (step, run_index), so a batch that is replayed after a failure changes nothing, and
-recomputes the summaries of the steps it touched.  A control stream names the generation; stop and repeat limits are
-filters on what is taken in.
+recomputes the summaries of the steps it touched, which it publishes under its own number; readers take the newest of each
+step, so a summary is never missing.  A control table names the generation and its first step, and ends the work; what is
+not taken in is recorded with its reason.
 """
 
 from __future__ import annotations
@@ -28,7 +29,25 @@ def accepted(runs: DataFrame, most_repeats: int) -> DataFrame:
 
 def latest_control(control: DataFrame) -> DataFrame:
     """The control row with the highest generation."""
-    return control.groupBy().agg(F.max_by(F.struct(*control.columns), "generation").alias("c")).select("c.*")
+    return control.groupBy().agg(F.max_by(F.struct(*control.columns), "generation").alias("c")).where("c IS NOT NULL").select("c.*")
+
+
+def write_control(spark: SparkSession, path: str, stop: bool, generation: int, step: int, epoch: float = 0.0, checkpoint_dir: str = "") -> None:
+    """Appends a control row; readers see it whole or not at all: R1, R5."""
+    spark.createDataFrame([(stop, generation, step, epoch, checkpoint_dir)], CONTROL).coalesce(1).write.mode("append").parquet(path)
+
+
+def obeyed(runs: DataFrame, control: DataFrame | None, most_repeats: int) -> DataFrame:
+    """``runs`` with ``skipped``: why a run is not taken in (stopped, superseded, repeats), null if it is: R1, R2, R6.
+
+    Of control rows the one with the highest generation holds; without any, all steps are taken in.
+    """
+    if control is None:
+        return runs.withColumn("skipped", F.when(F.col("run_index") > most_repeats, "repeats"))
+    now = latest_control(control).select(F.col("stop").alias("__stop"), F.col("step").alias("__step"))
+    rows = runs.join(F.broadcast(now), F.lit(True), "left")  # one row at most
+    reason = F.when(F.col("__stop"), "stopped").when(F.col("step") < F.col("__step"), "superseded").when(F.col("run_index") > most_repeats, "repeats")
+    return rows.withColumn("skipped", reason).drop("__stop", "__step")
 
 
 def latest_per_step(runs: DataFrame) -> DataFrame:
@@ -42,17 +61,32 @@ def summaries(runs: DataFrame) -> DataFrame:
     return stats.join(best_worst_run(runs, ("step",)), "step")
 
 
-def evaluate(stream: DataFrame, store: str, checkpoint: str, most_repeats: int = 1_000_000):
-    """Starts the evaluator: appends to ``store``/runs, a folder a batch, and rewrites ``store``/summary: R1, R4, R5.
+def current(spark: SparkSession, store: str) -> DataFrame:
+    """The newest summary of each step: R3, R5."""
+    rows = spark.read.parquet(f"{store}/summary")
+    names = [c for c in rows.columns if c not in ("step", "batch")]
+    return rows.groupBy("step").agg(F.max_by(F.struct(*names), "batch").alias("s")).select("step", "s.*")
+
+
+def evaluate(stream: DataFrame, store: str, checkpoint: str, most_repeats: int = (1 << 31) - 1, control: str | None = None):
+    """Starts the evaluator: a folder a batch under ``store``: runs, skipped and summary (of the steps it touched): R1, R4-R6.
 
-    A batch's folder is overwritten when it is replayed, and reading drops repeated (step, run_index), so the at-least-once
-    delivery has no effect on results.  Spark's commit protocol publishes a summary only when it is complete.
+    A batch's folders are overwritten when it is replayed, and of repeated (step, run_index) the first batch's counts, so
+    at-least-once delivery has no effect on results.  ``control``: a table that ``write_control`` appends to.
     """
     spark = stream.sparkSession
 
     def take(batch: DataFrame, number: int) -> None:
-        accepted(batch, most_repeats).write.mode("overwrite").parquet(f"{store}/runs/batch={number}")
-        everything = spark.read.parquet(f"{store}/runs").drop("batch").dropDuplicates(["step", "run_index"])
-        summaries(everything).write.mode("overwrite").parquet(f"{store}/summary")
+        rules = None if control is None else spark.read.schema(CONTROL).parquet(control)
+        rows = obeyed(batch, rules, most_repeats).persist()
+        rows.where("skipped IS NOT NULL").write.mode("overwrite").parquet(f"{store}/skipped/batch={number}")
+        rows.where("skipped IS NULL").drop("skipped").write.mode("overwrite").parquet(f"{store}/runs/batch={number}")
+        rows.unpersist()
+        everything = spark.read.schema(f"{RUN}, batch int").parquet(f"{store}/runs")
+        touched = everything.where(F.col("batch") == number).select("step").distinct()
+        everything = everything.join(touched, "step", "left_semi")
+        names = [c for c in everything.columns if c not in ("step", "run_index", "batch")]
+        first = everything.groupBy("step", "run_index").agg(F.min_by(F.struct(*names), F.struct("batch", *names)).alias("r")).select("step", "run_index", "r.*")
+        summaries(first).write.mode("overwrite").parquet(f"{store}/summary/batch={number}")
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,6 +2,8 @@
 
 import json
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,4 +178,42 @@ def test_stream_equals_batch(spark, tmp_path):
         V.evaluate(V.run_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/log", most_repeats=4).awaitTermination()
     want = V.summaries(df.where("run_index <= 4"))
     rounded = lambda d: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.collect())
-    assert rounded(spark.read.parquet(f"{tmp_path}/out/summary").select(want.columns)) == rounded(want)
+    assert rounded(V.current(spark, f"{tmp_path}/out").select(want.columns)) == rounded(want)
+    assert spark.read.parquet(f"{tmp_path}/out/skipped").where("skipped = 'repeats'").count() == 4
+
+
+def test_control(spark):
+    runs = spark.createDataFrame([(1, 1), (5, 1), (5, 9)], "step int, run_index int")
+    reasons = lambda *rows: [r.skipped for r in V.obeyed(runs, spark.createDataFrame(rows, V.CONTROL), 5).orderBy("step", "run_index").collect()]
+    assert reasons() == [None, None, "repeats"]
+    assert reasons((True, 1, 9, 0.0, ""), (False, 2, 3, 0.0, "")) == ["superseded", None, "repeats"]
+    assert reasons((False, 1, 0, 0.0, ""), (True, 2, 0, 0.0, "")) == ["stopped"] * 3
+    assert [r.skipped for r in V.obeyed(runs, None, 5).orderBy("step", "run_index").collect()] == [None, None, "repeats"]
+
+
+def test_trie_of_deep_sequences(spark):
+    """Node statistics of long and branching sequences against prefixes written out."""
+    rng = random.Random(2)
+    long = [rng.choice("ab") for _ in range(3000)]
+    rows = [("q", i, long[: 2000 + i] + [rng.choice("abc") for _ in range(rng.randint(0, 40))], i % 2 == 0, 1.0) for i in range(6)] + [("r", 1, ["a"], True, 1.0), ("r", 2, ["a", "b"], False, 1.0)]
+    nodes = T.node_stats(spark.createDataFrame(rows, "question_id string, rollout_index int, tokens array<string>, success boolean, weight double"))
+    want = Counter()
+    for q, _, tokens, success, _ in rows:
+        for d in range(len(tokens) + 1):
+            want[q, d, tuple(tokens[:d])] += 1
+    assert Counter((r.question_id, r.depth, r.visits) for r in nodes.collect()) == Counter((q, d, n) for (q, d, _), n in want.items())
+
+
+def test_response_examples(spark):
+    rows = [("q", 1, d, d != 1, 3) for d in range(4)] + [("q", 2, 0, True, None)]
+    tokens = spark.createDataFrame(rows, "question_id string, rollout_index int, depth int, valid boolean, n_logprobs int")
+    of = lambda most: sorted(tuple(r)[1:] for r in T.response_examples(tokens, most).collect())
+    assert of(None) == [(1, [1, 0, 1, 1], False), (2, [1], False)] and of(3) == [(1, [1, 0, 1], True), (2, [1], False)]
+
+
+def test_sampling_goes_through_the_pool_again(spark):
+    pool = spark.range(7).withColumnRenamed("id", "row_id")
+    got = S.sampled(pool, 17, 3, 1).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(17)) and [r["repeat"] for r in got] == [0] * 7 + [1] * 7 + [2] * 3
+    assert all(len({r.row_id for r in got[a:b]}) == b - a for a, b in ((0, 7), (7, 14), (14, 17)))
+    assert len(S.sampled(pool, 10**6, 3, 1)._jdf.queryExecution().logical().toString()) < 20_000
