@@ -398,7 +398,8 @@ _OWN = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("matrix", pa.binar
 
 
 def _giant_ids(giants: DataFrame, content, chunk: int) -> DataFrame:
-    """(key, ids) of long texts: (key, text).  Chunks are spread over all tasks; a text's matrices meet in blocks."""
+    """(key, ids) of long texts: (key, text).  Chunks are spread over all tasks, those of equal texts once; a text's
+    matrices meet in blocks."""
 
     def spread(batches):
         reach = load(content.value).longest - 1
@@ -461,7 +462,7 @@ def _giant_ids(giants: DataFrame, content, chunk: int) -> DataFrame:
                     found.append(ids_of(head, after, enter, leave))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["key", "part", "ids"])
 
-    chunks = giants.mapInArrow(trimmed(spread), "key long, part int, before string, body string, after string").repartition("key", "part")
+    chunks = giants.mapInArrow(trimmed(spread), "key long, part int, before string, body string, after string").dropDuplicates(["key", "part"])
     fields = "key long, part int, matrix binary, joined boolean, head string, ids array<int>, tail string, after string"
     own = written(chunks.mapInArrow(trimmed(matrices), fields), "piece-matrices").withColumn("block", F.floor(F.col("part") / _BLOCK).cast("int"))
     small = own.select("key", "block", "part", "joined", F.when(F.col("joined"), F.col("head")).alias("head"), "matrix")
@@ -509,7 +510,7 @@ def _encoded(docs: DataFrame, model: str, chunk: int, finish, schema: str) -> Da
     if giants.isEmpty():
         return encoded
     keyed = giants.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.xxhash64("text").alias("key"))
-    ids = _giant_ids(keyed.select("key", F.col("row.text").alias("text")).dropDuplicates(["key"]), content, chunk)
+    ids = _giant_ids(keyed.select("key", F.col("row.text").alias("text")), content, chunk)
     joined = keyed.join(ids, "key").select("row.*", F.col("ids").alias("pieces"))
     return encoded.unionByName(joined.mapInArrow(trimmed(done), schema))
 
