@@ -10,12 +10,15 @@ frequent shingles) is paired with all others, never all with all: pairs pass the
 distinct, bounded by the suffix filter, and verified once.  Entities that have become connected need no more pairs.
 An entity is weak at a shingle if those it shares with anyone, from there on, are under 2t / (1 + t) of its own; two weak
 ones can't be similar enough, so documents that merely have a popular passage in common aren't paired.  Rounds with
-further pivots go on, three at most, while there are many unconnected pairs; then all left that pass the filters are
-verified, so that no link between components is missed.
+further pivots go on, three at most, while there are many unconnected pairs; then all left, of like length, that pass the
+filters are verified, so that no link between components is missed.  Shingles and components that many rows have are dealt
+over many tasks.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,15 +26,16 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .repeats import repeated_hashes
-from .shared import bounded_batches, documents, text_bytes, trimmed, written
+from .shared import bounded_batches, documents, spread_join, text_bytes, trimmed, written
 from .text import mix, shingle_hashes, slices, text_buffer, word_bounds, word_hashes
 
 #: Similarity that links, in hundredths.
 LINK = 75
 
 
-#: A shingle is hot if it has one in so many of all prefix rows; hot ones are dealt over ``SALTS`` tasks.
-HOT, SALTS = 4096, 64
+#: A shingle is hot if it has over one in ``HOT`` of all prefix rows; it is dealt over a task for each such share, ``SALTS``
+#: at most.  All hot shingles together are dealt over 2 * ``HOT`` tasks at most, so what meets them there stays few rows.
+HOT, SALTS = 1024, 64
 
 
 def row_key() -> Column:
@@ -139,11 +143,18 @@ def _side(rows: DataFrame, side: str) -> DataFrame:
     return rows.select("h", "salt", F.col("set_id").alias(side), F.col("component").alias(f"{side}_in"), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "left", "strong")])
 
 
+def _by_length(rows: DataFrame, link: int, reach: int) -> DataFrame:
+    """``rows`` with the class of their length as ``salt``, also those up to ``reach`` classes off; similar sets are one off at most."""
+    own = F.floor(F.log(F.col("n")) * (0.999 / math.log(100 / link))).cast("int")
+    return rows.withColumn("salt", F.explode(F.sequence(own - reach, own + reach)) if reach else own)
+
+
 def _salted(rows: DataFrame) -> DataFrame:
     """``rows`` with ``spread``, how many tasks their shingle is dealt over, and ``salt``, which of these has the row."""
     counts = written(rows.groupBy("h").agg(F.count("*").alias("m")), "shingle-counts")
     total = counts.agg(F.sum("m")).first()[0] or 0
-    hot = counts.where(F.col("m") * HOT > total).select("h", F.lit(SALTS).alias("spread"))  # fewer than HOT rows
+    shares = F.least(F.lit(SALTS), F.ceil(F.col("m") * HOT / total).cast("int"))
+    hot = counts.where(F.col("m") * HOT > total).select("h", shares.alias("spread"))  # fewer than HOT rows
     rows = rows.join(F.broadcast(hot), "h", "left").withColumn("spread", F.coalesce("spread", F.lit(1)))
     return rows.withColumn("salt", F.pmod(F.xxhash64("set_id"), F.col("spread")).cast("int"))
 
@@ -180,13 +191,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, link: int = LINK, rounds: in
         if not n_rows:
             break
         last = turn == rounds or turn > 0 and n_pairs <= 256 * n_rows  # comparisons of numbers, not of sets
-        if last:
-            partners = rows.where("strong")  # one of a pair is
+        if last:  # one of a pair is strong
+            x, y = _by_length(rows, link, 0), _by_length(rows.where("strong"), link, 1)
         else:
             best = F.max_by(F.struct("set_id", "n", "left", "strong", "component", "spread"), F.struct("often", "left", "set_id"))
-            partners = pivots = written(rows.groupBy("h").agg(best.alias("p")).select("h", "p.*"), "shingle-pivots")
+            pivots = written(rows.groupBy("h").agg(best.alias("p")).select("h", "p.*"), "shingle-pivots")
+            x, y = rows, _everywhere(pivots)
         fits = (F.col("x_in") != F.col("y_in")) & (F.col("x_strong") | F.col("y_strong")) & _passes(link)
-        pairs = _side(rows, "x").join(_side(_everywhere(partners), "y"), ["h", "salt"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = _side(x, "x").join(_side(y, "y"), ["h", "salt"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "shingle-pairs")
@@ -202,10 +214,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, link: int = LINK, rounds: in
     if links is None:
         joined = small.withColumn("component", F.col("set_id"))
     else:
-        joined = small.join(components(links).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        joined = spread_join(small, components(links).withColumnRenamed("node", "set_id"), "set_id", "row").withColumn("component", F.coalesce("component", "set_id"))
     joined = written(joined, "shingle-labels")
     first = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = joined.join(first, "component", "left")
+    named = spread_join(joined, first, "component", "row")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *(["row", "component"] if rows_too else []))
 
 
