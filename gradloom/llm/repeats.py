@@ -62,7 +62,7 @@ def repeated_hashes(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator
     ``n_hashes``: about how many there are, which sets the number of hash ranges.
     """
     bounded_batches(docs.sparkSession)
-    n_buckets = buckets_for(n_hashes * 4)
+    n_buckets = buckets_for(n_hashes * 4, each=6e6)  # sorting takes a reducer ten times as much
     most = MOST_BYTES // n_buckets
 
     def pack(batches):
