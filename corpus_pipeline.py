@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gradloom.llm.mixing import document_sizes, pivotal_mix, word_count
 from gradloom.llm.near_duplicates import jaccard_components, row_key
 from gradloom.llm.quality import quality_rules
+from gradloom.llm.quality import row_key as quality_key
 from gradloom.llm.secrets import redact
 from gradloom.llm.sentencepiece import piece_digest
 from gradloom.llm.shared import documents, written
@@ -21,8 +22,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep: each row by its own verdict, also where ids are null or repeat."""
-    rules = quality_rules(docs.select(*COLUMNS), labels=spark.read.parquet(f"{sf_dir}/labels.parquet"), whole=True)
-    return rules.where("kept").select("given.*").select(*COLUMNS)
+    rules = quality_rules(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet"), rows_too=True)
+    kept = rules.where("kept").select("row").distinct()
+    return docs.select(*COLUMNS, quality_key()).join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
