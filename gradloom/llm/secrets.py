@@ -20,6 +20,7 @@ from re import _parser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .shared import bounded_batches, documents, trimmed
 from .text import text_buffer
@@ -215,33 +216,43 @@ class BlockIndex:
         return out
 
 
+class Scanner:
+    """Searches batches of texts with ``rules``: an index of the batch, the rules' queries, then the candidates."""
+
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.rules, self.queries = rules, [trigram_query(r) for r in rules]
+        self.vocabulary = np.zeros(1 << 24, bool)
+        self.vocabulary[sorted(set().union(*map(codes_of, self.queries)))] = True
+
+    def spans(self, texts: pa.Array) -> list[list[tuple[int, int, int]]]:
+        """(start, nth rule, end) of what each text has, in order; a null text has nothing."""
+        data, offsets = text_buffer(texts)
+        index, spans, decoded = BlockIndex(data, offsets, self.vocabulary), [[] for _ in range(len(texts))], {}
+        for nth, (rule, query) in enumerate(zip(self.rules, self.queries, strict=True)):
+            for i in index.candidates(query) if query is not None else range(index.n):
+                text = decoded.get(i)
+                if text is None:
+                    text = decoded[i] = data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")
+                spans[i] += [(s, nth, e) for s, e in rule.spans(text)]
+        return [sorted(x) for x in spans]
+
+
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with a column ``secrets``: array<struct<kind string, start int, end int>> by start, then rule order.
 
     Offsets are code points, ends exclusive.  Null texts count as empty and get an empty array; all other columns pass
-    unchanged, but one named ``secrets`` is replaced.  Runs where the rows are: no shuffle.
+    unchanged, but one named ``secrets`` is replaced.  Repeated rows each get their own; an empty table gives an empty
+    result.  Runs where the rows are: no shuffle.
     """
     bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "secrets"]
     docs = docs.select(*[f"`{c}`" for c in kept])
-    nth = {r.kind: i for i, r in enumerate(rules)}
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches):
-        queries = {r.kind: trigram_query(r) for r in rules}
-        vocabulary = np.zeros(1 << 24, bool)
-        vocabulary[sorted(set().union(*map(codes_of, queries.values())))] = True
+        scanner = Scanner(rules)
         for batch in batches:
-            texts = batch.column(kept.index("text"))
-            data, offsets = text_buffer(texts)
-            index, spans, decoded = BlockIndex(data, offsets, vocabulary), [[] for _ in range(batch.num_rows)], {}
-            for r in rules:
-                for i in index.candidates(queries[r.kind]) if queries[r.kind] is not None else range(index.n):
-                    text = decoded.get(i)
-                    if text is None:
-                        text = decoded[i] = data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")
-                    spans[i] += [(s, nth[r.kind], e) for s, e in r.spans(text)]
-            found = [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in sorted(x)] for x in spans]
+            found = [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in x] for x in scanner.spans(batch.column(kept.index("text")))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*kept, "secrets"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -251,45 +262,47 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "<secret:{}>") -> DataFrame:
     """``docs`` with every secret in the text replaced by its masked kind; overlapping spans become one.
 
-    Null texts stay null; texts without a secret stay as they are; all columns pass, one named ``secrets`` too.
+    Null texts stay null; texts without a secret stay as they are; all columns pass.
     """
-    given, docs = docs.columns, docs.withColumnRenamed("secrets", "__secrets")
+    bounded_batches(docs.sparkSession)
     columns = docs.columns
-    found = scan_secrets(docs, rules)
+    at_text = columns.index("text")
+
+    def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
+        parts, at = [], 0
+        for start, k, end in spans:
+            if start >= at:
+                parts += [text[at:start], mask.format(rules[k].kind)]
+            at = max(at, end)
+        return "".join([*parts, text[at:]])
 
     def replace(batches):
+        scanner = Scanner(rules)
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(columns.index("text")).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
-                if spans:
-                    parts, at = [], 0
-                    for s in spans:
-                        if s["start"] >= at:
-                            parts += [text[at : s["start"]], mask.format(s["kind"])]
-                        at = max(at, s["end"])
-                    text = "".join([*parts, text[at:]])
-                texts.append(text)
-            i = columns.index("text")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:i], pa.array(texts, batch.column(i).type), *batch.columns[i + 1 : len(columns)]], columns)
-
-    return found.mapInArrow(trimmed(replace), docs.schema).toDF(*given)
+            texts = batch.column(at_text)
+            found = scanner.spans(texts)
+            texts = [replaced(t, x) if x else t for t, x in zip(texts.to_pylist(), found, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at_text], pa.array(texts, batch.column(at_text).type), *batch.columns[at_text + 1 :]], columns)
+
+    return docs.mapInArrow(trimmed(replace), docs.schema)
 
 
 def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, a count per base kind, base_sha256 and spans of the scan's result."""
-    found = scan_secrets(docs.select("doc_id", "text"), rules)
-    base = [r.kind for r in rules if r.base]
+    bounded_batches(docs.sparkSession)
+    base = [i for i, r in enumerate(rules) if r.base]
 
     def digests(batches):
+        scanner = Scanner(rules)
         for batch in batches:
-            own = batch.column(2).to_pylist()
-            written = [[f"{s['kind']}:{s['start']}:{s['end']}" for s in spans] for spans in own]
-            of_base = [",".join(w for w, s in zip(ws, spans, strict=True) if s["kind"] in base) for ws, spans in zip(written, own, strict=True)]
-            counts = [pa.array([sum(s["kind"] == k for s in spans) for spans in own], pa.int64()) for k in base]
-            sha = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in of_base])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, sha, pa.array([",".join(w) for w in written])], ["doc_id", *[f"n_{k}" for k in base], "base_sha256", "spans"])
-
-    return found.mapInArrow(digests, "doc_id long, " + "".join(f"n_{k} long, " for k in base) + "base_sha256 string, spans string")
+            found = scanner.spans(batch.column(1))
+            of = lambda spans: ",".join(f"{rules[k].kind}:{s}:{e}" for s, k, e in spans)
+            counts = [pa.array([sum(k == i for _, k, _ in x) for x in found], pa.int64()) for i in base]
+            sha = pa.array([hashlib.sha256(of([s for s in x if s[1] in base]).encode()).hexdigest() for x in found], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, sha, pa.array([of(x) for x in found], pa.string())], ["doc_id", *[f"n_{rules[i].kind}" for i in base], "base_sha256", "spans"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(trimmed(digests), "doc_id long, " + "".join(f"n_{rules[i].kind} long, " for i in base) + "base_sha256 string, spans string")
 
 
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def spread_join(rows: DataFrame, table: DataFrame, on: str, *salt: str, share: i
     return rows.withColumn("found", found).select("*", *[F.col(f"found.{v}").alias(v) for v in values]).drop("hot", "by", "cold_on", "cold", "found")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 4000, mb: int = 16) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 4000, mb: int = 8) -> None:
     """Bounds the Arrow batches that Python workers hold, by rows and by bytes (long texts)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
