@@ -27,11 +27,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share."""
+    """A new folder that all executors share, under ``spark.checkpoint.dir``; only local sessions may leave that unset."""
     top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="spark-gradloom-")
-        spark.conf.set("spark.checkpoint.dir", top)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    top = top or tempfile.mkdtemp(prefix="spark-gradloom-")
     return f"{top.rstrip('/')}/gradloom-{name}-{uuid.uuid4().hex}"
 
 
