@@ -104,26 +104,32 @@ class Stretch:
 
     def __init__(self, words: list[str], starts: list[int]):
         self.words, self.starts, self.ends = words, starts, [s + len(w) for s, w in zip(starts, words, strict=True)]
+        self._low = [w.lower() for w in words]
         # digits and signs of addresses up to each token, and tokens that count towards the longest segment
         self._signs = np.cumsum([0, *[t[0].isdigit() and len(t) or 7 * (t == "@" or t.lower() in _AT) for t in words]]).tolist()
         self._counted = np.cumsum([0, *[t[0] not in " \t()[]{}" for t in words]]).tolist()
 
     def segments(self, lo: int = 0, hi: int | None = None) -> list[tuple[int, int, list[str]]]:
-        words, signs, counted, found = self.words, self._signs, self._counted, []
+        words, low, signs, counted, found = self.words, self._low, self._signs, self._counted, []
         for i in range(lo, len(words) if hi is None else min(hi, len(words))):
             if not (words[i].isalnum() or words[i] in "+("):
                 continue
+            near = {low[k] for k in range(max(0, i - 7), i) if words[k].isalpha()}
+            cues = [f"cue:{kind}" for kind, names in _CUES.items() if near & names]
             for j in range(i + 1, min(len(words), i + MOST) + 1):
                 if counted[j] - counted[i] > LONGEST:
                     break
-                if signs[j] - signs[i] >= 4 and words[j - 1].isalnum() and (names := features(words, i, j)) is not None:
-                    found.append((i, j, names))
+                if signs[j] - signs[i] >= 4 and words[j - 1].isalnum() and (names := features(words, low, i, j)) is not None:
+                    found.append((i, j, names + cues))
         return found
 
 
-def features(tokens: list[str], i: int, j: int) -> list[str] | None:
-    """Names of the features of tokens[i:j] as one segment; None if it can't be an entity of any kind."""
-    part = tokens[i:j]
+def features(tokens: list[str], low: list[str], i: int, j: int) -> list[str] | None:
+    """Names of the features of tokens[i:j] as one segment, cues before it left out; None if it can't be an entity of any kind.
+
+    ``low``: the tokens in small letters.
+    """
+    part, small = tokens[i:j], low[i:j]
     text = "".join(part)
     if text[0] in " \t" or text[-1] in " \t" or not (part[0].isalnum() or part[0] in "+(") or not part[-1].isalnum():
         return None
@@ -131,13 +137,13 @@ def features(tokens: list[str], i: int, j: int) -> list[str] | None:
     groups = [p for p in part if p[0].isdigit()]
     digits, letters = "".join(groups), [p for p in part if p[0].isalpha()]
     out = ["bias"]
-    marked = "@" in part or any(p.lower() in _AT for p in letters)
+    marked = "@" in part or not _AT.isdisjoint(small)
     if marked:
         if text[0] in "+(":
             return None
-        at = next(k for k, p in enumerate(part) if p == "@" or p.lower() in _AT)
+        at = next(k for k, p in enumerate(small) if p == "@" or p in _AT)
         left, right = part[:at], part[at + 1 :]
-        dotted = sum(p == "." or p.lower() in _DOT for p in right)
+        dotted = sum(p == "." or p in _DOT for p in small[at + 1 :])
         if not dotted or not left:
             return None
         out += ["at:sign" if "@" in part else "at:word", f"dots:{min(dotted, 3)}", f"tld:{2 <= len(part[-1]) <= 6 and part[-1].isalpha()}"]
@@ -176,8 +182,6 @@ def features(tokens: list[str], i: int, j: int) -> list[str] | None:
     out.append(f"after:{after.isalnum()}:{after in ('-', '/', '%', '_', '@') and after}")
     if after == "." and j + 1 < len(tokens) and tokens[j + 1][0].isalnum():
         out.append("goes on")
-    near = {t.lower() for t in tokens[max(0, i - 7) : i] if t.isalpha()}
-    out += [f"cue:{kind}" for kind, words in _CUES.items() if near & words]
     return out
 
 
