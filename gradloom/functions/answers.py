@@ -137,16 +137,20 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END, -1), strip), lambda x: x != "")
 
 
-def membership(c: Column, times: int = 4) -> Column:
-    r"""Without leading ``x \in``, up to ``times`` of them: U12."""
-    for _ in range(times):
-        c = strip(_sub(strip(c), (r"^\s*[A-Za-z](?:_[A-Za-z0-9]+)?\s*(?:\\in|\u2208)\s*(.+?)\s*$", "$1")))
-    return c
+def membership(c: Column) -> Column:
+    r"""Without leading ``x \in``, however many, as long as a line of text is left: U12."""
+    several = r"^(?:\s*[A-Za-z](?:_[A-Za-z0-9]+)?\s*(?:\\in|\u2208)\s*(?=.+?\s*$))+(.+?)\s*$"
+    some = lambda t: F.contains(t, F.lit("\\in")) | F.contains(t, F.lit("\u2208"))
+    return let(strip(c), lambda t: F.when(some(t), strip(_sub(t, (several, "$1")))).otherwise(t))
 
 
 def choice(c: Column) -> Column:
     """The letter of a multiple-choice answer, null for others: U11."""
-    own = _drop(_sub(_dollars(membership(canonical(c))), (TEXT_COMMAND, "$1")), "\\left", "\\right")
+    return _letter(membership(canonical(c)))
+
+
+def _letter(inner: Column) -> Column:
+    own = _drop(_sub(_dollars(inner), (TEXT_COMMAND, "$1")), "\\left", "\\right")
     own = let(own, lambda t: F.coalesce(last_box(t), t))
     own = strip(_sub(_sub(own, (r"\\([a-zA-Z]+)", "$1")), (r"\s+", " ")))
     return F.lower(F.nullif(F.regexp_extract(own, r"^(?:\(?\s*(?=[A-Za-z]\s*\)?$)|\(\s*(?=[A-Za-z]\s*\)\s+.))([A-Za-z])", 1), F.lit("")))
@@ -169,13 +173,14 @@ def unordered(c: Column) -> Column:
 def normalized(c: Column) -> Column:
     """The form in which answers are compared: U14."""
 
-    def form(t: Column) -> Column:
-        own = F.replace(F.replace(currency(membership(canonical(t))), F.lit("\\$"), F.lit("$")), F.lit("$"), F.lit(""))
-        own = _drop(_sub(own, (r"\\[\x20,;:]", " "), (r"\\[\]\[]", ""), (TEXT_COMMAND, "$1")), "\\left", "\\right", "\\!")
-        own = F.lower(_sub(own, (r"\\([a-zA-Z]+)", "$1"), (r"[\x20\n\t]", "")))
-        return F.coalesce(choice(t), unordered(own))
+    return let(membership(canonical(c)), lambda inner: F.coalesce(_letter(inner), _plain_form(inner)))
 
-    return let(F.coalesce(c, F.lit("")), form)
+
+def _plain_form(inner: Column) -> Column:
+    """The form of what is no letter."""
+    own = F.replace(F.replace(currency(inner), F.lit("\\$"), F.lit("$")), F.lit("$"), F.lit(""))
+    own = _drop(_sub(own, (r"\\[\x20,;:]", " "), (r"\\[\]\[]", ""), (TEXT_COMMAND, "$1")), "\\left", "\\right", "\\!")
+    return unordered(F.lower(_sub(own, (r"\\([a-zA-Z]+)", "$1"), (r"[\x20\n\t]", ""))))
 
 
 def scalar_core(c: Column) -> Column:
@@ -292,26 +297,43 @@ def _bare_set(c: Column) -> Column:
     return let(parts, lambda p: F.when((F.size(p) > 1) & ~F.exists(p, lambda x: x == ""), p))
 
 
-def typed_match(rows: DataFrame, left: str, right: str) -> DataFrame:
-    """``rows`` with ``typed_match``: the first kind that both sides have decides: choice, scalar, interval, tuple, set, plain text: U18, U29."""
-    df = rows
-    for side, c in (("l", left), ("r", right)):
-        x = F.col(c)
-        df = df.withColumn(f"__{side}_core", scalar_core(x))
-        core = F.col(f"__{side}_core")
-        df = df.withColumns({f"__{side}_choice": choice(x), f"__{side}_scalar": F.nullif(F.when(core.isNotNull(), normalized(core)), F.lit("")), f"__{side}_list": _bracketed(x), f"__{side}_bare": _bare_set(x), f"__{side}_norm": normalized(x)})
-        b = F.col(f"__{side}_list")
-        items = F.transform(b["parts"], normalized)
+def _compared(rows: DataFrame, left: str, right: str) -> DataFrame:
+    """``rows`` with ``typed_match`` and ``same``, which is ``typed_match`` or else what U20 says of the two.
+
+    The first kind that both sides have decides: choice, scalar, interval, tuple, set, plain text.  What only later kinds
+    need is null where an earlier one has decided, so it isn't computed there.
+    """
+    df, sides = rows, (("l", F.col(left)), ("r", F.col(right)))
+    col = lambda side, name: F.col(f"__{side}_{name}")
+    both = lambda name: F.when(col("l", name).isNotNull() & col("r", name).isNotNull(), col("l", name) == col("r", name))
+    for side, x in sides:
+        df = df.withColumns({f"__{side}_inner": membership(canonical(x)), f"__{side}_core": scalar_core(x)}).withColumn(f"__{side}_choice", F.when(x.isNotNull(), _letter(col(side, "inner"))))
+    cores = col("l", "core").isNotNull() & col("r", "core").isNotNull()
+    df = df.withColumns({f"__{side}_scalar": F.when(cores, F.nullif(normalized(col(side, "core")), F.lit(""))) for side, _ in sides})
+    df = df.withColumn("__choice", both("choice")).withColumn("__scalar", both("scalar"))
+    undecided = F.col("__choice").isNull() & F.col("__scalar").isNull()
+    for side, x in sides:
+        df = df.withColumns({f"__{side}_list": F.when(undecided, _bracketed(x)), f"__{side}_bare": F.when(undecided, _bare_set(x)), f"__{side}_norm": F.when(undecided, F.coalesce(_letter(col(side, "inner")), _plain_form(col(side, "inner"))))})
+        listed = col(side, "list")
+        df = df.withColumns({f"__{side}_items": F.transform(listed["parts"], normalized), f"__{side}_bares": F.transform(col(side, "bare"), normalized)})
+        pair, items, bare = listed["pair"], col(side, "items"), col(side, "bares")
         whole = ~F.exists(items, lambda i: i == "")
-        bare = F.transform(F.col(f"__{side}_bare"), normalized)
         plain = let(unwrapped(x), lambda t: F.rlike(t, F.lit(r"\p{L}")) & ~F.rlike(t, F.lit(r"[\\{}\[\](),=^_/$]")))
         df = df.withColumns({
-            f"__{side}_interval": F.when(b["pair"].isin("[]", "[)", "(]") & (F.size(items) == 2) & whole, F.struct(b["pair"], items)), f"__{side}_tuple": F.when((b["pair"] == "()") & whole, items),
-            f"__{side}_set": F.coalesce(F.when((b["pair"] == "{}") & whole, F.array_sort(items)), F.when(~F.exists(bare, lambda i: i == ""), F.array_sort(bare))), f"__{side}_text": F.coalesce(plain, F.lit(False)),
+            f"__{side}_interval": F.when(pair.isin("[]", "[)", "(]") & (F.size(items) == 2) & whole, F.struct(pair, items)), f"__{side}_tuple": F.when((pair == "()") & whole, items),
+            f"__{side}_set": F.coalesce(F.when((pair == "{}") & whole, F.array_sort(items)), F.when(~F.exists(bare, lambda i: i == ""), F.array_sort(bare))), f"__{side}_text": F.coalesce(F.when(undecided, plain), F.lit(False)),
         })
-    both = [F.when(F.col(f"__l_{k}").isNotNull() & F.col(f"__r_{k}").isNotNull(), F.col(f"__l_{k}") == F.col(f"__r_{k}")) for k in ("choice", "scalar", "interval", "tuple", "set")]
-    df = df.withColumn("typed_match", F.coalesce(*both, F.when(F.col("__l_text") & F.col("__r_text"), F.col("__l_norm") == F.col("__r_norm")), F.lit(False)))
-    return df.drop(*[c for c in df.columns if c.startswith("__")])
+    norms = col("l", "norm") == col("r", "norm")
+    df = df.withColumn("typed_match", F.coalesce("__choice", "__scalar", *map(both, ("interval", "tuple", "set")), F.when(col("l", "text") & col("r", "text"), norms), F.lit(False)))
+    # letters are the normal forms of choices
+    legacy = F.coalesce("__scalar", "__choice", norms & (col("r", "norm") != ""), F.lit(False))
+    return df.withColumn("same", F.col("typed_match") | legacy).drop(*[c for c in df.columns if c.startswith(("__l_", "__r_")) or c in ("__choice", "__scalar")])
+
+
+def typed_match(rows: DataFrame, left: str, right: str) -> DataFrame:
+    """``rows`` with ``typed_match``: whether the first kind that both sides have is the same in both: U18, U29."""
+    named = rows.withColumnsRenamed({"same": "__own_same"})
+    return _compared(named, left, right).drop("same").withColumnsRenamed({"__own_same": "same"})
 
 
 def legacy_match(prediction: Column, gold: Column) -> Column:
@@ -333,9 +355,9 @@ def scored(rows: DataFrame, completion: str = "completion", gold: str = "gold",
     ``verify``: an optional function of (prediction, gold) columns that may find them equal where the rules don't (U19).
     """
     df = inspected(rows, completion).withColumn("answer", F.nullif(strip(F.col("tail.answer")), F.lit(""))).withColumn("__gold", gold_answer(F.col(gold)))
-    df = typed_match(df, "answer", "__gold")
+    df = _compared(df.withColumnsRenamed({"same": "__own_same"}), "answer", "__gold")
     submitted = F.col("answer").isNotNull()
-    same = F.col("typed_match") | (F.coalesce(verify(F.col("answer"), F.col(gold)), F.lit(False)) if verify else F.lit(False)) | legacy_match(F.col("answer"), F.col(gold))
+    same = F.col("same") | F.coalesce(verify(F.col("answer"), F.col(gold)), F.lit(False)) if verify else F.col("same")
     cut = F.coalesce(F.lower(reason) != "stop", F.lit(False))
     correct = submitted & same & ~(cut & ~submitted)
     standard = F.coalesce(F.col("tail.standard"), F.lit(False)) & F.col("tail.answer").isNotNull()
@@ -343,7 +365,7 @@ def scored(rows: DataFrame, completion: str = "completion", gold: str = "gold",
     points = lambda flag, x: F.when(F.coalesce(flag, F.lit(False)), x).otherwise(0.0)
     df = df.withColumn("is_correct", correct).withColumn("format_reward", F.round(points(standard, 0.10) + points(F.col("last_is_final"), 0.05) + points(single, 0.05), 6))
     df = df.withColumn("answer_reward", points(F.col("is_correct"), 1.0)).withColumn("length_reward", length_penalty(F.col(reason), submitted))
-    return df.withColumn("total_reward", F.round(F.col("format_reward") + F.col("answer_reward") + F.col("length_reward"), 6)).drop("__gold")
+    return df.withColumn("total_reward", F.round(F.col("format_reward") + F.col("answer_reward") + F.col("length_reward"), 6)).drop("__gold", "same").withColumnsRenamed({"__own_same": "same"})
 
 
 def parse_label(parsed: Column, violations: Column, enabled: bool = True, available: bool = True, enforce: bool = False) -> Column:

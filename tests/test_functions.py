@@ -90,6 +90,20 @@ def test_typed_match(spark):
     assert [(r.l, r.r, r.typed_match) for r in A.typed_match(rows, "l", "r").orderBy("i").collect()] == cases
 
 
+def test_membership(spark):
+    said = [r"x \in 3", r"a \in b \in c \in d \in e \in f \in 7", "x \u2208 (1, 2] ", r"x \in y \in", r"x \in", "plain", None, ""]
+    assert apply(spark, A.membership, said) == ["3", "7", "(1, 2]", r"y \in", r"x \in", "plain", None, ""]
+
+
+def test_scores_are_typed_or_legacy_matches(spark):
+    forms = ["B", "(b)", "3", "3.0", r"\$3,000", "3000", "1,2", "2, 1", "(1,2)", "[1,2)", r"x \in \{2,1\}", r"x = 5 \text{cm}", "5", "90^\\circ", "two words", "Two  words", "$", r"\{b\}"]
+    rows = spark.createDataFrame([(f"Final Answer: {a}", b, "stop") for a in forms for b in forms], "completion string, gold string, finish_reason string")
+    own = A.scored(rows.withColumn("same", F.lit(7))).select("completion", "gold", "answer", "is_correct", "typed_match", "same").withColumn("legacy", A.legacy_match(F.col("answer"), F.col("gold")))
+    found = own.collect()
+    assert all(r.is_correct == (r.answer is not None and (r.typed_match or r.legacy)) and r.same == 7 for r in found)
+    assert sum(r.is_correct for r in found) > len(forms)
+
+
 def test_scores(spark):
     cases = [("Final Answer: \\boxed{4}", "4", "stop", 1.2), ("Final Answer: 4", "4", "stop", 1.15), ("so \\boxed{4}", "4", None, 1.0), ("so \\boxed{5}", "4", "stop", 0.0), ("no", "4", "length", -0.2), ("Final Answer: 5", "4", "length", 0.1), ("", "4", "stop", 0.0)]
     rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, completion string, gold string, finish_reason string, want double")
