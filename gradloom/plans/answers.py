@@ -191,44 +191,56 @@ def split_top_level(spark, sf):
     return answers(spark, sf).select("row_id", A.top_level(F.concat(F.lit("f(a,b),["), F.col("row_id").cast("string"), F.lit(",2],c"))).alias("parts"))
 
 
-@query()
+#: What each of the twelve forms of completions says, stated by form and apart from the patterns that find it.
+_SAID = r"""said AS (SELECT *, CASE form WHEN 0 THEN s WHEN 1 THEN s WHEN 2 THEN concat('\frac{', s, '}{3}') WHEN 4 THEN concat(s, '/7') WHEN 5 THEN '\text{(B)}' WHEN 6 THEN concat('\$', s, ',000')
+    WHEN 7 THEN concat('x \in \{', s, ', 2, 10\}') WHEN 8 THEN concat('(', s, ', 4]') WHEN 9 THEN concat('x = ', s, ' \text{cm}') END AS answer
+  FROM (SELECT a.*, a.row_id % 12 AS form, CAST(p_size AS VARCHAR) AS s FROM answers a JOIN part p ON p.p_partkey = a.row_id))"""
+_GRADED = """graded AS (SELECT *, round(format_reward + answer_reward + length_reward, 6) AS total_reward FROM (SELECT *, CASE WHEN is_correct THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS answer_reward FROM (
+  SELECT *, CASE WHEN answer IS NULL THEN false WHEN form IN (0, 1, 9) THEN s = gold ELSE true END AS is_correct, CASE WHEN form = 0 THEN 0.2::DOUBLE WHEN form IN (2, 8) THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END AS format_reward,
+    CASE WHEN coalesce(finish_reason, 'stop') = 'stop' THEN 0.0::DOUBLE WHEN answer IS NULL THEN -0.2::DOUBLE ELSE -0.05::DOUBLE END AS length_reward FROM said)))"""
+
+
+@query("""SELECT row_id, answer, CASE WHEN form IN (0, 4, 5, 9) THEN answer END AS boxed, CASE WHEN form IN (0, 2, 8) THEN 'standard_single_line' WHEN form IN (1, 6, 7) THEN 'legacy_answer_line'
+  WHEN form IN (4, 9) THEN 'legacy_conclusion_boxed' WHEN form = 5 THEN 'tail_boxed' END AS source, form IN (0, 2, 8) AS standard FROM said""", ANSWERS, _SAID)
 def tail_answer(spark, sf):
     """U9, U26."""
     return A.inspected(answers(spark, sf)).select("row_id", "tail.answer", "tail.boxed", "tail.source", "tail.standard")
 
 
-@query()
+@query("""SELECT row_id, CASE WHEN form IN (0, 2, 8) THEN []::VARCHAR[] WHEN form = 10 THEN ['empty_completion', 'missing_final_answer_line'] ELSE ['missing_final_answer_line', 'last_line_not_final_answer'] END AS violations,
+  CASE WHEN form IN (0, 2, 8) THEN [answer] ELSE []::VARCHAR[] END AS final_lines FROM said""", ANSWERS, _SAID)
 def format_violations(spark, sf):
     """U10, U27."""
     return A.inspected(answers(spark, sf)).select("row_id", "violations", "final_lines")
 
 
-@query()
+@query(r"""SELECT row_id, CASE form WHEN 4 THEN concat('\frac{', s, '}{7}') ELSE coalesce(answer, '') END AS answer_text, CASE form WHEN 2 THEN concat('frac{', s, '}{3}') WHEN 4 THEN concat('frac{', s, '}{7}') WHEN 5 THEN 'b' WHEN 6 THEN concat(s, '000')
+  WHEN 7 THEN concat('\{', s, ',2,10\}') WHEN 8 THEN concat('(', s, ',4]') WHEN 9 THEN concat('x=', s, 'cm') ELSE coalesce(answer, '') END AS answer FROM said""", ANSWERS, _SAID)
 def pred_answer(spark, sf):
     """U28."""
     return A.inspected(answers(spark, sf)).select("row_id", A.canonical(F.col("tail.answer")).alias("answer_text"), A.normalized(F.col("tail.answer")).alias("answer"))
 
 
-@query()
+@query("""SELECT row_id, CASE form WHEN 3 THEN s WHEN 10 THEN '' WHEN 11 THEN concat('No marker ', s) ELSE answer END AS answer, gold, CASE WHEN form IN (6, 10, 11) THEN false WHEN form IN (0, 1, 3, 9) THEN s = gold ELSE true END AS typed_match FROM said""", ANSWERS, _SAID)
 def typed_match(spark, sf):
     """U17, U18, U29."""
     return A.typed_match(answers(spark, sf).withColumn("answer", A.gold_answer(F.col("completion"))), "answer", "gold").select("row_id", "answer", "gold", "typed_match")
 
 
-@query()
+@query("SELECT row_id, format_reward FROM graded", ANSWERS, _SAID, _GRADED)
 def format_reward(spark, sf):
     """U21."""
     return A.scored(answers(spark, sf)).select("row_id", "format_reward")
 
 
-@query()
+@query("SELECT row_id, answer, is_correct, format_reward, answer_reward, length_reward, total_reward FROM graded", ANSWERS, _SAID, _GRADED)
 def score_completions(spark, sf):
     """U23."""
     return A.scored(answers(spark, sf)).select("row_id", "answer", "is_correct", "format_reward", "answer_reward", "length_reward", "total_reward")
 
 
-@query()
+@query("SELECT count(*) AS n, round(avg(is_correct::INT::DOUBLE), 6) AS accuracy, round(avg(total_reward), 6) AS mean_reward, CAST(sum((trim(completion) = '')::INT) AS BIGINT) AS empty FROM graded", ANSWERS, _SAID, _GRADED)
 def eval_run_compose(spark, sf):
     """A run scored row by row and summed up."""
     rows = A.scored(answers(spark, sf))
-    return rows.agg(F.count("*").alias("n"), F.avg(F.col("is_correct").cast("double")).alias("accuracy"), F.avg("total_reward").alias("mean_reward"), F.sum((X.strip(F.col("completion")) == "").cast("long")).alias("empty"))
+    return rows.agg(F.count("*").alias("n"), F.round(F.avg(F.col("is_correct").cast("double")), 6).alias("accuracy"), F.round(F.avg("total_reward"), 6).alias("mean_reward"), F.sum((X.strip(F.col("completion")) == "").cast("long")).alias("empty"))

@@ -164,7 +164,7 @@ def stable_run_seed(spark, sf):
     return runs(spark, sf).select("checkpoint", "dataset_key", "run_index", X.run_seed(F.lit(42), F.col("checkpoint"), F.col("dataset_key"), F.col("run_index")).alias("seed"))
 
 
-@query()
+@query("SELECT event_id, CASE WHEN event_id % 4 < 3 THEN replace(props, ' ', '') END AS object FROM events")
 def extract_json_object(spark, sf):
     """P17."""
     props = F.col("props")
@@ -172,7 +172,7 @@ def extract_json_object(spark, sf):
     return table(spark, sf, "events").select("event_id", F.to_json(X.json_object(said)).alias("object"))
 
 
-@query()
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_correct, CASE WHEN event_id % 3 < 2 THEN CAST(event_id AS VARCHAR) END AS final_answer, CASE WHEN event_id % 3 < 2 THEN '' END AS reason FROM events")
 def judge_parse(spark, sf):
     """A string for a boolean is no verdict."""
     flag = F.when(F.col("event_id") % 3 == 0, "true").when(F.col("event_id") % 3 == 1, "false").otherwise('"false"')
