@@ -231,3 +231,43 @@ def test_sampling_goes_through_the_pool_again(spark):
     assert [r.place for r in got] == list(range(17)) and [r["repeat"] for r in got] == [0] * 7 + [1] * 7 + [2] * 3
     assert all(len({r.row_id for r in got[a:b]}) == b - a for a, b in ((0, 7), (7, 14), (14, 17)))
     assert len(S.sampled(pool, 10**6, 3, 1)._jdf.queryExecution().logical().toString()) < 20_000
+
+
+def test_artifacts(spark):
+    from gradloom.operators import artifacts as R
+
+    files = spark.createDataFrame([(p,) for p in ("/e/a/checkpoint-3/model.safetensors", "/e/a/checkpoint-3/model.safetensors.index.json", "/e/a/checkpoint-20/x.bin", "/e/a/checkpoints/iter_7_actor/pytorch_model-1.bin", "/e/a/checkpoints/anchor_ema/model.safetensors", "/e/b/final/pytorch_model.bin")], "path string")
+    rows = [(r.experiment, r.name, r.type, r.step) for r in R.checkpoints(files, most=9).collect()]
+    assert rows == [("/e/a", "anchor_ema", "anchor_ema", None), ("/e/a", "checkpoint-3", "trainer_checkpoint", 3), ("/e/a", "iter_7_actor", "iter_actor", 7), ("/e/b", "final", "weight_dir", None)]
+    assert R.checkpoints(files, anchor=False).count() == 3 and R.checkpoints(files.limit(0)).count() == 0
+
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, [None, "", "b"]), (3, ["z"]), (4, [])], "k int, c array<string>")
+    there = spark.createDataFrame([("b",), ("b",), ("",)], "path string")
+    assert {r.k: r.found for r in R.first_existing(rows, "c", there).collect()} == {1: "b", 2: "b", 3: None, 4: None}
+
+    prompts = spark.createDataFrame([(1,), (2,)], "prompt_id long")
+    made = spark.createDataFrame([(1, 1, "y", "stop"), (1, 0, "x", None), (9, 0, "w", "stop")], "prompt_id long, choice_idx int, text string, finish_reason string")
+    assert {r.prompt_id: [c.text for c in r.choices] for r in R.with_generations(prompts, made).collect()} == {1: ["x", "y"], 2: []}
+
+    four = spark.range(4).withColumnRenamed("id", "position")
+    golds = lambda *a: spark.createDataFrame(list(enumerate(a)), "position long, answer string")
+    assert [r.answer for r in R.with_answers(four, golds("p", "q")).orderBy("position").collect()] == ["p", "p", "q", "q"]
+    assert [r.answer for r in R.with_answers(four, golds()).collect()] == [None] * 4
+    with pytest.raises(ValueError, match="4 completions for 3"):
+        R.with_answers(four, golds("p", "q", "r"))
+
+    assert sorted(r.position for r in R.without_rows(four, [1, 1, 3]).collect()) == [0, 2] and R.without_rows(four, []).count() == 4
+    with pytest.raises(ValueError, match="out of range"):
+        R.without_rows(four, [4])
+
+
+def test_settings():
+    from gradloom.settings import Teacher, merged
+
+    assert merged({"a": 1, "n": {"x": 1, "y": 2}}, {"a": 2, "b": 3, "n": {"x": 5}}, {"a": None}) == {"a": 2, "b": 3, "n": {"x": 5, "y": 2}}
+    assert merged({"a": 1}, {"b": 2}, known_only=True) == {"a": 1}
+    with pytest.raises(ValueError, match="missing settings: c"):
+        merged({}, {"a": 1}, required=("a", "c"))
+    given = dict(beta=0.1, reward_clip_min=-5, reward_clip_max=5, min_success_count=2, frontier_min_success_count=1, frontier_min_visit_count=1, include_frontier_negative_samples=True, negative_weight_mode="uniform", other=1)
+    made = Teacher.of(given)
+    assert made.deduplicate_rollouts and made.append_eos_to_response and not Teacher.of(given | {"deduplicate_rollouts": False}).deduplicate_rollouts

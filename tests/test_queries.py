@@ -3,7 +3,7 @@
 import pytest
 from oracle import connect, differences
 
-from gradloom.plans import answers, evaluation, preparation, registry, streaming, training  # noqa: F401
+from gradloom.plans import answers, artifacts, evaluation, preparation, registry, streaming, training  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
