@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -97,8 +98,13 @@ def finish_reason(c: Column) -> Column:
     return blank_to_null(c)
 
 
-def token_count(c: Column) -> Column:
-    """Words between blanks: the tokenizer that needs no files (P14); others can be plugged in as an Arrow function."""
+def token_count(c: Column, tokenizer: Callable[[Column], Column] | None = None) -> Column:
+    """Words between blanks, the tokenizer that needs no files, or the length of what ``tokenizer`` makes of a text: P14.
+
+    ``tokenizer`` maps a string column to an array column, such as an Arrow function over a vocabulary; null counts 0.
+    """
+    if tokenizer is not None:
+        return F.size(tokenizer(F.coalesce(c, F.lit("")))).cast("bigint")
     return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"\S+")).cast("bigint")
 
 

@@ -26,6 +26,15 @@ def log_ratio() -> Column:
     return F.col("new_logprob") - F.coalesce("old_logprob", "new_logprob")
 
 
+def old_logprobs(logged: Column, response: Column) -> Column:
+    """The old log probabilities of a response's tokens; none at all where fewer were logged than it has: T20.
+
+    What was logged beyond the response's end is left out.
+    """
+    n = F.size(response)
+    return F.when(F.size(F.coalesce(logged, F.array())) >= n, F.slice(logged, F.lit(1), n))
+
+
 def clipped(ratio: Column, advantage: Column, low: float, high: float) -> Column:
     return -F.least(ratio * advantage, F.least(F.greatest(ratio, F.lit(1 - low)), F.lit(1 + high)) * advantage)
 

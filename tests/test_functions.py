@@ -271,3 +271,17 @@ def test_settings():
     given = dict(beta=0.1, reward_clip_min=-5, reward_clip_max=5, min_success_count=2, frontier_min_success_count=1, frontier_min_visit_count=1, include_frontier_negative_samples=True, negative_weight_mode="uniform", other=1)
     made = Teacher.of(given)
     assert made.deduplicate_rollouts and made.append_eos_to_response and not Teacher.of(given | {"deduplicate_rollouts": False}).deduplicate_rollouts
+
+
+def test_token_count_with_a_tokenizer(spark):
+    df = spark.createDataFrame([("ab c",), ("",), (None,)], "t string")
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    got = df.select(X.token_count(F.col("t")).alias("words"), X.token_count(F.col("t"), letters).alias("letters")).collect()
+    assert [tuple(r) for r in got] == [(2, 4), (0, 0), (0, 0)]
+
+
+def test_short_logs_count_as_missing(spark):
+    from gradloom.operators.losses import old_logprobs
+
+    df = spark.createDataFrame([([0.1, 0.2, 0.3], [1, 2]), ([0.1], [1, 2]), (None, [1]), (None, []), ([], [])], "logged array<double>, response array<int>")
+    assert [r[0] for r in df.select(old_logprobs(F.col("logged"), F.col("response"))).collect()] == [[0.1, 0.2], None, None, None, []]
