@@ -41,9 +41,14 @@ def first_existing(rows: DataFrame, candidates: str, present: DataFrame) -> Data
     return joined.groupBy(*keys).agg(F.min_by("usable", F.when(F.col("usable").isNotNull(), F.col("nth"))).alias("found"))
 
 
+def step_name(step: Column) -> Column:
+    """``eval_step_000012``; a step of more than six digits stays whole."""
+    return F.concat(F.lit("eval_step_"), F.format_string("%06d", step.cast("bigint")))
+
+
 def artifact_name(step: Column, kind: Column, file: str) -> Column:
     """``eval_step_000012_best_outcomes.log`` and the like: K8."""
-    return F.concat(F.lit("eval_step_"), F.lpad(step.cast("string"), 6, "0"), F.lit("_"), kind, F.lit("_"), F.lit(file))
+    return F.concat(step_name(step), F.lit("_"), kind, F.lit("_"), F.lit(file))
 
 
 def extrema(runs: DataFrame, *keys: str) -> DataFrame:
@@ -64,7 +69,7 @@ def extrema_examples(examples: DataFrame, runs: DataFrame, *keys: str) -> DataFr
 def skipped_steps(steps: DataFrame, scores: DataFrame) -> DataFrame:
     """(step, step_dir_name, checkpoint, checkpoint_name, reason) of steps (step, checkpoint) without a row of ``scores``: A28."""
     lost = steps.join(scores.select("checkpoint").distinct(), "checkpoint", "left_anti")
-    folder = F.concat(F.lit("eval_step_"), F.lpad(F.col("step").cast("string"), 6, "0"))
+    folder = step_name(F.col("step"))
     return lost.select("step", folder.alias("step_dir_name"), "checkpoint", F.element_at(F.split("checkpoint", "/"), -1).alias("checkpoint_name"), F.lit("missing_source_per_example_scores").alias("reason"))
 
 

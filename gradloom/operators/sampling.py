@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .positions import placed
+
 
 def order_key(*parts) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else (p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts]))
@@ -27,19 +29,6 @@ def apportioned(weights: DataFrame, by: str, total: Column) -> DataFrame:
     return rows.withColumn("quota", F.when(any_ & (F.col("total") > 0), F.col("whole") + F.when(F.col("positive") & (nth <= left), 1).otherwise(0)).otherwise(0).cast("bigint")).drop("total", "raw", "whole", "positive")
 
 
-def placed(rows: DataFrame, *order: Column) -> DataFrame:
-    """``rows`` with ``position`` from 0 in an order that has no ties.
-
-    Rows are range-partitioned by the order and counted per partition, so no task sorts everything.  The number of
-    partitions is named, so that adaptive execution leaves them as they are for both uses.
-    """
-    dealt = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__part", F.spark_partition_id())
-    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")  # a row per partition
-    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return dealt.withColumn("__nth", nth).join(F.broadcast(before), "__part").withColumn("position", F.col("__before") + F.col("__nth") - 1).drop("__part", "__nth", "__before")
-
-
 def ranked(rows: DataFrame, score: str, row_id: str, descending: bool = True) -> DataFrame:
     """``rows`` with ``position`` from 0 by score, ties by id; a null score is the lowest."""
     score_ = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
