@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .filter_audit import OP11_SQL, op11_filter_audit
 from .katz import op8_katz_scores
 from .language import op4_language_id
 from .mixing import op9_pivotal_mixing
@@ -13,5 +14,5 @@ from .secrets import op6_secret_scan
 from .sentencepiece import op10_sentencepiece
 from .suffix_dedup import op5_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_personal_data, op3_topk_search, op4_language_id, op5_suffix_dedup, op6_secret_scan, op7_jaccard_join, op8_katz_scores, op9_pivotal_mixing, op10_sentencepiece)}
-SQL: dict[str, str] = {"op3_topk_search": OP3_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_personal_data, op3_topk_search, op4_language_id, op5_suffix_dedup, op6_secret_scan, op7_jaccard_join, op8_katz_scores, op9_pivotal_mixing, op10_sentencepiece, op11_filter_audit)}
+SQL: dict[str, str] = {"op3_topk_search": OP3_SQL, "op11_filter_audit": OP11_SQL}
