@@ -41,7 +41,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread_join(rows: DataFrame, table: DataFrame, on: str, *salt: str, share: int = 1024) -> DataFrame:
-    """``rows`` with the columns of ``table``, which has a row per ``on``; null where it has none.
+    """``rows`` with the columns of ``table``, which has a row per ``on`` (long or string); null where it has none.
 
     What ``table`` has for keys with over one in ``share`` of all rows (fewer than ``share``) is broadcast; such rows are
     dealt by a hash of ``salt``, so that no key takes more than its part of a task.
@@ -51,7 +51,7 @@ def spread_join(rows: DataFrame, table: DataFrame, on: str, *salt: str, share: i
     heavy = rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("m")).where(F.col("m") * share > total).select(on)
     few = table.join(F.broadcast(heavy), on, "left_semi").select(on, F.struct(*values).alias("hot"))
     rows = rows.join(F.broadcast(few), on, "left")
-    rows = rows.withColumn("by", F.when(F.col("hot").isNull() & F.col(on).isNotNull(), F.col(on)).otherwise(F.xxhash64(*salt)))
+    rows = rows.withColumn("by", F.when(F.col("hot").isNull() & F.col(on).isNotNull(), F.col(on)).otherwise(F.xxhash64(*salt).cast(table.schema[on].dataType)))
     rows = rows.join(table.select(F.col(on).alias("cold_on"), F.struct(*values).alias("cold")), F.col("by") == F.col("cold_on"), "left")
     # a row without a key, or with a heavy one, meets nothing by chance
     found = F.when(F.col("hot").isNotNull(), F.col("hot")).when(F.col(on) == F.col("cold_on"), F.col("cold"))
