@@ -23,8 +23,10 @@ def with_end(tokens: Column, end: Column) -> Column:
 
 def deduplicated(trajectories: DataFrame) -> DataFrame:
     """The first trajectory of each token sequence of a question; the order of rollouts decides which: T1."""
-    nth = F.row_number().over(Window.partitionBy("question_id", F.hash("tokens"), "tokens").orderBy("rollout_index"))
-    return trajectories.where(F.size("tokens") > 0).withColumn("nth", nth).where("nth = 1").drop("nth")
+    rest = [c for c in trajectories.columns if c not in ("question_id", "tokens")]
+    first = F.min_by(F.struct(*rest), "rollout_index").alias("first")  # partial sums: thousands of copies are a row a task
+    rows = trajectories.where(F.size("tokens") > 0).groupBy("question_id", "tokens").agg(first)
+    return rows.select("question_id", "tokens", "first.*").select(*trajectories.columns)
 
 
 def _key(a: Column, b: Column) -> Column:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions import text as X
 from ..operators import artifacts as R
+from ..operators import compressed_trie as C
 from ..operators import preparation as P
 from ..operators import sampling as S
-from ..operators import tries as T
 from ..sources.relations import ANSWERS, ROLLOUTS, RUNS, answers, rollouts, runs, table, trajectories
 from .answers import _SAID
 from .registry import query
@@ -116,6 +116,6 @@ def judge_prompts(spark, sf):
   (SELECT count(DISTINCT question_id) AS q, count(*) AS n, CAST(coalesce(sum((len(tokens) = 0)::INT), 0) AS BIGINT) AS e FROM trajectories), (SELECT count(*) AS k FROM deduped), (SELECT count(*) AS b FROM frontier)""", *_TRIE, _FRONTIER)
 def bad_edge_averages(spark, sf):
     """The report's counts and averages."""
-    kept, nodes, edges = _trie(spark, sf)
-    rows = R.bad_edge_report(trajectories(spark, sf), kept, T.failure_frontier(nodes, edges, 1, 1))
+    trie = _trie(spark, sf)
+    rows = R.bad_edge_report(trajectories(spark, sf), trie.sequences, C.failure_frontier(trie, 1, 1))
     return rows.withColumn("avg_bad_edges_per_question", F.round("avg_bad_edges_per_question", 6))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import compressed_trie as C
 from ..operators import losses as L
 from ..operators import sampling as S
 from ..operators import tries as T
@@ -33,8 +34,7 @@ def _deduped(spark, sf):
 
 
 def _trie(spark, sf):
-    rows = _deduped(spark, sf)
-    return rows, T.node_stats(rows), T.edge_stats(rows)
+    return C.compressed_trie(_deduped(spark, sf))
 
 
 @query("SELECT question_id, count(*) AS kept, min(rollout_index) AS first_rollout, max(len(tokens)) AS longest FROM deduped GROUP BY 1", TRAJECTORIES, _DEDUP)
@@ -52,50 +52,46 @@ def reward_weight(spark, sf):
 @query("SELECT question_id, depth, prefix, round(ln(weight), 6) AS log_weight, visits, successes FROM nodes", *_TRIE[:4])
 def trie_node_stats(spark, sf):
     """T4."""
-    return T.node_stats(_deduped(spark, sf)).select("question_id", "depth", "prefix", F.round(F.ln("weight"), 6).alias("log_weight"), "visits", "successes")
+    return C.node_stats(_trie(spark, sf)).select("question_id", "depth", "prefix", F.round(F.ln("weight"), 6).alias("log_weight"), "visits", "successes")
 
 
 @query("SELECT question_id, depth, prefix, token, round(ln(weight), 6) AS log_weight, visits FROM edges", *_TRIE)
 def trie_edge_stats(spark, sf):
     """T5."""
-    return T.edge_stats(_deduped(spark, sf)).select("question_id", "depth", "prefix", "token", F.round(F.ln("weight"), 6).alias("log_weight"), "visits")
+    return C.edge_stats(_trie(spark, sf)).select("question_id", "depth", "prefix", "token", F.round(F.ln("weight"), 6).alias("log_weight"), "visits")
 
 
 @query("SELECT question_id, depth, prefix, visits, successes FROM reliable", *_TRIE, _RELIABLE)
 def reliable_prefixes(spark, sf):
     """T6."""
-    _, nodes, edges = _trie(spark, sf)
-    return T.reliable_prefixes(nodes, edges, 2).select("question_id", "depth", "prefix", "visits", "successes")
+    return C.reliable_prefixes(_trie(spark, sf), 2).select("question_id", "depth", "prefix", "visits", "successes")
 
 
 @query("SELECT e.question_id, e.depth, e.prefix, e.token, round(e.weight / sum(e.weight) OVER (PARTITION BY e.question_id, e.depth, e.prefix), 6) AS prob FROM edges e JOIN reliable r ON r.question_id = e.question_id AND r.depth = e.depth AND r.prefix = e.prefix", *_TRIE, _RELIABLE)
 def teacher_distribution(spark, sf):
     """T7."""
-    _, nodes, edges = _trie(spark, sf)
-    return T.teacher_distribution(edges, T.reliable_prefixes(nodes, edges, 2)).withColumn("prob", F.round("prob", 6))
+    return C.teacher_distribution(_trie(spark, sf), 2).withColumn("prob", F.round("prob", 6))
 
 
 @query("SELECT question_id, depth, prefix, token, child_visits, negative_weight FROM frontier", *_TRIE, _FRONTIER)
 def failure_frontier(spark, sf):
     """T8, J8."""
-    _, nodes, edges = _trie(spark, sf)
-    return T.failure_frontier(nodes, edges, 1, 1).select("question_id", "depth", "prefix", "token", "child_visits", "negative_weight")
+    return C.failure_frontier(_trie(spark, sf), 1, 1).select("question_id", "depth", "prefix", "token", "child_visits", "negative_weight")
 
 
 @query("SELECT question_id, depth, token, parent_visits, parent_successes, child_visits, edge_visits FROM frontier", *_TRIE, _FRONTIER)
 def bad_frontier_edges(spark, sf):
     """T10."""
-    _, nodes, edges = _trie(spark, sf)
-    return T.failure_frontier(nodes, edges, 1, 1).select("question_id", "depth", "token", "parent_visits", "parent_successes", "child_visits", "edge_visits")
+    return C.failure_frontier(_trie(spark, sf), 1, 1).select("question_id", "depth", "token", "parent_visits", "parent_successes", "child_visits", "edge_visits")
 
 
 _EXAMPLES = "examples AS (SELECT question_id, depth, prefix, 'pos' AS example_kind FROM reliable UNION ALL SELECT question_id, depth, prefix, 'neg' FROM frontier)"
 
 
 def _examples(spark, sf):
-    _, nodes, edges = _trie(spark, sf)
-    pos = T.reliable_prefixes(nodes, edges, 2).select("question_id", "depth", "prefix", F.lit("pos").alias("example_kind"))
-    neg = T.failure_frontier(nodes, edges, 1, 1).select("question_id", "depth", "prefix", "token", F.lit("neg").alias("example_kind"))
+    trie = _trie(spark, sf)
+    pos = C.reliable_prefixes(trie, 2).select("question_id", "depth", "prefix", F.lit("pos").alias("example_kind"))
+    neg = C.failure_frontier(trie, 1, 1).select("question_id", "depth", "prefix", "token", F.lit("neg").alias("example_kind"))
     return pos.unionByName(neg, allowMissingColumns=True)
 
 
@@ -115,11 +111,7 @@ def union_examples(spark, sf):
   LEFT JOIN (SELECT question_id, count(*) AS n FROM reliable GROUP BY 1) p ON p.question_id = d.question_id LEFT JOIN (SELECT question_id, count(*) AS n FROM frontier GROUP BY 1) f ON f.question_id = d.question_id GROUP BY 1""", *_TRIE, _RELIABLE, _FRONTIER)
 def teacher_batch(spark, sf):
     """Per question what the trie gives."""
-    rows, nodes, edges = _trie(spark, sf)
-    count = lambda df, name: df.groupBy("question_id").agg(F.count("*").alias(name))
-    stats = rows.groupBy("question_id").agg(F.count("*").alias("trajectories"), F.sum(F.col("success").cast("long")).alias("successes"))
-    stats = stats.join(count(T.reliable_prefixes(nodes, edges, 2), "positives"), "question_id", "left").join(count(T.failure_frontier(nodes, edges, 1, 1), "negatives"), "question_id", "left")
-    return stats.na.fill(0, ["positives", "negatives"])
+    return C.question_summary(_trie(spark, sf), 2, 1, 1)
 
 
 @query("""SELECT count(*) AS questions, CAST(sum(t) AS BIGINT) AS trajectories, CAST(sum(s) AS BIGINT) AS successes, round(avg(t), 6) AS trajectories_per_question, round(avg(s), 6) AS successes_per_question FROM (SELECT question_id, count(*) AS t, sum(success::INT) AS s FROM deduped GROUP BY 1)""", TRAJECTORIES, _DEDUP)
@@ -140,37 +132,33 @@ _VALID = """flagged AS (SELECT s.*, r.question_id IS NOT NULL AS is_reliable, f.
 valid AS (SELECT *, NOT is_reliable AND NOT is_frontier AND NOT coalesce(max(is_frontier) OVER (PARTITION BY question_id, rollout_index ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS valid FROM flagged)"""
 
 
-def _valid(spark, sf):
-    rows, nodes, edges = _trie(spark, sf)
-    return T.token_valid_mask(T.steps(rows), T.reliable_prefixes(nodes, edges, 2), T.failure_frontier(nodes, edges, 1, 1))
-
-
 @query("SELECT question_id, rollout_index, depth, token, valid FROM valid", *_TRIE, _RELIABLE, _FRONTIER, _VALID)
 def token_valid_mask(spark, sf):
     """T12, J3."""
-    return _valid(spark, sf).select("question_id", "rollout_index", "depth", "token", "valid")
+    return C.token_valid_mask(_trie(spark, sf))
 
 
 @query("SELECT question_id, rollout_index, list(valid::INT ORDER BY depth) AS valid_mask, round(avg(valid::INT), 6) AS valid_fraction FROM valid GROUP BY 1, 2", *_TRIE, _RELIABLE, _FRONTIER, _VALID)
 def grpo_example_stats(spark, sf):
     """T13."""
-    own = F.array_sort(F.collect_list(F.struct("depth", F.col("valid").cast("int").alias("v"))))
-    return _valid(spark, sf).groupBy("question_id", "rollout_index").agg(F.transform(own, lambda x: x["v"]).alias("valid_mask"), F.round(F.avg(F.col("valid").cast("int")), 6).alias("valid_fraction"))
+    mask = F.transform("valid", lambda v: v.cast("int"))
+    share = F.size(F.filter("valid", lambda v: v)) / F.size("valid")
+    return C.valid_masks(_trie(spark, sf)).select("question_id", "rollout_index", mask.alias("valid_mask"), F.round(share, 6).alias("valid_fraction"))
 
 
 @query("""SELECT question_id, rollout_index, list(valid::INT ORDER BY depth) AS valid_mask, rollout_index % 5 <> 0 AND rollout_index % 40 >= count(*) AS has_old FROM valid WHERE depth < 32 GROUP BY 1, 2""", *_TRIE, _RELIABLE, _FRONTIER, _VALID)
 def grpo_examples(spark, sf):
     """Responses cut to 32 tokens; a fifth of them has no log probabilities, others may have too few."""
     n = F.when(F.col("rollout_index") % 5 != 0, (F.col("rollout_index") % 40).cast("int"))
-    return T.response_examples(_valid(spark, sf).withColumn("n_logprobs", n), 32)
+    return C.response_examples(_trie(spark, sf), n, 32)
 
 
 @query("SELECT 'pos' AS example_kind, count(*) AS n, CAST(max(depth) AS INTEGER) AS deepest FROM reliable WHERE depth + 1 <= 8 UNION ALL SELECT 'neg', count(*), CAST(max(depth) AS INTEGER) FROM frontier WHERE depth + 1 <= 8", *_TRIE, _RELIABLE, _FRONTIER)
 def guarded_examples(spark, sf):
     """Only prefixes that one more token keeps within the longest sequence."""
-    _, nodes, edges = _trie(spark, sf)
+    trie = _trie(spark, sf)
     count = lambda df, kind: df.agg(F.lit(kind).alias("example_kind"), F.count("*").alias("n"), F.max("depth").alias("deepest"))
-    return count(T.reliable_prefixes(nodes, edges, 2, most=8), "pos").unionByName(count(T.failure_frontier(nodes, edges, 1, 1, most=8), "neg"))
+    return count(C.reliable_prefixes(trie, 2, most=8), "pos").unionByName(count(C.failure_frontier(trie, 1, 1, most=8), "neg"))
 
 
 @query("""SELECT question_id, rollout_index, round((reward - avg(reward) OVER w) / sqrt(greatest(var_pop(reward) OVER w, 1e-6)), 5) AS advantage FROM deduped WINDOW w AS (PARTITION BY question_id) QUALIFY count(*) OVER w > 1""", TRAJECTORIES, _DEDUP)
