@@ -15,6 +15,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,7 +30,7 @@ CAPACITY = 1024
 #: Short pieces that a task packs at once, in the first round; bins that aren't full, in later ones.
 CHUNK = 4096
 #: Words that a tokeniser keeps with their ids.
-_KEPT = 400_000
+_KEPT = 1_000_000
 # Characters up to U+024F, without rare blanks and controls: there the letters and numbers of the split are these ranges.
 _LETTER, _NUMBER, _BLANK = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t\\n\\r "
 _PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
@@ -77,6 +78,12 @@ class Ids:
         return [b"".join([kept[w] for w in words]) if p else next(whole) for words, p in zip(split, plain, strict=True)]
 
 
+@lru_cache(maxsize=1)
+def _ids(spec: str) -> Ids:
+    """One for all tasks of a Python worker, which then know most words."""
+    return Ids(spec)
+
+
 def _groups(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """(first, end) of runs of texts of about ``limit`` characters."""
     lo, size = 0, 0
@@ -105,7 +112,7 @@ def token_pieces(docs: DataFrame, end: int = 2, capacity: int = CAPACITY, tokeni
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(spec.value)
+        ids = _ids(spec.value)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             doc_ids = batch.column("doc_id").to_pylist()
@@ -270,7 +277,7 @@ def packed(pieces: DataFrame, unit: str = "unit", capacity: int = CAPACITY, chun
     rows = pieces.select(F.col(unit).alias("unit"), F.col("length").cast("long").alias("length"))
     short = rows.where(F.col("length") < capacity)
     n = short.count()
-    dealt = lambda df, by, k, turn: df.groupBy(F.pmod(F.xxhash64(F.lit(turn), by), F.lit(k)).alias("chunk"))
+    dealt = lambda df, by, k, turn: df.withColumn("chunk", F.pmod(F.xxhash64(F.lit(turn), by), F.lit(k))).repartition(k, "chunk").groupBy("chunk")
     done = [rows.where(F.col("length") >= capacity).select("unit", "length", F.col("unit").alias("bin"), F.lit(0).cast("long").alias("offset"))]
     state = written(dealt(short, "unit", max(1, -(-n // chunk)), 0).applyInPandas(first, schema), "packed-0")
     turn, before = 0, None
