@@ -1,7 +1,7 @@
 """Answer extraction, normalisation and grading, in built-in expressions.
 
 A completion's tail is read as an array of content lines; what its last two lines are (answer lines, boxes, headers,
-conclusions) is found once, as columns, and one ladder of conditions picks the answer.  Boxes nest up to six deep.
+conclusions) is found once, as columns, and one ladder of conditions picks the answer.  Boxes and brackets nest to any depth.
 """
 
 from __future__ import annotations
@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .brackets import BARE, MARKER, box_spans, let, split_at_commas
 from .text import LINE_END, strip
 
 # Cue words, wrappers, units and phrases that the grading rules name.
 CONCLUSIONS = ("conclusion", "therefore", "thus", "hence", "so")
 WRAPPERS = ("\\[", "\\]", "\\(", "\\)", "$", "$$")
-UNITS = "inch(?:es)?|cm|mm|meters?|units?|calories?|degrees?"
+UNITS = "inch(?:es)?|cm|mm|meters?|meter|units?|unit|calories?|calorie|degrees?"
 SCALAR_WORDS = ("frac", "dfrac", "tfrac", "sqrt", "pi", "theta", "circ")
 MATRIX_WORDS = "begin\\{|end\\{|matrix|cases|cup"
 TAIL_LINES = 12
 COLON = "[:\uff1a]"
+LABELS = r"answer|final\s*answer"
 TEXT_COMMAND = r"\\(?:text|mathrm|textbf|textit|mathbf|mathit)\{([^}]*)\}"
 
 
@@ -29,7 +31,14 @@ def _nested(depth: int) -> str:
     return rf"(?:{inner})*+"
 
 
-BOX = rf"\\boxed\s*(?:\{{({_nested(5)})\}}|(\\[a-zA-Z]+(?:\{{[^{{}}]*\}})*|\([^()\n]*\)|\[[^\[\]\n]*\]|[-+]?[^\s,;:!?]+))"
+_DEPTH = 5
+BOX = rf"\\boxed\s*(?:\{{({_nested(_DEPTH)})\}}|({BARE}))"
+_BOX_LINE = rf"^\\boxed\s*(?:\{{({_nested(_DEPTH)})\}}|(?!\{{)({BARE}))\s*[.,;:!?]*\s*$"
+
+
+def _shallow(c: Column) -> Column:
+    """Whether a text has too few braces to nest deeper than ``BOX`` reads, which is the quick way."""
+    return F.regexp_count(c, F.lit(r"\{")) <= _DEPTH
 
 
 def _sub(c: Column, *pairs: tuple[str, str]) -> Column:
@@ -52,23 +61,19 @@ def _dollars(c: Column) -> Column:
     return strip(_sub(strip(c), (r"^\$+|\$+$", "")))
 
 
-def let(c: Column, f) -> Column:
-    """f(c) with c computed once, however often f uses it."""
-    return F.element_at(F.transform(F.array(c), f), 1)
-
-
 def canonical(c: Column) -> Column:
     """LaTeX shorthand written out: U1."""
-    out = _sub(strip(F.coalesce(c, F.lit(""))), (rf"^(?i)\s*(?:final\s*)?answer\s*{COLON}\s*", ""), ("[\u2212\u2013\u2014]", "-"), ("[\u2044\u2215]", "/"), (r"\\[()\[\]]", ""), (r"\\[dt]frac", r"\\frac"))
+    out = _sub(strip(F.coalesce(c, F.lit(""))), (rf"^(?i)\s*(?:{LABELS})\s*{COLON}\s*", ""), ("[\u2212\u2013\u2014]", "-"), ("[\u2044\u2215]", "/"), (r"\\[()\[\]]", ""), (r"\\[dt]frac", r"\\frac"))
     out = _sub(out, (r"\u221a\s*([A-Za-z0-9]+)", r"\\sqrt{$1}"), (r"\\frac\s*([A-Za-z0-9])\s*([A-Za-z0-9])", r"\\frac{$1}{$2}"), (r"\\frac\s*([A-Za-z0-9])\s*\{([^{}]+)\}", r"\\frac{$1}{$2}"), (r"\\frac\s*\{([^{}]+)\}\s*([A-Za-z0-9])", r"\\frac{$1}{$2}"))
     side = r"(\\sqrt\{[^{}]+\}|[A-Za-z0-9]+)"
     return _sub(out, (r"\\sqrt\s*([A-Za-z0-9])", r"\\sqrt{$1}"), (rf"{side}\s*/\s*{side}", r"\\frac{$1}{$2}"))
 
 
 def boxes(c: Column) -> Column:
-    """The contents of all boxes in order, braced or bare: U4."""
+    """The contents of all boxes in order, braced or bare, at any depth: U4."""
     found = lambda t: F.zip_with(F.regexp_extract_all(t, F.lit(BOX), 1), F.regexp_extract_all(t, F.lit(BOX), 2), lambda a, b: F.when(a != "", strip(a)).otherwise(_sub(strip(b), (r"[.,;:!?]+$", ""))))
-    return let(c, lambda t: F.when(F.contains(t, F.lit("\\boxed")), F.filter(found(t), lambda x: x != "")).when(t.isNotNull(), F.array().cast("array<string>")))
+    any_ = lambda t: F.when(_shallow(t), F.filter(found(t), lambda x: x != "")).otherwise(F.transform(box_spans(t), lambda x: x["content"]))
+    return let(c, lambda t: F.when(F.contains(t, F.lit(MARKER)), any_(t)).when(t.isNotNull(), F.array().cast("array<string>")))
 
 
 def last_box(c: Column) -> Column:
@@ -77,8 +82,15 @@ def last_box(c: Column) -> Column:
 
 def box_only(line: Column) -> Column:
     """The content of a line that is one box and nothing else: U5."""
-    whole = rf"^{BOX}\s*[.,;:!?]*\s*$"
-    return let(_dollars(line), lambda own: F.when(F.rlike(own, F.lit(whole)), last_box(own)))
+
+    def deep(own: Column) -> Column:
+        first = F.try_element_at(box_spans(own), F.lit(1))
+        rest = F.substring(own, first["after"], F.length(own))
+        brace = F.rlike(own, F.lit(r"^\\boxed\s*\{"))
+        return F.when((first["start"] == 1) & (first["braced"] == brace) & F.rlike(rest, F.lit(r"^\s*[.,;:!?]*\s*$")), first["content"])
+
+    read = lambda own: F.when(_shallow(own), F.when(F.rlike(own, F.lit(_BOX_LINE)), last_box(own))).otherwise(deep(own))
+    return let(_dollars(line), lambda own: F.when(F.startswith(own, F.lit(MARKER)), read(own)))
 
 
 def without_marker(c: Column) -> Column:
@@ -116,8 +128,8 @@ def answer_in(text: Column) -> Column:
 _FINAL_PHRASE = rf"^(?i)\s*Therefore,\s*the\s+final\s+answer\s+is\s*{COLON}\s*(.+?)(?:\.\s*I\s+hope\s+it\s+is\s+correct)?\s*$"
 _FINAL_LABEL = rf"^(?i)\s*Final Answer\s*{COLON}\s*(.*?)\s*$"
 _FINAL_HEADER = rf"^(?i)\s*Therefore,\s*the\s+final\s+answer\s+is\s*{COLON}\s*$"
-_PLAIN_LABEL = rf"^(?i)\s*(final\s*answer|answer)\s*{COLON}\s*(.*?)\s*$"
-_BOLD_LABEL = rf"^(?i)\s*\*\*(final\s*answer|answer)\s*{COLON}\*\*\s*(.*?)\s*$"
+_PLAIN_LABEL = rf"^(?i)\s*({LABELS})\s*{COLON}\s*(.*?)\s*$"
+_BOLD_LABEL = rf"^(?i)\s*\*\*({LABELS})\s*{COLON}\*\*\s*(.*?)\s*$"
 
 
 def final_line(line: Column) -> Column:
@@ -195,18 +207,8 @@ def scalar_core(c: Column) -> Column:
 
 
 def top_level(c: Column) -> Column:
-    """Parts between commas outside all brackets: U2.  Brackets are counted per kind, as a fold over the characters."""
-    start = F.struct(F.array(F.lit("")).alias("parts"), *[F.lit(0).alias(x) for x in "rsb"])
-
-    def step(s: Column, ch: Column) -> Column:
-        depth = lambda f, a, b: F.when(ch == a, s[f] + 1).when(ch == b, F.greatest(F.lit(0), s[f] - 1)).otherwise(s[f]).alias(f)
-        last = F.element_at(s["parts"], -1)
-        cut = (ch == ",") & (s["r"] + s["s"] + s["b"] == 0)
-        longer = F.concat(F.slice(s["parts"], F.lit(1), F.size(s["parts"]) - 1), F.array(F.concat(last, ch)))
-        return F.struct(F.when(cut, F.concat(s["parts"], F.array(F.lit("")))).otherwise(longer).alias("parts"), depth("r", "(", ")"), depth("s", "[", "]"), depth("b", "{", "}"))
-
-    folded = F.aggregate(F.filter(F.split(c, "", -1), lambda x: x != ""), start, step, lambda s: s["parts"])
-    return F.when(~F.contains(c, F.lit(",")), F.array(c)).otherwise(folded)
+    """Parts between commas outside all brackets: U2."""
+    return F.when(~F.contains(c, F.lit(",")), F.array(c)).otherwise(split_at_commas(c))
 
 
 def gold_answer(c: Column) -> Column:

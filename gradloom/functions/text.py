@@ -69,11 +69,15 @@ def fingerprint(c: Column) -> Column:
     return F.sha1(F.lower(strip(F.regexp_replace(F.coalesce(c, F.lit("")), f"{BLANK}+", " "))))
 
 
-def cache_key(c: Column, depth: int = 4) -> Column:
-    """An answer as verdicts are cached by: boxes opened up to ``depth`` times, delimiters, spacing and blanks removed: P19."""
-    out = F.coalesce(c, F.lit(""))
-    for _ in range(depth):
-        out = F.regexp_replace(out, r"\\boxed\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}", "$1")
+def cache_key(c: Column) -> Column:
+    """An answer as verdicts are cached by: boxes opened to the end, delimiters, spacing and blanks removed: P19.
+
+    A box opens once its content nests one level at most; every pass opens some, so as many passes as there are boxes do.
+    """
+    box = r"\\boxed\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"
+    n = F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"\\boxed\{"))
+    passes = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    out = F.aggregate(passes, F.coalesce(c, F.lit("")), lambda text, _: F.when(F.contains(text, F.lit("\\boxed{")), F.regexp_replace(text, box, "$1")).otherwise(text))
     out = F.regexp_replace(out, r"\$+|\\[()\[\]]|\\[,!;]|\\left|\\right", "")
     return F.lower(F.regexp_replace(F.regexp_replace(out, f"{BLANK}+", ""), r"[.,;:!?]+$", ""))
 
