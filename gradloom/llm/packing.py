@@ -16,7 +16,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,7 +33,38 @@ _KEPT = 1_000_000
 # Characters up to U+024F, without rare blanks and controls: there the letters and numbers of the split are these ranges.
 _LETTER, _NUMBER, _BLANK = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t\\n\\r "
 _PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+_L, _N, _O, _B, _END = range(5)
+_KIND = np.array([_END] + [_L if re.match(f"[{_LETTER}]", chr(c)) else _N if re.match(f"[{_NUMBER}]", chr(c)) else _B if re.match(f"[{_BLANK}]", chr(c)) else _O for c in range(1, 0x250)], np.uint8)
+_LONG = 4096  # longer words are told apart by themselves
+_RANDOM = np.random.default_rng(11)
+_CODE, _PLACE = (_RANDOM.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (0x250, _LONG))
+
+
+def word_starts(codes: np.ndarray) -> np.ndarray:
+    """Where the words of the byte-level split begin, in texts of plain characters that each end in a zero.
+
+    Words tile the texts: runs of letters, numbers or other marks, each with the space before it; what is left of a run of
+    blanks; and the endings 's 't 're 've 'm 'll 'd after no space.
+    """
+    kind = _KIND[codes]
+    first = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1])
+    end, own = np.append(first[1:], len(codes)), kind[first]
+    begins = np.zeros(len(codes) + 1, bool)
+    begins[first] = True
+    inner = np.flatnonzero((own[:-1] == _B) & (own[1:] != _END))  # blanks before a word: the last is apart, a space joins the word
+    begins[end[inner] - 1] = True
+    joins = inner[codes[end[inner] - 1] == 0x20]
+    begins[end[joins]] = False
+    quote = np.flatnonzero((own[:-1] == _O) & (own[1:] == _L) & (end[:-1] - first[:-1] == 1) & (codes[first[:-1]] == 0x27))
+    quote = quote[begins[first[quote]]]
+    at, size = first[quote], end[quote + 1] - first[quote + 1]
+    one, two = codes[at + 1], codes[np.minimum(at + 2, len(codes) - 1)]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = (size > 1) & (((one == 0x72) | (one == 0x76)) & (two == 0x65) | (one == 0x6C) & (two == 0x6C))
+    taken = np.where(short, 1, np.where(long, 2, 0))
+    begins[at[taken > 0] + 1] = False
+    begins[(at + taken + 1)[(taken > 0) & (size > taken)]] = True
+    return np.flatnonzero(begins[:-1])
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -46,8 +76,9 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 class Ids:
     """Token ids of texts, as little-endian 32-bit numbers, by a tokeniser file's JSON.
 
-    A byte-level model merges within the words of a fixed split alone, so the library is asked once a word and batch;
-    texts with characters that the split of this class doesn't know, or with special tokens, go to the library whole.
+    A byte-level model merges within the words of a fixed split alone, so the library is asked once a word; words that are
+    alike are found by 64-bit hashes of a batch.  Texts with characters that the split of this class doesn't know, or with
+    special tokens, go to the library whole.
     """
 
     def __init__(self, spec: str):
@@ -65,17 +96,42 @@ class Ids:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return self._whole(texts)
-        plain = [bool(_PLAIN.fullmatch(t)) and not (self.special and self.special.search(t)) for t in texts]
-        split = [_SPLIT.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
+        plain = [self.by_word and bool(_PLAIN.fullmatch(t)) and not (self.special and self.special.search(t)) for t in texts]
+        quick = iter(self._by_word([t for t, p in zip(texts, plain, strict=True) if p]))
+        whole = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [next(quick if p else whole) for p in plain]
+
+    def _by_word(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        text = "\0".join(texts) + "\0"
+        codes = np.frombuffer(text.encode("utf-16-le"), "<u2")
+        starts = word_starts(codes)
+        ends = np.append(starts[1:], len(codes))
+        words = codes[starts] != 0
+        place = np.arange(len(codes)) - np.repeat(starts, ends - starts)
+        hashes = np.add.reduceat(_CODE[codes] * _PLACE[place % _LONG], starts)[words]
+        starts, ends = starts[words], ends[words]
+        for i in np.flatnonzero(ends - starts > _LONG):
+            hashes[i] = hash(text[starts[i] : ends[i]]) & 0xFFFFFFFFFFFFFFFF
+        _, one, which = np.unique(hashes, return_index=True, return_inverse=True)  # words that are alike
+        found = self._of([text[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+        size = np.array([len(x) for x in found], np.int64) // 4
+        flat, at = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        n = size[which]
+        upto = np.cumsum(n)
+        ids = flat[np.arange(int(n.sum())) + np.repeat(at[which] - (upto - n), n)]
+        edges = np.cumsum([0] + [len(t) + 1 for t in texts])
+        edges = np.append(0, upto)[np.searchsorted(starts, edges)]
+        return [ids[a:b].tobytes() for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+
+    def _of(self, words: list[str]) -> list[bytes]:
         if len(self.kept) > _KEPT:
             self.kept.clear()
         kept = self.kept
-        new = list({w for w in chain.from_iterable(split) if w not in kept})
+        new = [w for w in words if w not in kept]
         kept.update(zip(new, self._whole(new), strict=True))
-        whole = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
-        return [b"".join([kept[w] for w in words]) if p else next(whole) for words, p in zip(split, plain, strict=True)]
+        return [kept[w] for w in words]
 
 
 @lru_cache(maxsize=1)
@@ -84,7 +140,7 @@ def _ids(spec: str) -> Ids:
     return Ids(spec)
 
 
-def _groups(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[str], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """(first, end) of runs of texts of about ``limit`` characters."""
     lo, size = 0, 0
     for i, t in enumerate(texts):
