@@ -69,15 +69,16 @@ def canonical(c: Column) -> Column:
     return _sub(out, (r"\\sqrt\s*([A-Za-z0-9])", r"\\sqrt{$1}"), (rf"{side}\s*/\s*{side}", r"\\frac{$1}{$2}"))
 
 
-def boxes(c: Column) -> Column:
-    """The contents of all boxes in order, braced or bare, at any depth: U4."""
+def boxes(c: Column, deep: bool = True) -> Column:
+    """The contents of all boxes in order, braced or bare, at any depth: U4.  Without ``deep`` to six levels, a smaller plan."""
     found = lambda t: F.zip_with(F.regexp_extract_all(t, F.lit(BOX), 1), F.regexp_extract_all(t, F.lit(BOX), 2), lambda a, b: F.when(a != "", strip(a)).otherwise(_sub(strip(b), (r"[.,;:!?]+$", ""))))
-    any_ = lambda t: F.when(_shallow(t), F.filter(found(t), lambda x: x != "")).otherwise(F.transform(box_spans(t), lambda x: x["content"]))
+    quick = lambda t: F.filter(found(t), lambda x: x != "")
+    any_ = lambda t: quick(t) if not deep else F.when(_shallow(t), quick(t)).otherwise(F.transform(box_spans(t), lambda x: x["content"]))
     return let(c, lambda t: F.when(F.contains(t, F.lit(MARKER)), any_(t)).when(t.isNotNull(), F.array().cast("array<string>")))
 
 
-def last_box(c: Column) -> Column:
-    return F.try_element_at(boxes(c), F.lit(-1))
+def last_box(c: Column, deep: bool = True) -> Column:
+    return F.try_element_at(boxes(c, deep), F.lit(-1))
 
 
 def box_only(line: Column) -> Column:
@@ -89,7 +90,7 @@ def box_only(line: Column) -> Column:
         brace = F.rlike(own, F.lit(r"^\\boxed\s*\{"))
         return F.when((first["start"] == 1) & (first["braced"] == brace) & F.rlike(rest, F.lit(r"^\s*[.,;:!?]*\s*$")), first["content"])
 
-    read = lambda own: F.when(_shallow(own), F.when(F.rlike(own, F.lit(_BOX_LINE)), last_box(own))).otherwise(deep(own))
+    read = lambda own: F.when(_shallow(own), F.when(F.rlike(own, F.lit(_BOX_LINE)), last_box(own, deep=False))).otherwise(deep(own))
     return let(_dollars(line), lambda own: F.when(F.startswith(own, F.lit(MARKER)), read(own)))
 
 
@@ -163,7 +164,7 @@ def choice(c: Column) -> Column:
 
 def _letter(inner: Column) -> Column:
     own = _drop(_sub(_dollars(inner), (TEXT_COMMAND, "$1")), "\\left", "\\right")
-    own = let(own, lambda t: F.coalesce(last_box(t), t))
+    own = let(own, lambda t: F.coalesce(last_box(t, deep=False), t))  # no letter is six levels deep
     own = strip(_sub(_sub(own, (r"\\([a-zA-Z]+)", "$1")), (r"\s+", " ")))
     return F.lower(F.nullif(F.regexp_extract(own, r"^(?:\(?\s*(?=[A-Za-z]\s*\)?$)|\(\s*(?=[A-Za-z]\s*\)\s+.))([A-Za-z])", 1), F.lit("")))
 
@@ -197,7 +198,7 @@ def _plain_form(inner: Column) -> Column:
 
 def scalar_core(c: Column) -> Column:
     """The scalar in an answer, past its equation, angle or unit; null where it is no scalar: U15."""
-    own = let(canonical(c), lambda t: F.coalesce(last_box(t), t))
+    own = let(canonical(c), lambda t: F.coalesce(last_box(t, deep=False), t))
     own = _drop(_dollars(membership(own)), "\\left", "\\right", "\\!")
     own = strip(_sub(own, (r"\\[,;:\x20]", " "), (TEXT_COMMAND, " $1 "), (r"\s+", " ")))
     own = _sub(own, (r"^\s*[A-Za-z](?:_[A-Za-z0-9]+)?\s*=\s*(.+?)\s*$", "$1"), (r"^(?i)\s*(.+?)\s*(?:\^?\s*\\circ|\u00b0)\s*$", "$1"), (rf"^(?i)\s*(.+?)\s+(?:{UNITS})\.?\s*$", "$1"))
@@ -354,12 +355,14 @@ def length_penalty(reason: Column, submitted: Column, with_: float = -0.05, with
 def scored(rows: DataFrame, completion: str = "completion", gold: str = "gold", reason: str = "finish_reason", verify=None) -> DataFrame:
     """``rows`` with format_reward, answer_reward, length_reward, total_reward, is_correct: U21, U23, U28.
 
-    ``verify``: an optional function of (prediction, gold) columns that may find them equal where the rules don't (U19).
+    ``verify``: an optional function of (prediction, gold) columns that may find them equal where the rules don't, such as
+    ``equivalence.equivalent`` (U19).
     """
     df = inspected(rows, completion).withColumn("answer", F.nullif(strip(F.col("tail.answer")), F.lit(""))).withColumn("__gold", gold_answer(F.col(gold)))
     df = _compared(df.withColumnsRenamed({"same": "__own_same"}), "answer", "__gold")
     submitted = F.col("answer").isNotNull()
-    same = F.col("same") | F.coalesce(verify(F.col("answer"), F.col(gold)), F.lit(False)) if verify else F.col("same")
+    open_ = lambda c: F.when(submitted & ~F.col("same"), c)  # noqa: E731  what the rules have settled isn't verified
+    same = F.col("same") | F.coalesce(verify(open_(F.col("answer")), open_(F.col("__gold"))), F.lit(False)) if verify else F.col("same")
     cut = F.coalesce(F.lower(reason) != "stop", F.lit(False))
     correct = submitted & same & ~(cut & ~submitted)
     standard = F.coalesce(F.col("tail.standard"), F.lit(False)) & F.col("tail.answer").isNotNull()

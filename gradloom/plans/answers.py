@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
+from ..functions import equivalence as E
 from ..functions import text as X
-from ..sources.relations import ANSWERS, answers
+from ..sources.relations import ANSWERS, answers, table
 from .registry import query
 
 
@@ -244,3 +245,41 @@ def eval_run_compose(spark, sf):
     """A run scored row by row and summed up."""
     rows = A.scored(answers(spark, sf))
     return rows.agg(F.count("*").alias("n"), F.round(F.avg(F.col("is_correct").cast("double")), 6).alias("accuracy"), F.round(F.avg("total_reward"), 6).alias("mean_reward"), F.sum((X.strip(F.col("completion")) == "").cast("long")).alias("empty"))
+
+
+# What each form of a pair must give; null where a side is no whole expression.
+_PAIRS = [
+    (lambda s: (F.concat(F.lit("\\frac{"), s, F.lit("}{2}")), (s.cast("double") / 2).cast("string")), True),
+    (lambda s: (F.concat(F.lit("x+"), s), F.concat(s, F.lit("+x"))), True),
+    (lambda s: (F.concat(F.lit("(x+"), s, F.lit(")^2")), F.concat(F.lit("x^2+"), (s.cast("int") * 2).cast("string"), F.lit("x+"), (s.cast("int") * s.cast("int")).cast("string"))), True),
+    (lambda s: (F.concat(F.lit("\\sqrt{"), (s.cast("int") * s.cast("int") * 2).cast("string"), F.lit("}")), F.concat(s, F.lit("\\sqrt2"))), True),
+    (lambda s: (F.concat(s, F.lit("\\%")), F.concat(s, F.lit("/100"))), True),
+    (lambda s: (F.concat(s, F.lit("x")), F.concat(s, F.lit("+x"))), False),
+    (lambda s: (F.concat(F.lit("\\frac{"), s, F.lit("}{")), s), None),
+    (lambda s: (F.concat(F.lit("\\frac{x^2-"), (s.cast("int") * s.cast("int")).cast("string"), F.lit("}{x-"), s, F.lit("}")), F.concat(F.lit("x+"), s)), True),
+    (lambda s: (F.concat(F.lit("(1/2, "), s, F.lit(")")), F.concat(F.lit("("), s, F.lit(", 0.5)"))), False),
+    (lambda s: (F.concat(F.lit("\\{"), s, F.lit(", 1/2\\}")), F.concat(F.lit("0.5, "), s)), True),
+    (lambda s: (F.concat(F.lit("\\sin^2 x + \\cos^2 x + "), s), (s.cast("int") + 1).cast("string")), True),
+    (lambda s: (F.concat(F.lit("value of "), s), s), None),
+]
+
+
+@query(f"SELECT p_partkey AS row_id, (CAST([{', '.join({True: 'true', False: 'false', None: 'NULL'}[p[1]] for p in _PAIRS)}] AS BOOLEAN[]))[p_partkey % {len(_PAIRS)} + 1] AS same FROM part")
+def expression_equivalence(spark, sf):
+    """Pairs in twelve forms; the SQL says what each must give."""
+    k, s = (F.col("p_partkey") % len(_PAIRS) + 1).cast("int"), F.col("p_size").cast("string")
+    pairs = [F.struct(a.alias("l"), b.alias("r")) for a, b in (p[0](s) for p in _PAIRS)]
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.element_at(F.array(*pairs), k).alias("pair"))
+    return rows.select("row_id", E.equivalent(F.col("pair.l"), F.col("pair.r")).alias("same"))
+
+
+@query("""SELECT row_id, concat(repeat('f{', d), s, repeat('}', d)) AS last_boxed, CAST(s AS VARCHAR) AS key, [concat('g{', repeat('(', d), '1,2', repeat(')', d), '}'), CAST(s AS VARCHAR)] AS parts FROM (SELECT p_partkey AS row_id, CAST(p_partkey % 40 AS BIGINT) AS d, p_size AS s FROM part)""")
+def nested_boxes(spark, sf):
+    """Brackets up to forty deep; the SQL says what was put in."""
+    d, s = (F.col("p_partkey") % 40).cast("int"), F.col("p_size").cast("string")
+    times = lambda text: F.repeat(F.lit(text), d)
+    said = F.concat(F.lit("so \\boxed{1} and \\boxed{"), times("f{"), s, times("}"), F.lit("}."))
+    keyed = F.concat(times("\\boxed{"), s, times("}"))
+    listed = F.concat(F.lit("g{"), times("("), F.lit("1,2"), times(")"), F.lit("},"), s)
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), said.alias("said"), keyed.alias("keyed"), listed.alias("listed"))
+    return rows.select("row_id", A.last_box(F.col("said")).alias("last_boxed"), X.cache_key(F.col("keyed")).alias("key"), A.top_level(F.col("listed")).alias("parts"))
