@@ -96,18 +96,10 @@ def write_once(spark: SparkSession, path: str, make) -> DataFrame:
 
 
 def write_summary(df: DataFrame, path: str) -> None:
-    """A one-row table as a JSON file, renamed into place when complete: K2, R5."""
-    spark = df.sparkSession
-    text = json.dumps(df.first().asDict(recursive=True), indent=2, ensure_ascii=False, default=str)
-    fs, target = _fs(spark, path)
-    partial = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(partial, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(partial, target):
-        raise OSError(f"{path}: could not be renamed into place")
+    """A one-row table as a JSON file that replaces the one before in one step: K2, R5."""
+    from .publishing import replace_file
+
+    replace_file(df.sparkSession, path, json.dumps(df.first().asDict(recursive=True), indent=2, ensure_ascii=False, default=str))
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
