@@ -1,8 +1,8 @@
-"""Corpus preparation: projections with defaults, reason-coded drops counted in the same pass, length filters."""
+"""Corpus preparation: projections with defaults, reason-coded drops counted while the rest is written, length filters."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
@@ -69,6 +69,24 @@ def drop_counts(df: DataFrame) -> DataFrame:
     return df.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def prepared(df: DataFrame, path: str, reasons: tuple[str, ...], length: str | None = None, most: int | None = None) -> tuple[DataFrame, dict]:
+    """Writes the rows of ``df`` (with ``drop_reason``) to keep as a table at ``path``, counted in the same pass: F1, F5, F14, A1.
+
+    Returns the table and counts: input, kept, a count per reason of ``reasons``, ``other``; with ``length`` and ``most`` also
+    too_long (what the length filter drops, after the reasons) and max_seen, max_kept.  The counts are metrics that tasks
+    report with their results, so there is one job, and a task that is run again counts once.
+    """
+    reason, fits = F.col("drop_reason"), F.lit(True) if most is None else F.coalesce(F.col(length) <= most, F.lit(False))
+    how_many = lambda condition: F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0))
+    named = {"input": F.count(F.lit(1)), "kept": how_many(reason.isNull() & fits), "other": how_many(reason.isNotNull() & ~reason.isin(*reasons)), **{r: how_many(reason == r) for r in reasons}}
+    if most is not None:
+        longest = lambda condition: F.coalesce(F.max(F.when(condition, F.col(length))), F.lit(0))
+        named |= {"too_long": how_many(reason.isNull() & ~fits), "max_seen": longest(reason.isNull()), "max_kept": longest(reason.isNull() & fits)}
+    seen = Observation()
+    df.observe(seen, *[c.alias(n) for n, c in named.items()]).where(reason.isNull() & fits).drop("drop_reason").write.parquet(path)
+    return df.sparkSession.read.parquet(path), dict(seen.get)
+
+
 def length_summary(df: DataFrame, length: str, most: int) -> DataFrame:
     """Kept and removed rows and the lengths seen, 0 where there are none: F5."""
     fits = F.col(length) <= most

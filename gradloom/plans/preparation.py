@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import judging as J
 from ..operators import preparation as P
 from ..sources.relations import ANSWERS, ROLLOUTS, RUNS, answers, rollouts, runs, table
+from ..sources.storage import scratch
 from .registry import query
 
 _RAW = r"""raw AS (SELECT p_partkey AS row_id, CASE WHEN p_partkey % 11 = 0 THEN '  ' ELSE concat(' ', p_name, ' ') END AS problem, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 13 = 0 THEN 'proof' ELSE concat('$ ', p_size, '$') END AS answer,
@@ -300,3 +301,14 @@ def judge_prompt_batches(spark, sf):
 def token_path_filter(spark, sf):
     """F7, F8."""
     return runs(spark, sf).select("checkpoint").distinct().where(J.token_filter(F.col("checkpoint"), ["EXP1", "exp2"], ["-3"]))
+
+
+@query(f"""SELECT what, n FROM (SELECT count(*) AS input, coalesce(sum((r = 'kept' AND n <= 2)::INT), 0) AS kept, coalesce(sum((r = 'empty_problem')::INT), 0) AS empty_problem, coalesce(sum((r = 'empty_answer')::INT), 0) AS empty_answer,
+  coalesce(sum((r NOT IN ('kept', 'empty_problem', 'empty_answer'))::INT), 0) AS other, coalesce(sum((r = 'kept' AND n > 2)::INT), 0) AS too_long, coalesce(max(n) FILTER (r = 'kept'), 0) AS max_seen, coalesce(max(n) FILTER (r = 'kept' AND n <= 2), 0) AS max_kept
+  FROM (SELECT {_REASON} AS r, CAST(len(list_filter(string_split(trim(problem), ' '), lambda w: w <> '')) AS BIGINT) AS n FROM raw)) UNPIVOT (n FOR what IN (input, kept, empty_problem, empty_answer, other, too_long, max_seen, max_kept))""", _RAW)
+def prep_accounting(spark, sf):
+    """The counts of a preparation, from the pass that writes what is kept."""
+    rows = _reasons(spark, sf).withColumn("n_tokens", X.token_count(F.col("problem")))
+    kept, counts = P.prepared(rows, scratch(spark, "prepared"), ("empty_problem", "empty_answer"), "n_tokens", 2)
+    there = kept.agg(F.count("*").alias("n")).select(F.lit("kept").alias("what"), "n")  # the table says itself how many there are
+    return spark.createDataFrame([(k, int(v)) for k, v in counts.items() if k != "kept"], "what string, n long").unionByName(there)

@@ -40,9 +40,16 @@ LAYOUTS = ("{split}/*.parquet", "data/{split}-*.parquet", "{split}-*.parquet", "
 
 
 def load_dataset(spark: SparkSession, root: str, split: str = "train", config: str | None = None) -> DataFrame:
-    """A dataset folder in any of its usual layouts; a folder of the configuration's name is looked into first."""
+    """A dataset folder in any of its usual layouts; a folder of the configuration's name is looked into first.
+
+    A folder of Arrow files comes before any other layout; where it has no splits, it is the whole table: S1, S3, S15.
+    """
+    from .arrow_folder import is_arrow_folder, load_arrow_folder
+
     roots = [f"{root}/{config}", root] if config else [root]
     for top in roots:
+        if is_arrow_folder(spark, top):
+            return load_arrow_folder(spark, top, split)
         for layout in LAYOUTS:
             if exists(spark, pattern := f"{top}/{layout.format(split=split)}"):
                 return spark.read.option("mergeSchema", "true").parquet(pattern)
@@ -73,6 +80,24 @@ def discover(spark: SparkSession, root: str, pattern: str = "checkpoint_summary.
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
+#: Names of files with weights, as a file pattern.  Fixed values.
+WEIGHT_FILES = "{pytorch_model.bin,model.safetensors,pytorch_model.bin.index.json,model.safetensors.index.json,pytorch_model-*.bin,model-*.safetensors}"
+
+
+def listed_weights(spark: SparkSession, root: str, depth: int | None = None) -> DataFrame:
+    """(path) of the files with weights under ``root``, for ``artifacts.checkpoints``: S10.
+
+    Spark lists large trees on its executors and the pattern is applied there; contents aren't read.  ``depth``: how many
+    folders below ``root`` a file may lie.  A root that isn't there, or has none, is an empty table.
+    """
+    if not exists(spark, root):
+        return spark.createDataFrame([], "path string")
+    found = discover(spark, root, WEIGHT_FILES).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    top = F.lit(_fs(spark, root)[1].toUri().getPath().rstrip("/"))
+    below = F.size(F.split(F.regexp_replace("path", "^[a-z0-9]+://[^/]*", ""), "/")) - F.size(F.split(top, "/")) - 1
+    return found if depth is None else found.where(below <= depth)
+
+
 def step_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, step) of evaluation summaries, by their step: S9, F13."""
     for top in (root, f"{root}/metrics"):
