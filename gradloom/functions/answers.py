@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .brackets import BARE, MARKER, box_spans, let, split_at_commas
+from .brackets import BARE, MARKER, box_spans, let, reused, split_at_commas
 from .text import LINE_END, strip
 
 # Cue words, wrappers, units and phrases that the grading rules name.
@@ -61,6 +61,7 @@ def _dollars(c: Column) -> Column:
     return strip(_sub(strip(c), (r"^\$+|\$+$", "")))
 
 
+@reused
 def canonical(c: Column) -> Column:
     """LaTeX shorthand written out: U1."""
     out = _sub(strip(F.coalesce(c, F.lit(""))), (rf"^(?i)\s*(?:{LABELS})\s*{COLON}\s*", ""), ("[\u2212\u2013\u2014]", "-"), ("[\u2044\u2215]", "/"), (r"\\[()\[\]]", ""), (r"\\[dt]frac", r"\\frac"))
@@ -69,6 +70,7 @@ def canonical(c: Column) -> Column:
     return _sub(out, (r"\\sqrt\s*([A-Za-z0-9])", r"\\sqrt{$1}"), (rf"{side}\s*/\s*{side}", r"\\frac{$1}{$2}"))
 
 
+@reused
 def boxes(c: Column, deep: bool = True) -> Column:
     """The contents of all boxes in order, braced or bare, at any depth: U4.  Without ``deep`` to six levels, a smaller plan."""
     found = lambda t: F.zip_with(F.regexp_extract_all(t, F.lit(BOX), 1), F.regexp_extract_all(t, F.lit(BOX), 2), lambda a, b: F.when(a != "", strip(a)).otherwise(_sub(strip(b), (r"[.,;:!?]+$", ""))))
@@ -77,10 +79,12 @@ def boxes(c: Column, deep: bool = True) -> Column:
     return let(c, lambda t: F.when(F.contains(t, F.lit(MARKER)), any_(t)).when(t.isNotNull(), F.array().cast("array<string>")))
 
 
+@reused
 def last_box(c: Column, deep: bool = True) -> Column:
     return F.try_element_at(boxes(c, deep), F.lit(-1))
 
 
+@reused
 def box_only(line: Column) -> Column:
     """The content of a line that is one box and nothing else: U5."""
 
@@ -106,20 +110,24 @@ def _plain_line(c: Column) -> Column:
     return without_bold(without_marker(c))
 
 
+@reused
 def is_conclusion_header(line: Column) -> Column:
     return F.coalesce(F.lower(strip(_sub(_plain_line(line), (rf"{COLON}+$", "")))).isin(*CONCLUSIONS), F.lit(False))
 
 
+@reused
 def has_conclusion_cue(line: Column) -> Column:
     """U6."""
     return F.coalesce(F.rlike(F.lower(_plain_line(line)), F.lit(rf"^(?:{'|'.join(CONCLUSIONS)})(?:$|[:\uff1a,\x20.])")), F.lit(False))
 
 
+@reused
 def is_placeholder(c: Column) -> Column:
     """F11."""
     return F.coalesce(_sub(F.lower(c), (r"[\s{}<>_\\]+", "")).isin("answer", "youranswer"), F.lit(False))
 
 
+@reused
 def answer_in(text: Column) -> Column:
     """struct(answer, boxed): a box wins; else the text without dollars and closing marks, null if nothing is left: U25."""
     rest = lambda t: F.nullif(_end(_dollars(t)), F.lit(""))
@@ -133,11 +141,13 @@ _PLAIN_LABEL = rf"^(?i)\s*({LABELS})\s*{COLON}\s*(.*?)\s*$"
 _BOLD_LABEL = rf"^(?i)\s*\*\*({LABELS})\s*{COLON}\*\*\s*(.*?)\s*$"
 
 
+@reused
 def final_line(line: Column) -> Column:
     """What a final-answer line says, null for other lines: U8."""
     return F.coalesce(*[F.when(F.rlike(line, F.lit(p)), F.regexp_extract(line, p, 1)) for p in (_FINAL_PHRASE, _FINAL_LABEL)])
 
 
+@reused
 def answer_line(line: Column) -> Column:
     """struct(label, raw) of an answer line, past bold and list markers; null for other lines: U7."""
     tries = F.array(strip(line), without_bold(line), without_marker(line), _plain_line(line))
@@ -146,10 +156,12 @@ def answer_line(line: Column) -> Column:
     return F.try_element_at(found, F.lit(1))
 
 
+@reused
 def lines_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END, -1), strip), lambda x: x != "")
 
 
+@reused
 def membership(c: Column) -> Column:
     r"""Without leading ``x \in``, however many, as long as a line of text is left: U12."""
     several = r"^(?:\s*[A-Za-z](?:_[A-Za-z0-9]+)?\s*(?:\\in|\u2208)\s*(?=.+?\s*$))+(.+?)\s*$"
@@ -157,11 +169,13 @@ def membership(c: Column) -> Column:
     return let(strip(c), lambda t: F.when(some(t), strip(_sub(t, (several, "$1")))).otherwise(t))
 
 
+@reused
 def choice(c: Column) -> Column:
     """The letter of a multiple-choice answer, null for others: U11."""
     return _letter(membership(canonical(c)))
 
 
+@reused
 def _letter(inner: Column) -> Column:
     own = _drop(_sub(_dollars(inner), (TEXT_COMMAND, "$1")), "\\left", "\\right")
     own = let(own, lambda t: F.coalesce(last_box(t, deep=False), t))  # no letter is six levels deep
@@ -183,12 +197,14 @@ def unordered(c: Column) -> Column:
     return let(c, lambda t: F.when(F.contains(t, F.lit(",")) & scalar(t), F.array_join(F.array_sort(parts(t)), ",")).otherwise(t))
 
 
+@reused
 def normalized(c: Column) -> Column:
     """The form in which answers are compared: U14."""
 
     return let(membership(canonical(c)), lambda inner: F.coalesce(_letter(inner), _plain_form(inner)))
 
 
+@reused
 def _plain_form(inner: Column) -> Column:
     """The form of what is no letter."""
     own = F.replace(F.replace(currency(inner), F.lit("\\$"), F.lit("$")), F.lit("$"), F.lit(""))
@@ -196,6 +212,7 @@ def _plain_form(inner: Column) -> Column:
     return unordered(F.lower(_sub(own, (r"\\([a-zA-Z]+)", "$1"), (r"[\x20\n\t]", ""))))
 
 
+@reused
 def scalar_core(c: Column) -> Column:
     """The scalar in an answer, past its equation, angle or unit; null where it is no scalar: U15."""
     own = let(canonical(c), lambda t: F.coalesce(last_box(t, deep=False), t))
@@ -212,6 +229,7 @@ def top_level(c: Column) -> Column:
     return F.when(~F.contains(c, F.lit(",")), F.array(c)).otherwise(split_at_commas(c))
 
 
+@reused
 def gold_answer(c: Column) -> Column:
     """The reference answer in a solution: last #### line, else last box, else last answer line, else all of it: U16."""
 
@@ -281,11 +299,13 @@ def inspected(rows: DataFrame, completion: str = "completion") -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("__")])
 
 
+@reused
 def unwrapped(c: Column) -> Column:
     """Past membership, dollars and escaped braces."""
     return _sub(_dollars(membership(canonical(c))), (r"\\([{}])", "$1"))
 
 
+@reused
 def _bracketed(c: Column) -> Column:
     """struct(open, close, parts) of a bracketed list, null for others: U17."""
     inner = lambda t: strip(F.substring(t, F.lit(2), F.length(t) - 2))
@@ -295,6 +315,7 @@ def _bracketed(c: Column) -> Column:
     return let(listed, lambda s: F.when(~F.exists(s["parts"], lambda x: x == ""), s))
 
 
+@reused
 def _bare_set(c: Column) -> Column:
     parts = let(unwrapped(c), lambda t: F.when(F.contains(t, F.lit(",")) & ~F.rlike(t, F.lit(r"^[(\[].*[)\]]$")), F.transform(top_level(t), strip)))
     return let(parts, lambda p: F.when((F.size(p) > 1) & ~F.exists(p, lambda x: x == ""), p))

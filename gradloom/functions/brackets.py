@@ -2,16 +2,44 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import strip
 
 MARKER = "\\boxed"
+_MOST_KEPT = 64  # expressions of a function
 #: What a box without braces may hold.  Fixed values.
 BARE = r"\\[a-zA-Z]+(?:\{[^{}]*\})*|\([^()\n]*\)|\[[^\[\]\n]*\]|[-+]?[^\s,;:!?]+"
 
 
+def reused(f):
+    """A function of one column whose expression for a named column is built once and then kept.
+
+    Building takes thousands of calls to the JVM, which a query that runs again, or uses a name twice, needn't repeat.
+    Expressions of anything but a plain name are built anew.
+    """
+    kept: dict = {}
+
+    @wraps(f)
+    def build(c: Column, *more, **options) -> Column:
+        node = c._jc.node() if hasattr(c, "_jc") else None
+        if node is None or node.getClass().getSimpleName() != "UnresolvedAttribute":
+            return f(c, *more, **options)
+        jvm = SparkContext._gateway
+        key = (id(jvm), str(c._jc.toString()), more, tuple(sorted(options.items())))
+        if key not in kept:
+            if len(kept) >= _MOST_KEPT:
+                kept.clear()
+            kept[key] = (jvm, f(c, *more, **options))  # holds on to the gateway, so that its id stays its own
+        return kept[key][1]
+
+    return build
+
+
 def let(c: Column, f) -> Column:
     """f(c) with c computed once, however often f uses it."""
     return F.element_at(F.transform(F.array(c), f), 1)
