@@ -94,12 +94,13 @@ def with_generations(prompts: DataFrame, generations: DataFrame) -> DataFrame:
     return prompts.join(own, "prompt_id", "left").withColumn("choices", F.coalesce("choices", empty))
 
 
-def with_answers(completions: DataFrame, answers: DataFrame) -> DataFrame:
+def with_answers(completions: DataFrame, answers: DataFrame, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Completions (position from 0) with their answers (position, answer), each serving as many in a row: U24.
 
     Numbers of completions that the answers don't divide are an error; without answers there is none for anyone.
+    ``sizes``: how many of either there are, where the caller knows; else both are counted now.
     """
-    n, m = completions.count(), answers.count()
+    n, m = sizes or (completions.count(), answers.count())
     if m == 0:
         return completions.withColumn("answer", F.lit(None).cast("string"))
     if n % m:
@@ -108,13 +109,17 @@ def with_answers(completions: DataFrame, answers: DataFrame) -> DataFrame:
     return completions.withColumn("of", F.floor(F.col("position") / max(1, n // m))).join(own, "of", "left").drop("of")
 
 
-def without_rows(rows: DataFrame, indices: list[int], position: str = "position") -> DataFrame:
-    """``rows`` without those at the given positions; a position beyond the table is an error: F6."""
-    n = rows.count()
+def without_rows(rows: DataFrame, indices: list[int], position: str = "position", size: int | None = None) -> DataFrame:
+    """``rows`` without those at the given positions; a position beyond the table is an error: F6.
+
+    ``size``: how many rows there are, where the caller knows; else they are counted now.
+    """
+    n = rows.count() if size is None else size
     wrong = sorted(i for i in set(indices) if not 0 <= i < n)
     if wrong:
         raise ValueError(f"positions {wrong[:10]} are out of range of {n} rows")
-    return rows.where(~F.col(position).isin(*indices)) if indices else rows
+    gone = rows.sparkSession.createDataFrame([(i,) for i in sorted(set(indices))], "__gone long")
+    return rows.join(gone, F.col(position) == F.col("__gone"), "left_anti")
 
 
 def bad_edge_report(rollouts: DataFrame, kept: DataFrame, edges: DataFrame) -> DataFrame:

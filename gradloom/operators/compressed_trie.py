@@ -365,6 +365,35 @@ def response_examples(trie: Trie, n_logprobs: Column, most: int | None = None) -
     return rows.select("question_id", "rollout_index", mask.alias("valid_mask"), (F.coalesce(n_logprobs, F.lit(0)) >= F.size(mask)).alias("has_old"))
 
 
+def training_rows(trie: Trie, n_query: str = "n_query", logprobs: str = "logprobs", most: int | None = None) -> DataFrame:
+    """One row per response with the arrays a loss reads, over the query's tokens and the response's: T13.
+
+    ``sequences`` also has ``n_query``, how many tokens the query has, and ``logprobs``, an array or null.  Query and
+    response together are cut to ``most`` tokens; a response of which nothing is left has no row.  response_mask and
+    valid_mask are 0 over the query; old_logprobs are 0.0 there, and throughout where there are fewer than the response
+    has tokens left (has_old is false then).  Other columns pass.
+    """
+    rows, n = valid_masks(trie), F.col(n_query).cast("int")
+    left = F.size("tokens") if most is None else F.least(F.size("tokens"), F.lit(most) - n)
+    rows = rows.withColumn("__n", left).where(F.col("__n") > 0)
+    n_left = F.col("__n")
+    has_old = F.coalesce(F.size(logprobs) >= n_left, F.lit(False)) & F.col(logprobs).isNotNull()
+    over = lambda zero, own: F.concat(F.array_repeat(zero, n), own)
+    known = F.transform(F.slice(logprobs, F.lit(1), n_left), lambda x: x.cast("double"))
+    zero, none = F.lit(0), F.lit(0.0)
+    return rows.withColumns({
+        "response_mask": over(zero, F.array_repeat(F.lit(1), n_left)), "valid_mask": over(zero, F.transform(F.slice("valid", F.lit(1), n_left), lambda v: v.cast("int"))),
+        "old_logprobs": over(none, F.when(has_old, known).otherwise(F.array_repeat(none, n_left))), "has_old": has_old,
+    }).drop("__n", "valid", "tokens", logprobs, n_query)
+
+
+def training_metrics(rows: DataFrame) -> DataFrame:
+    """One row: examples, response_tokens, valid_tokens, valid_fraction, without_logprob of ``training_rows``; zeros for none."""
+    total = lambda c, name: F.coalesce(F.sum(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias(name)
+    sums = rows.agg(F.count("*").alias("examples"), total("response_mask", "response_tokens"), total("valid_mask", "valid_tokens"), F.coalesce(F.sum(F.when(F.col("has_old"), 0).otherwise(1)), F.lit(0)).cast("long").alias("without_logprob"))
+    return sums.withColumn("valid_fraction", F.col("valid_tokens") / F.greatest("response_tokens", F.lit(1)))
+
+
 def question_summary(trie: Trie, m: int, k_min: int, n_min: int) -> DataFrame:
     """(question_id, trajectories, successes, positives, negatives) per question, from chains alone: T27."""
     own = trie.sequences.groupBy("question_id").agg(F.count("*").alias("trajectories"), F.sum(F.coalesce(F.col("success").cast("long"), F.lit(0))).alias("successes"))

@@ -176,11 +176,13 @@ def history_upsert(spark, sf):
     return E.history_upsert(rows, new).drop("step")
 
 
-@query("SELECT i, (i + 1) % 50 = 0 OR i = 199 AS save, (i + 1) % 20 = 0 OR i = 199 AS evaluate FROM (SELECT CAST(unnest(range(200)) AS BIGINT) AS i) WHERE (i + 1) % 50 = 0 OR (i + 1) % 20 = 0 OR i = 199")
+@query("SELECT i, (i + 1) % 50 = 0 OR i = last AS save, (i + 1) % 20 = 0 OR i = last AS evaluate FROM (SELECT event_id AS i, max(event_id) OVER () AS last FROM events) WHERE (i + 1) % 50 = 0 OR (i + 1) % 20 = 0 OR i = last")
 def schedule_steps(spark, sf):
-    """C17."""
-    due = lambda k: ((F.col("i") + 1) % k == 0) | (F.col("i") == 199)
-    return spark.range(200).withColumnRenamed("id", "i").withColumns({"save": due(50), "evaluate": due(20)}).where("save OR evaluate")
+    """C17: events as iterations; the last always counts."""
+    events = table(spark, sf, "events").select(F.col("event_id").alias("i"))
+    rows = events.join(F.broadcast(events.agg(F.max("i").alias("last"))))  # one row
+    due = lambda k: ((F.col("i") + 1) % k == 0) | (F.col("i") == F.col("last"))
+    return rows.withColumns({"save": due(50), "evaluate": due(20)}).where("save OR evaluate").drop("last")
 
 
 @query("""SELECT experiment, checkpoint, step FROM (SELECT split_part(checkpoint, '/', 1) AS experiment, checkpoint, CAST(regexp_extract(checkpoint, 'checkpoint-([0-9]+)', 1) AS INTEGER) AS step,

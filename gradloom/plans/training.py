@@ -153,6 +153,32 @@ def grpo_examples(spark, sf):
     return C.response_examples(_trie(spark, sf), n, 32)
 
 
+_ARRAYS = """arrays AS (SELECT r.question_id, r.rollout_index, list_concat(list_resize([]::INTEGER[], nq, 0), list_resize([]::INTEGER[], rl, 1)) AS response_mask, list_concat(list_resize([]::INTEGER[], nq, 0), v.m[1:rl]) AS valid_mask,
+  list_concat(list_resize([]::DOUBLE[], nq, 0.0), CASE WHEN has_old THEN list_transform(range(rl), lambda i: -(i % 10) / 10.0::DOUBLE) ELSE list_resize([]::DOUBLE[], rl, 0.0) END) AS old_logprobs, has_old, rl FROM
+  (SELECT *, rollout_index % 5 <> 0 AND CASE WHEN rollout_index % 3 = 0 THEN n // 2 ELSE n END >= rl AS has_old FROM (SELECT question_id, rollout_index, rollout_index % 7 AS nq, len(tokens) AS n, least(len(tokens), 300 - rollout_index % 7) AS rl FROM deduped)) r
+  JOIN (SELECT question_id, rollout_index, list(valid::INT ORDER BY depth) AS m FROM valid GROUP BY 1, 2) v ON v.question_id = r.question_id AND v.rollout_index = r.rollout_index WHERE rl > 0)"""
+
+
+def _arrays(spark, sf):
+    i, n = F.col("rollout_index"), F.size("tokens")
+    made = F.transform("tokens", lambda _, d: -(d % 10) / 10)
+    known = F.when(i % 5 != 0, F.slice(made, F.lit(1), F.when(i % 3 == 0, F.floor(n / 2).cast("int")).otherwise(n)))
+    rows = _deduped(spark, sf).withColumns({"n_query": (i % 7).cast("int"), "logprobs": known})
+    return C.training_rows(C.compressed_trie(rows), most=300)
+
+
+@query("SELECT question_id, rollout_index, response_mask, valid_mask, old_logprobs, has_old FROM arrays", *_TRIE, _RELIABLE, _FRONTIER, _VALID, _ARRAYS)
+def grpo_training_rows(spark, sf):
+    """Masks and log probabilities over query and response, cut to 300 tokens."""
+    return _arrays(spark, sf).select("question_id", "rollout_index", "response_mask", "valid_mask", "old_logprobs", "has_old")
+
+
+@query("SELECT count(*) AS examples, CAST(sum(rl) AS BIGINT) AS response_tokens, CAST(sum(list_sum(valid_mask)) AS BIGINT) AS valid_tokens, round(sum(list_sum(valid_mask)) / sum(rl), 6) AS valid_fraction, CAST(sum((NOT has_old)::INT) AS BIGINT) AS without_logprob FROM arrays", *_TRIE, _RELIABLE, _FRONTIER, _VALID, _ARRAYS)
+def grpo_training_metrics(spark, sf):
+    """T13."""
+    return C.training_metrics(_arrays(spark, sf)).withColumn("valid_fraction", F.round("valid_fraction", 6))
+
+
 @query("SELECT 'pos' AS example_kind, count(*) AS n, CAST(max(depth) AS INTEGER) AS deepest FROM reliable WHERE depth + 1 <= 8 UNION ALL SELECT 'neg', count(*), CAST(max(depth) AS INTEGER) FROM frontier WHERE depth + 1 <= 8", *_TRIE, _RELIABLE, _FRONTIER)
 def guarded_examples(spark, sf):
     """Only prefixes that one more token keeps within the longest sequence."""
@@ -243,10 +269,11 @@ def pos_neg_loss(spark, sf):
     return _tokens(spark, sf).agg(F.round(F.avg(L.negative_loss(F.abs("new_logprob"), F.lit(0.5))), 6).alias("neg_loss"), F.round(F.avg(-F.abs("advantage") * F.col("new_logprob")), 6).alias("pos_loss"))
 
 
-@query("SELECT step, round(1e-3 * CASE WHEN step < 20 THEN 0.1 + 0.9 * step / 20 ELSE 1 - 0.9 * least(greatest((step - 20) / 180.0, 0), 1) END, 9) AS lr FROM (SELECT CAST(unnest(range(201)) AS BIGINT) AS step)")
+@query("SELECT event_id AS step, round(1e-3 * CASE WHEN event_id < 200 THEN 0.1 + 0.9 * event_id / 200 ELSE 1 - 0.9 * least(greatest((event_id - 200) / 1800.0, 0), 1) END, 9) AS lr FROM events")
 def lr_schedule(spark, sf):
-    """T24."""
-    return spark.range(201).select(F.col("id").alias("step"), F.round(L.learning_rate(F.col("id"), 1e-3, 200, 20, 0.1), 9).alias("lr"))
+    """Events as optimizer steps."""
+    step = F.col("event_id")
+    return table(spark, sf, "events").select(step.alias("step"), F.round(L.learning_rate(step, 1e-3, 2000, 200, 0.1), 9).alias("lr"))
 
 
 @query("SELECT round(avg(p), 6) AS p_bad, count(*) AS edges, max(total) > 50 AS capped FROM (SELECT abs(new_logprob) AS p, row_number() OVER (ORDER BY sequence_id, i) AS rn, count(*) OVER () AS total FROM tokens WHERE NOT valid) WHERE rn <= 50", _TOKENS)
@@ -286,11 +313,13 @@ _QUOTAS = f"""quotas AS (SELECT total, key, weight, nth, CAST(w + CASE WHEN row_
   (SELECT *, floor(raw) AS w FROM (SELECT total, key, weight, nth, total * weight / sum(weight) OVER (PARTITION BY total) AS raw FROM totals, (VALUES {_VALUES}) t(key, weight, nth))))"""
 
 
-@query("SELECT total, key, quota FROM quotas", "totals AS (SELECT unnest([0, 1, 7, 16, 31, 100]) AS total)", _QUOTAS)
+@query("""SELECT total, key, CAST(w + CASE WHEN row_number() OVER (PARTITION BY total ORDER BY round(raw - w, 9) DESC, weight DESC, key DESC) <= total - sum(w) OVER (PARTITION BY total) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM
+  (SELECT *, floor(raw) AS w FROM (SELECT total, key, weight, total * weight / sum(weight) OVER (PARTITION BY total) AS raw FROM (SELECT DISTINCT CAST(l_quantity AS BIGINT) * 7 AS total FROM lineitem), (SELECT p_type AS key, count(*)::DOUBLE AS weight FROM part GROUP BY 1)))""")
 def apportion_counts(spark, sf):
-    """C1."""
-    rows = spark.createDataFrame([(t, k, w) for t in (0, 1, 7, 16, 31, 100) for k, w in _WEIGHTS], "total int, key string, weight double")
-    return S.apportioned(rows.withColumn("stage", F.col("total")), "stage", F.col("stage")).withColumnRenamed("stage", "total2").select(F.col("total2").alias("total"), "key", "quota")
+    """Batches of the sizes that orders have, split by how many parts each type has."""
+    totals = table(spark, sf, "lineitem").select((F.col("l_quantity").cast("bigint") * 7).alias("stage")).distinct()
+    weights = table(spark, sf, "part").groupBy(F.col("p_type").alias("key")).agg(F.count("*").cast("double").alias("weight"))
+    return S.apportioned(totals.crossJoin(weights), "stage", F.col("stage")).select(F.col("stage").alias("total"), "key", "quota")  # dozens of either
 
 
 _BUCKETS = """buckets AS (SELECT row_id, key AS bucket FROM (SELECT row_id, row_number() OVER (ORDER BY score DESC, row_id) - 1 AS position FROM answers) a JOIN (SELECT key, sum(quota) OVER (ORDER BY nth) - quota AS lo, sum(quota) OVER (ORDER BY nth) AS hi FROM quotas) q ON position >= lo AND position < hi)"""
@@ -312,12 +341,13 @@ def group_by_value_lookup(spark, sf):
     return S.grouped_by_value(table(spark, sf, "part"), "p_type", _GROUPS).groupBy(F.coalesce("group", F.lit("<unmatched>")).alias("grp")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT iteration, name FROM (SELECT CAST(unnest(range(1, 501)) AS BIGINT) AS iteration) i JOIN (VALUES ('one', 1, 100), ('two', 101, 350), ('three', 351, 500)) s(name, a, b) ON iteration BETWEEN a AND b")
+@query("SELECT o_orderkey, iteration, name FROM (SELECT o_orderkey, CAST(o_orderkey % 500 + 1 AS BIGINT) AS iteration FROM orders) i JOIN (VALUES ('one', 1, 100), ('two', 101, 350), ('three', 351, 500)) s(name, a, b) ON iteration BETWEEN a AND b")
 def stage_range_join(spark, sf):
-    """J5, C3."""
+    """Orders as questions of an iteration."""
     stages = S.validated_stages([{"name": n, "start": a, "end": b, "weights": {"x:y": 1.0}} for n, a, b in (("one", 1, 100), ("two", 101, 350), ("three", 351, 500))], 500)
     dim = spark.createDataFrame([(s["name"], s["start"], s["end"]) for s in stages], "name string, start int, end int")
-    return S.stage_of(spark.range(1, 501).withColumnRenamed("id", "iteration"), dim).select("iteration", "name")
+    asked = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 500 + 1).cast("bigint").alias("iteration"))
+    return S.stage_of(asked, dim).select("o_orderkey", "iteration", "name")
 
 
 @query("SELECT row_id, split_part(trim(k), ':', 1) AS source, substr(trim(k), instr(trim(k), ':') + 1) AS grp FROM (SELECT p_partkey AS row_id, concat(' ', lower(p_brand), ':', p_type, ':x ') AS k FROM part)")
