@@ -123,3 +123,42 @@ def mixture(pools: DataFrame, quotas: DataFrame, seed: int, iteration: int) -> D
     rows = pools.withColumn("o", o).join(F.broadcast(quotas.where("quota > 0").select("key", "quota")), "key")
     rows = rows.withColumn("nth", nth("key", F.pmod(F.hash("row_id"), F.lit(64)))).where(F.col("nth") <= F.col("quota"))
     return rows.withColumn("nth", nth("key")).where(F.col("nth") <= F.col("quota")).select(*[c for c in pools.columns], F.concat_ws(":", "key", F.col("row_id").cast("string")).alias("question_id"))
+
+
+def chunked(rows: DataFrame, n: int, *order: Column, name: str = "batch") -> DataFrame:
+    """``rows`` with the number of their batch of ``n`` in an order that has no ties; the last may be smaller: C14."""
+    if n < 1:
+        raise ValueError("a batch has a row at least")
+    return placed(rows, *order, name=name).withColumn(name, F.floor(F.col(name) / n))
+
+
+def concatenated(parts: list[DataFrame], row_id: str) -> DataFrame:
+    """Sources one after another (X1): their columns with ``source`` (its number), ``local_index`` and ``global_index``, by id.
+
+    All are dealt and numbered together, once; a source's offset is its first global index.
+    """
+    rows = parts[0].withColumn("source", F.lit(0))
+    for i, more in enumerate(parts[1:], 1):
+        rows = rows.unionByName(more.withColumn("source", F.lit(i)))
+    rows = placed(rows, F.col("source"), F.col(row_id), name="global_index")
+    offsets = rows.groupBy("source").agg(F.min("global_index").alias("offset"))
+    return rows.join(F.broadcast(offsets), "source").withColumn("local_index", F.col("global_index") - F.col("offset")).drop("offset")  # a row a source
+
+
+def stage_records(source: str, rows: DataFrame, row_id: str = "row_id", part: str | None = None, group: str | None = None) -> DataFrame:
+    """(source_dataset, row_id, part, grp) of rows that a stage takes from a source; what a source lacks is null: P8."""
+    named = lambda c, as_: (F.lit(None) if c is None else F.col(c)).cast("string").alias(as_)
+    return rows.select(F.lit(source).alias("source_dataset"), F.col(row_id).alias("row_id"), named(part, "part"), named(group, "grp"))
+
+
+def built_stage(records: list[DataFrame], seed: int, number: int) -> DataFrame:
+    """A stage's rows, of all its sources, with the ``shuffle_key`` that orders them; the seed moves by 1009 a stage: C8, P35."""
+    rows = records[0]
+    for more in records[1:]:
+        rows = rows.unionByName(more)
+    return rows.withColumn("shuffle_key", order_key(seed + 1009 * number, 0, 0, F.concat_ws(":", "source_dataset", F.col("row_id").cast("string"))))
+
+
+def source_counts(stage: DataFrame) -> DataFrame:
+    """A2."""
+    return stage.groupBy("source_dataset").agg(F.count("*").alias("n"))

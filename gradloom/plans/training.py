@@ -9,6 +9,7 @@ from ..operators import compressed_trie as C
 from ..operators import losses as L
 from ..operators import sampling as S
 from ..operators import tries as T
+from ..operators.positions import placed
 from ..sources.relations import ANSWERS, ROLLOUTS, TRAJECTORIES, answers, rollouts, table, trajectories
 from .registry import query
 
@@ -405,23 +406,22 @@ _STAGE = """stage AS (SELECT 'ranked' AS source_dataset, a.row_id, bucket AS par
 
 
 def _stage(spark, sf):
-    rows = answers(spark, sf).where(F.trim("completion") != "")
-    ranked = S.ranked_buckets(answers(spark, sf), "score", "row_id", _WEIGHTS).where((F.col("bucket") == "b") & (F.trim("completion") != ""))
-    grouped = S.grouped_by_value(rows, "p_type", _GROUPS).where("group = 'light'")
-    typed = lambda c: F.lit(None).cast("string").alias(c)
-    return ranked.select(F.lit("ranked").alias("source_dataset"), "row_id", F.col("bucket").alias("part"), typed("grp")).unionByName(grouped.select(F.lit("grouped").alias("source_dataset"), "row_id", typed("part"), F.col("group").alias("grp")))
+    said = F.trim("completion") != ""
+    ranked = S.ranked_buckets(answers(spark, sf), "score", "row_id", _WEIGHTS).where((F.col("bucket") == "b") & said)
+    grouped = S.grouped_by_value(answers(spark, sf).where(said), "p_type", _GROUPS).where("group = 'light'")
+    return S.built_stage([S.stage_records("ranked", ranked, part="bucket"), S.stage_records("grouped", grouped, group="group")], 42, 1)
 
 
 @query("SELECT source_dataset, row_id, part, grp, md5(concat_ws('|', 42 + 1009, 0, 0, concat(source_dataset, ':', row_id))) AS shuffle_key FROM stage", ANSWERS, _ALL, _QUOTAS, _BUCKETS, _STAGE)
 def build_stage(spark, sf):
     """The seed moves by 1009 a stage."""
-    return _stage(spark, sf).withColumn("shuffle_key", S.order_key(42 + 1009, 0, 0, F.concat_ws(":", "source_dataset", F.col("row_id").cast("string"))))
+    return _stage(spark, sf)
 
 
 @query("SELECT source_dataset, count(*) AS n FROM stage GROUP BY 1", ANSWERS, _ALL, _QUOTAS, _BUCKETS, _STAGE)
 def stage_source_counts(spark, sf):
     """A2."""
-    return _stage(spark, sf).groupBy("source_dataset").agg(F.count("*").alias("n"))
+    return S.source_counts(_stage(spark, sf))
 
 
 @query("SELECT row_id % 4 AS rank, (row_id - row_id % 4) / 4 * 4 + row_id % 4 AS global_index, row_id FROM (SELECT p_partkey AS row_id FROM part)")
@@ -434,20 +434,15 @@ def strided_shards(spark, sf):
 @query("SELECT CAST(floor((rn - 1) / 4) AS BIGINT) AS batch, count(*) AS n, min(row_id) AS first_id FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) AS rn FROM answers WHERE trim(completion) <> '') GROUP BY 1", ANSWERS)
 def chunk_batches(spark, sf):
     """C14."""
-    rows = S.ranked(answers(spark, sf).where(F.trim("completion") != "").withColumn("one", F.lit(1.0)), "one", "row_id")
-    return rows.groupBy(F.floor(F.col("position") / 4).alias("batch")).agg(F.count("*").alias("n"), F.min("row_id").alias("first_id"))
+    rows = S.chunked(answers(spark, sf).where(F.trim("completion") != "").select("row_id"), 4, F.col("row_id"))
+    return rows.groupBy("batch").agg(F.count("*").alias("n"), F.min("row_id").alias("first_id"))
 
 
 @query("""SELECT CAST(row_number() OVER (ORDER BY s, id) - 1 AS BIGINT) AS global_index, s AS source, id, CAST(row_number() OVER (PARTITION BY s ORDER BY id) - 1 AS BIGINT) AS local_index FROM (SELECT 0 AS s, s_suppkey AS id FROM supplier UNION ALL SELECT 1, c_custkey FROM customer)""")
 def mixed_union_index(spark, sf):
     """Concatenation with offsets."""
     parts = [table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")), table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))]
-    offset, out = 0, None
-    for i, p in enumerate(parts):
-        own = S.ranked(p.withColumn("one", F.lit(1.0)), "one", "id").select((F.col("position") + offset).alias("global_index"), F.lit(i).alias("source"), "id", F.col("position").alias("local_index"))
-        offset += p.count()
-        out = own if out is None else out.unionByName(own)
-    return out
+    return S.concatenated(parts, "id").select("global_index", "source", "id", "local_index")
 
 
 @query("SELECT batch, bool_and(e IS NOT NULL AND r IS NOT NULL) AS complete FROM (SELECT coalesce(e.batch, r.batch) AS batch, e.i AS e, r.i AS r FROM (SELECT doc_id // 4 AS batch, doc_id AS i FROM documents) e FULL JOIN (SELECT doc_id // 4 AS batch, CASE WHEN doc_id % 10 = 0 THEN doc_id + 1000000 ELSE doc_id END AS i FROM documents) r ON e.batch = r.batch AND e.i = r.i) GROUP BY 1")
@@ -467,5 +462,5 @@ def exclude_ids_anti(spark, sf):
 @query("SELECT row_id, CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS pool_index FROM answers WHERE p_type IN ('PROMO', 'ECONOMY', 'STANDARD', 'LARGE')", ANSWERS)
 def pool_index(spark, sf):
     """Rows without a group go, the others are indexed anew."""
-    rows = S.grouped_by_value(answers(spark, sf), "p_type", _GROUPS).where("group IS NOT NULL").withColumn("one", F.lit(1.0))
-    return S.ranked(rows, "one", "row_id").select("row_id", F.col("position").alias("pool_index"))
+    rows = S.grouped_by_value(answers(spark, sf), "p_type", _GROUPS).where("group IS NOT NULL").select("row_id")
+    return placed(rows, F.col("row_id"), name="pool_index")
