@@ -354,7 +354,11 @@ def packed(pieces: DataFrame, unit: str = "unit", capacity: int = CAPACITY, chun
 
 
 def pack_documents(docs: DataFrame, end: int = 2, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """The pieces of ``token_pieces`` with ``sequence_id`` (long) and ``offset``: where each is in its sequence of at most ``capacity`` ids."""
+    """The pieces of ``token_pieces`` with ``sequence_id`` (long) and ``offset``: where each is in its sequence of at most ``capacity`` ids.
+
+    Nulls, empty and very long texts, repeated rows and empty tables are as there; pieces of equal length are told apart
+    by their place in the written table, so ties don't matter.
+    """
     pieces = written(token_pieces(docs, end, capacity, tokenizer).withColumn("unit", F.monotonically_increasing_id()), "pieces")
     places = packed(pieces, "unit", capacity).select("unit", F.col("bin").alias("sequence_id"), "offset")
     return pieces.join(places, "unit").drop("unit")
@@ -368,4 +372,5 @@ def sequences(docs: DataFrame, packing: DataFrame, **options) -> DataFrame:
 
 
 def op13_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 ids; every document ends in id 2."""
     return pack_documents(documents(spark, sf_dir)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
