@@ -87,11 +87,11 @@ def evaluate(stream: DataFrame, store: str, checkpoint: str, most_repeats: int =
         rules = None if control is None else spark.read.schema(CONTROL).parquet(control)
         rows = obeyed(batch, rules, most_repeats).persist()
         rows.where("skipped IS NOT NULL").write.mode("overwrite").parquet(f"{store}/skipped/batch={number}")
-        rows.where("skipped IS NULL").drop("skipped").write.mode("overwrite").parquet(f"{store}/runs/batch={number}")
+        rows.where("skipped IS NULL").drop("skipped").write.mode("overwrite").partitionBy("step").parquet(f"{store}/runs/batch={number}")
         rows.unpersist()
         everything = spark.read.schema(f"{RUN}, batch int").parquet(f"{store}/runs")
         touched = everything.where(F.col("batch") == number).select("step").distinct()
-        everything = everything.join(touched, "step", "left_semi")
+        everything = everything.join(touched, "step", "left_semi")  # folders of other steps are pruned
         names = [c for c in everything.columns if c not in ("step", "run_index", "batch")]
         first = everything.groupBy("step", "run_index").agg(F.min_by(F.struct(*names), F.struct("batch", *names)).alias("r")).select("step", "run_index", "r.*")
         summaries(first).write.mode("overwrite").parquet(f"{store}/summary/batch={number}")
