@@ -15,7 +15,8 @@ from __future__ import annotations
 import math
 import random
 import re
-from itertools import chain
+from bisect import bisect_left, bisect_right
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -97,29 +98,76 @@ _CUES = {
     "ssn": {"ssn", "social", "security"},
 }
 _AT, _DOT = {"at"}, {"dot"}
+_GAPS = " \t()[]{}"
+CONTEXT = 8  # tokens that are looked at before and after a candidate
+
+
+def foreign(token: str) -> bool:
+    """Whether no address holds the token (gaps left out)."""
+    return not token.isalnum() and token not in "._%+-@"
+
+
+def parted(a: str, b: str) -> bool:
+    """Whether two tokens with blanks or brackets alone between them belong to no common address."""
+    return {a, b}.isdisjoint(_AT | _DOT | {"@"})
 
 
 class Stretch:
-    """Tokens of a piece of text; ``segments`` of a range of first tokens: (first, end, feature names)."""
+    """Tokens of a piece of text; ``segments`` of a range of first tokens: (first, end, feature names).
+
+    An address is unbroken: it holds no ``foreign`` character, and what has blanks or brackets between is joined by "at",
+    "@" or "dot".  A number has digits and its separators alone.
+    """
 
     def __init__(self, words: list[str], starts: list[int]):
         self.words, self.starts, self.ends = words, starts, [s + len(w) for s, w in zip(starts, words, strict=True)]
-        self._low = [w.lower() for w in words]
+        self._low = low = [w.lower() for w in words]
         # digits and signs of addresses up to each token, and tokens that count towards the longest segment
-        self._signs = np.cumsum([0, *[t[0].isdigit() and len(t) or 7 * (t == "@" or t.lower() in _AT) for t in words]]).tolist()
-        self._counted = np.cumsum([0, *[t[0] not in " \t()[]{}" for t in words]]).tolist()
+        self._signs = list(accumulate((t[0].isdigit() and len(t) or 7 * (t == "@" or t in _AT) for t in low), initial=0))
+        self._marks = sum(t == "@" or t in _AT for t in low)
+        self._counted = list(accumulate((t[0] not in _GAPS for t in words), initial=0))
+        # for every first token: the next sign of an address, the next dot, where an address and where a number has to end
+        n = len(words)
+        self._at, self._dot, self._address, self._number = [n] * (n + 1), [n] * (n + 1), [n] * (n + 1), [n] * (n + 1)
+        after, spaced = n, False
+        for i in range(n - 1, -1, -1):
+            t = low[i]
+            self._at[i] = i if t == "@" or t in _AT else self._at[i + 1]
+            self._dot[i] = i if t == "." or t in _DOT else self._dot[i + 1]
+            self._address[i] = self._address[i + 1]
+            if t[0] in _GAPS:
+                spaced = True
+            else:
+                if foreign(t):
+                    self._address[i] = i
+                elif after < n and spaced and parted(t, low[after]):
+                    self._address[i] = after
+                after, spaced = i, False
+            plus = i + 1 if i + 1 < n and words[i + 1] == "+" else n
+            own = t[0].isdigit() or t[0] == " " or t in ".-()+/"
+            self._number[i] = min(plus, self._number[i + 1]) if own else i
+
+    @property
+    def quiet(self) -> bool:
+        """Whether there can't be candidates: no address has a dot after its sign, and no four digits are there."""
+        return self._dot[self._at[0]] == len(self.words) and self._signs[-1] - 7 * self._marks < 4
 
     def segments(self, lo: int = 0, hi: int | None = None) -> list[tuple[int, int, list[str]]]:
         words, low, signs, counted, found = self.words, self._low, self._signs, self._counted, []
-        for i in range(lo, len(words) if hi is None else min(hi, len(words))):
+        n = len(words)
+        for i in range(lo, n if hi is None else min(hi, n)):
             if not (words[i].isalnum() or words[i] in "+("):
                 continue
-            near = {low[k] for k in range(max(0, i - 7), i) if words[k].isalpha()}
+            most = min(i + MOST, bisect_right(counted, counted[i] + LONGEST) - 1)
+            at = self._at[i]
+            address = range(self._dot[at] + 1, min(most, self._address[i]) + 1) if i < at else range(0)
+            number = range(bisect_left(signs, signs[i] + 4, i), min(most, self._number[i]) + 1)
+            if not address and not number:
+                continue
+            near = {low[k] for k in range(max(0, i - CONTEXT + 1), i) if words[k].isalpha()}
             cues = [f"cue:{kind}" for kind, names in _CUES.items() if near & names]
-            for j in range(i + 1, min(len(words), i + MOST) + 1):
-                if counted[j] - counted[i] > LONGEST:
-                    break
-                if signs[j] - signs[i] >= 4 and words[j - 1].isalnum() and (names := features(words, low, i, j)) is not None:
+            for j in chain(number, address):
+                if words[j - 1].isalnum() and (names := features(words, low, i, j)) is not None:
                     found.append((i, j, names + cues))
         return found
 
@@ -150,16 +198,13 @@ def features(tokens: list[str], low: list[str], i: int, j: int) -> list[str] | N
         word = "@" not in part
         if word:
             framed = all(k > 0 and part[k - 1] in "([{ " for k, p in enumerate(part) if p.lower() in _AT)
-            out += [f"framed:{any(p in '([{' for p in part)}:{framed}", f"dotword:{any(p.lower() in _DOT for p in right)}"]
+            bracketed, dotword = any(p in "([{" for p in part), any(p.lower() in _DOT for p in right)
+            out += [f"framed:{bracketed}:{framed}", f"spoken:{bracketed}:{dotword}"]
             follows = [t.lower() for t in tokens[j : j + 4] if t[0] not in " \t()[]{}"]
-            spoken = [p.lower() for p in left if p[0] not in " \t()[]{}"]
-            loose = any(a.isalnum() and b.isalnum() and not {a, b} & _DOT for a, b in zip(spoken, spoken[1:]) if a + b not in "".join(left).lower())
             whole = all(part.count(a) == part.count(b) for a, b in ("()", "[]", "{}"))
-            out += [f"ends:{part[-1].lower() in _DOT}", f"whole:{whole}", f"loose:{loose}", f"more:{follows[:1] == ['dot']}"]
+            out += [f"ends:{part[-1].lower() in _DOT}", f"whole:{whole}", f"more:{follows[:1] == ['dot']}"]
         out.append(f"blanks:{min(2, sum(p[0] in ' ' for p in part))}:{word}")
         out.append(f"ats:{min(2, sum(p == '@' or p.lower() in _AT for p in part))}")
-        if any(p in ",;:!?\"'<>=|/\n" for p in part):
-            out.append("foreign")
     elif len(digits) < 4 or letters or "+" in part[1:] or any(p not in " .-()+/" for p in part if not p[0].isdigit() and p[0] != " "):
         return None
     else:
@@ -185,19 +230,64 @@ def features(tokens: list[str], low: list[str], i: int, j: int) -> list[str] | N
     return out
 
 
+_SIGN = re.compile(r"[0-9]+|@|(?i:\bat\b)")
+
+
+def reach(text: str, sign: str, lo: int, hi: int, back: bool) -> tuple[int, int]:
+    """Offsets how far an address with ``sign`` may go on, and ``CONTEXT`` tokens beyond, before ``hi`` (``back``) or after ``lo``.
+
+    Words are read in windows that double until nothing is cut, so a word of any length is one token.
+    """
+    width, sign = 64, sign.lower()
+    while True:
+        a, b = (max(lo, hi - width), hi) if back else (lo, min(hi, lo + width))
+        tokens = list(_TOKEN.finditer(text, a, b))
+        if back:
+            tokens.reverse()
+        whole = (a, b) == (lo, hi)
+        if not whole:
+            tokens.pop()
+        n = counted = 0
+        last, spaced = sign, False
+        for m in tokens:
+            t = m.group().lower()
+            if t[0] in _GAPS:
+                spaced = True
+            elif foreign(t) or spaced and parted(last, t) or counted == LONGEST:
+                break
+            else:
+                counted, last, spaced = counted + 1, t, False
+            n += 1
+            if n == MOST:
+                break
+        if whole or n + CONTEXT <= len(tokens):
+            place = lambda k: (hi if back else lo) if k == 0 else tokens[k - 1].start() if back else tokens[k - 1].end()
+            return place(n), place(min(n + CONTEXT, len(tokens)))
+        width *= 2
+
+
 def stretches(text: str):
-    """The parts of a text that can have candidate segments, one after another; everything else is outside entities."""
+    """The parts of a text that can have candidate segments, one after another; everything else is outside entities.
+
+    Signs (digits, @, "at") at most 40 characters apart, or with nothing between them that breaks an address, share one.
+    """
     first = last = None
-    for m in chain(re.finditer(r"[0-9@]|(?i:\bat\b)", text), [None]):
-        if m is not None and first is not None and m.start() - last <= 40:
-            last = m.start()
-            continue
+    floor = 0
+    for m in chain(_SIGN.finditer(text), [None]):
         if first is not None:
-            lo, hi = max(0, first - 48), min(len(text), last + 48)
-            tokens = [(t.start() + lo, t.group()) for t in _TOKEN.finditer(text[lo:hi])]
-            yield Stretch([t for _, t in tokens], [s for s, _ in tokens])
-        if m is not None:
-            first = last = m.start()
+            if m is not None and m.start() - last.end() <= 40:
+                last = m
+                continue
+            ceiling = len(text) if m is None else m.start()
+            end, hi = reach(text, last.group(), last.end(), ceiling, False)
+            if m is not None and end == ceiling:
+                last = m
+                continue
+            lo = reach(text, first.group(), floor, first.start(), True)[1]
+            tokens = list(_TOKEN.finditer(text, lo, hi))
+            yield Stretch([t.group() for t in tokens], [t.start() for t in tokens])
+            floor = last.end()
+        first = last = m
 
 
 class SemiMarkov:
@@ -217,6 +307,8 @@ class SemiMarkov:
         for ``block`` first tokens at a time, however long the stretch.
         """
         n = len(stretch.starts)
+        if stretch.quiet:
+            return []
         best, back = [0.0] + [-math.inf] * n, [None] * (n + 1)
         for lo in range(0, n, block):
             found = stretch.segments(lo, lo + block)
@@ -246,7 +338,11 @@ class SemiMarkov:
         return out[::-1]
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
-        return [span for stretch in stretches(text) for span in self.best(stretch)]
+        out = []
+        for stretch in stretches(text):
+            # two stretches may both reach into the text between their signs: the first one's span stays
+            out += [s for s in self.best(stretch) if not out or s[1] >= out[-1][2]]
+        return out
 
 
 def expectations(scores: np.ndarray, segments: list, n: int) -> tuple[float, np.ndarray]:
@@ -292,7 +388,7 @@ def written_sentence(rng: random.Random) -> tuple[str, list[tuple[str, int, int]
         lambda: f"{rng.randint(1, 999)}.{number(2)}", lambda: f"{rng.randint(1, 20)}.{rng.randint(0, 20)}.{rng.randint(0, 99)}", lambda: f"{rng.randint(256, 999)}.{rng.randint(0, 999)}.{rng.randint(300, 999)}.{rng.randint(0, 999)}", lambda: number(rng.randint(5, 20)),
         lambda: f"{rng.randint(1, 99)},{number(3)},{number(3)}", lambda: f"978-{number(1)}-{number(4)}-{number(4)}-{number(1)}", lambda: f"{number(4)} {number(4)} {number(4)} {number(4)}", lambda: f"{word()}={number(4)}{word()}{number(5)}", lambda: f"{rng.randint(1990, 2030)}-{rng.randint(1990, 2030)}",
         lambda: f"{rng.randint(0, 23):02d}:{number(2)}:{number(2)}.{number(3)}", lambda: f"{word()} at {word()}. {word().capitalize()} {word()}", lambda: f"meet at {rng.randint(1, 12)}.{number(2)}", lambda: f"{number(8)}-{number(4)}-{number(4)}-{number(4)}-{number(12)}", lambda: f"{number(1)}.{number(1)}.{number(1)}.{number(1)}.{number(1)}",
-        lambda: " ".join(number(rng.randint(1, 4)) for _ in range(rng.randint(3, 8))), lambda: f"at {word()} dot {word()}", lambda: f"${number(3)}.{number(2)}", lambda: f"{word()}{number(3)}-{number(3)}-{number(4)}", lambda: f"{number(3)}-{number(3)}-{number(4)}-{number(3)}", lambda: f"{number(9)}", lambda: f"{number(10)}",
+        lambda: " ".join(number(rng.randint(1, 4)) for _ in range(rng.randint(3, 8))), lambda: f"{word()} at {word()} dot {word()}", lambda: f"${number(3)}.{number(2)}", lambda: f"{word()}{number(3)}-{number(3)}-{number(4)}", lambda: f"{number(3)}-{number(3)}-{number(4)}-{number(3)}", lambda: f"{number(9)}", lambda: f"{number(10)}",
     ]
     text, spans = "", []
     for _ in range(rng.randint(1, 3)):

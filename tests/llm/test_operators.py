@@ -335,6 +335,42 @@ def test_whole_long_addresses_in_words():
         assert [text[a:b] for k, a, b in model.spans(text) if k == "email"] == [address]
 
 
+def test_addresses_of_long_words():
+    """No number of characters cuts an address or its cue off; prose around stays outside."""
+    model, name = privacy.trained(), "abcdefghij" * 30
+    for cue, address, rest in [("mail to", f"{name} (at) example (dot) com", ""), ("mail", f"{name} at example dot com", " today"), ("email:", f"{name}.{name} [at] {name}9.com", "."), ("mail", f"john at {name} dot com", "\nnow")]:
+        text = f"we met at noon. {cue} {address}{rest}"
+        assert [text[a:b] for k, a, b in model.spans(text)] == [address]
+    for prose in (f"we met at the station. Then {name} came at noon dot", "said at.&&& Then*** ester.%%% more*** words"):
+        assert model.spans(prose) == []
+
+
+def test_candidates_are_all_that_can_be():
+    """Segments of a whole text, one by one, against those of its stretches."""
+    rng = random.Random(11)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "bc ", " at ", "@", ".", " dot ", "12", "345 ", "-", "+", "(", ") ", "\n", ",", " ", "w" * 50, "é"]) for _ in range(rng.randint(1, 40)))
+        tokens = [(m.group(), m.start()) for m in privacy._TOKEN.finditer(text)]
+        words, low = [t for t, _ in tokens], [t.lower() for t, _ in tokens]
+        want = set()
+        for i in range(len(words)):
+            for j in range(i + 1, min(len(words), i + privacy.MOST) + 1):
+                inner = [t for t in low[i:j] if t[0] not in " \t()[]{}"]
+                at = [k for k in range(i, j) if low[k] in ("@", "at")]
+                if len(inner) > privacy.LONGEST or not words[j - 1].isalnum() or privacy.features(words, low, i, j) is None:
+                    continue
+                if at:
+                    spaced = [k for k in range(i, j) if low[k][0] not in " \t()[]{}"]
+                    broken = any(b > a + 1 and not {low[a], low[b]} & {"at", "dot", "@"} for a, b in zip(spaced, spaced[1:]))
+                    if broken or any(not t.isalnum() and t not in "._%+-@" for t in inner):
+                        continue
+                elif sum(len(t) for t in inner if t[0].isdigit()) < 4:
+                    continue
+                want.add((tokens[i][1], tokens[j - 1][1] + len(words[j - 1])))
+        got = [(s.starts[i], s.ends[j - 1]) for s in privacy.stretches(text) for i, j, _ in s.segments()]
+        assert set(got) == want, text
+
+
 def test_semi_markov_against_enumeration():
     """Best score and probabilities are those of all segmentations written out."""
     rng = np.random.default_rng(0)
