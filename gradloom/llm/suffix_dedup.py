@@ -27,7 +27,7 @@ from .repeats import repeated_hashes
 from .shared import bounded_batches, buckets_for, documents, text_bytes, trimmed
 from .text import mix, slices, text_buffer
 
-LENGTH, GRAM, SHALLOW = 50, 20, 13
+LENGTH, GRAM, SHALLOW, SMALL = 50, 20, 13, 64
 #: Documents from which on a name counts as hot.
 HOT = 1024
 _PART = 4 << 20  # bytes of run texts that are sorted at once
@@ -72,20 +72,60 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     return first, last_fit - first, names[first], doc[first]
 
 
+def multikey_quicksort(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank) of the suffixes at ``at`` by their first ``SHALLOW`` bytes: two characters, of 8 and of 5 bytes.
+
+    Every open group is split in three around its pivot, the median of three of its characters; all groups of a round are
+    split at once.  What equals the pivot goes on with the next character, or is done.  Groups of at most ``SMALL``, and
+    those that are still open after twice the rounds of even splits, are settled together by comparison of both characters.
+    """
+    n = len(at)
+    second_of = lambda own: words[at[own] + 8] >> np.uint64(24)
+    order, rank, char = np.arange(n), np.arange(n), words[at]
+    lo, size, second = np.zeros(min(n, 1), np.int64), np.full(min(n, 1), n), np.zeros(min(n, 1), bool)
+    small = []
+    for _ in range(2 * (n // SMALL).bit_length()):
+        few = size <= SMALL
+        small.append((lo[few], size[few]))
+        lo, size, second = lo[~few], size[~few], second[~few]
+        if not len(lo):
+            break
+        group, places = np.repeat(np.arange(len(lo)), size), _places(lo, size)
+        own, key = order[places], char[places]
+        x, y, z = char[lo], char[lo + size // 2], char[lo + size - 1]
+        pivot = np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z))[group]
+        left, parts = lo, []
+        for side in (key < pivot, key == pivot, key > pivot):
+            m = np.flatnonzero(side)
+            count = np.bincount(group[m], minlength=len(lo))
+            to = np.arange(len(m)) + (left - np.cumsum(count) + count)[group[m]]
+            order[to], char[to] = own[m], key[m]
+            parts.append((left, count))
+            left = left + count
+        (below, n_below), (same, n_same), (above, n_above) = parts
+        rank[_places(same[second], n_same[second])] = np.repeat(same[second], n_same[second])
+        same, n_same = same[~second], n_same[~second]
+        on = _places(same, n_same)
+        char[on] = second_of(order[on])
+        lo, size = np.concatenate([below, same, above]), np.concatenate([n_below, n_same, n_above])
+        second = np.concatenate([second, np.ones(len(same), bool), second])
+    lo, size = (np.concatenate(x) for x in zip(*small, (lo, size), strict=True))
+    by = np.argsort(lo, kind="stable")
+    by = by[size[by] > 1]
+    places, group = _places(lo[by], size[by]), np.repeat(lo[by], size[by])
+    one, two = words[at[order[places]]], second_of(order[places])
+    by = np.lexsort((two, one, group))
+    order[places], one, two = order[places][by], one[by], two[by]
+    rank[places] = places[_firsts(group, one, two)]
+    return order, rank
+
+
 def deep_shallow(words: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Sorts the suffixes at ``at`` by their first ``length`` bytes; ``words`` are the text's ``eights``.
 
     Returns (order, group): positions into ``at`` in order, and for each place in it a number that equal strings share.
-    Characters of 8 and then 5 bytes take the multikey quicksort to depth 13.
     """
-    key = words[at]
-    order = np.argsort(key)
-    rank = _ranks(key[order])
-    open_ = np.flatnonzero(_several(rank))
-    key = words[at[order[open_]] + 8] >> np.uint64(24)
-    by = _by_two(rank[open_], key, 40)
-    order[open_], groups = order[open_][by], rank[open_][by]
-    rank[open_] = groups + _within(groups, key[by])
+    order, rank = multikey_quicksort(words, at)
     open_ = np.flatnonzero(_several(rank))
     while len(open_):  # one more node of its blind trie for every group that isn't settled
         own, groups = at[order[open_]], rank[open_]
@@ -127,20 +167,22 @@ def _by_two(group: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
     return np.argsort(group.astype(np.uint64) << np.uint64(bits) | key)
 
 
-def _ranks(key: np.ndarray) -> np.ndarray:
-    """For sorted keys the place of the first equal one."""
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
+def _places(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of ranges, one range after another."""
+    return np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """For rows sorted by the keys the index of the first equal one."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     first = np.flatnonzero(new)
-    return np.repeat(first, np.diff(np.append(first, len(key))))
+    return np.repeat(first, np.diff(np.append(first, len(new))))
 
 
 def _within(group: np.ndarray, key: np.ndarray) -> np.ndarray:
     """For rows sorted by (group, key): places from the group's first row to the first with the same key."""
-    both = np.ones(len(group), bool)
-    both[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
-    first = np.flatnonzero(both)
-    return np.repeat(first, np.diff(np.append(first, len(group)))) - _ranks(group)
+    return _firsts(group, key) - _firsts(group)
 
 
 def _several(rank: np.ndarray) -> np.ndarray:

@@ -68,3 +68,20 @@ def test_deep_shallow_sorts(alphabet):
     assert [strings[i] for i in order] == sorted(strings)
     ordered = [strings[i] for i in order]
     assert all((ordered[i] == ordered[i + 1]) == (group[i] == group[i + 1]) for i in range(len(at) - 1))
+
+
+@pytest.mark.parametrize("kind", ["few", "many", "rising", "falling", "pipe", "one", "long heads"])
+@pytest.mark.parametrize("n", [0, 1, 2, 64, 65, 3000])
+def test_multikey_quicksort(kind, n):
+    """Order and equal ones by 13 bytes, also for inputs on which pivots split badly."""
+    rng = np.random.default_rng(n)
+    i = np.arange(n)
+    keys = {"few": rng.integers(0, 3, n), "many": rng.integers(0, 1 << 40, n), "rising": i, "falling": n - i, "pipe": np.minimum(i, n - i), "one": i * 0, "long heads": rng.integers(0, 500, n)}[kind]
+    head = 9 if kind == "long heads" else 3
+    strings = [b"x" * head + int(k).to_bytes(5, "big") + b"y" * (45 - head) for k in keys]
+    data = np.frombuffer(b"".join(strings) + bytes(58), np.uint8)
+    order, rank = S.multikey_quicksort(S.eights(data), np.arange(n) * 50)
+    assert sorted(order.tolist()) == list(range(n))
+    ordered = [strings[k][: S.SHALLOW] for k in order]
+    assert ordered == sorted(s[: S.SHALLOW] for s in strings)
+    assert rank.tolist() == [ordered.index(s) for s in ordered]
