@@ -93,6 +93,25 @@ def test_quality_rejects_shouting_and_tables_by_labels(spark):
     assert sum(not got[i] for i in range(300, 400)) <= 3
 
 
+def test_each_language_has_its_own_model(spark, monkeypatch):
+    """Also where no language has one in 16 of the documents, and where its texts are dealt over many tasks."""
+    monkeypatch.setattr(quality, "DEALT", 4096)
+    rng = random.Random(8)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[k : k + 6]) for _ in range(rng.randint(2, 7))) for _ in range(30)] for k in range(20)}
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(90))
+    rows = [(100 * k + i, text(lang), lang, "s", 1) for k, lang in enumerate(words) for i in range(20)]
+    rows += [(5000 + i, text("l00"), None, "s", 1) for i in range(9)] + [(7001, None, "l01", "s", 1), (7002, text("l01"), "alone", "s", 1)]
+    got = {r.doc_id: r for r in quality.quality_rules(frame(spark, rows)).collect()}
+    assert len(got) == len(rows) and got[100].ppl_low != got[1700].ppl_low  # a band of its own, too
+    for lang in ("l01", "l17", "alone", None):
+        own = [r for r in rows if r[2] == lang]
+        model = quality.hash_arrays(quality.kneser_ney_tables(quality.count_ngrams(frame(spark, own), [lang or "other"])))[lang or "other"]
+        for d, t, *_ in own[-4:]:
+            if t is not None:
+                codes = quality.ngram_codes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+                assert got[d].log_ppl == pytest.approx(-quality.log_probabilities(model, codes).mean(), abs=1e-4), d
+
+
 # mixing
 
 
