@@ -139,12 +139,14 @@ def merkle_manifest(docs: DataFrame, tampered: Column | None = None, tampered_te
     joined = lambda items, which: F.array_join(F.transform(F.filter(items, which), lambda x: x["digest"]), "")
     step = lambda p: F.struct(joined("items", lambda x: (x["place"] == p) & x["left"]).alias("l"), joined("items", lambda x: (x["place"] == p) & ~x["left"]).alias("r"))
     above = F.when(F.col("upper") > 0, F.transform(F.sequence(F.lit(1), F.col("upper")), step)).otherwise(F.array().cast("array<struct<l:string,r:string>>"))
-    paths = paths.withColumn("above", above).withColumn("members", F.filter("items", lambda x: x["place"] == 0)).withColumn("m", F.explode("members"))
-    beside = F.struct(joined("members", lambda x: x["i"] < F.col("m.i")).alias("l"), joined("members", lambda x: x["i"] > F.col("m.i")).alias("r"))
-    paths = paths.withColumn("path", F.when(F.col("n") > 1, F.concat(F.array(beside), "above")).otherwise(F.col("above")))
-    proof = F.sha2(F.array_join(F.transform("path", lambda p: F.concat(p["l"], p["r"])), "").cast("binary"), 256)
-    folded = F.aggregate("path", F.coalesce("m.given", "m.digest"), lambda acc, p: digest(p["l"], acc, p["r"]))
-    rows = paths.select(F.col("m.doc_id").alias("doc_id"), F.col("m.digest").alias("leaf"), "subroot", proof.alias("proof_sha256"), folded.alias("folded_root"))
+    paths = paths.select("n", "subroot", above.alias("above"), F.filter("items", lambda x: x["place"] == 0).alias("members"))
+    beside = lambda m: F.struct(joined("members", lambda x: x["i"] < m["i"]).alias("l"), joined("members", lambda x: x["i"] > m["i"]).alias("r"))
+    path = lambda m: F.when(F.col("n") > 1, F.concat(F.array(beside(m)), "above")).otherwise(F.col("above"))
+    proof = lambda x: F.sha2(F.array_join(F.transform(x["path"], lambda p: F.concat(p["l"], p["r"])), "").cast("binary"), 256)
+    folded = lambda x: F.aggregate(x["path"], F.coalesce(x["m"]["given"], x["m"]["digest"]), lambda acc, p: digest(p["l"], acc, p["r"]))
+    # a run's proofs are folded within its row, so that no row of a leaf carries siblings
+    own = F.transform(F.transform("members", lambda m: F.struct(m.alias("m"), path(m).alias("path"))), lambda x: F.struct(x["m"]["doc_id"].alias("doc_id"), x["m"]["digest"].alias("leaf"), proof(x).alias("proof_sha256"), folded(x).alias("folded_root")))
+    rows = paths.select("subroot", F.explode(own).alias("own")).select("own.doc_id", "own.leaf", "subroot", "own.proof_sha256", "own.folded_root")
     rows = rows.join(F.broadcast(root))  # one row
     return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 

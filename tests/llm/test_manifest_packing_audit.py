@@ -155,6 +155,14 @@ def test_manifest_of_sizes(spark, n, sources):
     assert changed(spark, rows) == plain_manifest(rows, by_crc, lower)
 
 
+def test_no_row_of_a_leaf_carries_siblings(spark):
+    """The rows that become one per leaf repeat nothing of their run but the subroot."""
+    got = merkle.merkle_manifest(frame(spark, documents(40)))
+    line = next(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode(" in x)
+    repeated = re.findall(r"\[([^\[\]]*)\], false, \[", line)[-1]
+    assert re.findall(r"(\w+)#", repeated) == ["subroot"]
+
+
 def test_manifest_of_nothing_and_of_copies(spark):
     assert changed(spark, []) == []
     rows = [(7, "same Text", "en", "hot", 1)] * 400 + [(i, "Text", None, None, None) for i in range(5)]
