@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, documents, trimmed, written
+from .shared import bounded_batches, documents, dropped, trimmed, written
 from .text import mix, slices, text_buffer, word_bounds, word_hashes
 
 #: A key with this share of the training tokens is joined by broadcast.
@@ -91,8 +91,21 @@ def _rows(docs: DataFrame, columns: tuple[str, ...], grams) -> DataFrame:
 
 def bigram_counts(docs: DataFrame) -> DataFrame:
     """(a, w, n): all bigrams of ``docs``; n counts those of training rows."""
-    rows = _rows(docs, ("a", "w", "gram"), lambda hashes, doc, _, learn: ((lambda a, _c, g: [a, hashes, g])(*ngrams_of(hashes, doc)), learn[doc]))
-    return rows.groupBy("a", "w", "gram").agg(F.sum("n").alias("n"))
+    rows = _rows(docs, ("a", "w"), lambda hashes, doc, _, learn: ([ngrams_of(hashes, doc)[0], hashes], learn[doc]))
+    return rows.groupBy("a", "w").agg(F.sum("n").alias("n"))
+
+
+def with_gram(rows: DataFrame) -> DataFrame:
+    """``rows`` (a, w, ...) with ``gram``, the hash of the bigram, for ``a`` and ``w``: no shuffle before has to carry it."""
+    bounded_batches(rows.sparkSession, rows=1 << 16)
+    rest = [f for f in rows.schema.fields if f.name not in ("a", "w")]
+
+    def add(batches):
+        for batch in batches:
+            a, w = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(_pair(a, w).view(np.int64)), *batch.columns[2:]], ["gram", *batch.schema.names[2:]])
+
+    return rows.select("a", "w", *[f.name for f in rest]).mapInArrow(add, ", ".join(["gram long", *[f"{f.name} {f.dataType.simpleString()}" for f in rest]]))
 
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
@@ -185,17 +198,21 @@ def katz_scores(docs: DataFrame, training: Column | None = None) -> DataFrame:
     unknown = 1 - scale * held / n_tokens if n_tokens else 1.0
     words = words.select("w", F.col("n").alias("n1"), F.when(F.col("n") > 0, F.log10(discounted(d1) * (scale / max(1, n_tokens)))).otherwise(F.lit(math.log10(unknown))).alias("lower"))
 
-    grams = written(looked_up(grams, words, "w", ("n1", "lower"), hot("n1"), ("a", "w")), "katz-bigrams-lower")
-    contexts = written(contexts_of(grams, "a", d2), "katz-words-weights")
-    grams = looked_up(grams, contexts, "a", ("total", "scale", "weight"), hot("total"), ("a", "w"))
-    grams = written(grams.select("gram", F.col("n").alias("n2"), "n1", probability(d2).alias("lower")), "katz-order2")
+    lower = written(looked_up(grams, words, "w", ("n1", "lower"), hot("n1"), ("a", "w")), "katz-bigrams-lower")
+    dropped(grams, words)
+    contexts = written(contexts_of(lower, "a", d2), "katz-words-weights")
+    grams = looked_up(lower, contexts, "a", ("total", "scale", "weight"), hot("total"), ("a", "w"))
+    grams = written(with_gram(grams.select("a", "w", F.col("n").alias("n2"), "n1", probability(d2).alias("lower"))), "katz-order2")
+    dropped(lower, contexts)
 
     triples = written(trigram_counts(docs), "katz-trigrams")
     d3 = factors_of(triples)
-    triples = written(looked_up(triples, grams, "gram", ("n1", "lower"), hot("n2"), ("c", "gram")), "katz-trigrams-lower")
-    contexts = written(contexts_of(triples, "c", d3), "katz-bigrams-weights")
-    triples = looked_up(triples, contexts, "c", ("total", "scale", "weight"), hot("total"), ("c", "gram"))
+    lower = written(looked_up(triples, grams, "gram", ("n1", "lower"), hot("n2"), ("c", "gram")), "katz-trigrams-lower")
+    dropped(triples, grams)
+    contexts = written(contexts_of(lower, "c", d3), "katz-bigrams-weights")
+    triples = looked_up(lower, contexts, "c", ("total", "scale", "weight"), hot("total"), ("c", "gram"))
     triples = written(triples.select(F.xxhash64("c", "gram").alias("triple"), F.col("n").alias("n3"), "n1", probability(d3).alias("log")), "katz-order3")
+    dropped(lower, contexts)
 
     found = places(docs).select("key", F.xxhash64("c", "gram").alias("triple"), "n")
     found = looked_up(found, triples, "triple", ("n1", "log"), hot("n3"), ("key", "triple"))

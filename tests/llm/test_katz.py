@@ -119,3 +119,11 @@ def test_rare_words_are_in_the_model(spark):
     for r in got[::7]:
         line = [b"<start>", *tokens(texts[r.doc_id])]
         assert r.score == pytest.approx(sum(math.log10(p(line[k], tuple(line[max(0, k - 2) : k]))) for k in range(1, len(line))), abs=1e-6), r.doc_id
+
+
+def test_tables_are_dropped_when_read(spark, tmp_path, monkeypatch):
+    """The table of order 3 alone is left, which the result reads."""
+    monkeypatch.setattr("gradloom.llm.shared.shared_dir", lambda _: str(tmp_path))
+    got = katz.katz_scores(spark.createDataFrame(documents(40), "doc_id long, text string"))
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["gradloom-katz-order3"]
+    assert got.count() == 44
