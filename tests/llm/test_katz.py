@@ -1,6 +1,9 @@
 """Katz scores against a plain version, and that every context's probabilities add up to 1."""
 
+import contextlib
 import math
+import os
+import threading
 import zlib
 from collections import Counter
 
@@ -127,3 +130,59 @@ def test_tables_are_dropped_when_read(spark, tmp_path, monkeypatch):
     got = katz.katz_scores(spark.createDataFrame(documents(40), "doc_id long, text string"))
     assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["gradloom-katz-order3"]
     assert got.count() == 44
+
+
+@pytest.mark.parametrize("known", (0, 3, 40))
+def test_words_that_are_not_broadcast(spark, monkeypatch, known):
+    """The same scores when hardly a word is broadcast, and when there are many small groups; a repeated row counts twice."""
+    monkeypatch.setattr(katz, "KNOWN", known)
+    monkeypatch.setattr(katz, "GROUP", 40)
+    docs = [*documents(60)[:62], documents(60)[7], documents(60)[7]]
+    p, _ = plain_model(docs)
+    train = Counter(t for i, text in docs if zlib.crc32(str(i).encode()) % 10 != 0 for t in tokens(text))
+    n, v = sum(train.values()), len(train)
+    got = katz.katz_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in docs)
+    texts = dict(docs)
+    for r in got:
+        own = tokens(texts[r.doc_id])
+        line = [b"<start>", *own]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(train[t] > 0 for t in own), n)
+        assert r.base_score == pytest.approx(sum(math.log10((train[t] + 0.1) / (n + 0.1 * (v + 1))) for t in own), abs=1e-6)
+        assert r.score == pytest.approx(sum(math.log10(p(line[k], tuple(line[max(0, k - 2) : k]))) for k in range(1, len(line))), abs=1e-6), r.doc_id
+
+
+def test_disk(spark, tmp_path, monkeypatch):
+    """Shuffles and tables of all steps take less than 24 bytes a token together at any time (several hashes a trigram took more)."""
+    monkeypatch.setattr("gradloom.llm.shared.shared_dir", lambda _: str(tmp_path))
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{x}" for x in range(20_000)])
+    docs = [(i, " ".join(words[(20_000 ** rng.random(400)).astype(int) - 1])) for i in range(1000)]
+    local = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4).cache()
+    df.count()
+
+    def used():
+        total = 0
+        for folder in (*local, str(tmp_path)):
+            for base, _, names in os.walk(folder):
+                for name in names:
+                    with contextlib.suppress(FileNotFoundError):
+                        total += os.path.getsize(os.path.join(base, name))
+        return total
+
+    floor, most, ended = used(), [0], threading.Event()
+
+    def watch():
+        while not ended.wait(0.05):
+            most[0] = max(most[0], used())
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    try:
+        assert katz.katz_scores(df).count() == 1000
+    finally:
+        ended.set()
+        thread.join()
+        df.unpersist()
+    assert most[0] - floor < 24 * 401_000
