@@ -32,9 +32,11 @@ from .text import mix, slices, text_buffer, word_bounds, word_hashes
 #: Words that are broadcast at most.
 KNOWN = 1 << 20
 #: Places of a group, which a task holds as arrays, and groups at least.
-GROUP, GROUPS = 1 << 20, 24
-#: Tasks that groups are dealt over at most: each sends a document's sum once.
-TASKS = 64
+GROUP, GROUPS = 1 << 20, 48
+#: Tasks that score groups at most; each sends a document's sum once.
+TASKS = 48
+#: Documents' sums that a task holds.
+SUMS = 1 << 20
 #: Counts up to this are discounted.
 LOW = 5
 _END_HASH = np.uint64(0x5EED_0E4D_0000_0001)
@@ -373,16 +375,52 @@ class Group:
         }
 
 
-def _grouped(rows: DataFrame, n_groups: int, make, schema: str) -> DataFrame:
-    """What ``make`` returns of each group's rows; a task has several groups, one after the other."""
+def _table(columns: dict[str, np.ndarray]) -> pa.Table:
+    return pa.Table.from_pydict({c: pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for c, x in columns.items()})
 
-    def result(table: pa.Table):
-        yield pa.Table.from_pydict({c: pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for c, x in make(table).items()})
 
-    def run(table: pa.Table) -> pa.Table:
-        return list(trimmed(result)(table))[0]
+def _runs(batches):
+    """(task, rows) of each group, from batches that are sorted by task and g."""
+    held, last = [], None
+    for batch in batches:
+        g = batch.column("g").to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]])
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if hi == lo:
+                continue
+            if held and g[lo] != last:
+                yield held[0].column("task")[0].as_py(), pa.Table.from_batches(held)
+                held = []
+            last = g[lo]
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield held[0].column("task")[0].as_py(), pa.Table.from_batches(held)
+
+
+def added_up(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """The sums of parts by key."""
+    key, back = np.unique(np.concatenate([p["key"] for p in parts]), return_inverse=True)
+    sums = {c: np.bincount(back, np.concatenate([p[c] for p in parts]), len(key)).astype(parts[0][c].dtype) for c in parts[0] if c != "key"}
+    return {"key": key} | sums
 
-    return rows.repartition(min(n_groups, TASKS), "g").groupBy("g").applyInArrow(run, schema)
+
+def group_sums(rows: DataFrame, make, schema: str) -> DataFrame:
+    """What ``make`` returns of each group's rows, added up by key over the groups of a task, ``SUMS`` keys or so at once."""
+
+    def run(batches):
+        parts, last = [], None
+        for task, table in _runs(batches):
+            if parts and (task != last or sum(len(p["key"]) for p in parts) > SUMS):
+                parts = [added_up(parts)]
+                if task != last or len(parts[0]["key"]) > SUMS // 2:
+                    yield from _table(parts.pop()).to_batches(1 << 16)
+            last = task
+            parts.append(make(table))
+        if parts:
+            yield from _table(added_up(parts)).to_batches(1 << 16)
+
+    rows = rows.withColumn("task", F.pmod("g", F.lit(TASKS)))
+    return rows.repartition(TASKS, "task").sortWithinPartitions("task", "g").mapInArrow(trimmed(run), schema)
 
 
 def n_gram_counts(docs: DataFrame, shared) -> DataFrame:
@@ -393,16 +431,19 @@ def n_gram_counts(docs: DataFrame, shared) -> DataFrame:
         (two, three), asked = group.counts_of_counts(), group.asked()
         r = np.concatenate([np.arange(1, LOW + 2), np.zeros(len(asked), np.int64)])
         none = np.zeros(len(asked), np.int64)
-        return {"g": np.full(len(r), table.column("g")[0].as_py()), "r": r, "two": np.concatenate([two, none]), "three": np.concatenate([three, none]), "w": np.concatenate([np.zeros(LOW + 1, np.uint64), asked])}
+        yield _table({"g": np.full(len(r), table.column("g")[0].as_py()), "r": r, "two": np.concatenate([two, none]), "three": np.concatenate([three, none]), "w": np.concatenate([np.zeros(LOW + 1, np.uint64), asked])})
+
+    def run(table: pa.Table) -> pa.Table:
+        return list(trimmed(make)(table))[0]
 
-    return _grouped(packed_places(docs, shared), shared.value.n_groups, make, "g long, r long, two long, three long, w long")
+    return packed_places(docs, shared).groupBy("g").applyInArrow(run, "g long, r long, two long, three long, w long")
 
 
 def vocabulary_of(words: DataFrame, least: int, n_places: int, n_rows: int) -> Vocabulary:
     found = words.where(F.col("m") >= least).orderBy(F.desc("m"), "w").toArrow()  # KNOWN rows at most
     w, n, m = (found.column(c).to_numpy() for c in ("w", "n", "m"))
     n_groups = max(GROUPS, -(-n_places // GROUP))
-    most = max(1, min(GROUP, n_places // (4 * GROUPS)))
+    most = max(1, min(GROUP, n_places // (2 * GROUPS)))
     return Vocabulary(w.view(np.uint64), n, -(-m[m > most] // most), max(1, -(-n_rows // most)), n_groups)
 
 
@@ -454,7 +495,7 @@ def katz_scores(docs: DataFrame, training: Column | None = None) -> DataFrame:
             sent = (sent[0].view(np.uint64), sent[1].view(np.uint64), *sent[2:])
             return Group(blobs.drop_null().to_pylist(), shared.value).scores(shared.value, sent, d2, d3, log1)
 
-        sums = _grouped(rows, shared.value.n_groups, score, "key long, all long, known long, base double, log double")
+        sums = group_sums(rows, score, "key long, all long, known long, base double, log double")
         found = written(sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("all", "known", "base", "log")]), "katz-order3")
         dropped(words, followers, counts)
 

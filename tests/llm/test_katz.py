@@ -186,3 +186,40 @@ def test_disk(spark, tmp_path, monkeypatch):
         thread.join()
         df.unpersist()
     assert most[0] - floor < 24 * 401_000
+
+
+def test_documents_leave_a_task_once(spark, monkeypatch):
+    """However many groups there are, a document has a row for each task at most."""
+    made = []
+    was = katz.group_sums
+
+    def watched(*args):
+        made.append(was(*args).cache())
+        return made[0]
+
+    monkeypatch.setattr(katz, "group_sums", watched)
+    monkeypatch.setattr(katz, "GROUP", 10)
+    monkeypatch.setattr(katz, "TASKS", 2)
+    assert katz.katz_scores(spark.createDataFrame(documents(60)[:60], "doc_id long, text string")).count() == 60
+    assert made[0].count() <= 2 * 60
+    made[0].unpersist()
+
+
+def test_codes_that_fill_more_than_64_bits():
+    class Wide(katz.Vocabulary):
+        end = 1 << 21  # as if so many words were broadcast
+
+    rng = np.random.default_rng(5)
+    hashes, doc = rng.integers(1, 30, 400).astype(np.uint64), np.repeat(np.arange(8), 50)
+    found = []
+    for kind in (katz.Vocabulary, Wide):
+        own = kind(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 1, 1)
+        w, v, u, _ = own.places(hashes, doc)
+        names = np.unique(hashes)
+        before = np.concatenate([[0, 0], hashes])
+        for x, at in ((w, before[2:]), (v, before[1:-1]), (u, before[:-2])):
+            x[x < 0] = own.end + np.searchsorted(names, at[x < 0])
+        group = katz.Group([katz.pack(*(x.astype("<u4") for x in (u, v, w)), np.diff(doc, prepend=0) > 0, names, np.arange(8).astype("<u8"), np.ones(8, bool))], own)
+        found.append((sorted(group.triple_n), sorted(group.pair_n), [x.tolist() for x in group.counts_of_counts()]))
+    assert found[0] == found[1]
+    assert sum(found[0][1]) == 400
