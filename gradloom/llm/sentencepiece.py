@@ -31,7 +31,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, documents, trimmed, written
+from .shared import bounded_batches, documents, shuffles_removed, trimmed, written
 
 #: Path of the model file; a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -453,26 +453,27 @@ def _giant_ids(giants: DataFrame, content, chunk: int) -> DataFrame:
         encoder = Encoder(load(content.value))
         ids_of = lambda *way: encoder.expanded(p := np.array(backtraced(*way, encoder.pieces), np.int32), np.array([len(p)]))[0]
         for batch in batches:
-            rows = zip(*[batch.column(i).to_pylist() for i in (2, 3, 5, 6, 7, 8)], batch.column(4), strict=True)
-            found = []
-            for joined, head, tail, after, enter, leave, ids in rows:
-                if joined:
-                    found.append(np.concatenate([ids_of(head, "", enter, 0), ids.values.to_numpy(), ids_of(tail, after, 0, leave)]))
-                else:
-                    found.append(ids_of(head, after, enter, leave))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["key", "part", "ids"])
+            place, found = [], []
+            for part, joined, head, tail, after, enter, leave in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
+                place += [3 * part, 3 * part + 2]
+                found += [ids_of(head, "", enter, 0), ids_of(tail, after, 0, leave)] if joined else [ids_of(head, after, enter, leave), []]
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), 2)))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(place, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["key", "place", "ids"])
 
     chunks = giants.mapInArrow(trimmed(spread), "key long, part int, before string, body string, after string").dropDuplicates(["key", "part"])
     fields = "key long, part int, matrix binary, joined boolean, head string, ids array<int>, tail string, after string"
-    own = written(chunks.mapInArrow(trimmed(matrices), fields), "piece-matrices").withColumn("block", F.floor(F.col("part") / _BLOCK).cast("int"))
+    with shuffles_removed(giants.sparkSession):
+        own = written(chunks.mapInArrow(trimmed(matrices), fields), "piece-matrices").withColumn("block", F.floor(F.col("part") / _BLOCK).cast("int"))
     small = own.select("key", "block", "part", "joined", F.when(F.col("joined"), F.col("head")).alias("head"), "matrix")
     blocks = small.groupBy("key", "block").applyInArrow(block_product, "key long, block int, joined boolean, head string, matrix binary")
     edges = blocks.groupBy("key").applyInArrow(block_states, "key long, block int, enter int, leave int")
     states = small.join(edges, ["key", "block"]).groupBy("key", "block").applyInArrow(part_states, "key long, part int, enter int, leave int")
-    rows = own.join(states, ["key", "part"]).select("key", "part", "joined", "head", "ids", "tail", "after", "enter", "leave")
-    ids = rows.mapInArrow(trimmed(trace), "key long, part int, ids array<int>")
-    in_order = F.array_sort(F.collect_list(F.struct("part", "ids")))  # a document is a row, before and after
-    return ids.groupBy("key").agg(F.flatten(F.transform(in_order, lambda x: x["ids"])).alias("ids"))
+    # a chunk's own ids are the same on all paths, so they don't travel to its states: its ends do
+    ends = own.select("key", "part", "joined", "head", "tail", "after").join(states, ["key", "part"])
+    traced = ends.mapInArrow(trimmed(trace), "key long, place long, ids array<int>")
+    between = own.where("joined").select("key", (3 * F.col("part").cast("long") + 1).alias("place"), "ids")
+    in_order = F.array_sort(F.collect_list(F.struct("place", "ids")))  # a document is a row, before and after
+    return traced.unionByName(between).groupBy("key").agg(F.flatten(F.transform(in_order, lambda x: x["ids"])).alias("ids"))
 
 
 def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:

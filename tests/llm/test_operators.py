@@ -483,6 +483,31 @@ def test_giant_documents_against_a_plain_search(spark, chunk):
         assert ids == encoder.expanded(plain, np.array([len(plain)]))[0].tolist()
 
 
+def test_shuffles_of_giant_documents(spark):
+    """A giant's text is shuffled twice and its ids once (they were shuffled twice); counted in bytes of random words, which hardly compress."""
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(5000))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    df.count()
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    none, quantiles = gateway.jvm.java.util.ArrayList(), gateway.new_array(gateway.jvm.double, 0)
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(none, False, False, quantiles, none)
+        return {(s := stages.apply(i)).stageId(): s.shuffleWriteBytes() for i in range(stages.size())}
+
+    before = shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where tables are large
+    try:
+        n_pieces = sum(r.n_pieces for r in sentencepiece.piece_digest(df).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    n_bytes = sum(n for i, n in shuffled().items() if i not in before)
+    df.unpersist()
+    assert 0 < n_bytes < 2 * 40_000 * len(rows) + 4 * n_pieces
+
+
 def test_models_that_are_not_supported():
     from sentencepiece import sentencepiece_model_pb2 as pb
 
