@@ -185,6 +185,71 @@ def test_search_takes_whole_finite_vectors(spark):
     assert sorted((r.id, r.v) for r in got) == [(0, [128.0, -1.0]), (1, [256.0, 256.0])]
 
 
+def vectors_of(kind, n, dim, rng):
+    """Whole numbers; kind: what makes a search by lists hard or easy."""
+    if kind == "ties":
+        return rng.integers(-1, 2, (n, dim))
+    if kind == "spiky":  # each has a few large components, so that few vectors are met
+        return np.where(rng.random((n, dim)) < 2 / dim, rng.integers(-3000, 3000, (n, dim)), 0)
+    if kind == "copies":
+        return rng.integers(-150, 150, (9, dim))[rng.integers(0, 9, n)]
+    if kind == "near":
+        return rng.integers(-150, 150, (9, dim))[rng.integers(0, 9, n)] + rng.integers(-2, 3, (n, dim))
+    if kind == "large":
+        return rng.integers(-(1 << 20), 1 << 20, (n, dim)).astype(float)
+    if kind == "decaying":
+        return (rng.standard_normal((n, dim)) * 200 / (1 + np.arange(dim))).astype(int)
+    return (256 * (x := rng.standard_normal((n, dim))) / np.linalg.norm(x, axis=1)[:, None]).astype(int)
+
+
+@pytest.mark.parametrize("kind", ["ties", "spiky", "copies", "near", "large", "decaying", "even"])
+@pytest.mark.parametrize("known", [False, True])
+def test_search_in_a_part(kind, known):
+    rng = np.random.default_rng(len(kind))
+    for n, m, dim, block in ((700, 90, 40, 64), (1500, 600, 64, 4096), (3, 5, 2, 64), (400, 70, 1, 128)):
+        v = vectors_of(kind, n + m, dim, rng)
+        v, q = (x if kind == "large" else x.astype(np.int16) for x in (v[:n], v[n:]))
+        ids, q_ids = rng.permutation(n) // 2, rng.permutation(m)  # repeated ids
+        score = q.astype(np.int64) @ v.astype(np.int64).T
+        score = np.where(q_ids[:, None] == ids, -(1 << 60), score)
+        floor = np.sort(score, axis=1)[:, -5:][:, 0].astype(float) if known and n > 5 else np.full(m, -np.inf)
+        floor[: m // 5] = -np.inf
+        scores, best = search.top_of_part(q_ids, q, floor, ids, v, 5, block)
+        for i in range(m):
+            want = sorted((-int(s), int(j)) for s, j in zip(score[i], ids, strict=True) if s > -(1 << 60))[:5]
+            assert [(-int(s), int(j)) for s, j in zip(scores[i], best[i], strict=True) if s > -np.inf] == want, (kind, n, i)
+
+
+def test_search_over_many_parts(spark):
+    """With thresholds of a first pass; some vectors have another dimension, ids repeat."""
+    rng = np.random.default_rng(3)
+    rows = [(i % 1900, [float(x) for x in v]) for i, v in enumerate(vectors_of("even", 2000, 24, rng))]
+    rows += [(3000 + i, [float(x) for x in v]) for i, v in enumerate(vectors_of("ties", 120, 3, rng))]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    got = sorted(map(tuple, search.exact_top_k(df, df.where("id % 50 = 0"), block=32).collect()))
+    want = []
+    for q in sorted({i for i, _ in rows if i % 50 == 0}):  # query rows of one id share one result
+        scored = sorted((-int(np.dot(v, w)), i) for j, v in rows if j == q for i, w in rows if i != q and len(w) == len(v))
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
+    assert got == want
+    none = df.where("id < 0")
+    assert search.exact_top_k(none, df, block=32).count() == search.exact_top_k(df, none, block=32).count() == 0
+
+
+def test_search_costs_about_a_product():
+    """Bounds of all pairs take no more than a few times all scores, one product, and a partial sort."""
+    rng = np.random.default_rng(5)
+    v, q = vectors_of("even", 16384, 64, rng).astype(np.int16), vectors_of("even", 1024, 64, rng).astype(np.int16)
+    began = time.process_time()
+    score = q.astype(float) @ v.astype(float).T
+    worst = np.partition(score, score.shape[1] - 5, axis=1)[:, -5]
+    plain = time.process_time() - began
+    began = time.process_time()
+    scores, _ = search.top_of_part(np.arange(-1024, 0), q, np.full(1024, -np.inf), np.arange(16384), v, 5)
+    assert time.process_time() - began < 3 * plain
+    assert (scores[:, -1] == worst).all()
+
+
 # language
 
 
