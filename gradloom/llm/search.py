@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from .shared import bounded_batches, trimmed
 
 BLOCK = 4096  # vectors whose lists are sorted together
-TILE = 512  # queries, and vectors, whose bounds are one product: few enough for a core's cache
+TILE = 768  # queries, and vectors, whose bounds are one product: few enough for a core's cache
 PART = 1 << 24  # components, of queries or of vectors, that a task holds: 32 MB as they are packed
 FIRST = 1 << 17  # vectors of the first pass, at most
 _DEPTHS = (0, 64, 16, 4)  # lists are read to none, a 64th, a 16th, a quarter of a chunk, or to the end
-_SCORED = 4000  # what a final score costs, in components of a product
+_SCORED = 20000  # what a pair costs whose bound reaches a threshold, in components of a product
 _WAITING = 1 << 16  # pairs whose final scores are taken at once
 
 
