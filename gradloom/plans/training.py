@@ -38,6 +38,10 @@ def _trie(spark, sf):
     return C.compressed_trie(_deduped(spark, sf))
 
 
+def _log(weight):
+    return F.round(F.ln(weight), 6)
+
+
 @query("SELECT question_id, count(*) AS kept, min(rollout_index) AS first_rollout, max(len(tokens)) AS longest FROM deduped GROUP BY 1", TRAJECTORIES, _DEDUP)
 def dedup_rollouts(spark, sf):
     """T1."""
@@ -53,13 +57,13 @@ def reward_weight(spark, sf):
 @query("SELECT question_id, depth, prefix, round(ln(weight), 6) AS log_weight, visits, successes FROM nodes", *_TRIE[:4])
 def trie_node_stats(spark, sf):
     """T4."""
-    return C.node_stats(_trie(spark, sf)).select("question_id", "depth", "prefix", F.round(F.ln("weight"), 6).alias("log_weight"), "visits", "successes")
+    return C.node_stats(_trie(spark, sf), _log).select("question_id", "depth", "prefix", F.col("weight").alias("log_weight"), "visits", "successes")
 
 
 @query("SELECT question_id, depth, prefix, token, round(ln(weight), 6) AS log_weight, visits FROM edges", *_TRIE)
 def trie_edge_stats(spark, sf):
     """T5."""
-    return C.edge_stats(_trie(spark, sf)).select("question_id", "depth", "prefix", "token", F.round(F.ln("weight"), 6).alias("log_weight"), "visits")
+    return C.edge_stats(_trie(spark, sf), _log).select("question_id", "depth", "prefix", "token", F.col("weight").alias("log_weight"), "visits")
 
 
 @query("SELECT question_id, depth, prefix, visits, successes FROM reliable", *_TRIE, _RELIABLE)

@@ -65,3 +65,38 @@ def test_odd_tables(spark):
     trie = C.compressed_trie(odd)
     assert {(r.question_id, r.depth, r.visits, r.successes) for r in C.node_stats(trie).collect()} == {(None, 0, 2, 1), (None, 1, 2, 1), (None, 2, 1, 0), ("x", 0, 1, 1)}
     assert {(r.rollout_index, tuple(r.valid)) for r in C.valid_masks(trie).collect()} == {(1, (True, False)), (2, (True,)), (3, ())}
+
+
+def folder_bytes(path):
+    return sum(p.stat().st_size for p in path.rglob("*.parquet"))
+
+
+def long_texts(spark, n=300, length=400):
+    """Sequences with tokens of their own, as most of a large table's have."""
+    own = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.substring(F.md5(F.concat_ws(" ", F.col("id").cast("string"), i.cast("string"))), 1, 6))
+    return spark.range(n).select(F.lit("q").alias("question_id"), F.col("id").alias("rollout_index"), own.alias("tokens"), F.lit(True).alias("success"), F.lit(1.0).alias("weight"))
+
+
+@pytest.mark.parametrize("stats", [C.edge_stats, C.node_stats], ids=["edges", "nodes"])
+def test_prefixes_are_written_out_where_chains_are(spark, stats):
+    """The written chains have all it takes, so sequences aren't shuffled again."""
+    found = stats(C.compressed_trie(long_texts(spark)))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() in (300 * 400, 300 * 400 + 1)
+
+
+def test_folder_holds_tokens_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "scratch", lambda spark, name: str(tmp_path / name))
+    C.compressed_trie(long_texts(spark))
+    assert folder_bytes(tmp_path) < 8 * 300 * 400  # 6 characters of 4 bits and an end each, where hashes alone were 8 bytes
+
+
+def test_tokens_that_look_like_signs(spark):
+    kinds = "question_id string, rollout_index long, tokens array<string>, success boolean, weight double"
+    odd = [["a", "b"], ["a\x1fb"], ["a", None], ["a", "\x1e2"], ["a", ""], ["a"], [""], ["", ""], [None], [None, "a\x1f"], ["\x1e", "0"], ["\x1e0"], ["\x1f", "\x1e1"], ["\x1e\x1f\x1e2"]]
+    given = spark.createDataFrame([("q", i, tokens, i % 2 == 0, 1.0 + i) for i, tokens in enumerate(odd + odd)], kinds)
+    rows = T.deduplicated(given)
+    assert sorted((r.rollout_index, r.tokens) for r in rows.collect()) == list(enumerate(odd))
+    trie = C.compressed_trie(rows)
+    same(C.node_stats(trie), T.node_stats(rows))
+    same(C.edge_stats(trie), T.edge_stats(rows))
