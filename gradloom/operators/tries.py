@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.storage import scratch
+
 END, ESCAPE = "\x1f", "\x1e"
 NULL = ESCAPE + "2"
+_REPEATS = 1 << 20  # rows of a broadcast, at most
 
 
 def reward_weight(reward: Column, beta: float = 0.1, low: float = -5.0, high: float = 5.0) -> Column:
@@ -48,13 +51,40 @@ def unpacked(text: Column) -> Column:
 
 
 def deduplicated(trajectories: DataFrame) -> DataFrame:
-    """The first trajectory of each token sequence of a question; the order of rollouts decides which: T1."""
-    rest = [c for c in trajectories.columns if c not in ("question_id", "tokens")]
+    """The first trajectory of each token sequence of a question; the order of rollouts decides which: T1.
+
+    Sequences (of strings) are told apart by sha256, and only digests are shuffled: they and the repeats found are
+    written to the shared folder, repeats are broadcast, up to ``_REPEATS``.  With more repeats, with rollouts of one index, or with tokens
+    of another type, whole sequences are grouped.
+    """
+    rows = trajectories.where(F.size("tokens") > 0)
+    if trajectories.schema["tokens"].dataType.elementType != T.StringType():
+        return _first_of(rows, F.col("tokens"), F.col("key")).select(*trajectories.columns)
+    digest, id_of = F.unhex(F.sha2(packed(F.col("tokens")), 256)), ["question_id", "rollout_index", "digest"]
+    spark, path = trajectories.sparkSession, scratch(trajectories.sparkSession, "repeats")
+    keys = rows.select("question_id", "rollout_index", digest.alias("digest"))
+    keys.write.parquet(f"{path}/keys")  # texts are read once for both uses
+    keys = spark.read.schema(keys.schema).parquet(f"{path}/keys")
+    groups = keys.groupBy("question_id", "digest").agg(F.min("rollout_index").alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = groups.select(F.col("question_id").alias("q"), F.col("digest").alias("d"), "first")
+    found = keys.join(groups, F.col("question_id").eqNullSafe(F.col("q")) & (F.col("digest") == F.col("d")))
+    found = found.select(*id_of, F.col("rollout_index").eqNullSafe(F.col("first")).alias("stays"))
+    found.write.parquet(f"{path}/found")
+    found = spark.read.schema(found.schema).parquet(f"{path}/found")
+    repeats, stay, groups = found.agg(F.count_if(~F.col("stays")), F.count_if("stays"), F.countDistinct(F.struct("question_id", "digest"))).first()
+    if repeats > _REPEATS or stay != groups:
+        return _first_of(rows, packed(F.col("tokens")), unpacked(F.col("key"))).select(*trajectories.columns)
+    if not repeats:
+        return rows
+    dropped = F.broadcast(found.where(~F.col("stays")).select(*[F.col(c).alias(f"__{c}") for c in id_of]))
+    same = F.col("question_id").eqNullSafe(F.col("__question_id")) & F.col("rollout_index").eqNullSafe(F.col("__rollout_index")) & (digest == F.col("__digest"))
+    return rows.join(dropped, same, "left_anti")
+
+
+def _first_of(rows: DataFrame, key: Column, tokens: Column) -> DataFrame:
+    rest = [c for c in rows.columns if c not in ("question_id", "tokens")]
     first = F.min_by(F.struct(*rest), "rollout_index").alias("first")  # partial sums: thousands of copies are a row a task
-    strings = trajectories.schema["tokens"].dataType.elementType == T.StringType()
-    key, tokens = (packed(F.col("tokens")), unpacked(F.col("key"))) if strings else (F.col("tokens"), F.col("key"))
-    rows = trajectories.where(F.size("tokens") > 0).groupBy("question_id", key.alias("key")).agg(first)
-    return rows.select("question_id", tokens.alias("tokens"), "first.*").select(*trajectories.columns)
+    return rows.groupBy("question_id", key.alias("key")).agg(first).select("question_id", tokens.alias("tokens"), "first.*")
 
 
 def _key(a: Column, b: Column) -> Column:

@@ -100,3 +100,17 @@ def test_tokens_that_look_like_signs(spark):
     trie = C.compressed_trie(rows)
     same(C.node_stats(trie), T.node_stats(rows))
     same(C.edge_stats(trie), T.edge_stats(rows))
+
+
+def test_deduplication_shuffles_digests(spark, monkeypatch):
+    """Texts stay where they are, unless repeats are many; the result is the same either way, and with rollouts of one index."""
+    given = long_texts(spark, 20, 5)
+    given = given.unionByName(given.where("rollout_index % 3 = 0").withColumn("rollout_index", F.col("rollout_index") + 100)).withColumn("question_id", F.when(F.col("rollout_index") % 2 == 0, "even"))
+    want = sorted((r.rollout_index, tuple(r.tokens)) for r in T._first_of(given, F.col("tokens"), F.col("key")).collect())
+    few = T.deduplicated(given)
+    assert "Aggregate" not in few._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.rollout_index, tuple(r.tokens)) for r in few.collect()) == want
+    monkeypatch.setattr(T, "_REPEATS", 1)
+    assert sorted((r.rollout_index, tuple(r.tokens)) for r in T.deduplicated(given).collect()) == want
+    monkeypatch.undo()
+    assert sorted((r.rollout_index, tuple(r.tokens)) for r in T.deduplicated(given.unionByName(given)).collect()) == want
